@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, packing, sharding, tokens, transport
+from tessera.llm import exact_dedup, language_id, mixing, near_dedup, packing, sharding, tokens, toxicity, transport
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,17 +31,29 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(_documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_digest(_documents(spark, sf_dir)).drop("pts", "random_access")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), width=2, percent=80)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.take_mix(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_sharding, op3_exact_dedup, op5_packing, op7_media_columns, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_output, op2_sharding, op3_exact_dedup, op4_language_id, op5_packing, op6_toxicity, op7_media_columns, op8_near_dedup, op10_mixing)}

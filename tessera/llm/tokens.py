@@ -13,8 +13,11 @@ empty table writes a readable, empty store.  Other columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,47 @@ from tessera.llm.common import little_endian, part_bases, scratch_path, text_sli
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces of text whose ids a worker remembers.
-MOST_PIECES = 300_000
+#: Pieces of text whose ids a worker remembers, and of those the ones that came back after being forgotten.
+MOST_PIECES, MOST_CORE = 300_000, 200_000
+
+#: Letters below this code point are letters, and composed, in every Unicode version.
+_LATIN = "\u0250"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies' letter for each byte: printable ones stand for themselves, others from 256 up."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: Punctuation that makes one word of its own behind letters; an apostrophe may not.
+_POINTS = b"!#$%&()*+,-./:;<=>?@[]^_{|}~"
+_TEXT_POINTS = _POINTS.decode()
+_ID = attrgetter("id")
+
+
+class _Pieces(dict):
+    """Ids of pieces, made when first asked for.
+
+    When full it forgets all but the core: pieces that were asked for again after
+    an earlier forgetting.  So frequent pieces stay and memory is bounded.
+    """
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.core, self.gone = make, {}, frozenset()
+
+    def __missing__(self, piece):
+        if len(self) >= MOST_PIECES:
+            self.gone = frozenset(self)
+            self.clear()
+            self.update(self.core)
+        ids = self.make(piece)
+        self[piece] = ids
+        if piece in self.gone and len(self.core) < MOST_CORE:
+            self.core[piece] = ids
+        return ids
 
 
 class PieceEncoder:
@@ -36,7 +78,8 @@ class PieceEncoder:
     may be cut there first and each distinct piece be encoded once.  ``lower`` (the
     kind that drops white space) cuts at any ASCII white space.  The other kind keeps
     a single space or line feed with the piece after it; a text in which white
-    space stands in any other way is encoded whole.
+    space stands in any other way is encoded whole.  A piece of Latin letters alone
+    is one word to the library's pre-tokenizer and goes to its merges at once.
     """
 
     def __init__(self, path: str, lower: bool):
@@ -44,49 +87,53 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.lower = lower
-        self.pieces: dict = {}
-        self.heads: dict = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [little_endian(np.array(e.ids, np.uint32)) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, table: dict, new: set, before: str) -> None:
-        """Encodes new pieces; ``before`` stands in front of a piece that doesn't begin with a line feed."""
-        if self.lower:
-            keys = list(new)
-            table.update(zip(keys, self._plain([k.decode() for k in keys]), strict=True))
-            return
-        body = {k: k[1:] if k[:1] == "\n" else k for k in new}
-        safe = [k for k, b in body.items() if b and b == b.strip()]
-        table.update(dict.fromkeys(new))
-        table.update(zip(safe, self._plain([k if k[0] == "\n" else before + k for k in safe]), strict=True))
+        self.merge, self.letters, self.lower = self.tokenizer.model.tokenize, _byte_letters(), lower
+        self.pieces = _Pieces(self._lower_piece if lower else self._spaced_piece)
+        self.heads, self.tails = _Pieces(self._head), _Pieces(self._whole)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str, before: str = "") -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", map(_ID, self.merge(before + word))).tobytes()
+
+    def _lower_piece(self, piece: bytes) -> bytes:
+        stem = piece.rstrip(_POINTS)
+        if stem != piece and (letters := stem.decode()).isalpha() and max(letters) < _LATIN and len(letters.lower()) == len(letters):
+            return self.pieces[stem] + self.tails[piece[len(stem) :].decode()]
+        text = piece.decode()
+        word = text.lower()
+        return self._word(word) if word.isalpha() and len(word) == len(text) and max(word) < _LATIN else self._whole(text)
+
+    def _spaced_piece(self, piece: str) -> bytes | None:
+        """None where the piece's ends may belong to white space around it."""
+        if piece.isalpha() and max(piece) < _LATIN:
+            return self._word(piece, self.letters[32])
+        if (stem := piece.rstrip(_TEXT_POINTS)) != piece and stem.isalpha() and max(stem) < _LATIN:
+            return self.pieces[stem] + self.tails[piece[len(stem) :]]
+        if piece[:1] == "\n" and piece[1:].isalpha() and max(piece) < _LATIN:
+            return self.tails["\n"] + self._word(piece[1:])
+        body = piece[1:] if piece[:1] == "\n" else piece
+        return self._whole(piece if piece[0] == "\n" else " " + piece) if body and body == body.strip() else None
+
+    def _head(self, piece: str) -> bytes | None:
+        return self._whole(piece) if piece and piece == piece.strip() else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
-        if len(self.heads) > MOST_PIECES:
-            self.heads.clear()
-        if self.lower:
-            cut = [t.encode().split() for t in texts]
-            if new := set().union(*cut) - self.pieces.keys():
-                self._learn(self.pieces, new, "")
-            get = self.pieces.__getitem__
-            return [b"".join(map(get, c)) for c in cut]
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [c.pop(0) for c in cut]
-        if new := set(heads) - self.heads.keys():
-            self._learn(self.heads, new, "")
-        if new := set().union(*cut) - self.pieces.keys():
-            self._learn(self.pieces, new, " ")
         get, out = self.pieces.__getitem__, []
-        for text, head, rest in zip(texts, heads, cut, strict=True):
+        for text in texts:
+            if self.lower:
+                out.append(b"".join(map(get, text.encode().split())))
+                continue
+            head, *rest = text.replace("\n", " \n").split(" ")
             try:
                 out.append(b"".join([self.heads[head], *map(get, rest)]))
-            except TypeError:  # a piece stands apart from the plain form
-                out.append(self._plain([text])[0])
-        return out
+            except TypeError:  # white space stands apart from the plain form
+                out.append(self._whole(text))
+        return [x.tobytes() for x in (np.frombuffer(b, np.uint32).astype("<u4", copy=False) for b in out)] if sys.byteorder == "big" else out
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
