@@ -279,3 +279,16 @@ def add_bases(table: DataFrame, value: str, group: str | None) -> DataFrame:
     """
     bases = part_bases(table, value, group)
     return table.join(F.broadcast(bases), [*([group] if group else []), "_part"]).withColumn("_start", F.col("_start") + F.col("_base")).drop("_base")
+
+
+def drop_documents(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """All rows of ``docs``, columns unchanged, but those whose doc_id is in ``ids`` (one column).
+
+    Only rows that a bit filter lets through are shuffled; the others pass as they are.
+    """
+    ids = materialize(ids.toDF("__id").distinct(), "dropped")
+    bits = filter_bits(ids.count())
+    table = materialize(bit_filter(ids.select(F.xxhash64("__id").alias("h")), "h", bits), "filter")
+    flagged = in_filter(docs.withColumn("__h", F.xxhash64(doc_id)), "__h", table, bits, flag="__maybe").drop("__h")
+    checked = flagged.where("__maybe").join(ids, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
+    return flagged.where("not __maybe").unionByName(checked).drop("__maybe")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHUNK_BITS, filter_bits, in_filter, join_classes, materialize
+from tessera.llm.common import CHUNK_BITS, drop_documents, filter_bits, in_filter, join_classes, materialize
 
 #: Fingerprints of one block: what a partition holds before it sends.
 BLOCK = 1 << 20
@@ -143,3 +143,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     joined = join_classes(flagged.where("suspect").drop("suspect"), classes, "text_sha256", "group_size", n)
     alone = flagged.where("not suspect").select("text_sha256", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
     return joined.unionByName(alone).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that stay; whole repeated rows share their doc_id's fate."""
+    found = materialize(exact_duplicates(docs), "duplicates")
+    return drop_documents(docs, found.where("not kept").select("doc_id"))

@@ -174,3 +174,9 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     """One row per document: its language by a model that learned from four fifths of the labelled ones."""
     out = identify(docs.select("doc_id", "text"), learn(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def drop_rejected(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, whose language the model doesn't reject."""
+    rows = identify(docs.select(F.struct("*").alias("row"), "text"), learn(docs))
+    return rows.where("not rejected").select("row.*")

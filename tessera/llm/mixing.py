@@ -68,3 +68,14 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     taken = cut.groupBy("_row").agg(F.sum(F.least("_take", F.col("_budget") - F.col("_start"))).alias("taken"), F.count(F.lit(1)).cast("int").alias("copies"))
     out = queued.join(taken, "_row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", F.coalesce("copies", F.lit(0)).alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, each as often as the mix begins a copy of it.
+
+    Rows that share a doc_id are each repeated as often as the most used of them.
+    """
+    used = take_mix(docs, weights, most).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
+    used = materialize(used.withColumnRenamed("doc_id", "__id"), "used")
+    rows = docs.join(used, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies", "__id")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bit_filter, filter_bits, hash_words, in_filter, join_classes, materialize, mix64, text_bytes, text_slices
+from tessera.llm.common import bit_filter, drop_documents, filter_bits, hash_words, in_filter, join_classes, materialize, mix64, text_bytes, text_slices
 from tessera.llm.components import components
 from tessera.llm.exact_dedup import duplicate_bitmap
 
@@ -293,3 +293,9 @@ class NearDuplicates:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: its set's size, the least doc_id it is linked to, and whether that is its own."""
     return NearDuplicates(docs, width, percent).run()
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, of which each group of near-duplicates keeps one."""
+    found = materialize(near_duplicates(docs, width, percent), "near")
+    return drop_documents(docs, found.where("not kept").select("doc_id"))
