@@ -40,14 +40,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Scratch tables' row groups, and rows of an Arrow batch while one is written: both bound a task's buffers.
+SCRATCH_LAYOUT = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
+BATCH_ROWS = "1000"
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage; a lost executor costs no recomputation of what came before.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, was = scratch_path(spark, name), spark.conf.get(setting)
+    spark.conf.set(setting, BATCH_ROWS)
+    try:
+        df.write.options(**SCRATCH_LAYOUT | options).parquet(path)
+    finally:
+        spark.conf.set(setting, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

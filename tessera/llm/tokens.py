@@ -21,15 +21,15 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import little_endian, part_bases, scratch_path, text_slices
+from tessera.llm.common import little_endian, scratch_path, text_slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces of text whose ids a worker remembers, and of those the ones that came back after being forgotten.
-MOST_PIECES, MOST_CORE = 300_000, 200_000
+MOST_PIECES, MOST_CORE = 500_000, 350_000
 
 #: Letters below this code point are letters, and composed, in every Unicode version.
 _LATIN = "\u0250"
@@ -128,9 +128,10 @@ class PieceEncoder:
             if self.lower:
                 out.append(b"".join(map(get, text.encode().split())))
                 continue
-            head, *rest = text.replace("\n", " \n").split(" ")
+            rest = text.replace("\n", " \n").split(" ")
+            head = rest.pop(0)
             try:
-                out.append(b"".join([self.heads[head], *map(get, rest)]))
+                out.append(self.heads[head] + b"".join(map(get, rest)))
             except TypeError:  # white space stands apart from the plain form
                 out.append(self._whole(text))
         return [x.tobytes() for x in (np.frombuffer(b, np.uint32).astype("<u4", copy=False) for b in out)] if sys.byteorder == "big" else out
@@ -177,10 +178,23 @@ LAYOUT = {
 }
 
 
+def in_order(docs: DataFrame) -> bool:
+    """Whether the input's partitions already hold disjoint ranges of doc_id.  Reads that column only."""
+    ranges = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    before = F.lag("high").over(Window.orderBy("low"))
+    return bool(ranges.select(((F.col("nulls") > 0) | (F.col("low") <= before)).alias("bad")).agg(F.coalesce(F.bool_or("bad"), F.lit(False))).head()[0] is False)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, lower: bool = False, end: int = 0) -> None:
-    """Write the ids of all whole texts, each followed by ``end``, in ascending doc_id order."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_tie"))
-    rows = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
+    """Write the ids of all whole texts, each followed by ``end``, in ascending doc_id order.
+
+    Input that is stored in order, as tables mostly are, is sorted where it lies;
+    any other is range-partitioned first.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if not in_order(docs.select("doc_id")):
+        rows = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie")
+    rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text")).select("doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, part_start bigint, n_tokens bigint, ids array<int>"
     rows.mapInArrow(_tokenize(tokenizer, lower, end), schema).write.options(**LAYOUT).parquet(path)
 
@@ -191,7 +205,9 @@ def _open(spark: SparkSession, path: str) -> DataFrame:
 
 def _placed(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Moves offsets within parts to offsets over the whole store; there is a base for each part."""
-    bases = part_bases(table, "n_tokens", None)
+    sums = table.groupBy("_part").agg(F.sum("n_tokens").alias("_sum"), F.min("doc_id").alias("_first"))
+    before = Window.orderBy(F.col("_first").asc_nulls_first(), "_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     return rows.join(F.broadcast(bases), "_part").withColumn("start", F.col("_start") + F.col("_base")).drop("_part", "_start", "_base")
 
 
