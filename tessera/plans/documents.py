@@ -91,7 +91,7 @@ def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count_if(F.trim("line") != "").alias("segments"), F.max(F.length("line")).cast("bigint").alias("longest"), F.min(F.length("line")).cast("bigint").alias("shortest"))
 
 
-_HEADER = "CASE WHEN regexp_matches(line, '^[A-Z][a-z]+ [a-z]+\\b') AND length(line) < 120 THEN line END"
+_HEADER = "CASE WHEN regexp_matches(line, '^[A-Z][a-z]+ [a-z]+[ ,.]') AND length(line) < 120 THEN line END"
 
 
 @query("W5_forward_fill", f"""WITH {_LINES} SELECT doc_id, section, count(*) AS blocks, sum(length(line))::BIGINT AS chars FROM (
