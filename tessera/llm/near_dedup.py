@@ -10,11 +10,13 @@
 
 No bucket's pairs are all formed.  First each member meets only its bucket's hub,
 the member that shares most buckets with others; links so found join most of a
-group at once.  Buckets that still hold several components go on: their members
-meet the most similar members of other components, and at last all members of other
-components that pass the signature.  Large buckets are cut into blocks for that, so
-no task ever holds a bucket.  A pair at the threshold shares no band with
-probability (1 - 0.8 ** ROWS) ** BANDS, under 3e-6; nothing else is lost.
+group at once.  Only buckets that still hold several components go on.  There a
+first pass over signatures keeps the members that are like a member of another
+component; a second one has their full sets and gives the links that join
+components, fewer than the bucket has members.  Both passes work on blocks of
+bounded size, and a large bucket is dealt out as pairs of blocks, so no task ever
+holds a bucket.  A pair at the threshold shares no band with probability
+(1 - 0.8 ** ROWS) ** BANDS, under 3e-6; nothing else is lost.
 
 Words are lower-cased in A-Z only.  A document with fewer words than a shingle is
 one shingle; without words it is empty, linked with nothing.  Null text is empty.
@@ -39,8 +41,8 @@ BANDS, ROWS, BITS = 42, 6, 4
 #: Minima: those of the bands and a few more for the signature; bytes of a signature.
 MINIMA = 256
 SIGNATURE = MINIMA * BITS // 8
-#: Members of a block of a bucket; partners that a member meets in the second pass.
-BLOCK, PARTNERS = 512, 8
+#: Shingles of a block of a bucket, of which each member counts MEMBER more: it bounds rows and bytes.
+BLOCK, MEMBER = 1 << 20, 256
 
 _random = np.random.default_rng(20)
 _FLIPS = _random.integers(0, 2**32, MINIMA, dtype=np.uint32)[:, None]
@@ -155,51 +157,94 @@ def _alike(fewest: int):
     return run
 
 
-def _meet(fewest: int, percent: int, partners: int | None):
-    """Rows (key, x, y, block, node, label, n, sig), sorted by (key, x, y): pairs within each group.
+_GROUP = ["key", "x", "y"]
 
-    Pairs have different labels, sizes and signatures that allow a link, and in a group of
-    two blocks (x < y) come from both.  With ``partners``, only each member's most similar.
-    """
 
-    def pairs(group: pa.Table) -> list[np.ndarray]:
-        words = _words(group.column("sig").combine_chunks())
-        node, label, n, block = (group.column(c).to_numpy() for c in ("node", "label", "n", "block"))
-        across, found = group.column("x")[0].as_py() != group.column("y")[0].as_py(), []
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups of rows sorted by (key, x, y); only one is held at a time."""
+    held: pa.Table | None = None
+    for batch in (b for b in batches if b.num_rows):
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        key = np.stack([table.column(c).to_numpy() for c in _GROUP])
+        cuts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield table.slice(a, b - a)
+        held = table.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def _partners(group: pa.Table, i: int, words: np.ndarray, n: np.ndarray, roots: np.ndarray, block: np.ndarray, across: bool, fewest: int, percent: int) -> np.ndarray:
+    """Later members of other components whose sizes and signatures allow a link with member i."""
+    others = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
+    others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+    others = others[block[others] != block[i]] if across else others
+    return others[equal_minima(words[others], words[i]) >= fewest] if len(others) else others
+
+
+def _columns(group: pa.Table) -> tuple[np.ndarray, ...]:
+    return (_words(group.column("sig").combine_chunks()), *(group.column(c).to_numpy() for c in ("n", "label", "block")))
+
+
+def _active(fewest: int, percent: int):
+    """Rows (key, x, y, block, node, label, n, sig) by group, to those that may link with another component."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+        rows = 0
+        for group in _groups(batches):
+            if group.num_rows < 2:
+                continue
+            words, n, label, block = _columns(group)
+            across, keep = group.column("x")[0] != group.column("y")[0], np.zeros(group.num_rows, bool)
+            for i in range(group.num_rows):
+                found = _partners(group, i, words, n, label, block, across, fewest, percent)
+                keep[found] = True
+                keep[i] |= len(found) > 0
+            if keep.any():
+                kept.append(group.filter(pa.array(keep)))
+                rows += kept[-1].num_rows
+            if rows > 2000:
+                yield from pa.concat_tables(kept).combine_chunks().to_batches()
+                kept, rows = [], 0
+        if kept:
+            yield from pa.concat_tables(kept).combine_chunks().to_batches()
+
+    return run
+
+
+def _join_components(fewest: int, percent: int):
+    """Rows with ``shingles`` by group, to links (a, b) that join its components: a spanning forest, on full sets."""
+
+    def links(group: pa.Table) -> list[tuple[int, int]]:
+        words, n, label, block = _columns(group)
+        across, node, found = group.column("x")[0] != group.column("y")[0], group.column("node").to_numpy(), []
+        lists = group.column("shingles").combine_chunks()
+        values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        roots = label.copy()
         for i in range(len(node)):
-            others = np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            others = others[block[others] != block[i]] if across else others
+            others = _partners(group, i, words, n, roots, block, across, fewest, percent)
             if not len(others):
                 continue
-            equal = equal_minima(words[others], words[i])
-            near = np.flatnonzero(equal >= fewest)
-            if partners and len(near) > partners:
-                near = near[np.argpartition(-equal[near], partners)[:partners]]
-            partner = node[others[near]]
-            found.append(np.stack([np.minimum(partner, node[i]), np.maximum(partner, node[i])]))
+            own = np.sort(values[at[i] : at[i + 1]])
+            lengths = at[others + 1] - at[others]
+            ends = np.cumsum(lengths)
+            theirs = values[np.arange(ends[-1]) + np.repeat(at[others] - ends + lengths, lengths)]
+            place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            common = np.add.reduceat((own[place] == theirs).astype(np.int64), ends - lengths)
+            linked = others[100 * common >= percent * (lengths + len(own) - common)]
+            for j in linked[np.argsort(linked)]:
+                if roots[i] != roots[j]:
+                    found.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                    roots[roots == roots[j]] = roots[i]
         return found
 
-    def emit(table: pa.Table) -> pa.RecordBatch:
-        key = np.stack([table.column(c).to_numpy() for c in ("key", "x", "y")])
-        cuts = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))), table.num_rows)
-        found = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for p in pairs(table.slice(a, b - a))]
-        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None and held.num_rows else table
-            key = np.stack([table.column(c).to_numpy() for c in ("key", "x", "y")])
-            last = int(np.flatnonzero((key == key[:, -1:]).all(axis=0))[0])  # the last group may go on
-            if last:
-                yield emit(table.slice(0, last))
-            held = table.slice(last)
-        if held is not None and held.num_rows:
-            yield emit(held)
+        for group in _groups(batches):
+            if found := links(group) if group.num_rows > 1 else []:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -242,16 +287,8 @@ class NearDuplicates:
         self.buckets = materialize(shared.join(sizes, "key"), "buckets")
         if self.buckets.isEmpty():
             return None
-        tested = self._hub_pairs()
-        links = self._confirm(tested)
-        for partners in (PARTNERS, None):
-            pairs = self._other_pairs(components(links), partners)
-            pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            if pairs.isEmpty():
-                continue
-            links = links.unionByName(self._confirm(pairs))
-            tested = tested.unionByName(pairs)
-        return links
+        links = self._confirm(self._hub_pairs())
+        return links.unionByName(self._joining_links(components(links)))
 
     def _hub_pairs(self) -> DataFrame:
         """Each member with its bucket's hub, if their signatures are alike."""
@@ -265,26 +302,36 @@ class NearDuplicates:
         fits = F.expr(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
         return materialize(pairs.where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(self.fewest), "a bigint, b bigint"), "pairs")
 
-    def _other_pairs(self, labels: DataFrame, partners: int | None) -> DataFrame:
-        """Pairs across components in buckets that hold several."""
+    def _joining_links(self, labels: DataFrame) -> DataFrame:
+        """Links across components in buckets that hold several."""
         members = self.buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        members = materialize(members, "members")
-        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m")).where("low != high").select("key", "m")
-        rows = members.join(mixed, "key").join(self.nodes.select("node", "n", "sig"), "node")
-        rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        members = materialize(members.join(self.nodes.select("node", "n"), "node"), "members")
+        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.col("n") + MEMBER).alias("size"))
+        mixed = mixed.where("low != high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        rows = members.join(mixed, "key").join(self.nodes.select("node", "sig"), "node")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "label", "n", "sig")
-        order = ["key", "x", "y"]
-        return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_meet(self.fewest, self.percent, partners), "a bigint, b bigint").distinct()
-
-    def _confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough, by whole numbers."""
-        wanted = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+        columns = [*_GROUP, "block", "node", "label", "n", "sig"]
+        rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), *columns[3:])
+        schema = "key bigint, x int, y int, block int, node bigint, label bigint, n bigint, sig binary"
+        active = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_active(self.fewest, self.percent), schema)
+        active = materialize(active, "active")
+        full = active.join(self._sets(active.select("node")), "node").select(*columns, "shingles")
+        found = full.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_join_components(self.fewest, self.percent), "a bigint, b bigint")
+        return materialize(found.distinct(), "joining")
+
+    def _sets(self, nodes: DataFrame) -> DataFrame:
+        """node, shingles: full sets, read again from the text of one document each."""
+        wanted = materialize(nodes.distinct(), "wanted")
         keys = wanted.join(self.nodes.select("node", "min_doc"), "node").select(F.xxhash64("min_doc").alias("h"))
         bits = filter_bits(wanted.count())
         near = in_filter(self.docs.withColumn("h", F.xxhash64("doc_id")), "h", bit_filter(keys, "h", bits), bits)
         sets = near.select("text").mapInArrow(_sets(self.width), "node bigint, shingles array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-        sets = materialize(sets, "sets")
+        return materialize(sets, "sets")
+
+    def _confirm(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose full sets are similar enough, by whole numbers."""
+        sets = self._sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
         both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
         common = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("bigint").alias("i"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("s"))
         return materialize(common.where(F.expr(f"100 * i >= {self.percent} * (s - i)")).select("a", "b"), "confirmed")
