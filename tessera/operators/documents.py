@@ -174,7 +174,8 @@ def classification_gate(docs: DataFrame) -> DataFrame:
     kind = lambda p: F.expr(f"schema_of_variant(variant_get(v, '{p}', 'variant'))")
     d = docs.withColumn("v", F.expr("try_parse_json(body)"))
     has = lambda k: F.expr(f"variant_get(v, '$.{k}', 'variant') is not null")
-    items = F.concat(*[F.transform(F.coalesce(v(f"$.{b}", "array<variant>"), F.array().cast("array<variant>")), lambda x, i, b=b: F.struct(F.lit(b).alias("bucket"), i.alias("i"), x.alias("item"))) for b in ("hits", "partials")])
+    labelled = lambda b: lambda x, i: F.struct(F.lit(b).alias("bucket"), i.alias("i"), x.alias("item"))
+    items = F.concat(*[F.transform(F.coalesce(v(f"$.{b}", "array<variant>"), F.array().cast("array<variant>")), labelled(b)) for b in ("hits", "partials")])
     d = d.withColumn("items", items)
     valid = F.array(*[F.lit(c) for c, *_ in CODES])
     get = lambda x, p, t="string": F.call_function("try_variant_get", x["item"], F.lit(f"$.{p}"), F.lit(t))

@@ -63,7 +63,7 @@ def dialect(logs: DataFrame) -> DataFrame:
 
 
 _EVENT = ["log_id", "seq", "kind", "name", "params", "result", "uid"]
-_NONE = F.lit(None).cast
+_NONE = lambda kind: F.lit(None).cast(kind)
 
 
 def last_by(rows: DataFrame, key: list[str], order: list[str], *values: str) -> DataFrame:
@@ -153,7 +153,7 @@ def codex_events(logs: DataFrame) -> DataFrame:
     params = F.when(F.col("kind") == "exec", F.to_json(F.struct(F.col("cmd").alias("command"), "cwd", F.col("status").alias("_status"), F.col("dur").alias("_dur")))).otherwise(F.to_json(F.struct("paths", F.col("status").alias("_status"))))
     tools = b.select("log_id", F.struct(F.col("idx").alias("line"), F.lit(0).alias("pos")).alias("seq"), F.lit("tool").alias("kind"), F.when(F.col("kind") == "exec", "exec").otherwise("apply_patch").alias("name"), params.alias("params"), F.col("output").alias("result"), F.format_string("c%04d", "idx").alias("uid"))
     heads, texts = (F.regexp_extract_all("body", F.lit(SUMMARY), k) for k in (1, 2))
-    said = logs.select("log_id", F.posexplode(F.zip_with(heads, texts, lambda h, t: F.concat(F.lit("**"), h, F.lit("**\n"), F.trim(t)))).alias("i", "result"))
+    said = logs.select("log_id", F.posexplode(F.zip_with(heads, texts, lambda h, t: F.concat(F.lit("**"), h, F.lit("**\n"), F.regexp_replace(t, r"^\s+|\s+$", "")))).alias("i", "result"))
     said = said.select("log_id", F.struct(F.col("i").alias("line"), F.lit(1).alias("pos")).alias("seq"), F.lit("text").alias("kind"), F.lit("").alias("name"), F.lit("{}").alias("params"), "result", _NONE("string").alias("uid"))
     return tools.unionByName(said)
 
@@ -174,9 +174,10 @@ def tool_events(logs: DataFrame) -> DataFrame:
 def timeline(events: DataFrame) -> DataFrame:
     """Dense index over a log's tool events, and one short line on each."""
     key = F.try_element_at(F.create_map(*[F.lit(x) for kv in SHOWN.items() for x in kv]), F.col("name"))
-    shown = F.call_function("try_variant_get", F.expr("try_parse_json(params)"), F.concat(F.lit("$."), F.lit("command")), F.lit("string"))
     picks = {k: get(F.expr("try_parse_json(params)"), f"$.{k}") for k in sorted({*SHOWN.values()})}
     shown = F.coalesce(*(F.when(key == k, v) for k, v in picks.items()), picks["command"])
+    paths = F.array_join(get(F.expr("try_parse_json(params)"), "$.paths", "array<string>"), ", ")
+    shown = F.when(F.col("name") == "apply_patch", F.when(F.coalesce(paths, F.lit("")) != "", paths).otherwise("(no path)")).otherwise(shown)
     text = F.when(F.coalesce(shown, F.lit("")) != "", shown).when(F.col("dialect") == "codex2", F.col("result")).otherwise(F.col("params"))
     over = Window.partitionBy("log_id").orderBy("seq")
     return events.where("kind = 'tool'").select("log_id", (F.row_number().over(over) - 1).alias("idx"), "name", one_line(text).alias("shown"))
@@ -203,7 +204,8 @@ def write_events(events: DataFrame) -> DataFrame:
     here = F.arrays_zip(F.regexp_extract_all("cmd", F.lit(HEREDOC), 1).alias("path"), F.regexp_extract_all("cmd", F.lit(HEREDOC), 3).alias("body"))
     shell = shell.withColumn("here", F.filter(here, lambda h: looks_like_path(h["path"])))
     inline = shell.select("log_id", "seq", F.posexplode("here").alias("n", "h")).select("log_id", "seq", "n", F.lit("W").alias("event"), F.col("h.path").alias("path"), F.col("h.body").alias("text"), F.lit("").alias("new"), F.lit(False).alias("everywhere"), F.lit("shell:heredoc").alias("channel"))
-    blind = F.flatten(F.array(*[F.transform(F.regexp_extract_all("cmd", F.lit(rx), 1), lambda x, c=c: F.struct(x.alias("path"), F.lit(f"shell:{c}").alias("channel"))) for c, rx in SHELL_WRITES]))
+    named = lambda c: lambda x: F.struct(x.alias("path"), F.lit(f"shell:{c}").alias("channel"))
+    blind = F.flatten(F.array(*[F.transform(F.regexp_extract_all("cmd", F.lit(rx), 1), named(c)) for c, rx in SHELL_WRITES]))
     blind = F.filter(blind, lambda b: looks_like_path(b["path"]) & ~F.array_contains(F.transform("here", lambda h: h["path"]), b["path"]))
     opaque = shell.select("log_id", "seq", F.posexplode(blind).alias("n", "b")).select("log_id", "seq", (F.col("n") + 1000).alias("n"), F.lit("S").alias("event"), F.col("b.path").alias("path"), F.lit("").alias("text"), F.lit("").alias("new"), F.lit(False).alias("everywhere"), F.col("b.channel").alias("channel"))
     out = full
