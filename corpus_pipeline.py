@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from tessera.llm.common import materialize
+from tessera.llm.common import bound_batches, materialize
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that language identification rejects go."""
+    bound_batches(spark)
     return language_id.drop_rejected(docs)
 
 
@@ -37,6 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: the pieces of all documents in sequences."""
     import public_tokenizers
 
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

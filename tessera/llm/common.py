@@ -40,9 +40,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Scratch tables' row groups, and rows of an Arrow batch while one is written: both bound a task's buffers.
+#: Scratch tables' row groups, and what an Arrow batch may hold: they bound a task's buffers.
 SCRATCH_LAYOUT = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
-BATCH_ROWS = "1000"
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Lower the session's Arrow batch sizes to BATCHES: whole texts may be long, and executors small."""
+    for name, most in BATCHES.items():
+        now = spark.conf.get(name).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+    return spark
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -50,13 +59,9 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
 
     Cuts the lineage; a lost executor costs no recomputation of what came before.
     """
-    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, was = scratch_path(spark, name), spark.conf.get(setting)
-    spark.conf.set(setting, BATCH_ROWS)
-    try:
-        df.write.options(**SCRATCH_LAYOUT | options).parquet(path)
-    finally:
-        spark.conf.set(setting, was)
+    spark = bound_batches(df.sparkSession)
+    path = scratch_path(spark, name)
+    df.write.options(**SCRATCH_LAYOUT | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -153,7 +158,7 @@ def in_filter(df: DataFrame, key: str, filter_table: DataFrame, bits: int, flag:
 # --------------------------------------------------------------------------
 
 #: Bytes of text that numpy works on at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True

@@ -176,7 +176,23 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def _keep(model: LanguageModel | None):
+    """Rows of one struct column that has a text, without those that the model rejects."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("row").field("text"), batch.column("_lettered")], ["row", "text", "_lettered"])
+            for cut in text_slices(rows, "text"):
+                keep = cut.column("_lettered").to_numpy(zero_copy_only=False).astype(bool)
+                if model and keep.any():
+                    keep &= model.predict(cut.column("text"))[1] >= model.reject
+                yield cut.select(["row"]).filter(pa.array(keep if model else np.zeros(len(keep), bool)))
+
+    return run
+
+
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns unchanged, whose language the model doesn't reject."""
-    rows = identify(docs.select(F.struct("*").alias("row"), "text"), learn(docs))
-    return rows.where("not rejected").select("row.*")
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.struct("*").alias("row"), lettered.alias("_lettered"))
+    return rows.mapInArrow(_keep(learn(docs)), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, language_id, mixing, near_dedup, packing, sharding, tokens, toxicity, transport
+from tessera.llm.common import bound_batches
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def _vocabulary(name: str) -> str:
