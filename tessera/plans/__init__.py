@@ -1,3 +1,3 @@
 """Registered plans; importing them fills the registry."""
 
-from tessera.plans import diagnosis, documents, scoring
+from tessera.plans import diagnosis, documents, scoring, trajectories
