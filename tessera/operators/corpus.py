@@ -121,21 +121,41 @@ def bucket(header: Column) -> Column:
     return F.coalesce(*(F.when(header.rlike(p), b) for b, p in BUCKETS), F.left(header, F.lit(40)))
 
 
+def headed(blocks: DataFrame) -> DataFrame:
+    """Rows (paper_id, pos, type, text, text_level) without dropped types, with ``header``: null for what isn't a heading.
+
+    Headings have level 1 or 2; parsers differ in which of them is the title.
+    """
+    kept = blocks.where(~F.coalesce(F.col("type").isin(*DROPPED_BLOCKS), F.lit(False)))
+    is_header = F.coalesce(F.col("text_level").isin(1, 2), F.lit(False)) & F.col("type").isin("header", "text")
+    return kept.withColumn("header", F.when(is_header, F.trim(F.coalesce("text", F.lit("")))))
+
+
+def paper_titles(blocks: DataFrame) -> DataFrame:
+    """The first substantive heading: over 12 characters and no note on citing."""
+    good = (F.length("header") > 12) & ~F.contains(F.lower("header"), F.lit("cite"))
+    d = headed(blocks).groupBy("paper_id").agg(F.min_by("header", F.when(good, F.col("pos"))).alias("title"))
+    return d.select("paper_id", F.coalesce("title", F.lit("(untitled)")).alias("title"))
+
+
 def paper_sections(blocks: DataFrame) -> DataFrame:
-    """Rows (paper_id, pos, type, text, text_level) to one text for each bucket; before any header it is _pre."""
-    kept = blocks.where(~F.coalesce(F.col("type").isin(*DROPPED_BLOCKS), F.lit(False)) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    header = F.when(F.coalesce(F.col("text_level") >= 1, F.lit(False)), bucket(F.trim("text")))
-    filled = kept.withColumn("header", header).withColumn("section", F.coalesce(F.last("header", ignorenulls=True).over(Window.partitionBy("paper_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), F.lit("_pre")))
-    texts = filled.where("header is null").groupBy("paper_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return texts
-
-
-def narrative(sections: DataFrame) -> DataFrame:
-    """the capped buckets in reading order; all other text where they give under 600 characters."""
-    d = sections.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "text"))).alias("m"))
-    part = lambda b, cap: F.when(F.trim(F.coalesce(F.try_element_at("m", F.lit(b)), F.lit(""))) != "", F.concat(F.lit(f"## {b.upper()}\n"), F.left(F.try_element_at("m", F.lit(b)), F.lit(cap))))
+    """One text for each bucket of a paper; what stands before any heading is _pre."""
+    order = Window.partitionBy("paper_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    filled = headed(blocks).withColumn("section", F.coalesce(F.last(bucket(F.col("header")), ignorenulls=True).over(order), F.lit("_pre")))
+    text = F.trim(F.coalesce("text", F.lit("")))
+    rows = filled.where(F.col("header").isNull() & F.col("type").isin("text", "list", "equation")).withColumn("text", text).where("text != ''")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    return rows.groupBy("paper_id", "section").agg(F.min("pos").alias("first"), F.array_join(texts, " ").alias("text"))
+
+
+def narrative(sections: DataFrame, titles: DataFrame) -> DataFrame:
+    """the capped buckets in reading order; all text outside the title's own section where they give under 600 characters."""
+    d = sections.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("first", "section", "text"))).alias("parts")).join(titles, "paper_id", "left")
+    d = d.withColumn("m", F.map_from_entries(F.transform("parts", lambda p: F.struct(p["section"].alias("k"), p["text"].alias("v")))))
+    part = lambda b, cap: F.concat(F.lit(f"## {b.upper()}\n"), F.left(F.try_element_at("m", F.lit(b)), F.lit(cap)))
     told = F.concat_ws("\n\n", *(part(b, cap) for b, cap in CAPS))
-    rest = F.array_join(F.transform(F.filter(F.array_sort(F.map_entries("m")), lambda e: (e["key"] != "_pre") & (F.trim(e["value"]) != "")), lambda e: e["value"]), " ")
+    own = F.left("title", F.lit(40))
+    rest = F.array_join(F.transform(F.filter("parts", lambda p: (p["section"] != "_pre") & (p["section"] != own)), lambda p: p["text"]), " ")
     return d.select("paper_id", F.when((F.length(told) < 600) & (F.length(rest) > F.length(told)), F.concat(F.lit("## BODY\n"), F.left(rest, F.lit(16000)))).otherwise(told).alias("narrative"))
 
 

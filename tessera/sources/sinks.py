@@ -1,0 +1,74 @@
+"""Sinks: tables of any size through Spark's writers, reports of the taxonomy's size as text.
+
+A report's frame has at most a row a code, stage or model, so it may be collected;
+nothing else is.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions.scalars import file_slug, latex_escape
+from tessera.operators.trajectories import spaced_json
+
+
+def one_decimal(value: float) -> str:
+    """A rate as reports print it."""
+    return f"{value:.1f}"
+
+
+def to_csv(df: DataFrame, path: str) -> None:
+    """K1, K6, K7: a table with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def to_json_lines(df: DataFrame, path: str, *by: str) -> None:
+    """One object a line, in folders by columns if given."""
+    df.write.mode("overwrite").partitionBy(*by).json(path)
+
+
+def grid_json(labels: DataFrame, records: DataFrame) -> DataFrame:
+    """K2: one JSON row a record: [model, task, {code: score}] with nonzero scores alone."""
+    scores = labels.where("score > 0").groupBy("model", "task").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "score")))).alias("scores"))
+    rows = records.select("model", "task").join(scores, ["model", "task"], "left")
+    pairs = F.array_join(F.transform(F.map_entries("scores"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"].cast("string"))), ", ")
+    inner = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    return rows.select("model", "task", F.concat(F.lit("["), inner("model"), F.lit(", "), inner("task"), F.lit(", {"), F.coalesce(pairs, F.lit("")), F.lit("}]")).alias("row"))
+
+
+def markdown(df: DataFrame, most: int = 2000) -> str:
+    """A small frame as a table, floats with one decimal."""
+    rows = df.limit(most).collect()
+    cell = lambda v: "" if v is None else one_decimal(v) if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def latex(df: DataFrame, caption: str, most: int = 2000) -> str:
+    """K8: a small frame as a tabular with escaped texts."""
+    texts = [c for c, t in df.dtypes if t == "string"]
+    rows = df.withColumns({c: latex_escape(F.col(c)) for c in texts}).limit(most).collect()
+    cell = lambda v: "" if v is None else one_decimal(v) if isinstance(v, float) else str(v)
+    body = [" & ".join(cell(v) for v in r) + r" \\" for r in rows]
+    head = " & ".join(c.replace("_", r"\_") for c in df.columns) + r" \\"
+    return "\n".join([r"\begin{table}", rf"\caption{{{caption}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", head, r"\hline", *body, r"\end{tabular}", r"\end{table}"]) + "\n"
+
+
+def sft_lines(messages: DataFrame, admissible: Column) -> DataFrame:
+    """A JSON line of messages and loss mask for each admissible trajectory."""
+    return messages.where(F.coalesce(admissible, F.lit(False))).select(F.to_json(F.struct("messages", "loss_mask")).alias("value"))
+
+
+def task_files(tasks: DataFrame) -> DataFrame:
+    """(folder, name, content) of the files of each task; the writer below puts them in place."""
+    folder = file_slug(F.col("task_id"))
+    rubric = spaced_json(F.create_map(F.lit("task_id"), "task_id", F.lit("handle"), F.coalesce("handle", F.lit("")), F.lit("objective"), F.coalesce("objective", F.lit(""))))
+    toml = F.concat(F.lit('version = "1.0"\n\n[metadata]\ntask_id = '), F.to_json(F.array("task_id")).substr(F.lit(2), F.length(F.to_json(F.array("task_id"))) - 2), F.lit("\n"))
+    files = F.array(*[F.struct(F.lit(n).alias("name"), c.alias("content")) for n, c in (("task.toml", toml), ("instruction.md", F.coalesce("instruction", F.lit(""))), ("rubric.json", rubric))])
+    return tasks.select(folder.alias("folder"), F.explode(files).alias("f")).select("folder", "f.*")
+
+
+def write_task_files(files: DataFrame, path: str) -> None:
+    """One text file a row, as path/folder=<task>/name=<file>/, by Spark's own writer."""
+    files.withColumnRenamed("content", "value").write.mode("overwrite").partitionBy("folder", "name").text(path)
