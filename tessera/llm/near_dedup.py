@@ -42,7 +42,7 @@ BANDS, ROWS, BITS = 42, 6, 4
 MINIMA = 256
 SIGNATURE = MINIMA * BITS // 8
 #: Shingles of a block of a bucket, of which each member counts MEMBER more: it bounds rows and bytes.
-BLOCK, MEMBER = 1 << 20, 256
+BLOCK, MEMBER = 1 << 19, 256
 
 _random = np.random.default_rng(20)
 _FLIPS = _random.integers(0, 2**32, MINIMA, dtype=np.uint32)[:, None]
