@@ -42,5 +42,45 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(c.taken, 0) AS taken,
 FROM queued q LEFT JOIN cut c USING (doc_id)"""
 
 
+# The checksum and the jump sequence are folds over lists; arithmetic modulo 2**64 is done in HUGEINT.
+SHARDING = r"""
+WITH RECURSIVE bits(byte, r, k) AS (
+  SELECT CAST(range AS BIGINT), CAST(range AS BIGINT), 0 FROM range(256)
+  UNION ALL SELECT byte, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(r ORDER BY byte) AS t FROM bits WHERE k = 8),
+raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS (
+  SELECT doc_id, len(h) // 2 + 8 AS size, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(0, len(h) // 2), lambda i: CAST((instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1 AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS crc
+  FROM raw, crc),
+jump AS (
+  SELECT doc_id, size, crc, list_reduce([{'k': CAST(CASE WHEN doc_id < 0 THEN doc_id + 18446744073709551616::HUGEINT ELSE doc_id END AS HUGEINT), 'was': -1::BIGINT, 'b': -1::BIGINT, 'j': 0::BIGINT}] || list_transform(range(25), lambda i: {'k': 0::HUGEINT, 'was': 0::BIGINT, 'b': 0::BIGINT, 'j': 0::BIGINT}),
+    lambda s, x: CASE WHEN s.j > 24 THEN s ELSE {'k': (s.k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT, 'was': s.b, 'b': s.j,
+      'j': CAST(floor((s.j + 1) * (2147483648::DOUBLE / CAST(((s.k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT) // 8589934592 + 1 AS DOUBLE))) AS BIGINT)} END) AS s
+  FROM sums),
+placed AS (SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, CAST(CASE WHEN s.b < 24 THEN s.b ELSE s.was END AS INTEGER) AS shard, CAST(s.b AS INTEGER) AS grown_shard FROM jump)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM placed"""
+
+# Brute force: all pairs of sets with a common shingle, and reachability over their links.
+NEAR_DEDUP = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) WHEN len(w) = 1 THEN w ELSE [] END AS s FROM words),
+sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
+nodes AS (SELECT min(doc_id) AS node, n, list_sort(s) AS s FROM sized WHERE n > 0 GROUP BY n, list_sort(s)),
+members AS (SELECT z.doc_id, z.n, o.node FROM sized z LEFT JOIN nodes o ON o.n = z.n AND o.s = list_sort(z.s)),
+shingles AS (SELECT node, n, unnest(s) AS g FROM nodes),
+common AS (SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS i FROM shingles a JOIN shingles b ON a.g = b.g AND a.node < b.node AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY 1, 2, 3, 4),
+links AS (SELECT a, b FROM common WHERE 100 * i >= 80 * (na + nb - i)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, other) AS (SELECT node, node FROM nodes UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
+least_node AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)
+SELECT m.doc_id, CAST(m.n AS BIGINT) AS n_shingles, coalesce(l.component, m.doc_id) AS component_id, m.doc_id = coalesce(l.component, m.doc_id) AS kept
+FROM members m LEFT JOIN least_node l ON l.node = m.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_DEDUP, "op10_mixing": MIXING}
+    """By query; the tokenizer, the learned models and the media format have none."""
+    return {"op2_sharding": SHARDING, "op3_exact_dedup": EXACT_DEDUP, "op8_near_dedup": NEAR_DEDUP, "op10_mixing": MIXING}
