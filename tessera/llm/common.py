@@ -54,14 +54,16 @@ def bound_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compact: bool = False, **options: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage; a lost executor costs no recomputation of what came before.
+    ``compact`` is for narrow results of wide stages: they are dealt out anew by size,
+    so that many tasks don't leave a tiny file each.
     """
     spark = bound_batches(df.sparkSession)
     path = scratch_path(spark, name)
-    df.write.options(**SCRATCH_LAYOUT | options).parquet(path)
+    (df.hint("rebalance") if compact else df).write.options(**SCRATCH_LAYOUT | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -300,9 +302,9 @@ def drop_documents(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> D
 
     Only rows that a bit filter lets through are shuffled; the others pass as they are.
     """
-    ids = materialize(ids.toDF("__id").distinct(), "dropped")
+    ids = materialize(ids.toDF("__id").distinct(), "dropped", compact=True)
     bits = filter_bits(ids.count())
-    table = materialize(bit_filter(ids.select(F.xxhash64("__id").alias("h")), "h", bits), "filter")
+    table = materialize(bit_filter(ids.select(F.xxhash64("__id").alias("h")), "h", bits), "filter", compact=True)
     flagged = in_filter(docs.withColumn("__h", F.xxhash64(doc_id)), "__h", table, bits, flag="__maybe").drop("__h")
     checked = flagged.where("__maybe").join(ids, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
     return flagged.where("not __maybe").unionByName(checked).drop("__maybe")

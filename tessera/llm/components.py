@@ -29,10 +29,10 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     links = pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     digest = lambda t: t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).head()
-    links = materialize(links, "links")
+    links = materialize(links, "links", compact=True)
     was = digest(links)
     while was[0]:
-        links = materialize(_stars(links), "links")
+        links = materialize(_stars(links), "links", compact=True)
         now = digest(links)
         if now == was:
             break

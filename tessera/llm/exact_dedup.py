@@ -135,10 +135,10 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(docs.select("doc_id", F.xxhash64(text).alias("fp"), F.sha2(text, 256).alias("text_sha256")), "fingerprints")
     n = rows.count()
     maps, bits = duplicate_bitmap(rows, "fp", n)
-    maps = materialize(maps, "bitmaps")
+    maps = materialize(maps, "bitmaps", compact=True)
     suspects = in_filter(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("fp")), "fp", maps, bits)
     classes = suspects.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    classes = materialize(classes.select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "classes")
+    classes = materialize(classes.select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "classes", compact=True)
     flagged = in_filter(rows, "fp", maps, bits, flag="suspect").drop("fp")
     joined = join_classes(flagged.where("suspect").drop("suspect"), classes, "text_sha256", "group_size", n)
     alone = flagged.where("not suspect").select("text_sha256", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))

@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
     """One row per document: its size, its source's size and target, the words taken, and copies begun."""
     sized = materialize(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
-    targets = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
+    targets = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets", compact=True)
     renamed = targets.withColumnRenamed("source", "_source")
     rows = sized.join(renamed, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("_shuffle", F.md5(F.concat(F.lit("mix/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
@@ -76,7 +76,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     Rows that share a doc_id are each repeated as often as the most used of them.
     """
     used = take_mix(docs, weights, most).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    used = materialize(used.withColumnRenamed("doc_id", "__id"), "used")
+    used = materialize(used.withColumnRenamed("doc_id", "__id"), "used", compact=True)
     # Hashed on the narrow side, so that whole texts are shuffled once and never sorted.
     rows = docs.join(used.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies", "__id")

@@ -119,25 +119,33 @@ def fewest_equal(threshold: float) -> int:
 
 def _sketch(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
         for batch in (s for b in batches for s in text_slices(b, "text")):
             sets = shingle_sets(*text_bytes(batch.column("text")), width)
             least = [minima(s) for s in sets]
             keys = np.concatenate([band_keys(x) for x in least]) if least else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([set_hash(s, 1) for s in sets], pa.int64()), pa.array([set_hash(s, 2) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(x) for x in least], pa.binary()), pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(keys))],
-                ["doc_id", "node", "check", "n", "sig", "bands"],
+                [pa.array(np.arange(row, row + len(sets))), batch.column("doc_id"), pa.array([set_hash(s, 1) for s in sets], pa.int64()), pa.array([set_hash(s, 2) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(x) for x in least], pa.binary()), pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(keys))],
+                ["row", "doc_id", "node", "check", "n", "sig", "bands"],
             )
+            row += len(sets)
 
     return run
 
 
 def _sets(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
         for batch in (s for b in batches for s in text_slices(b, "text")):
             sets = shingle_sets(*text_bytes(batch.column("text")), width)
             ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s, 1) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(values))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(sets))), batch.column("doc_id"), pa.array([set_hash(s, 1) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(values))], ["row", "doc_id", "node", "shingles"])
+            row += len(sets)
 
     return run
 
@@ -258,20 +266,21 @@ class NearDuplicates:
 
     def run(self) -> DataFrame:
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        sketches = materialize(self.docs.mapInArrow(_sketch(self.width), f"doc_id {kind}, node bigint, check bigint, n bigint, sig binary, bands array<bigint>"), "sketches")
-        nodes = sketches.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("min_doc"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "sig", "bands")))
-        self.nodes = materialize(nodes, "nodes")
+        sketches = materialize(self.docs.mapInArrow(_sketch(self.width), f"row bigint, doc_id {kind}, node bigint, check bigint, n bigint, sig binary, bands array<bigint>"), "sketches")
+        # One row stands for its set: found by hashed aggregates of numbers, so that signatures are shuffled once and not sorted.
+        nodes = sketches.where("n > 0").groupBy("node", "check").agg(F.min("row").alias("row"), F.min("doc_id").alias("min_doc"), F.count(F.lit(1)).alias("copies"))
+        self.nodes = materialize(sketches.select("row", "n", "sig", "bands").join(nodes.hint("shuffle_hash"), "row").drop("row", "check"), "nodes")
         links = self._links()
         labels = components(links) if links is not None else None
         classes = self.nodes.select("node", "min_doc", "copies")
         if labels is None:
             classes = classes.withColumn("component_id", F.col("min_doc"))
         else:
-            labelled = materialize(classes.join(labels, "node"), "labelled")
+            labelled = materialize(classes.join(labels, "node"), "labelled", compact=True)
             least = labelled.groupBy("label").agg(F.min("min_doc").alias("component_id"))
             found = labelled.join(least, "label").select("node", "component_id")
             classes = classes.join(found, "node", "left").withColumn("component_id", F.coalesce("component_id", "min_doc"))
-        classes = materialize(classes.select("node", "copies", "component_id"), "classes")
+        classes = materialize(classes.select("node", "copies", "component_id"), "classes", compact=True)
         rows = sketches.select("doc_id", "node", F.col("n").alias("n_shingles"))
         total = sketches.count()
         joined = join_classes(rows.where("n_shingles > 0"), classes, "node", "copies", total).select("doc_id", "n_shingles", "component_id")
@@ -282,9 +291,9 @@ class NearDuplicates:
         """Confirmed links (a, b) between nodes that span every component."""
         banded = self.nodes.select("node", F.explode("bands").alias("key"))
         maps, bits = duplicate_bitmap(banded, "key", max(1, self.nodes.count() * BANDS))
-        shared = in_filter(banded, "key", materialize(maps, "shared"), bits)
+        shared = in_filter(banded, "key", materialize(maps, "shared", compact=True), bits)
         sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        self.buckets = materialize(shared.join(sizes, "key"), "buckets")
+        self.buckets = materialize(shared.join(sizes, "key"), "buckets", compact=True)
         if self.buckets.isEmpty():
             return None
         links = self._confirm(self._hub_pairs())
@@ -300,12 +309,12 @@ class NearDuplicates:
         for side in "ab":
             pairs = pairs.join(sigs.toDF(side, f"sig_{side}", f"n_{side}"), side)
         fits = F.expr(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
-        return materialize(pairs.where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(self.fewest), "a bigint, b bigint"), "pairs")
+        return materialize(pairs.where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(self.fewest), "a bigint, b bigint"), "pairs", compact=True)
 
     def _joining_links(self, labels: DataFrame) -> DataFrame:
         """Links across components in buckets that hold several."""
         members = self.buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        members = materialize(members.join(self.nodes.select("node", "n"), "node"), "members")
+        members = materialize(members.join(self.nodes.select("node", "n"), "node"), "members", compact=True)
         mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.col("n") + MEMBER).alias("size"))
         mixed = mixed.where("low != high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
         rows = members.join(mixed, "key").join(self.nodes.select("node", "sig"), "node")
@@ -315,26 +324,34 @@ class NearDuplicates:
         rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), *columns[3:])
         schema = "key bigint, x int, y int, block int, node bigint, label bigint, n bigint, sig binary"
         active = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_active(self.fewest, self.percent), schema)
-        active = materialize(active, "active")
+        active = materialize(active, "active", compact=True)
         full = active.join(self._sets(active.select("node")), "node").select(*columns, "shingles")
         found = full.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_join_components(self.fewest, self.percent), "a bigint, b bigint")
-        return materialize(found.distinct(), "joining")
+        return materialize(found.distinct(), "joining", compact=True)
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
         """node, shingles: full sets, read again from the text of one document each."""
-        wanted = materialize(nodes.distinct(), "wanted")
-        keys = wanted.join(self.nodes.select("node", "min_doc"), "node").select(F.xxhash64("min_doc").alias("h"))
+        wanted = nodes.distinct().join(self.nodes.select("node", F.col("min_doc").alias("doc_id")), "node")
+        wanted = materialize(wanted, "wanted", compact=True)
         bits = filter_bits(wanted.count())
+        keys = wanted.select(F.xxhash64("doc_id").alias("h"))
         near = in_filter(self.docs.withColumn("h", F.xxhash64("doc_id")), "h", bit_filter(keys, "h", bits), bits)
-        sets = near.select("text").mapInArrow(_sets(self.width), "node bigint, shingles array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-        return materialize(sets, "sets")
+        kind = self.docs.schema["doc_id"].dataType.simpleString()
+        sets = near.select("doc_id", "text").mapInArrow(_sets(self.width), f"row bigint, doc_id {kind}, node bigint, shingles array<bigint>")
+        wanted = wanted.withColumnsRenamed({"node": "_node", "doc_id": "_doc"}).hint("shuffle_hash")
+        sets = sets.join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").drop("doc_id")
+        sets = materialize(sets, "sets")
+        if sets.count() > sets.select("node").distinct().count():  # whole rows are repeated
+            first = sets.groupBy("node").agg(F.min("row").alias("row")).select("row").hint("shuffle_hash")
+            sets = materialize(sets.join(first, "row", "left_semi"), "sets")
+        return sets.drop("row")
 
     def _confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough, by whole numbers."""
         sets = self._sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
         both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
         common = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("bigint").alias("i"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("s"))
-        return materialize(common.where(F.expr(f"100 * i >= {self.percent} * (s - i)")).select("a", "b"), "confirmed")
+        return materialize(common.where(F.expr(f"100 * i >= {self.percent} * (s - i)")).select("a", "b"), "confirmed", compact=True)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
