@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, language_id, mixing, near_dedup, packing, sharding, tokens, toxicity, transport
+from tessera.llm import exact_dedup, language_id, mixing, near_dedup, packing, passages, sharding, tokens, toxicity, transport
 from tessera.llm.common import bound_batches
 
 
@@ -52,9 +52,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), width=2, percent=80)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.take_mix(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_sharding, op3_exact_dedup, op4_language_id, op5_packing, op6_toxicity, op7_media_columns, op8_near_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_output, op2_sharding, op3_exact_dedup, op4_language_id, op5_packing, op6_toxicity, op7_media_columns, op8_near_dedup, op9_substring_dedup, op10_mixing)}
