@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import methods as M
 from tessera.functions import scalars as C
 from tessera.operators import documents as D
 from tessera.operators import scoring as R
@@ -194,3 +195,40 @@ _PATHS = [(i, p) for i, p in enumerate(["src/a.py", "0.99", "notes.md", "r=%.3f"
     AND (contains(p, '/') OR regexp_matches(p, '(?i)\.(py|json|jsonl|md|txt|csv|tsv|npy|npz|log|sh|ya?ml|toml|png|pdf|h5|hdf5|pkl|parquet|ipynb|c|cpp|f90|R)$')) AS path FROM v""")
 def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_PATHS, "id int, p string").select("id", C.looks_like_path(F.col("p")).alias("path"))
+
+
+_SITES = [(i, s, r) for i, (s, r) in enumerate([("Atop", "ontop"), ("fcc hollow", "FCC"), (None, "ontop"), (" hcp ", "bridge"), ("3-fold", "fcc")])]
+
+
+@query("F13_F17_sites", f"""WITH {_literal('v', 'id, site, ref', _SITES)} SELECT id, s AS site, lower(trim(s)) = lower(trim(ref)) AS agrees FROM (SELECT id, ref, CASE lower(trim(coalesce(site, 'ontop'))) WHEN 'atop' THEN 'ontop' WHEN 'on-top' THEN 'ontop' WHEN 'top' THEN 'ontop' WHEN 'on top' THEN 'ontop'
+    WHEN 'hollow' THEN 'fcc' WHEN 'fcc-hollow' THEN 'fcc' WHEN 'fcc hollow' THEN 'fcc' WHEN 'hcp-hollow' THEN 'hcp' WHEN 'hcp hollow' THEN 'hcp' WHEN '3-fold' THEN 'fcc' ELSE lower(trim(coalesce(site, 'ontop'))) END AS s FROM v)""")
+def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_SITES, "id int, site string, ref string").select("id", M.site(F.col("site")).alias("site"), "ref")
+    return rows.select("id", "site", M.agrees(F.col("site"), F.col("ref"), F.lit("site"))["agrees"].alias("agrees"))
+
+
+@query("F26_method_clamps", """SELECT l_orderkey, l_linenumber, w AS ecutwfc, greatest(least(rho, 12 * w), 8 * w) AS ecutrho, least(greatest(k, 1), 16) AS k, (w <> wfc)::INT + (greatest(least(rho, 12 * w), 8 * w) <> rho)::INT + (least(greatest(k, 1), 16) <> k)::INT AS notes
+    FROM (SELECT *, CASE WHEN wfc < 30 THEN 30.0::DOUBLE WHEN wfc > 90 THEN 90.0::DOUBLE ELSE wfc END AS w FROM (SELECT l_orderkey, l_linenumber, l_quantity * 3 AS wfc, l_quantity * 25 AS rho, l_partkey % 20 AS k FROM lineitem))""")
+def f26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("l_partkey") % 20).cast("int")
+    m = M.clamped_method(F.col("l_quantity") * 3, F.col("l_quantity") * 25, F.lit("none"), F.lit(0.01), F.array(k))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", m.alias("m"))
+    return rows.select("l_orderkey", "l_linenumber", "m.ecutwfc", "m.ecutrho", F.col("m.kpts")[0].alias("k"), F.size("m.notes").alias("notes"))
+
+
+_ECHOES = [(0, "compare_reference: it fits", "compare_reference"), (1, "**draw conclusion** - so it is", "draw_conclusion"), (2, "no label here", "run_calculation"), (3, None, "run_calculation")]
+
+
+@query("F24_move_labels", rf"""WITH {_literal('v', 'id, text, move', _ECHOES)} SELECT id, trim(regexp_replace(coalesce(text, ''), '(?i)^\s*\**\s*(compare[_\s]reference|draw[_\s]conclusion|run[_\s]calculation)\s*\**\s*[:\-–]?\s*', '')) AS text FROM v""")
+def f24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_ECHOES, "id int, text string, move string").select("id", M.without_move_label(F.col("text"), F.col("move")).alias("text"))
+
+
+@query("F41_F42_P23_handles", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'coverage_shift,band_gap' ELSE 'band_gap,coverage_shift' END AS observables, 'coverage_shift' AS handle, 'Given that ' || o_orderstatus || ' resolve: ' || o_orderpriority AS asked FROM orders""")
+def f41(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two claims of which one can be computed: every second order's second."""
+    even = F.col("o_orderkey") % 2 == 0
+    claim = lambda o, h, c: F.struct(F.lit(o).alias("observable"), F.lit(h).alias("recompute_handle"), c.alias("computable"))
+    claims = F.array(claim("band_gap", "", F.when(even, "no").otherwise("yes")), claim("", "coverage_shift", F.when(even, "yes").otherwise("no")), claim("none", "", F.lit("yes")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", M.observables(claims).alias("o"), M.task_query(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("asked"))
+    return rows.select("o_orderkey", F.array_join("o", ",").alias("observables"), M.picked_handle(F.col("o")).alias("handle"), "asked")

@@ -90,3 +90,14 @@ def test_contained_passages_without_common_words(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "zz c d e f g h i"), (3, None), (4, "short")], "doc_id bigint, text string")
     items = spark.createDataFrame([(10, "c d e f g h"), (11, "short"), (12, "b c d e f x y"), (13, None), (14, " ")], "item_id bigint, text string")
     assert sorted(map(tuple, D.contained(docs, items).collect())) == [(1, 10), (2, 10), (4, 11)]
+
+
+def test_method_cards_and_views(spark):
+    from tessera.functions import methods as M
+
+    rows = spark.createDataFrame([({"Fe": 4.0}, {"goal": "g", "zzz": "no", "method": "m"}), ({"Xx": 1.0}, {}), ({}, {"tension": ""})], "u map<string,double>, c map<string,string>")
+    got = rows.select(M.hubbard_cards(F.col("u")).alias("h"), M.context_view(F.col("c")).alias("v")).collect()
+    assert list(got[0].h.cards) == ["HUBBARD (ortho-atomic)", "U Fe-3d 4.0"] and got[0].v == "- goal: g\n- method: m"
+    assert got[1].h.cards is None and "Xx" in got[1].h.error and got[1].v == "(no prior context)" and list(got[2].h.cards) == []
+    counts = spark.sql("select parse_json('[3, 7]') a, parse_json('5') b").select(M.scf_iterations(F.col("a")).alias("a"), M.scf_iterations(F.col("b")).alias("b")).head()
+    assert (counts.a, counts.b) == (7, 5)
