@@ -1,3 +1,3 @@
 """Registered plans; importing them fills the registry."""
 
-from tessera.plans import corpus, diagnosis, documents, scoring, trajectories
+from tessera.plans import corpus, diagnosis, documents, literals, scoring, trajectories

@@ -1,0 +1,77 @@
+"""Queries over literal logs and analyses, whose grammars no driver table has.
+
+SQL can't express the parsers; tests hold them against results worked out by hand.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.operators import documents as D
+from tessera.operators import logs as L
+from tessera.registry import query
+
+_USE = {"type": "assistant", "message": {"content": [{"type": "text", "text": "look"}, {"type": "tool_use", "id": "a", "name": "Bash", "input": {"command": "ls"}}, {"type": "tool_use", "id": "b", "name": "Write", "input": {"file_path": "x.py", "content": "one two"}}, {"type": "tool_use", "id": "c", "name": "Edit", "input": {"file_path": "x.py", "old_string": "two", "new_string": "2"}}, {"type": "tool_use", "id": "d", "name": "WebSearch", "input": {"query": "q"}}]}}
+_RESULT = {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "a", "content": [{"text": "p"}, {"text": "q"}]}]}}
+_DIFF = "diff --git a/f.py b/f.py\n--- /dev/null\n+++ b/f.py\n@@ -0,0 +1,2 @@\n+a\n+b"
+LOGS = [
+    ("claude", "\n".join(map(json.dumps, (_USE, _RESULT)))),
+    ("gemini", "text\n----- RAW stream-json -----\n" + "\n".join(map(json.dumps, ({"type": "message", "role": "assistant", "content": "ab"}, {"type": "tool_use", "tool_id": "1", "tool_name": "web_fetch", "parameters": {"prompt": "https://e.org/x"}}, {"type": "tool_result", "tool_id": "1", "output": "page"})))),
+    ("prose", 'Tool call: run_shell_command {"command": "ls"}\nTool result (run): out\n'),
+    ("codex", f"OpenAI Codex v1\nexec\nbash -lc 'echo 1 > out.log' in /w\n succeeded in 5ms:\nok\napply patch\npatch: completed\nf.py\n{_DIFF}"),
+    ("codex2", "\n".join(map(json.dumps, ({"type": "thread.started", "thread_id": "t"}, {"type": "item.completed", "item": {"id": "i", "type": "command_execution", "command": "curl http://a.b", "aggregated_output": "x"}}, {"type": "item.completed", "item": {"id": "j", "type": "agent_message", "text": "done"}})))),
+]
+_GOOD = {"task_id": "t", "overall_severity": "high", "summary": "s", "hits": [{"code": "A.1", "confidence": 0.5, "evidence": "Section C, issue 8 is bad"}], "partials": []}
+CLASSIFICATIONS = [("good", json.dumps(_GOOD)), ("broken", "{x"), ("quiet", json.dumps(_GOOD | {"hits": []})), ("wrong", json.dumps(_GOOD | {"hits": [{"code": "Z.9"}], "partials": {}}))]
+ANALYSES = [("thin", "## Core Verdict\nIt fails.\n## A. Ideation & Planning\n1. first `abc` 12 [stage: A | root cause: depth]\n", "timeout", None, None), ("none", "", None, "q", "a")]
+
+
+def events(spark: SparkSession) -> DataFrame:
+    return L.tool_events(spark.createDataFrame(LOGS, "log_id string, body string"))
+
+
+@query("L_P1_J4_J5_tool_events")
+def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark).select("log_id", "seq.line", "seq.pos", "kind", "name", "params", "result", "uid", "dialect")
+
+
+@query("W1_F31_F32_timelines")
+def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.timeline(events(spark))
+
+
+@query("L_P2_W3_texts")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.assistant_text(events(spark))
+
+
+@query("L_P3_W15_written_paths")
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.written_paths(L.write_events(events(spark))).drop("first")
+
+
+@query("L_P4_F28_F29_searches")
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.search_returns(events(spark)).drop("seq")
+
+
+@query("L_P7_W7_edited_files")
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.edited_files(L.write_events(events(spark)))
+
+
+@query("L_P6_UD1_patched_files")
+def patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.patched_files(L.write_events(events(spark).where("dialect = 'codex'")))
+
+
+@query("T2_classification_gate")
+def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.classification_gate(spark.createDataFrame(CLASSIFICATIONS, "path string, body string"))
+
+
+@query("T1_document_gate")
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.document_gate(spark.createDataFrame(ANALYSES, "path string, body string, reason string, quotable string, artifact string"))
