@@ -120,7 +120,7 @@ def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).groupBy("label", "priority").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A19_A21_distribution", "SELECT coalesce(nullif(event_type, 'view'), '(none)') AS move, count(*) AS n, count(DISTINCT user_id) AS papers, row_number() OVER (ORDER BY count(*) DESC, 1) AS place FROM (SELECT coalesce(nullif(event_type, 'view'), '(none)') AS event_type, user_id FROM events) GROUP BY 1")
+@query("A19_A21_distribution", "SELECT coalesce(nullif(event_type, 'view'), '(none)') AS move, count(*) AS n, count(DISTINCT user_id) AS papers, row_number() OVER (ORDER BY count(*) DESC, 1) AS place FROM (SELECT coalesce(nullif(event_type, 'view'), '(none)') AS event_type, user_id FROM events) GROUP BY 1", longs=("place",))
 def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
     move = F.coalesce(F.nullif("event_type", F.lit("view")), F.lit("(none)"))
     rows = table(spark, sf_dir, "events").groupBy(move.alias("move")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("papers"))

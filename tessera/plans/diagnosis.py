@@ -79,7 +79,7 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hit_rates(*_inputs(spark, sf_dir))
 
 
-@query("W10_ranked_codes", f"{_BASE} SELECT *, row_number() OVER (ORDER BY hits DESC, code) AS rank FROM ({_TOTALS})")
+@query("W10_ranked_codes", f"{_BASE} SELECT *, row_number() OVER (ORDER BY hits DESC, code) AS rank FROM ({_TOTALS})", longs=("rank",))
 def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _, dim = _inputs(spark, sf_dir)
     return S.ranked(S.totals_by_code(found, dim))
@@ -155,7 +155,7 @@ def a10_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.agreement(found, recs)
 
 
-@query("O4_tasks_by_universal", f"SELECT task, universal, row_number() OVER (ORDER BY universal DESC, task) AS place FROM ({_agreement_sql(_DENSE)}) ORDER BY place LIMIT 20")
+@query("O4_tasks_by_universal", f"SELECT task, universal, row_number() OVER (ORDER BY universal DESC, task) AS place FROM ({_agreement_sql(_DENSE)}) ORDER BY place LIMIT 20", longs=("place",))
 def o4(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = a10(spark, sf_dir).orderBy(F.desc("universal"), "task").limit(20)
     from pyspark.sql import Window
@@ -268,7 +268,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("flagship_pattern_matrix", f"""{_BASE}, t AS (SELECT *, row_number() OVER (ORDER BY hits DESC, code) AS rank FROM ({_TOTALS})), n AS (SELECT greatest(count(*), 1) AS analyses FROM records)
-    SELECT t.*, n.analyses, 100.0::DOUBLE * t.hits / n.analyses AS hit_pct, {", ".join(f"(SELECT count(*) FROM labels l WHERE l.code = t.code AND l.score = 2 AND l.model = 'm{k}') AS m{k}" for k in range(8))} FROM t, n""")
+    SELECT t.*, n.analyses, 100.0::DOUBLE * t.hits / n.analyses AS hit_pct, {", ".join(f"(SELECT count(*) FROM labels l WHERE l.code = t.code AND l.score = 2 AND l.model = 'm{k}') AS m{k}" for k in range(8))} FROM t, n""", longs=("rank",))
 def flagship_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
 

@@ -24,7 +24,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("T1_1_totals", r"""SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[.!?]')) AS issues, length(text) / greatest(len(regexp_extract_all(text, '[.!?]')), 1)::DOUBLE AS ratio,
-    length(text) >= 16000 AND len(regexp_extract_all(text, '[.!?]')) >= 28 AND length(text) / greatest(len(regexp_extract_all(text, '[.!?]')), 1)::DOUBLE >= 300 AS ok FROM documents""")
+    length(text) >= 16000 AND len(regexp_extract_all(text, '[.!?]')) >= 28 AND length(text) / greatest(len(regexp_extract_all(text, '[.!?]')), 1)::DOUBLE >= 300 AS ok FROM documents""", longs=("chars", "issues"))
 def t1_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence ends stand for issue markers."""
     n = F.regexp_count("text", F.lit("[.!?]"))
@@ -33,7 +33,7 @@ def t1_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("ok", (F.col("chars") >= D.MIN_CHARS) & (F.col("issues") >= D.MIN_ISSUES) & (F.col("ratio") >= D.MIN_RATIO))
 
 
-@query("T1_4_rows", r"SELECT doc_id, len(regexp_extract_all(text, '(?m)^[ \t]*[A-Z]')) AS capital_lines, len(regexp_extract_all(text, '(?m)^[ \t]*[A-Z]')) >= 12 AS ok FROM documents")
+@query("T1_4_rows", r"SELECT doc_id, len(regexp_extract_all(text, '(?m)^[ \t]*[A-Z]')) AS capital_lines, len(regexp_extract_all(text, '(?m)^[ \t]*[A-Z]')) >= 12 AS ok FROM documents", longs=("capital_lines",))
 def t1_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that begin with a capital stand for checklist rows."""
     n = F.regexp_count("text", F.lit(r"(?md)^[ \t]*[A-Z]"))
@@ -51,7 +51,7 @@ def t1_5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("T1_6_anchors", r"""SELECT doc_id, len(regexp_extract_all(text, '`[^`\n]{2,}`')) + len(regexp_extract_all(text, '\b\d+(?:\.\d+)?(?:[eE][-+]?\d+)?\b'))
     + len(regexp_extract_all(text, '\b[\w./-]+\.(?:py|json|jsonl|md|txt|csv|npy|npz|log|sh|ya?ml)\b')) + len(regexp_extract_all(text, '\b[Ll](?:ine)?\s?\d+\b|:\d+\b'))
-    + len(regexp_extract_all(text, '10\.\d{4,}/\S+|arXiv:\d{4}\.\d{4,}')) AS anchors FROM (SELECT doc_id, regexp_replace(text, '[^ -~\n]', 'e', 'g') AS text FROM documents)""")
+    + len(regexp_extract_all(text, '10\.\d{4,}/\S+|arXiv:\d{4}\.\d{4,}')) AS anchors FROM (SELECT doc_id, regexp_replace(text, '[^ -~\n]', 'e', 'g') AS text FROM documents)""", longs=("anchors",))
 def t1_6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over texts with non-ASCII letters replaced, where both engines' word classes agree."""
     return docs(spark, sf_dir).select("doc_id", D.anchor_count(F.regexp_replace("text", r"[^ -~\n]", "e")).alias("anchors"))

@@ -208,7 +208,7 @@ def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("F26_method_clamps", """SELECT l_orderkey, l_linenumber, w AS ecutwfc, greatest(least(rho, 12 * w), 8 * w) AS ecutrho, least(greatest(k, 1), 16) AS k, (w <> wfc)::INT + (greatest(least(rho, 12 * w), 8 * w) <> rho)::INT + (least(greatest(k, 1), 16) <> k)::INT AS notes
-    FROM (SELECT *, CASE WHEN wfc < 30 THEN 30.0::DOUBLE WHEN wfc > 90 THEN 90.0::DOUBLE ELSE wfc END AS w FROM (SELECT l_orderkey, l_linenumber, l_quantity * 3 AS wfc, l_quantity * 25 AS rho, l_partkey % 20 AS k FROM lineitem))""")
+    FROM (SELECT *, CASE WHEN wfc < 30 THEN 30.0::DOUBLE WHEN wfc > 90 THEN 90.0::DOUBLE ELSE wfc END AS w FROM (SELECT l_orderkey, l_linenumber, l_quantity * 3 AS wfc, l_quantity * 25 AS rho, l_partkey % 20 AS k FROM lineitem))""", longs=("k",))
 def f26(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("l_partkey") % 20).cast("int")
     m = M.clamped_method(F.col("l_quantity") * 3, F.col("l_quantity") * 25, F.lit("none"), F.lit(0.01), F.array(k))

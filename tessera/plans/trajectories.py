@@ -79,7 +79,7 @@ _PARAMS = f"l_orderkey AS chain_id, {_PLACE} AS idx, 0.1::DOUBLE * (1 + l_partke
 
 @query("W6_F19_F20_restart_moves", f"""WITH s AS (SELECT {_PARAMS} FROM lineitem), d AS (SELECT *, lag(beta) OVER w AS b0, lag(bands) OVER w AS n0, lag(mode) OVER w AS m0, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY chain_id ORDER BY idx))
     SELECT chain_id, idx, CASE WHEN r = 1 THEN 'run_scf' WHEN beta = b0 AND bands = n0 AND mode = m0 THEN 'restart_from_charge_density' WHEN beta < b0 THEN 'damp_charge_mixing' WHEN bands > n0 THEN 'add_empty_bands' WHEN beta = b0 AND bands = n0 THEN 'restart_from_charge_density' ELSE 'adjust_scf_parameters' END AS move,
-      CASE WHEN r = 1 OR (beta = b0 AND bands = n0) THEN 0 WHEN beta < b0 OR bands > n0 THEN 1 ELSE (beta <> b0)::INT + (bands <> n0)::INT + (mode <> m0)::INT END AS n_params FROM d""")
+      CASE WHEN r = 1 OR (beta = b0 AND bands = n0) THEN 0 WHEN beta < b0 OR bands > n0 THEN 1 ELSE (beta <> b0)::INT + (bands <> n0)::INT + (mode <> m0)::INT END AS n_params FROM d""", longs=("idx",))
 def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three parameters of a line item as a run's; each line restarts the one before it."""
     beta = F.element_at(F.array(F.lit("0.1"), F.lit("0.2"), F.lit("0.3")), (F.col("l_partkey") % 3 + 1).cast("int"))
@@ -89,7 +89,7 @@ def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("F21_observation_text", f"""WITH {_STEPS} SELECT trajectory_id, idx, CASE WHEN exit_status = 0 THEN 'Observation: SCF converged' || CASE WHEN p % 9 <> 0 THEN ' in ' || (p % 9) || ' iterations' ELSE '' END || '; total energy = ' || printf('%.4f', q) || ' eV.'
-    ELSE 'Observation: SCF did NOT converge (exit_status=' || coalesce(CAST(exit_status AS VARCHAR), 'None') || '); the run terminated' || CASE WHEN p % 9 <> 0 THEN ' after ' || (p % 9) || ' iterations' ELSE '' END || ' without producing a converged ground-state energy.' END AS text FROM steps""")
+    ELSE 'Observation: SCF did NOT converge (exit_status=' || coalesce(CAST(exit_status AS VARCHAR), 'None') || '); the run terminated' || CASE WHEN p % 9 <> 0 THEN ' after ' || (p % 9) || ' iterations' ELSE '' END || ' without producing a converged ground-state energy.' END AS text FROM steps""", longs=("idx",))
 def f21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).select("trajectory_id", F.col("index").alias("idx"), T.diagnosed_text(F.col("exit_status"), F.col("q"), F.col("p") % 9).alias("text"))
 
@@ -112,7 +112,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("W1_J4_paired_turns", """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, replace(left(text, 160), chr(10), ' ') AS shown, coalesce(CASE WHEN next_role = 'assistant' THEN next_text END, '') AS result
-    FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'""")
+    FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'""", longs=("idx",))
 def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as calls, the assistant turn behind each as its result; a call without one has an empty result."""
     order = Window.partitionBy("conv_id").orderBy("turn")
@@ -165,7 +165,7 @@ def p25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps_.join(archive, "node", "left").groupBy("trajectory_id").agg(F.bool_and(F.coalesce(F.col("archived") == F.col("exit"), F.lit(False))).alias("faithful"))
 
 
-@query("J12_chain_links", "WITH n AS (SELECT l_orderkey, l_partkey, " + _PLACE + " AS place FROM lineitem) SELECT a.l_orderkey AS chain, a.place AS parent, b.place AS child, a.l_partkey = b.l_partkey AS same_input FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND b.place = a.place + 1")
+@query("J12_chain_links", "WITH n AS (SELECT l_orderkey, l_partkey, " + _PLACE + " AS place FROM lineitem) SELECT a.l_orderkey AS chain, a.place AS parent, b.place AS child, a.l_partkey = b.l_partkey AS same_input FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND b.place = a.place + 1", longs=("parent", "child"))
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).select("l_orderkey", "place", "l_partkey")
     child = rows.select("l_orderkey", (F.col("place") - 1).alias("place"), F.col("place").alias("child"), F.col("l_partkey").alias("child_part"))

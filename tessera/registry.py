@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -12,11 +13,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a plan under the operator's id, with its SQL."""
+def query(name: str, sql: str | None = None, longs: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a plan under the operator's id, with its SQL; ``longs`` are columns that SQL counts in 64 bits."""
 
     def register(plan: Query) -> Query:
-        QUERIES[name] = plan
+        QUERIES[name] = (lambda spark, sf_dir: plan(spark, sf_dir).withColumns({c: F.col(c).cast("bigint") for c in longs})) if longs else plan
         if sql:
             ORACLES[name] = sql
         return plan
