@@ -42,7 +42,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 #: Scratch tables' row groups, and what an Arrow batch may hold: they bound a task's buffers.
 SCRATCH_LAYOUT = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 256}
 
 
 def bound_batches(spark: SparkSession) -> SparkSession:
