@@ -181,8 +181,9 @@ def looks_like_path(path: Column) -> Column:
 def duplicate_share(text: Column) -> Column:
     """Share of 60-character windows, every 30, that repeat; 0 under 600 characters."""
     def of(flat: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(flat) - 60, F.lit(30))
-        windows = F.transform(starts, lambda i: F.substr(flat, i, F.lit(60)))
+        # A window is two adjacent pieces of 30 characters: cutting once is linear, substrings by position aren't.
+        pieces = F.regexp_extract_all(flat, F.lit("(?s).{30}"), F.lit(0))
+        windows = F.transform(F.array(pieces), lambda p: F.transform(F.sequence(F.lit(1), F.ceil((F.length(flat) - 60) / 30).cast("int")), lambda k: F.concat(F.element_at(p, k), F.element_at(p, k + 1))))[0]
         repeated = F.transform(F.array(windows), lambda w: 1.0 - F.size(F.array_distinct(w)) / F.size(w))
         return F.when(F.length(flat) < 600, 0.0).otherwise(repeated[0])
 
