@@ -29,7 +29,7 @@ from tessera.llm.common import little_endian, scratch_path, text_slices
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces of text whose ids a worker remembers, and of those the ones that came back after being forgotten.
-MOST_PIECES, MOST_CORE = 500_000, 350_000
+MOST_PIECES, MOST_CORE = 400_000, 280_000
 
 #: Letters below this code point are letters, and composed, in every Unicode version.
 _LATIN = "\u0250"
