@@ -146,6 +146,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, that stay; whole repeated rows share their doc_id's fate."""
+    """The rows of ``docs``, columns unchanged, that stay: a doc_id's rows with one text share their fate, those with others don't."""
     found = materialize(exact_duplicates(docs), "duplicates")
-    return drop_documents(docs, found.where("not kept").select("doc_id"))
+    key = F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return drop_documents(docs.withColumn("__row", key), found.where("not kept").select(F.struct("doc_id", "text_sha256")), "__row").drop("__row")

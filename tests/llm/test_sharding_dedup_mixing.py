@@ -127,3 +127,12 @@ def test_mix(docs):
 def test_mix_with_a_small_heavy_source(spark):
     docs = spark.range(400).selectExpr("id as doc_id", "if(id < 5, 'a', if(id < 300, 'b', null)) as source", "repeat('w ', cast(1 + id % 7 as int)) as text")
     check_mix(docs)
+
+
+def test_a_copy_leaves_other_texts_of_its_doc_id(spark):
+    from tessera.llm.exact_dedup import drop_exact_duplicates
+
+    rows = [(1, "copy"), (1, "alone"), (2, "copy"), (3, None), (4, ""), (None, "copy"), (None, "own")]
+    left = drop_exact_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert left.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, "alone"), (2, "copy"), (4, ""), (None, "own")], key=str)
