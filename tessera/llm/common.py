@@ -102,22 +102,19 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, weight: str, tot
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
-def salted_join(rows: DataFrame, wide: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
+def salted_join(rows: DataFrame, wide: DataFrame, key: str) -> DataFrame:
     """Inner join of rows to a wide row of their key (one a key), where a key may hold most rows.
 
     A key of more than ``total / HOT_SHARE`` rows is dealt out to as many salts as it holds
     that often, and its wide row is copied to each: the copies of all keys together number at
-    most 2 * HOT_SHARE, and no salt holds more than about that share.  ``counted`` is a
-    narrow table with the same keys as often as ``rows`` has them.
+    most 2 * HOT_SHARE, and no salt holds much more than that share.  The salt is a hash of
+    the row, so that a task that runs again deals alike.
     """
-    counts = (rows if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    counts = materialize(counts.where(F.col(key).isNotNull()), "salts", compact=True)
-    total = counts.agg(F.sum("__n")).head()[0] or 0
-    limit = max(total // HOT_SHARE, 100)
+    counts = materialize(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")), "salts", compact=True)
+    limit = max((counts.agg(F.sum("__n")).head()[0] or 0) // HOT_SHARE, 100)
     hot = counts.where(F.col("__n") > limit).select(F.col(key), F.ceil(F.col("__n") / limit).cast("int").alias("__salts"))
-    salts = F.coalesce("__salts", F.lit(1))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__salts") > 1, F.pmod(F.xxhash64(*rows.columns), F.col("__salts")).cast("int")).otherwise(0)).drop("__salts")
-    copies = wide.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    copies = wide.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return dealt.join(copies, [key, "__salt"]).drop("__salt")
 
 
