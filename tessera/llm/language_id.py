@@ -9,8 +9,12 @@ a fitted model keeps each bucket's logits.
 A temperature fitted on documents left out of the descent calibrates the score; the
 rejection level is the highest, at most one half, that rejects no more than
 REJECTED of the right answers there.  A text that is null or has no letter is
-``und``.  Null lang is never learned from; equal texts get equal answers; repeated
-rows stay; with nothing to learn from, all is ``und``; other columns are ignored.
+``und``.  Null lang is never learned from.  All languages are learned, from a bounded
+sample: PER_LANGUAGE documents and MOST_BYTES of text of each (fewer where languages
+are so many that they share ``sampling.MOST_ROWS``); a text longer than that is never
+learned from.  Texts of any length are predicted whole.  Equal texts get equal answers;
+of languages that tie, the first by code point is given; repeated rows stay; with
+nothing to learn from, all is ``und``; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import text_bytes, text_slices
-from tessera.llm.sampling import held_out, sample_by_label
+from tessera.llm.sampling import held_out, sample_texts
 
 ORDERS, BUCKETS, DIMENSIONS = (2, 3, 4), 1 << 16, 16
-#: Documents of each language to learn from; passes over them; first step; share of right answers that may be rejected.
-PER_LANGUAGE, EPOCHS, STEP, REJECTED = 400, 6, 4.0, 0.001
+#: Documents and bytes of text of each language to learn from; passes over them; first step; share of right answers that may be rejected.
+PER_LANGUAGE, MOST_BYTES, EPOCHS, STEP, REJECTED = 400, 8 << 20, 6, 4.0, 0.001
 UNKNOWN = "und"
 
 #: Bytes that subwords keep: letters and all of non-ASCII; others part words.
@@ -104,7 +108,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel:
     samples = []
     for i in learn:
         lines = [x for x in texts[i].split("\n") if x]
-        for text in (texts[i], lines[rng.integers(len(lines))][:200] if lines else ""):
+        for text in (texts[i], lines[rng.integers(len(lines))] if lines else ""):
             buckets, _ = subwords(*text_bytes(pa.array([text.lower()])))
             if len(buckets):
                 samples.append((*np.unique(buckets, return_counts=True), len(buckets), target[i]))
@@ -140,12 +144,10 @@ def _calibrate(model: LanguageModel, texts: list[str], target: np.ndarray) -> No
 
 
 def learn(docs: DataFrame) -> LanguageModel | None:
-    """Fit on the sample's whole texts, at most 1.5 * PER_LANGUAGE of each language."""
-    rows = docs.where("text is not null")
-    chosen = sample_by_label(rows.select("doc_id", F.col("lang").alias("label")), PER_LANGUAGE)
-    # The sample is bounded by its parameter, so is what is broadcast and collected.
-    found = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toArrow()
-    return fit(found["text"].to_pylist(), found["label"].to_pylist()) if found.num_rows else None
+    """Fit on a bounded sample of each language's whole documents."""
+    labelled = docs.where("text is not null").groupBy("doc_id").agg(F.max("lang").alias("label"))
+    texts, labels = sample_texts(docs, labelled, PER_LANGUAGE, MOST_BYTES)
+    return fit(texts, labels) if texts else None
 
 
 def _apply(model: LanguageModel | None):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labels that a sample may have; rarer ones of a larger set aren't learned.
-MOST_LABELS = 256
+#: Rows of a sample over all labels; many labels share them alike, so each is learned.
+MOST_ROWS = 100_000
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -15,16 +15,35 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def sample_by_label(labelled: DataFrame, per_label: int) -> DataFrame:
-    """About ``per_label`` documents of each label, at most 1.5 times as many, chosen by a hash of doc_id.
+    """About ``per_label`` documents of each label (of MOST_ROWS in all, if labels are many), chosen by a hash of doc_id.
 
-    ``labelled`` has doc_id and label, one row a document.  The result has at most
-    MOST_LABELS * 1.5 * per_label narrow rows, whatever the input's size.
+    ``labelled`` has doc_id and label, one row a document; the result doc_id, label and its ``place`` in the label's order.
     """
     learn = labelled.where(~held_out()).where("label is not null and doc_id is not null")
-    counts = learn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect()
+    counts = learn.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    share = F.lit(float(min(per_label, MOST_ROWS / max(1, counts.count())))) / F.col("n")
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(None).cast("double")
-    for row in counts:
-        share = F.when(F.col("label") == F.lit(row["label"]), min(1.0, per_label / row["n"])).otherwise(share)
-    chosen = learn.select("doc_id", "label", place.alias("place"), share.alias("share")).where("place < share")
-    return chosen.orderBy("place", "doc_id").limit(int(MOST_LABELS * 1.5 * per_label)).select("doc_id", "label") if len(counts) * per_label > 100_000 else chosen.select("doc_id", "label")
+    # One narrow row a label; where those are few, as they mostly are, Spark broadcasts them by their measured size.
+    return learn.withColumn("place", place).join(counts, "label").where(F.col("place") < share).select("doc_id", "label", "place")
+
+
+def sample_texts(docs: DataFrame, labelled: DataFrame, per_label: int, most_bytes: int) -> tuple[list[str], list]:
+    """Whole texts and their labels: about ``per_label`` documents and at most ``most_bytes`` of text of each label.
+
+    Documents are taken in the order of the sample's hash; one that would pass the bound is
+    passed over.  What comes to the driver is bounded in rows first, then in bytes.
+    """
+    chosen = sample_by_label(labelled, per_label)
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sized = rows.select("doc_id", "label", "place", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))
+    held: dict = {}
+    wanted = set()
+    for r in sized.orderBy("place", "doc_id", "hash").collect():
+        if held.get(r.label, 0) + r.size <= most_bytes and (r.doc_id, r.hash) not in wanted:
+            held[r.label] = held.get(r.label, 0) + r.size
+            wanted.add((r.doc_id, r.hash))
+    if not wanted:
+        return [], []
+    kept = docs.sparkSession.createDataFrame(sorted(wanted), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash bigint")
+    found = rows.withColumn("hash", F.xxhash64("text")).join(F.broadcast(kept), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("doc_id", "hash", "label", "text").orderBy("doc_id", "hash").toArrow()
+    return found["text"].to_pylist(), found["label"].to_pylist()

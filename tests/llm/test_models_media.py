@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -87,14 +88,120 @@ def test_toxicity_edge_cases(spark, docs, empty):
     assert toxicity.score_documents(empty, labels).collect() == []
 
 
-def test_unknown_words_are_neutral_and_probabilities_sum_to_one():
-    rows = toxic_rows(200)
-    model = toxicity.count_models([t for _, t, y in rows if not y], [t for _, t, y in rows if y])
-    assert abs(model.word_ratios([b"zzzz"])[0]) < abs(model.word_ratios([b"vilexab"])[0])
-    context = toxicity.grams([b"vile"])[0][3] >> np.uint64(8)
-    followers = np.unique(model.top & np.uint64(255))
-    shared = model.shared(np.array([(context << np.uint64(8)) | f for f in followers], np.uint64))
-    assert shared.sum() == pytest.approx(1, abs=0.02)
+def test_the_sample_is_bounded_in_rows_and_bytes_and_learns_every_label(spark):
+    from tessera.llm.sampling import sample_texts
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', 100) as text", "concat('l', id % 300) as lang").repartition(3)
+    labelled = docs.select("doc_id", "lang").withColumnRenamed("lang", "label")
+    texts, labels = sample_texts(docs, labelled, 5, 1000)
+    assert len(set(labels)) == 300 and len(texts) == len(labels) < 300 * 10
+    texts, labels = sample_texts(docs, labelled, 5, 250)
+    assert max(labels.count(x) for x in set(labels)) == 2 and len(set(labels)) == 300
+    assert sample_texts(docs, labelled, 5, 99) == ([], [])
+
+
+def test_language_scores_against_brute_force():
+    """The average of the texts' n-gram rows, but for whole words with both boundaries, one by one, through the linear softmax."""
+    rng = np.random.default_rng(5)
+    table, weights, bias = rng.normal(size=(language_id.BUCKETS, 4)), rng.normal(size=(4, 3)), rng.normal(size=3)
+    model = language_id.LanguageModel(["aa", "bb", "cc"], table @ weights, bias, temperature=1.7)
+    texts = ["Kalo MIRO, x", "a", "  ", "été 12 ünd", "tasu " * 900]
+
+    def bucket(gram):
+        code = np.array([int.from_bytes(gram, "little")], np.uint32)
+        mixed = (code ^ np.uint32(len(gram) * 0x1000193)) * np.uint32(0x9E3779B1)
+        return int((((mixed ^ mixed >> np.uint32(15)) * np.uint32(0x85EBCA6B)) >> np.uint32(16))[0])
+
+    best, p = model.predict(pa.array(texts))
+    for i, text in enumerate(texts):
+        raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode())
+        found = [bucket(w[j : j + n]) for word in raw.split() for w in [b" " + word + b" "] for n in language_id.ORDERS for j in range(len(w) - n + 1) if (w[j], w[j + n - 1]) != (32, 32)]
+        logits = (np.mean([table[k] for k in found], axis=0) if found else np.zeros(4)) @ weights + bias
+        e = np.exp((logits - logits.max()) / 1.7)
+        assert best[i] == logits.argmax() and p[i] == pytest.approx((e / e.sum()).max(), abs=1e-9)
+
+
+class BruteKneserNey:
+    """The toxicity operator's rules, by dictionaries."""
+
+    def __init__(self, ordinary, toxic):
+        self.pairs, self.spell, grams = [Counter(), Counter()], [Counter(), Counter()], set()
+        for k, texts in enumerate((ordinary, toxic)):
+            for text in texts:
+                words = self.words(text)
+                self.pairs[k].update(set(zip([None, *words], words, strict=False)))
+                for w in set(words):
+                    self.spell[k].update(self.spelling(w))
+        grams = set(self.spell[0]) | set(self.spell[1])
+        self.alphabet = max(2, len({g[-1] for g in grams}))
+        self.lower = {}
+        for order in range(toxicity.CONTEXT, 0, -1):
+            grams_below = Counter(g[1:] for g in grams)
+            self.lower[order], grams = grams_below, set(grams_below)
+
+    @staticmethod
+    def words(text):
+        return bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in text.encode()).split()
+
+    @staticmethod
+    def spelling(word):
+        padded = b"\x00" * toxicity.CONTEXT + word + b"\x01"
+        return [padded[i : i + toxicity.CONTEXT + 1] for i in range(len(word) + 1)]
+
+    @staticmethod
+    def left(n):
+        return 0 if n == 0 else n - (toxicity.ONCE if n == 1 else toxicity.TWICE if n == 2 else 2 * toxicity.DISCOUNT)
+
+    def shared(self, gram):
+        p = 1 / self.alphabet
+        for order in range(1, toxicity.CONTEXT + 1):
+            own = gram[-order:]
+            followers = {g: n for g, n in self.lower[order].items() if g[:-1] == own[:-1]}
+            if followers:
+                p = (max(followers.get(own, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(followers) * p) / sum(followers.values())
+        return p
+
+    def top(self, counts, key, head, back):
+        own = {g: n for g, n in counts.items() if g[:-1] == head}
+        if not own:
+            return back
+        return (self.left(own.get(key, 0)) + sum(n - self.left(n) for n in own.values()) * back) / sum(own.values())
+
+    def evidence(self, text):
+        words, total = self.words(text), 0.0
+        for v, w in zip([None, *words], words, strict=False):
+            p = []
+            for k in (0, 1):
+                spelled = np.prod([self.top(self.spell[k], g, g[:-1], self.shared(g)) for g in self.spelling(w)])
+                p.append(self.top(self.pairs[k], (v, w), (v,), spelled))
+            total += np.log((1 - toxicity.SHARE) + toxicity.SHARE * p[1] / p[0])
+        return total / max(1, len(words))
+
+
+def test_toxicity_against_brute_force_kneser_ney():
+    ordinary = ["the cat sat on the mat", "The dog; the cat", "go on home", "été the end", ""]
+    toxic = ["you vile cat", "the vile vile dog", "go away you", "vileness on the mat"]
+    model, brute = toxicity.count_models(ordinary, toxic), BruteKneserNey(ordinary, toxic)
+    texts = ["", "the vile cat", "go away", "unheard zzz of", "THE mat, the viler dog", "you you you", "... !", "cat " * 300]
+    got = model.evidence(pa.array(texts), {})
+    assert got == pytest.approx([brute.evidence(t) for t in texts], abs=1e-9)
+    assert got[0] == got[6] == 0 and got[1] > got[0] and model.evidence(pa.array([None, "the vile cat"]), {})[1] == pytest.approx(got[1])
+
+
+def test_an_expression_of_two_harmless_words_is_found(spark):
+    """Both words are frequent in both classes; only together do they mark a text."""
+    rng, rows = np.random.default_rng(2), []
+    plain = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnop"]
+    for i in range(800):
+        words, bad = list(rng.choice(plain, 40)), i % 4 == 0
+        for j in (5, 15, 25):
+            words[j : j + 2] = ["get", "lost"] if bad else ["lost", "get"]
+        rows.append((i, " ".join(words), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
+    held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert np.mean([p == y for p, y in held]) > 0.97
 
 
 @pytest.mark.parametrize("n", [1, 100, 161, 162, 175, 176, 177, 183, 184, 185, 5000, 32640, 32641, 300001])
