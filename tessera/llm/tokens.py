@@ -6,8 +6,9 @@ delta-coded; row groups and pages have set sizes, and page indexes let a reader
 a doc_id range, or of metadata alone, skip the rest.  Offsets are stored from the
 part's begin; the reader moves them by the sums of the earlier parts.
 
-Null text counts as empty.  Ties of doc_id are ordered by the text's hash.  An
-empty table writes a readable, empty store.  Other columns are ignored.
+Null text counts as empty.  Texts of any length are encoded whole.  Ties of doc_id are
+ordered by the text's hash; repeated rows are separate documents; null doc_id comes
+first.  An empty table writes a readable, empty store.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import little_endian, scratch_path, text_slices
@@ -80,13 +81,17 @@ class PieceEncoder:
     a single space or line feed with the piece after it; a text in which white
     space stands in any other way is encoded whole.  A piece of Latin letters alone
     is one word to the library's pre-tokenizer and goes to its merges at once.
+
+    A text that may hold an added token of the vocabulary (an end marker, say) is encoded
+    whole, so it gets what the library gives it by default.
     """
 
     def __init__(self, path: str, lower: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Two characters tell that an added token may follow; normalizers change the case at most of such.
+        self.marks = sorted({t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.merge, self.letters, self.lower = self.tokenizer.model.tokenize, _byte_letters(), lower
         self.pieces = _Pieces(self._lower_piece if lower else self._spaced_piece)
         self.heads, self.tails = _Pieces(self._head), _Pieces(self._whole)
@@ -125,6 +130,9 @@ class PieceEncoder:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         get, out = self.pieces.__getitem__, []
         for text in texts:
+            if any(mark in text or mark.isupper() != mark.islower() and mark in text.lower() for mark in self.marks):
+                out.append(self._whole(text))
+                continue
             if self.lower:
                 out.append(b"".join(map(get, text.encode().split())))
                 continue
@@ -178,25 +186,40 @@ LAYOUT = {
 }
 
 
-def in_order(docs: DataFrame) -> bool:
-    """Whether the input's partitions already hold disjoint ranges of doc_id.  Reads that column only."""
-    ranges = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+def _apart(rows: DataFrame, part: Column) -> bool:
+    """Whether parts hold disjoint ranges of doc_id without nulls."""
+    ranges = rows.groupBy(part.alias("p")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     before = F.lag("high").over(Window.orderBy("low"))
     return bool(ranges.select(((F.col("nulls") > 0) | (F.col("low") <= before)).alias("bad")).agg(F.coalesce(F.bool_or("bad"), F.lit(False))).head()[0] is False)
 
 
+def in_order(docs: DataFrame) -> bool:
+    """Whether the partitions of this very plan hold disjoint ranges of doc_id."""
+    return _apart(docs, F.spark_partition_id())
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, lower: bool = False, end: int = 0) -> None:
     """Write the ids of all whole texts, each followed by ``end``, in ascending doc_id order.
 
-    Input that is stored in order, as tables mostly are, is sorted where it lies;
-    any other is range-partitioned first.
+    Input whose partitions seem to hold disjoint ranges of doc_id, as stored tables mostly
+    do, is sorted where it lies.  That is judged by reading the ids alone, which may be
+    partitioned in another way than whole rows; so the written parts are judged too, by
+    their metadata, and written again if they overlap.  Any other input is range-partitioned.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if not in_order(docs.select("doc_id")):
-        rows = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie")
-    rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text")).select("doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, part_start bigint, n_tokens bigint, ids array<int>"
-    rows.mapInArrow(_tokenize(tokenizer, lower, end), schema).write.options(**LAYOUT).parquet(path)
+
+    def write(dealt: DataFrame, mode: str = "errorifexists") -> None:
+        sorted_rows = dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).select("doc_id", "text")
+        sorted_rows.mapInArrow(_tokenize(tokenizer, lower, end), schema).write.mode(mode).options(**LAYOUT).parquet(path)
+
+    ranged = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie")
+    if not in_order(docs.select("doc_id")):
+        write(ranged)
+        return
+    write(rows)
+    if not _apart(docs.sparkSession.read.parquet(path).select("doc_id", "part"), F.col("part")):
+        write(ranged, "overwrite")
 
 
 def _open(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,6 @@ from tessera.llm.common import scratch_path
 
 def plain(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -24,7 +23,8 @@ def test_pieces_are_what_the_library_gives(name, lower, texts):
     rng = np.random.default_rng(5)
     letters = list("ab Cé\n\t .,'s1 ́ΣİKſ\x85\x0b\x1c　!<|>")
     odd = ["".join(rng.choice(letters, rng.integers(1, 25))) for _ in range(3000)]
-    every = [t or "" for _, t in texts] + odd
+    marked = ["a <|endoftext|> b", "see <|endoftext|>", "<|startoftext|>x<|EndOfText|> y", "a <| b\n<|endoftext", "<|endoftext|><|endoftext|>\n\n"]
+    every = [t or "" for _, t in texts] + odd + marked + [f"{a} {m}{b}" for m in marked for a, b in (("word", ""), ("é ", "\tz"))]
     own = tokens.PieceEncoder(public_tokenizers.path(name), lower)
     encode = plain(name)
     for text, got in zip(every, own.encode(every), strict=True):
@@ -74,6 +74,52 @@ def test_ordered_input_is_not_shuffled(spark):
     assert not tokens.in_order(spark.createDataFrame([(1,), (None,)], "doc_id bigint").repartition(2))
 
 
+def test_input_in_hash_partitions_is_written_in_order(spark):
+    """An adaptive exchange may coalesce a plan of ids alone to one partition, and that of whole rows to many."""
+    rows = [(i, f"{i} " + "long text " * (1000 if i % 7 else 1)) for i in range(600)] + [(3, "twin"), (3, "twin"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition("doc_id")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        got = sorted(tokens.token_store(docs, public_tokenizers.path("byte_bpe_50k.json")).collect(), key=lambda r: r.start)
+        path = scratch_path(spark, "written")
+        tokens.write_tokens(docs.where("doc_id is not null"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert [-1 if r.doc_id is None else r.doc_id for r in got] == sorted(-1 if i is None else i for i, _ in rows)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_an_order_that_only_narrow_plans_have_is_mended(spark, monkeypatch):
+    docs = spark.range(0, 200, 1, 4).selectExpr("id as doc_id", "concat('t ', id) as text").repartition(3)
+    monkeypatch.setattr(tokens, "in_order", lambda d: True)
+    got = sorted(tokens.token_store(docs, public_tokenizers.path("byte_bpe_50k.json")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == list(range(200))
+
+
+def test_the_store_has_the_layout_that_it_names(spark):
+    """Footers: a dictionary for ids, deltas for sorted integers, row groups of a set size, page indexes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id as doc_id", "concat(repeat('some words ', 200), id) as text")
+    path = scratch_path(spark, "layout")
+    tokens.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    (name,) = glob.glob(path.removeprefix("file://") + "/*.parquet")
+    file = pq.ParquetFile(name)
+    group = file.metadata.row_group(0)
+    columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+    for c in ("doc_id", "part_start", "n_tokens"):
+        assert "DELTA_BINARY_PACKED" in columns[c].encodings and not columns[c].has_dictionary_page
+    ids = next(c for p, c in columns.items() if p.startswith("ids"))
+    assert ids.has_dictionary_page and "RLE_DICTIONARY" in ids.encodings
+    assert all(c.has_offset_index and c.has_column_index for p, c in columns.items() if not p.startswith("ids"))
+    assert all(file.metadata.row_group(i).total_byte_size <= 48 << 20 for i in range(file.metadata.num_row_groups))
+
+
 def test_empty_tables(spark, empty):
     assert tokens.token_store(empty, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
     assert packing.pack_documents(empty, public_tokenizers.path("word_bpe_49k.json")).collect() == []
