@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------
@@ -64,7 +64,20 @@ def materialize(df: DataFrame, name: str, compact: bool = False, **options: str)
     spark = bound_batches(df.sparkSession)
     path = scratch_path(spark, name)
     (df.hint("rebalance") if compact else df).write.options(**SCRATCH_LAYOUT | options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(made: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more."""
+    _MADE.remove((made.sparkSession, made._scratch))
+    _delete(made.sparkSession, made._scratch)
 
 
 def remove_scratch() -> None:
@@ -72,9 +85,7 @@ def remove_scratch() -> None:
     while _MADE:
         spark, path = _MADE.pop()
         try:
-            jvm, folder = spark._jvm, path.rsplit("/", 1)[0]
-            at = jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended already
             return
 
@@ -102,18 +113,21 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, weight: str, tot
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
-def salted_join(rows: DataFrame, wide: DataFrame, key: str) -> DataFrame:
+def salted_join(rows: DataFrame, wide: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
     """Inner join of rows to a wide row of their key (one a key), where a key may hold most rows.
 
     A key of more than ``total / HOT_SHARE`` rows is dealt out to as many salts as it holds
     that often, and its wide row is copied to each: the copies of all keys together number at
     most 2 * HOT_SHARE, and no salt holds much more than that share.  The salt is a hash of
-    the row, so that a task that runs again deals alike.
+    the row's narrow columns, so that a task that runs again deals alike.  ``counted``, rows
+    itself if not given, is a table with those narrow columns and the same rows.
     """
-    counts = materialize(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")), "salts", compact=True)
+    counted = rows if counted is None else counted
+    counts = materialize(counted.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")), "salts", compact=True)
     limit = max((counts.agg(F.sum("__n")).head()[0] or 0) // HOT_SHARE, 100)
     hot = counts.where(F.col("__n") > limit).select(F.col(key), F.ceil(F.col("__n") / limit).cast("int").alias("__salts"))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__salts") > 1, F.pmod(F.xxhash64(*rows.columns), F.col("__salts")).cast("int")).otherwise(0)).drop("__salts")
+    salt = F.pmod(F.xxhash64(*counted.columns), F.col("__salts")).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__salts") > 1, salt).otherwise(0)).drop("__salts")
     copies = wide.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return dealt.join(copies, [key, "__salt"]).drop("__salt")
 
@@ -164,11 +178,11 @@ def in_filter(df: DataFrame, key: str, filter_table: DataFrame, bits: int, flag:
     The table is at most MOST_BITS / 8 bytes of words, whatever the data's size: safe to broadcast.
     """
     at = F.shiftrightunsigned(F.col(key), 64 - bits)
-    table = filter_table.withColumnsRenamed({"chunk": "_chunk", "words": "_words"})
-    joined = df.join(F.broadcast(table), F.shiftright(at, 12) == F.col("_chunk"), "left" if flag else "inner")
-    hit = F.expr(f"getbit(element_at(_words, cast(shiftright(shiftrightunsigned(`{key}`, {64 - bits}) & {CHUNK_BITS - 1}L, 6) as int) + 1), cast(shiftrightunsigned(`{key}`, {64 - bits}) & 63 as int)) = 1")
+    table = filter_table.withColumnsRenamed({"chunk": "__chunk", "words": "__words"})
+    joined = df.join(F.broadcast(table), F.shiftright(at, 12) == F.col("__chunk"), "left" if flag else "inner")
+    hit = F.expr(f"getbit(element_at(__words, cast(shiftright(shiftrightunsigned(`{key}`, {64 - bits}) & {CHUNK_BITS - 1}L, 6) as int) + 1), cast(shiftrightunsigned(`{key}`, {64 - bits}) & 63 as int)) = 1")
     out = joined.withColumn(flag, F.coalesce(hit, F.lit(False))) if flag else joined.where(hit)
-    return out.drop("_chunk", "_words")
+    return out.drop("__chunk", "__words")
 
 
 # --------------------------------------------------------------------------
@@ -313,14 +327,22 @@ def add_bases(table: DataFrame, value: str, group: str | None) -> DataFrame:
     return table.join(F.broadcast(bases), [*([group] if group else []), "_part"]).withColumn("_start", F.col("_start") + F.col("_base")).drop("_base")
 
 
-def drop_documents(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """All rows of ``docs``, columns unchanged, but those whose doc_id is in ``ids`` (one column).
+def drop_rows(docs: DataFrame, key: Column, dropped: DataFrame, single: DataFrame) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, without those whose key is in ``dropped`` and with one alone of those whose key is in ``single``.
 
-    Only rows that a bit filter lets through are shuffled; the others pass as they are.
+    Both tables have one column, the key.  Of the rows of a single key the one whose
+    columns have the greatest hash stays.  Only rows that a bit filter lets through are
+    shuffled; the others pass as they are.
     """
-    ids = materialize(ids.toDF("__id").distinct(), "dropped", compact=True)
-    bits = filter_bits(ids.count())
-    table = materialize(bit_filter(ids.select(F.xxhash64("__id").alias("h")), "h", bits), "filter", compact=True)
-    flagged = in_filter(docs.withColumn("__h", F.xxhash64(doc_id)), "__h", table, bits, flag="__maybe").drop("__h")
-    checked = flagged.where("__maybe").join(ids, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
-    return flagged.where("not __maybe").unionByName(checked).drop("__maybe")
+    marks = dropped.toDF("__key").distinct().withColumn("__single", F.lit(False)).unionByName(single.toDF("__key").distinct().withColumn("__single", F.lit(True)))
+    marks = materialize(marks, "marks", compact=True)
+    bits = filter_bits(marks.count())
+    table = materialize(bit_filter(marks.select(F.xxhash64("__key").alias("__h")), "__h", bits), "filter", compact=True)
+    keyed = docs.select(F.struct("*").alias("__row"), key.alias("__key")).withColumn("__h", F.xxhash64("__key"))
+    flagged = in_filter(keyed, "__h", table, bits, flag="__maybe").drop("__h")
+    checked = flagged.where("__maybe").join(marks, "__key", "left")
+    stay = flagged.where("not __maybe").select("__row").unionByName(checked.where("__single is null").select("__row"))
+    if not single.isEmpty():
+        one = checked.where("__single").groupBy("__key").agg(F.max_by("__row", F.xxhash64("__row")).alias("__row"))
+        stay = stay.unionByName(one.select("__row"))
+    return stay.select("__row.*")

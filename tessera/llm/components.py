@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, join_classes, materialize
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    """One round over links (u, v), u > v."""
+def _stars(links: DataFrame, many: int) -> DataFrame:
+    """One round over ``many`` links (u, v), u > v; a node may hold most links."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    roots = large.groupBy("u").agg(F.min("v").alias("m"))
-    moved = large.join(roots, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(roots.withColumnRenamed("m", "v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    large = join_classes(both, least, "u", "n", 2 * many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    roots = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = join_classes(large, roots, "u", "n", many).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(roots.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(pairs: DataFrame) -> DataFrame:
     links = materialize(links, "links", compact=True)
     was = digest(links)
     while was[0]:
-        links = materialize(_stars(links), "links", compact=True)
+        last, links = links, materialize(_stars(links, was[0]), "links", compact=True)
+        discard(last)
         now = digest(links)
         if now == was:
             break

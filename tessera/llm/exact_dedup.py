@@ -11,7 +11,9 @@
 A false suspect is found alone in its group and stays, so the result is exact.
 Null text counts as empty; empty texts are equal to each other.  Repeated rows
 with one doc_id are separate rows of one group, and all rows that carry the
-largest doc_id count as kept.  Null doc_id sorts lowest.  Other columns are ignored.
+largest doc_id count as kept; ``drop_exact_duplicates`` leaves one of them.  Null
+doc_id sorts lowest.  Texts of any length are hashed and compared whole.  An empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHUNK_BITS, drop_documents, filter_bits, in_filter, join_classes, materialize
+from tessera.llm.common import CHUNK_BITS, drop_rows, filter_bits, in_filter, join_classes, materialize
 
 #: Fingerprints of one block: what a partition holds before it sends.
 BLOCK = 1 << 20
@@ -32,33 +34,26 @@ OWNER_HOLDS = 1 << 21
 
 
 def golomb_encode(values: np.ndarray, shift: int) -> bytes:
-    """Golomb-Rice code of the gaps of sorted unsigned integers: unary quotient, ``shift`` low bits."""
+    """Golomb-Rice code of the gaps of sorted unsigned integers: all unary quotients, then all ``shift`` low bits."""
     gaps = np.diff(values, prepend=np.uint64(0)).astype(np.uint64)
     quotients = (gaps >> np.uint64(shift)).astype(np.int64)
-    ends = np.cumsum(quotients + 1 + shift)
-    bits = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    ones = np.cumsum(quotients) - quotients
-    bits[np.arange(quotients.sum()) - np.repeat(ones, quotients) + np.repeat(ends - (quotients + 1 + shift), quotients)] = 1
+    unary = np.ones(int(quotients.sum()) + len(gaps), np.uint8)
+    unary[np.cumsum(quotients + 1) - 1] = 0
+    low = np.empty((len(gaps), shift), np.uint8)
     for b in range(shift):
-        bits[ends - shift + b] = (gaps >> np.uint64(shift - 1 - b)) & np.uint64(1)
-    return np.packbits(bits).tobytes()
+        low[:, b] = (gaps >> np.uint64(shift - 1 - b)) & np.uint64(1)
+    return np.packbits(np.concatenate([unary, low.reshape(-1)])).tobytes()
 
 
 def golomb_decode(blob: bytes, n: int, shift: int) -> np.ndarray:
     """The n sorted integers of ``golomb_encode``."""
     bits = np.unpackbits(np.frombuffer(blob, np.uint8))
-    zeros = np.flatnonzero(bits == 0).tolist() if n else []
-    # A quotient ends at the first 0 at or after its begin; the low bits that follow may hold more zeros.
-    ends, begin, k = np.empty(n, np.int64), 0, 0
-    begins = np.empty(n, np.int64)
-    for i in range(n):
-        while zeros[k] < begin:
-            k += 1
-        begins[i], ends[i] = begin, zeros[k]
-        begin = zeros[k] + 1 + shift
-    gaps = (ends - begins).astype(np.uint64) << np.uint64(shift)
+    ends = np.flatnonzero(bits == 0)[:n]
+    gaps = (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(shift)
+    begin = int(ends[-1]) + 1 if n else 0
+    low = bits[begin : begin + n * shift].reshape(n, shift)
     for b in range(shift):
-        gaps |= bits[ends + 1 + b].astype(np.uint64) << np.uint64(shift - 1 - b)
+        gaps |= low[:, b].astype(np.uint64) << np.uint64(shift - 1 - b)
     return np.cumsum(gaps, dtype=np.uint64)
 
 
@@ -146,7 +141,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, that stay: a doc_id's rows with one text share their fate, those with others don't."""
-    found = materialize(exact_duplicates(docs), "duplicates")
+    """The rows of ``docs``, columns unchanged, of which each text keeps one: of rows that share doc_id and text too, that with the greatest hash."""
+    found = materialize(exact_duplicates(docs).select(F.struct("doc_id", "text_sha256").alias("key"), "kept", "group_size"), "duplicates")
+    twins = found.where("kept and group_size > 1").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     key = F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    return drop_documents(docs.withColumn("__row", key), found.where("not kept").select(F.struct("doc_id", "text_sha256")), "__row").drop("__row")
+    return drop_rows(docs, key, found.where("not kept").select("key"), materialize(twins.select("key"), "twins", compact=True))

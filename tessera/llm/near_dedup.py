@@ -14,14 +14,18 @@ group at once.  Only buckets that still hold several components go on.  There a
 first pass over signatures keeps the members that are like a member of another
 component; a second one has their full sets and gives the links that join
 components, fewer than the bucket has members.  Both passes work on blocks of
-bounded size, and a large bucket is dealt out as pairs of blocks, so no task ever
-holds a bucket.  A pair at the threshold shares no band with probability
+bounded size.  A large bucket is dealt out as pairs of blocks, so no task ever holds
+a bucket; members of its largest component meet only blocks of the others, so a
+bucket of which nearly all is joined is written about once.  Joins on a bucket, a
+hub or a component deal out those that hold many rows (``join_classes``,
+``salted_join``).  A pair at the threshold shares no band with probability
 (1 - 0.8 ** ROWS) ** BANDS, under 3e-6; nothing else is lost.
 
 Words are lower-cased in A-Z only.  A document with fewer words than a shingle is
 one shingle; without words it is empty, linked with nothing.  Null text is empty.
-Equal rows are equal nodes, rows of one doc_id too; an empty table gives an empty
-result; other columns are ignored.
+Texts of any length are read whole.  Equal rows are equal nodes, rows of one doc_id
+too, and ``drop_near_duplicates`` goes by rows, not by doc_id; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bit_filter, drop_documents, filter_bits, hash_words, in_filter, join_classes, materialize, mix64, text_bytes, text_slices
+from tessera.llm.common import bit_filter, discard, drop_rows, filter_bits, hash_words, in_filter, join_classes, materialize, mix64, salted_join, text_bytes, text_slices
 from tessera.llm.components import components
 from tessera.llm.exact_dedup import duplicate_bitmap
 
@@ -127,8 +131,8 @@ def _sketch(width: int):
             least = [minima(s) for s in sets]
             keys = np.concatenate([band_keys(x) for x in least]) if least else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(sets))), batch.column("doc_id"), pa.array([set_hash(s, 1) for s in sets], pa.int64()), pa.array([set_hash(s, 2) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(x) for x in least], pa.binary()), pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(keys))],
-                ["row", "doc_id", "node", "check", "n", "sig", "bands"],
+                [pa.array(np.arange(row, row + len(sets))), batch.column("doc_id"), batch.column("fp"), pa.array([set_hash(s, 1) for s in sets], pa.int64()), pa.array([set_hash(s, 2) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(x) for x in least], pa.binary()), pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(keys))],
+                ["row", "doc_id", "fp", "node", "check", "n", "sig", "bands"],
             )
             row += len(sets)
 
@@ -257,6 +261,29 @@ def _join_components(fewest: int, percent: int):
     return run
 
 
+def dealt_members(members: DataFrame, by_bucket) -> DataFrame:
+    """Members (key, node, label, n) of buckets that hold several labels, once for each pair of blocks (x, y) that their ``block`` is in.
+
+    A bucket of one block is one group.  In a larger one, blocks of its largest component have
+    negative numbers and meet the blocks of the others, which meet each other too: every two
+    members of different components meet, those of the largest don't meet each other.
+    ``by_bucket`` joins rows with a table of one row a key.
+    """
+    weight = (F.col("n") + MEMBER).alias("weight")
+    parts = members.groupBy("key", "label").agg(F.sum(weight).alias("weight"))
+    sums = parts.groupBy("key").agg(F.max(F.struct("weight", "label")).alias("main"), F.sum("weight").alias("size"), F.count(F.lit(1)).alias("labels"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    mixed = sums.where("labels > 1").select("key", F.when(F.col("size") > BLOCK, F.col("main.label")).alias("main"), blocks(F.col("main.weight")).alias("of_main"), F.when(F.col("size") > BLOCK, blocks(F.col("size") - F.col("main.weight"))).otherwise(1).alias("of_others"))
+    rows = by_bucket(members, materialize(mixed, "mixed", compact=True))
+    inner = F.col("main").isNotNull() & (F.col("label") == F.col("main"))
+    hashed = F.xxhash64("node")
+    rows = rows.withColumn("block", F.when(inner, -1 - F.pmod(hashed, F.col("of_main"))).otherwise(F.pmod(hashed, F.col("of_others"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("of_others") - 1)
+    mains = F.when(F.col("main").isNull(), F.array().cast("array<int>")).otherwise(F.sequence(-F.col("of_main"), F.lit(-1)))
+    rows = rows.withColumn("other", F.explode(F.when(inner, others).otherwise(F.concat(mains, others))))
+    return rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "label", "n")
+
+
 class NearDuplicates:
     """The steps of one run; ``run`` gives the result."""
 
@@ -265,63 +292,68 @@ class NearDuplicates:
         self.fewest = fewest_equal(percent / 100)
 
     def run(self) -> DataFrame:
+        """One row per document: doc_id, fp (the text's hash), n_shingles, group (a node of its component; null without words), component_id, kept."""
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        sketches = materialize(self.docs.mapInArrow(_sketch(self.width), f"row bigint, doc_id {kind}, node bigint, check bigint, n bigint, sig binary, bands array<bigint>"), "sketches")
+        hashed = self.docs.withColumn("fp", F.xxhash64("text"))
+        sketches = materialize(hashed.mapInArrow(_sketch(self.width), f"row bigint, doc_id {kind}, fp bigint, node bigint, check bigint, n bigint, sig binary, bands array<bigint>"), "sketches")
         # One row stands for its set: found by hashed aggregates of numbers, so that signatures are shuffled once and not sorted.
         nodes = sketches.where("n > 0").groupBy("node", "check").agg(F.min("row").alias("row"), F.min("doc_id").alias("min_doc"), F.count(F.lit(1)).alias("copies"))
         self.nodes = materialize(sketches.select("row", "n", "sig", "bands").join(nodes.hint("shuffle_hash"), "row").drop("row", "check"), "nodes")
+        self.many = self.nodes.count()
         links = self._links()
-        labels = components(links) if links is not None else None
         classes = self.nodes.select("node", "min_doc", "copies")
-        if labels is None:
-            classes = classes.withColumn("component_id", F.col("min_doc"))
+        if links is None:
+            classes = classes.select("node", "copies", F.col("node").alias("group"), F.col("min_doc").alias("component_id"))
         else:
-            labelled = materialize(classes.join(labels, "node"), "labelled", compact=True)
-            least = labelled.groupBy("label").agg(F.min("min_doc").alias("component_id"))
-            found = labelled.join(least, "label").select("node", "component_id")
-            classes = classes.join(found, "node", "left").withColumn("component_id", F.coalesce("component_id", "min_doc"))
-        classes = materialize(classes.select("node", "copies", "component_id"), "classes", compact=True)
-        rows = sketches.select("doc_id", "node", F.col("n").alias("n_shingles"))
-        total = sketches.count()
-        joined = join_classes(rows.where("n_shingles > 0"), classes, "node", "copies", total).select("doc_id", "n_shingles", "component_id")
-        empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+            labelled = materialize(classes.join(components(links), "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label"), "labelled", compact=True)
+            least = labelled.groupBy("group").agg(F.min("min_doc").alias("component_id"), F.count(F.lit(1)).alias("members"))
+            classes = join_classes(labelled.select("node", "copies", "group"), least, "group", "members", self.many).select("node", "copies", "group", "component_id")
+        classes = materialize(classes, "classes", compact=True)
+        rows = sketches.select("doc_id", "fp", "node", F.col("n").alias("n_shingles"))
+        columns = ["doc_id", "fp", "n_shingles", "group", "component_id"]
+        joined = join_classes(rows.where("n_shingles > 0"), classes, "node", "copies", sketches.count()).select(*columns)
+        empty = rows.where("n_shingles = 0").select("doc_id", "fp", "n_shingles", F.lit(None).cast("bigint").alias("group"), F.col("doc_id").alias("component_id"))
         return joined.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
     def _links(self) -> DataFrame | None:
         """Confirmed links (a, b) between nodes that span every component."""
         banded = self.nodes.select("node", F.explode("bands").alias("key"))
-        maps, bits = duplicate_bitmap(banded, "key", max(1, self.nodes.count() * BANDS))
-        shared = in_filter(banded, "key", materialize(maps, "shared", compact=True), bits)
-        sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        self.buckets = materialize(shared.join(sizes, "key"), "buckets", compact=True)
+        maps, bits = duplicate_bitmap(banded, "key", max(1, self.many * BANDS))
+        shared = materialize(in_filter(banded, "key", materialize(maps, "shared", compact=True), bits), "suspects", compact=True)
+        sizes = materialize(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes", compact=True)
+        self.sized = sizes
+        self.total = shared.count()
+        self.buckets = materialize(self._by_bucket(shared, sizes), "buckets", compact=True)
+        discard(shared)
         if self.buckets.isEmpty():
             return None
         links = self._confirm(self._hub_pairs())
         return links.unionByName(self._joining_links(components(links)))
 
+    def _by_bucket(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """Inner join by key with a row a bucket, that has its size m; a bucket may hold most rows."""
+        return join_classes(rows, classes, "key", "m", self.total).where("m is not null")
+
     def _hub_pairs(self) -> DataFrame:
         """Each member with its bucket's hub, if their signatures are alike."""
         degrees = self.buckets.groupBy("node").agg(F.sum("m").alias("degree"))
-        hubs = self.buckets.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
-        met = self.buckets.join(hubs, "key").where("node != hub")
-        pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        sigs = self.nodes.select("node", "sig", "n")
+        tops = self.buckets.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("top"), F.max("m").alias("m"))
+        hubs = materialize(tops.select("key", F.col("top.node").alias("hub"), "m"), "hubs", compact=True)
+        met = self._by_bucket(self.buckets.drop("m"), hubs).where("node != hub")
+        pairs = materialize(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "met", compact=True)
+        sigs, both = self.nodes.select("node", "sig", "n"), pairs
         for side in "ab":
-            pairs = pairs.join(sigs.toDF(side, f"sig_{side}", f"n_{side}"), side)
+            both = salted_join(both, sigs.toDF(side, f"sig_{side}", f"n_{side}"), side, pairs)
         fits = F.expr(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
-        return materialize(pairs.where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(self.fewest), "a bigint, b bigint"), "pairs", compact=True)
+        return materialize(both.where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(self.fewest), "a bigint, b bigint"), "pairs", compact=True)
 
     def _joining_links(self, labels: DataFrame) -> DataFrame:
         """Links across components in buckets that hold several."""
         members = self.buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         members = materialize(members.join(self.nodes.select("node", "n"), "node"), "members", compact=True)
-        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.col("n") + MEMBER).alias("size"))
-        mixed = mixed.where("low != high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        rows = members.join(mixed, "key").join(self.nodes.select("node", "sig"), "node")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt_members(members, lambda rows, buckets: self._by_bucket(rows, buckets.join(self.sized, "key")).drop("m"))
         columns = [*_GROUP, "block", "node", "label", "n", "sig"]
-        rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), *columns[3:])
+        rows = dealt.join(self.nodes.select("node", "sig"), "node").select(*columns)
         schema = "key bigint, x int, y int, block int, node bigint, label bigint, n bigint, sig binary"
         active = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_active(self.fewest, self.percent), schema)
         active = materialize(active, "active", compact=True)
@@ -349,17 +381,26 @@ class NearDuplicates:
     def _confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough, by whole numbers."""
         sets = self._sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
-        both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+        both = pairs
+        for side in "ba":
+            both = salted_join(both, sets.toDF(side, f"set_{side}"), side, pairs)
         common = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("bigint").alias("i"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("s"))
         return materialize(common.where(F.expr(f"100 * i >= {self.percent} * (s - i)")).select("a", "b"), "confirmed", compact=True)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: its set's size, the least doc_id it is linked to, and whether that is its own."""
-    return NearDuplicates(docs, width, percent).run()
+    return NearDuplicates(docs, width, percent).run().drop("fp", "group")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, of which each group of near-duplicates keeps one."""
-    found = materialize(near_duplicates(docs, width, percent), "near")
-    return drop_documents(docs, found.where("not kept").select("doc_id"))
+    """The rows of ``docs``, columns unchanged, of which each group of near-duplicates keeps one.
+
+    It is a row of the least doc_id; of several such rows one of the text with the least hash.
+    """
+    found = materialize(NearDuplicates(docs, width, percent).run().select(F.struct("doc_id", "fp").alias("key"), "group", "kept", F.col("n_shingles").alias("n")), "near")
+    kept = found.where("kept and n > 0")
+    groups = kept.groupBy("group").agg(F.min("key.fp").alias("fp"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    several = materialize(kept.join(groups, "group").groupBy("key", (F.col("key.fp") != F.col("fp")).alias("goes")).agg(F.count(F.lit(1)).alias("rows")), "several", compact=True)
+    dropped = found.where("not kept").select("key").unionByName(several.where("goes").select("key"))
+    return drop_rows(docs, F.struct("doc_id", F.xxhash64("text").alias("fp")), dropped, several.where("not goes and rows > 1").select("key"))

@@ -7,8 +7,11 @@ cut to fill the roomiest sequence, and its rest takes its turn by length.
 
 A block has as many sequences as its tokens fill; what is left over becomes
 sequences of powers of two, which need no padding.  So every sequence is full.
-Null text is empty and still has its end token.  Repeated rows are packed as
-separate documents; other columns are ignored; an empty table gives no pieces.
+Null text is empty and still has its end token.  Texts of any length are encoded
+whole; of documents of equal length the later one in the block is placed first.
+Which pieces and sequences there are depends on how the input is partitioned; all ids
+are in them once in any case.  Repeated rows are packed as separate documents; other
+columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Rows with equal keys always share a shard.  A null key is a key of its own.
 Repeated rows are kept and get slots of their own; an empty table gives an
-empty result; columns other than the key pass through untouched.
+empty result; columns other than the key pass through untouched, whatever their
+names.  Texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -45,13 +46,15 @@ def jump_shards(df: DataFrame, key: Column, shards: int, shard: str = "shard", g
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    df = df.withColumn("_key", F.coalesce(key.cast("bigint"), F.lit(-1)))
-    hi, lo = "shiftrightunsigned(_key, 32)", "_key & 4294967295"
-    df = df.withColumn("_jump", F.expr(_jumps(hi, lo, shards, min(_JUMPS, shards + 1))))
+    hashed = "__key" + "_" * max(map(len, df.columns), default=0)  # longer than any name there is
+    jump = "__jump" + hashed
+    df = df.withColumn(hashed, F.coalesce(key.cast("bigint"), F.lit(-1)))
+    hi, lo = f"shiftrightunsigned({hashed}, 32)", f"{hashed} & 4294967295"
+    df = df.withColumn(jump, F.expr(_jumps(hi, lo, shards, min(_JUMPS, shards + 1))))
     if shards + 1 > _JUMPS:
-        df = df.withColumn("_jump", F.expr(f"if(_jump.j > {shards}, _jump, {_jumps(hi, lo, shards, shards + 1)})"))
-    own = F.when(F.col("_jump.b") < shards, F.col("_jump.b")).otherwise(F.col("_jump.was"))
-    return df.withColumn(shard, own.cast("int")).withColumn(grown, F.col("_jump.b").cast("int")).drop("_key", "_jump")
+        df = df.withColumn(jump, F.expr(f"if({jump}.j > {shards}, {jump}, {_jumps(hi, lo, shards, shards + 1)})"))
+    own = F.when(F.col(f"{jump}.b") < shards, F.col(f"{jump}.b")).otherwise(F.col(f"{jump}.was"))
+    return df.withColumn(shard, own.cast("int")).withColumn(grown, F.col(f"{jump}.b").cast("int")).drop(hashed, jump)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:

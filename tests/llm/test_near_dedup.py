@@ -83,6 +83,40 @@ def test_drop_keeps_columns(docs):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
+def test_rows_and_not_ids_are_dropped(spark):
+    words = [f"w{k}" for k in range(40)]
+    x, y, z = (" ".join(w) for w in (words, reversed(words), words[::2]))
+    rows = [(1, x), (5, x), (5, y), (7, z), (7, z), (8, y + " w"), (9, None), (9, None), (3, x.upper()), (1, x)]
+    left = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 5, 80).collect()
+    assert sorted((r.doc_id, r.text or "") for r in left) == sorted([(1, x), (5, y), (7, z), (9, ""), (9, "")])
+    # Two texts of one doc_id that are near copies of each other: one stays.
+    twins = [(1, x), (1, x + " end"), (2, y)]
+    left = N.drop_near_duplicates(spark.createDataFrame(twins, "doc_id bigint, text string"), 5, 80).collect()
+    assert sorted(r.doc_id for r in left) == [1, 2]
+
+
+def test_a_large_mixed_bucket_is_written_about_once(spark):
+    """A hundred thousand members of one component and three others: no replication by the number of blocks."""
+    members = spark.range(100_003).selectExpr("1L as key", "id as node", "if(id < 100000, 0L, id) as label", "300L as n")
+    dealt = N.dealt_members(members, lambda rows, buckets: rows.join(buckets, "key")).cache()
+    blocks = -(-100_000 * (300 + N.MEMBER) // N.BLOCK)
+    assert blocks > 100 and dealt.count() == 100_000 + 3 * (blocks + 1)
+    met = dealt.where("node >= 100000").groupBy("x", "y").count()
+    assert met.count() == blocks + 1 and dealt.groupBy("x", "y").count().agg({"count": "max"}).head()[0] < 3 * N.BLOCK // N.MEMBER
+
+
+def test_dealt_members_of_other_components_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 2000)
+    members = spark.range(120).selectExpr("id % 2 as key", "id as node", "case when id < 70 then 0L when id < 80 then 70L else id end as label", "id as n")
+    rows = N.dealt_members(members, lambda rows, buckets: rows.join(buckets, "key")).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.key, r.x, r.y), []).append(r)
+    met = {(a.node, b.node) for g in groups.values() for a in g for b in g if a.label != b.label and (a.x == a.y or a.block != b.block)}
+    label = {r.node: (r.key, r.label) for r in rows}
+    assert met == {(a, b) for a in label for b in label if label[a][0] == label[b][0] and label[a][1] != label[b][1]}
+
+
 def test_estimates_are_corrected_for_chance():
     rng = np.random.default_rng(0)
     for j in (0.3, 0.8, 0.95):

@@ -68,7 +68,7 @@ def test_exact_duplicates(docs):
         assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (keep[t], sizes[t], keep[t] == r.doc_id, hashlib.sha256(t.encode()).hexdigest())
     left = exact_dedup.drop_exact_duplicates(docs)
     assert left.columns == docs.columns
-    assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, t in given if keep[t] == i)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(keep.values())
 
 
 def test_one_text_in_most_rows(spark):
@@ -136,3 +136,27 @@ def test_a_copy_leaves_other_texts_of_its_doc_id(spark):
     left = drop_exact_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert left.columns == ["doc_id", "text"]
     assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, "alone"), (2, "copy"), (4, ""), (None, "own")], key=str)
+
+
+def test_rows_and_not_ids_are_dropped(spark):
+    """A doc_id may stand on several rows: no text is lost, and of whole twins one stays."""
+    rows = [(1, "a", "p"), (5, "a", "q"), (1, "b", "r"), (7, "t", "s"), (7, "t", "s"), (8, None, "u"), (8, "", "v"), (None, "n", "w"), (None, "n", "w"), (9, "t", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __row string").repartition(3)
+    left = exact_dedup.drop_exact_duplicates(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert len(got) == 5 and got[:2] == [(1, "b"), (5, "a")] and (9, "t") in got and (None, "n") in got and {i for i, t in got if not t} == {8}
+    many = spark.range(4000).selectExpr("7L as doc_id", "if(id % 2 = 0, 'twin', concat('other', id)) as text").repartition(5)
+    assert exact_dedup.drop_exact_duplicates(many).count() == 2001
+
+
+@pytest.mark.parametrize("n,shift", [(0, 0), (0, 9), (1, 0), (1, 40), (1000, 3), (1000, 12)])
+def test_golomb_round_trip(n, shift):
+    values = np.sort(np.random.default_rng(n).integers(0, 1 << 14, n, dtype=np.uint64))
+    assert (exact_dedup.golomb_decode(exact_dedup.golomb_encode(values, shift), n, shift) == values).all()
+
+
+def test_columns_of_any_name_pass_sharding(spark):
+    df = spark.createDataFrame([(1, "k", 2.5, "j")], "doc_id bigint, _key string, _jump double, __key___ string")
+    (row,) = sharding.jump_shards(df, F.col("doc_id"), 24).collect()
+    assert (row._key, row._jump, row["__key___"], row.shard) == ("k", 2.5, "j", jump(1, 24))
