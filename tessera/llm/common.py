@@ -96,8 +96,8 @@ atexit.register(remove_scratch)
 # Joins and ordered offsets
 # --------------------------------------------------------------------------
 
-#: A class that holds over 1/HOT_SHARE of all rows is hot; there are at most HOT_SHARE of them.
-HOT_SHARE = 1000
+#: A class that holds over 1/HOT_SHARE of all rows, and LEAST_HOT rows, is hot; there are at most HOT_SHARE of them.
+HOT_SHARE, LEAST_HOT = 1000, 100
 
 
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -107,7 +107,7 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, weight: str, tot
     broadcasting them has a proven bound and their rows aren't shuffled; the
     others are joined by an ordinary shuffle in which no key is large.
     """
-    limit = F.lit(max(total // HOT_SHARE, 100))
+    limit = F.lit(max(total // HOT_SHARE, LEAST_HOT))
     hot = classes.where(F.col(weight) > limit)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.where(F.col(weight) <= limit), key, "left")
     return rows.join(F.broadcast(hot), key).unionByName(rest)
@@ -124,7 +124,7 @@ def salted_join(rows: DataFrame, wide: DataFrame, key: str, counted: DataFrame |
     """
     counted = rows if counted is None else counted
     counts = materialize(counted.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")), "salts", compact=True)
-    limit = max((counts.agg(F.sum("__n")).head()[0] or 0) // HOT_SHARE, 100)
+    limit = max((counts.agg(F.sum("__n")).head()[0] or 0) // HOT_SHARE, LEAST_HOT)
     hot = counts.where(F.col("__n") > limit).select(F.col(key), F.ceil(F.col("__n") / limit).cast("int").alias("__salts"))
     salt = F.pmod(F.xxhash64(*counted.columns), F.col("__salts")).cast("int")
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__salts") > 1, salt).otherwise(0)).drop("__salts")

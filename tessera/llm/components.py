@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars.
 
-Each round is two grouped minima and two joins on node; nothing goes to the driver
-but two numbers that tell whether the links still change.
+Each round is two grouped minima and two joins on node, in which a node that holds
+many rows (the middle of a star) is dealt out; nothing goes to the driver but numbers
+that tell whether the links still change and how many rows a node holds at most.
 """
 
 from __future__ import annotations
@@ -9,17 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, join_classes, materialize
+from tessera.llm.common import HOT_SHARE, LEAST_HOT, discard, join_classes, materialize
+
+
+def _met(rows: DataFrame, classes: DataFrame, many: int) -> DataFrame:
+    """Inner join on u with a row (u, m, n) of each node, where n of the rows are the node's; no node is in one task with more than its share."""
+    made = materialize(classes, "nodes", compact=True)
+    most = made.agg(F.max("n")).head()[0] or 0
+    # Where no node holds many rows, an ordinary join is one; both ways give the same rows.
+    joined = rows.join(made, "u") if most <= max(many // HOT_SHARE, LEAST_HOT) else join_classes(rows, made, "u", "n", many)
+    return joined.drop("n")
 
 
 def _stars(links: DataFrame, many: int) -> DataFrame:
-    """One round over ``many`` links (u, v), u > v; a node may hold most links."""
+    """One round over ``many`` links (u, v), u > v."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    large = join_classes(both, least, "u", "n", 2 * many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = _met(both, least, 2 * many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = materialize(large, "large", compact=True)
     roots = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = join_classes(large, roots, "u", "n", many).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(roots.select("u", F.col("m").alias("v"))).distinct()
+    moved = _met(large, roots, many).select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+    return moved.distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -227,7 +227,7 @@ def _active(fewest: int, percent: int):
 
 
 def _join_components(fewest: int, percent: int):
-    """Rows with ``shingles`` by group, to links (a, b) that join its components: a spanning forest, on full sets."""
+    """Rows with ``shingles`` by group, to links (a, b) of the labels of its components: a spanning forest, on full sets."""
 
     def links(group: pa.Table) -> list[tuple[int, int]]:
         words, n, label, block = _columns(group)
@@ -248,7 +248,7 @@ def _join_components(fewest: int, percent: int):
             linked = others[100 * common >= percent * (lengths + len(own) - common)]
             for j in linked[np.argsort(linked)]:
                 if roots[i] != roots[j]:
-                    found.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                    found.append((int(min(label[i], label[j])), int(max(label[i], label[j]))))
                     roots[roots == roots[j]] = roots[i]
         return found
 
@@ -300,13 +300,14 @@ class NearDuplicates:
         nodes = sketches.where("n > 0").groupBy("node", "check").agg(F.min("row").alias("row"), F.min("doc_id").alias("min_doc"), F.count(F.lit(1)).alias("copies"))
         self.nodes = materialize(sketches.select("row", "n", "sig", "bands").join(nodes.hint("shuffle_hash"), "row").drop("row", "check"), "nodes")
         self.many = self.nodes.count()
-        links = self._links()
+        links = self._labels()
         classes = self.nodes.select("node", "min_doc", "copies")
         if links is None:
             classes = classes.select("node", "copies", F.col("node").alias("group"), F.col("min_doc").alias("component_id"))
         else:
-            labelled = materialize(classes.join(components(links), "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label"), "labelled", compact=True)
+            labelled = materialize(classes.join(links, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label"), "labelled", compact=True)
             least = labelled.groupBy("group").agg(F.min("min_doc").alias("component_id"), F.count(F.lit(1)).alias("members"))
+            least = materialize(least, "least", compact=True)
             classes = join_classes(labelled.select("node", "copies", "group"), least, "group", "members", self.many).select("node", "copies", "group", "component_id")
         classes = materialize(classes, "classes", compact=True)
         rows = sketches.select("doc_id", "fp", "node", F.col("n").alias("n_shingles"))
@@ -315,8 +316,8 @@ class NearDuplicates:
         empty = rows.where("n_shingles = 0").select("doc_id", "fp", "n_shingles", F.lit(None).cast("bigint").alias("group"), F.col("doc_id").alias("component_id"))
         return joined.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
-    def _links(self) -> DataFrame | None:
-        """Confirmed links (a, b) between nodes that span every component."""
+    def _labels(self) -> DataFrame | None:
+        """(node, label) of the nodes that have links."""
         banded = self.nodes.select("node", F.explode("bands").alias("key"))
         maps, bits = duplicate_bitmap(banded, "key", max(1, self.many * BANDS))
         shared = materialize(in_filter(banded, "key", materialize(maps, "shared", compact=True), bits), "suspects", compact=True)
@@ -327,8 +328,11 @@ class NearDuplicates:
         discard(shared)
         if self.buckets.isEmpty():
             return None
-        links = self._confirm(self._hub_pairs())
-        return links.unionByName(self._joining_links(components(links)))
+        first = materialize(components(self._confirm(self._hub_pairs())), "first", compact=True)
+        # Links that join components are links of their labels: far fewer than nodes.
+        second = components(self._joining_links(first))
+        both = first.unionByName(second.join(first, "node", "left_anti").select("node", F.col("node").alias("label")))
+        return both.join(second.toDF("label", "joined"), "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
 
     def _by_bucket(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
         """Inner join by key with a row a bucket, that has its size m; a bucket may hold most rows."""
@@ -348,7 +352,7 @@ class NearDuplicates:
         return materialize(both.where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(self.fewest), "a bigint, b bigint"), "pairs", compact=True)
 
     def _joining_links(self, labels: DataFrame) -> DataFrame:
-        """Links across components in buckets that hold several."""
+        """Links (a, b) of components, by label, in buckets that hold several."""
         members = self.buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         members = materialize(members.join(self.nodes.select("node", "n"), "node"), "members", compact=True)
         dealt = dealt_members(members, lambda rows, buckets: self._by_bucket(rows, buckets.join(self.sized, "key")).drop("m"))
