@@ -39,7 +39,7 @@ ONCE, TWICE = 1.0, 1.5
 #: Share of toxic words in a toxic text, that such a text has at least.
 SHARE = 0.003
 #: Documents and bytes of text of each class to learn from; words whose likelihoods a worker remembers.
-PER_CLASS, MOST_BYTES, MOST_WORDS = 4000, 24 << 20, 300_000
+PER_CLASS, MOST_BYTES, MOST_WORDS = 3000, 12 << 20, 300_000
 
 #: Letters and digits, lower-cased, and non-ASCII bytes make words; all else parts them.
 _KEEP = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)], np.uint8)
