@@ -257,54 +257,58 @@ def edited_files(writes: DataFrame) -> DataFrame:
 # -- unified diffs -----------------------------------------------------------
 
 
-def apply_sections(lines: list[str] | None, section: str) -> tuple[list[str], int, bool]:
-    """L-P6: one file's diff on its lines: the lines, hunks whose old text differs, whether it creates the file.
+HUNK = r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@"
 
-    Hunks are applied from the last to the first, so earlier line numbers stay right.
+
+def apply_diff(lines: Column, section: Column) -> Column:
+    """L-P6: a file's lines after one file's diff: the struct (lines, differ: hunks whose old text differs, created).
+
+    The diff is parsed into an array of hunks (first line, old lines, new lines), which are
+    laid over the lines from the last to the first, so that earlier line numbers stay right.
     """
-    import re
-
-    created = re.search(r"(?m)^--- /dev/null$", section) is not None
-    out = [] if created or lines is None else list(lines)
-    heads = list(re.finditer(r"(?m)^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", section))
-    ends = [h.start() for h in heads[1:]] + [len(section)]
-    differ = 0
-    for head, end in reversed(list(zip(heads, ends, strict=True))):
-        body = [x for x in section[head.end() : end].split("\n")[1:] if not x.startswith("\\")]
-        old = [x[1:] for x in body if x[:1] in ("-", " ", "")]
-        new = [x[1:] for x in body if x[:1] in ("+", " ", "")]
-        at, n = max(int(head[1]) - 1, 0), 1 if head[2] is None else int(head[2])
-        differ += bool(n and out[at : at + n] != old)
-        out[at : at + n] = new
-    return out, differ, created
+
+    def hunk(text: Column) -> Column:
+        body = F.filter(F.slice(F.split(text, "\n"), 2, F.length(text) + 1), lambda x: ~F.startswith(x, F.lit("\\")))
+        side = lambda sign: F.transform(F.filter(body, lambda x: F.substr(x, F.lit(1), F.lit(1)).isin(sign, " ", "")), lambda x: F.substr(x, F.lit(2)))
+        many = F.regexp_extract(text, HUNK, 2)
+        first = F.greatest(F.regexp_extract(text, HUNK, 1).cast("int") - 1, F.lit(0))
+        return F.struct(first.alias("at"), F.when(many == "", 1).otherwise(many.cast("int")).alias("n"), side("-").alias("old"), side("+").alias("new"))
+
+    def lay(state: Column, h: Column) -> Column:
+        had = F.slice(state["lines"], h["at"] + 1, h["n"])
+        rest = F.slice(state["lines"], h["at"] + h["n"] + 1, F.size(state["lines"]) + 1)
+        return F.struct(F.concat(F.slice(state["lines"], F.lit(1), h["at"]), h["new"], rest).alias("lines"), (state["differ"] + F.when((h["n"] > 0) & (had != h["old"]), 1).otherwise(0)).alias("differ"))
+
+    created = section.rlike(r"(?md)^--- /dev/null$")
+    hunks = F.transform(F.filter(F.split(section, "(?md)(?=" + HUNK + ")"), lambda x: x.rlike(HUNK)), hunk)
+    none = F.array().cast("array<string>")
+    start = F.struct(F.when(created | lines.isNull(), none).otherwise(lines).alias("lines"), F.lit(0).alias("differ"))
+    end = F.aggregate(F.reverse(hunks), start, lay)
+    return F.struct(end["lines"].alias("lines"), end["differ"].alias("differ"), created.alias("created"))
 
 
 def patched_files(writes: DataFrame) -> DataFrame:
-    """L-P6, UD1, W16: files of the plain dialect, replayed from full writes and diffs, one group a file."""
-    import pandas as pd
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        rows = rows.sort_values(["line", "n"])
-        path, lines, differ, opaque, made = rows["path"].iloc[0], None, 0, 0, False
-        for event, text in zip(rows["event"], rows["text"], strict=True):
-            if event == "W":
-                lines, differ, opaque, made = text.split("\n"), 0, 0, True
-            elif event == "P":
-                heads = list(re.finditer(r"(?m)^diff --git a/(.+?) b/(.+?)$", text))
-                ends = [h.start() for h in heads[1:]] + [len(text)]
-                own = [text[h.start() : e] for h, e in zip(heads, ends, strict=True) if h[2] == path]
-                if own:  # a diff is printed twice; the last counts
-                    lines, more, new = apply_sections(lines, own[-1])
-                    differ, made = differ + more, made or new
-            else:
-                opaque += 1
-        confidence = "unavailable" if lines is None else "exact" if made and not differ and not opaque else "partial"
-        return pd.DataFrame([[rows["log_id"].iloc[0], path, "" if lines is None else "\n".join(lines), confidence, differ, opaque]], columns=["log_id", "path", "text", "confidence", "mismatches", "opaque"])
-
-    flat = writes.where(F.col("event").isin("W", "P", "S")).select("log_id", "path", F.col("seq.line").alias("line"), "n", "event", "text")
-    return flat.groupBy("log_id", "path").applyInPandas(replay, "log_id string, path string, text string, confidence string, mismatches int, opaque int")
+    """L-P6, UD1, W16: files of the plain dialect after their full writes and diffs: a fold over a file's events, one row a file, in the JVM."""
+    rows = writes.where(F.col("event").isin("W", "P", "S"))
+    header = DIFF_HEADER.removeprefix("(?md)")
+    sections = F.filter(F.split("text", "(?md)(?=" + header + ")"), lambda x: F.regexp_extract(x, r"\A(?md)" + header, 2) == F.col("path"))
+    last = F.when(F.size(sections) > 0, F.element_at(sections, -1))  # a diff is printed twice; the last one counts
+    item = F.struct(F.struct(F.col("seq.line").alias("line"), "n").alias("at"), "event", F.when(F.col("event") == "P", last).otherwise(F.col("text")).alias("text"))
+    files = rows.select("log_id", "path", item.alias("item")).groupBy("log_id", "path").agg(F.array_sort(F.collect_list("item")).alias("steps"))
+    state = lambda lines, differ, opaque, made: F.struct(lines.alias("lines"), differ.alias("differ"), opaque.alias("opaque"), made.alias("made"))
+    zero, no = F.lit(0), F.lit(False)
+
+    def step(was: Column, e: Column) -> Column:
+        laid = apply_diff(was["lines"], e["text"])
+        patched = state(laid["lines"], was["differ"] + laid["differ"], was["opaque"], was["made"] | laid["created"])
+        blind = state(was["lines"], was["differ"], was["opaque"] + 1, was["made"])
+        return F.when(e["event"] == "W", state(F.split(e["text"], "\n"), zero, zero, F.lit(True))).when(e["event"] == "S", blind).when(e["text"].isNull(), was).otherwise(patched)
+
+    end = F.aggregate("steps", state(F.lit(None).cast("array<string>"), zero, zero, no), step)
+    d = files.withColumn("end", end)
+    exact = F.col("end.made") & (F.col("end.differ") == 0) & (F.col("end.opaque") == 0)
+    confidence = F.when(F.col("end.lines").isNull(), "unavailable").when(exact, "exact").otherwise("partial")
+    return d.select("log_id", "path", F.coalesce(F.array_join("end.lines", "\n"), F.lit("")).alias("text"), confidence.alias("confidence"), F.col("end.differ").alias("mismatches"), F.col("end.opaque").alias("opaque"))
 
 
 def failure_status(logs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries over literal logs and analyses, whose grammars no driver table has.
 
-SQL can't express the parsers; tests hold them against results worked out by hand.
+SQL can't express the parsers; each query's SQL is the result worked out by hand.
 """
 
 from __future__ import annotations
@@ -8,11 +8,25 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.functions import replies
 from tessera.operators import documents as D
 from tessera.operators import logs as L
+from tessera.operators import predicates as P
 from tessera.registry import query
 
+
+def rows(columns: str, *values: tuple) -> str:
+    """SQL for literal rows."""
+
+    def one(x) -> str:
+        if x is None or isinstance(x, bool):
+            return {None: "NULL", True: "true", False: "false"}[x]
+        return f"{x!r}::DOUBLE" if isinstance(x, float) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in values)}) v({columns})"
+
 _USE = {"type": "assistant", "message": {"content": [{"type": "text", "text": "look"}, {"type": "tool_use", "id": "a", "name": "Bash", "input": {"command": "ls"}}, {"type": "tool_use", "id": "b", "name": "Write", "input": {"file_path": "x.py", "content": "one two"}}, {"type": "tool_use", "id": "c", "name": "Edit", "input": {"file_path": "x.py", "old_string": "two", "new_string": "2"}}, {"type": "tool_use", "id": "d", "name": "WebSearch", "input": {"query": "q"}}]}}
 _RESULT = {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "a", "content": [{"text": "p"}, {"text": "q"}]}]}}
 _DIFF = "diff --git a/f.py b/f.py\n--- /dev/null\n+++ b/f.py\n@@ -0,0 +1,2 @@\n+a\n+b"
@@ -32,46 +46,142 @@ def events(spark: SparkSession) -> DataFrame:
     return L.tool_events(spark.createDataFrame(LOGS, "log_id string, body string"))
 
 
-@query("L_P1_J4_J5_tool_events")
+@query("L_P1_J4_J5_tool_events", rows(
+    "log_id, line, pos, kind, name, params, result, uid, dialect",
+    ("claude", 0, 0, "text", "", "{}", "look", None, "claude"),
+    ("claude", 0, 1, "tool", "Bash", '{"command":"ls"}', "p q", "a", "claude"),
+    ("claude", 0, 2, "tool", "Write", '{"content":"one two","file_path":"x.py"}', "", "b", "claude"),
+    ("claude", 0, 3, "tool", "Edit", '{"file_path":"x.py","new_string":"2","old_string":"two"}', "", "c", "claude"),
+    ("claude", 0, 4, "tool", "WebSearch", '{"query":"q"}', "", "d", "claude"),
+    ("codex", 0, 0, "tool", "exec", """{"command":"bash -lc 'echo 1 > out.log'","cwd":"/w","_status":"succeeded","_dur":"5ms"}""", "ok", "c0000", "codex"),
+    ("codex", 1, 0, "tool", "apply_patch", '{"paths":["f.py"],"_status":"completed"}', "patch: completed\nf.py\n" + _DIFF, "c0001", "codex"),
+    ("codex2", 1, 0, "tool", "command_execution", '{"command":"curl http://a.b"}', "x", "i", "codex2"),
+    ("codex2", 2, 0, "text", "agent_message", "{}", "done", "j", "codex2"),
+    ("gemini", 1, 0, "text", "", "{}", "ab", None, "gemini"),
+    ("gemini", 2, 0, "tool", "web_fetch", '{"prompt":"https://e.org/x"}', "page", "1", "gemini"),
+    ("prose", 0, 0, "tool", "run_shell_command", '{"command":"ls"}', "out", "gem-0", "gemini"),
+))
 def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark).select("log_id", "seq.line", "seq.pos", "kind", "name", "params", "result", "uid", "dialect")
 
 
-@query("W1_F31_F32_timelines")
+@query("W1_F31_F32_timelines", rows(
+    "log_id, idx, name, shown",
+    ("claude", 0, "Bash", "ls"), ("claude", 1, "Write", "x.py"), ("claude", 2, "Edit", "x.py"), ("claude", 3, "WebSearch", "q"),
+    ("codex", 0, "exec", "bash -lc 'echo 1 > out.log'"), ("codex", 1, "apply_patch", "f.py"), ("codex2", 0, "command_execution", "curl http://a.b"),
+    ("gemini", 0, "web_fetch", "https://e.org/x"), ("prose", 0, "run_shell_command", "ls"),
+))
 def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.timeline(events(spark))
 
 
-@query("L_P2_W3_texts")
+@query("L_P2_W3_texts", rows("log_id, text", ("claude", "look"), ("codex2", "done"), ("gemini", "ab")))
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.assistant_text(events(spark))
 
 
-@query("L_P3_W15_written_paths")
+@query("L_P3_W15_written_paths", rows("log_id, path, channels", ("claude", "x.py", "Edit Write"), ("codex", "f.py", "apply_patch"), ("codex", "out.log", "shell:redirect")))
 def written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.written_paths(L.write_events(events(spark))).drop("first")
+    return L.written_paths(L.write_events(events(spark))).select("log_id", "path", F.array_join("channels", " ").alias("channels"))
 
 
-@query("L_P4_F28_F29_searches")
+@query("L_P4_F28_F29_searches", rows("log_id, kind, query, result", ("claude", "WebSearch", "q", ""), ("codex2", "exec:net", "http://a.b", "x"), ("gemini", "web_fetch", "https://e.org/x", "page")))
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.search_returns(events(spark)).drop("seq")
 
 
-@query("L_P7_W7_edited_files")
+@query("L_P7_W7_edited_files", rows("log_id, path, text, confidence, unmatched, channels", ("claude", "x.py", "one 2", "exact", 0, "Edit Write")))
 def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.edited_files(L.write_events(events(spark)))
+    return L.edited_files(L.write_events(events(spark))).withColumn("channels", F.array_join("channels", " "))
 
 
-@query("L_P6_UD1_patched_files")
+@query("L_P6_UD1_W16_patched_files", rows("log_id, path, text, confidence, mismatches, opaque", ("codex", "f.py", "a\nb", "exact", 0, 0), ("codex", "out.log", "", "unavailable", 0, 1)))
 def patched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.patched_files(L.write_events(events(spark).where("dialect = 'codex'")))
 
 
-@query("T2_classification_gate")
+_BLOCKS = "OpenAI Codex v1\nexec\nbash -lc 'ls' in /w\n succeeded in 12ms:\nok\n\nexec\nbash -lc 'x' in /w\n exited 1 in 1.5s:\nerr\n succeeded in 3ms:\nlate\napply patch\npatch: completed\nf.py\n" + _DIFF
+
+
+@query("L_P5_codex_blocks", rows("log_id, idx, kind, cwd, status, dur, extra_results", ("k", 0, "exec", "/w", "succeeded", "12ms", 0), ("k", 1, "exec", "/w", "exited 1", "1.5s", 1), ("k", 2, "patch", "", "completed", "", 0)))
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.codex_blocks(spark.createDataFrame([("k", _BLOCKS)], "log_id string, body string")).select("log_id", F.col("idx").cast("int").alias("idx"), "kind", "cwd", "status", "dur", F.col("extra_results").cast("int").alias("extra_results"))
+
+
+@query("L_P9_S6_failure_status", rows("log_id, status", ("a", "529"), ("b", None)))
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = lambda *x: "\n".join(map(json.dumps, x))
+    logs = [("a", lines({"type": "result", "api_error_status": "400"}, {"type": "result", "api_error_status": "529"}) + "\n{broken\n\n"), ("b", "banner\n" + lines({"type": "result"})), ("c", "")]
+    return L.failure_status(spark.createDataFrame(logs, "log_id string, body string"))
+
+
+@query("T2_classification_gate", rows(
+    "path, n_labels, codes, problems, ok",
+    ("broken", 0, "", "invalid JSON", False),
+    ("good", 1, "A.1", "", True),
+    ("quiet", 0, "", "no hits/partials but a severity is given (expected 'none')", False),
+    ("wrong", 1, "", "partials is not a list; hits[0] invalid code Z.9; no hits/partials but a severity is given (expected 'none')", False),
+))
 def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.classification_gate(spark.createDataFrame(CLASSIFICATIONS, "path string, body string"))
+    gate = D.classification_gate(spark.createDataFrame(CLASSIFICATIONS, "path string, body string"))
+    return gate.withColumns({c: F.array_join(c, "; ") for c in ("codes", "problems")})
 
 
-@query("T1_document_gate")
+_ABSENT = ["Metadata", "Trajectory Arc", "Credit Due"]
+_LATER = ["B. Retrieval & Synthesis", "C. Execution & Implementation", "D. Analysis & Interpretation", "E. Writing & Documentation", "F. Self-Verification & Review", "X. Cross-Stage Dynamics", "Sentence-by-Sentence Checklist", "Numerical Grounding Notes", "Retraction / Correction Log", "One-Line Verdict"]
+_missing = lambda *names: [f"missing section:{n}" for n in names]
+_NONE = ["too short: 0 < 16000", "too few issues: 0 < 28", "chars/issue 0 < 300", *_missing("Core Verdict", *_ABSENT, "A. Ideation & Planning", *_LATER), "too few verifiable anchors: 0 < 300", "only 0% of issues carry a verifiable anchor (<85%)", "only 0 verbatim-traceable quotes < 8", "only 0% of issues carry a well-formed [stage | root cause] trailer (<85%)"]
+_THIN = ["too short: 101 < 9600", "too few issues: 1 < 16", "chars/issue 101 < 300", "section too short:Core Verdict 11 < 510", *_missing(*_ABSENT), "section too short:A. Ideation & Planning 50 < 456", "section too few issues:A. Ideation & Planning 1 < 2", *_missing(*_LATER), "1/1 issues under 100 chars (100% > 5%)", "thin-issue share 100% > 28%", "too few verifiable anchors: 3 < 180"]
+
+
+@query("T1_document_gate", rows(
+    "path, thin, chars, issues, stars, ratio, n_segs, tiny, short, anchors, anchored, labelled, duplicate, quotes, copied, problems, ok",
+    ("none", False, 0, 0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0.0, 0, 0.0, "; ".join(_NONE), False),
+    ("thin", True, 101, 1, 0, 101.0, 1, 1, 1, 3, 1, 1, 0.0, None, None, "; ".join(_THIN), False),
+))
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.document_gate(spark.createDataFrame(ANALYSES, "path string, body string, reason string, quotable string, artifact string"))
+    gate = D.document_gate(spark.createDataFrame(ANALYSES, "path string, body string, reason string, quotable string, artifact string"))
+    return gate.withColumn("problems", F.array_join("problems", "; "))
+
+
+_REPLIES = [
+    ("plain", '{"a": 1}', '{"a":1}'), ("fenced", '```json\n{"a": [1, 2]}\n```', '{"a":[1,2]}'), ("quotes", '{"a": "to "no effect" - but"}', r'{"a":"to \"no effect\" - but"}'),
+    ("break", '{"a": "two\nlines"}', r'{"a":"two\nlines"}'), ("prose", 'Here: {"a": {"b": "}"}} and {"c": 2}', '{"a":{"b":"}"}}'), ("both", 'Sure. {"a": "say "hi" now", "n": {"m": 1}} done', r'{"a":"say \"hi\" now","n":{"m":1}}'),
+    ("broken", '{"a": 1', None), ("empty", "", None), ("nothing", None, None),
+]
+
+
+@query("F1_F2_UD2_model_replies", rows("id, json", *((i, j) for i, _, j in _REPLIES)))
+def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([r[:2] for r in _REPLIES], "id string, reply string").select("id", F.to_json(replies.extract_json(F.col("reply"))).alias("json"))
+
+
+_FENCED = [("lazy", 'a ```json\n{"a": {"b": 1}}\n``` b', '{"a":{"b":1}}', '{"a":{"b":1}}'), ("two", '```\n{"x": 1}\n```\n```{"y": 2}```', '{"x":1}', None), ("bare", 'say {"a": 1} end', '{"a":1}', '{"a":1}'), ("turned", "} {", None, None)]
+
+
+@query("F3_fenced_json", rows("id, lazy, greedy", *((i, a, b) for i, _, a, b in _FENCED)))
+def fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.col("reply")
+    return spark.createDataFrame([r[:2] for r in _FENCED], "id string, reply string").select("id", F.to_json(replies.fenced_json(reply)).alias("lazy"), F.to_json(replies.fenced_json(reply, True)).alias("greedy"))
+
+
+@query("P12_phonon_chain", rows("id, phonon", (1, True), (2, False), (3, False), (4, False)))
+def phonon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [(1, [{"SYSTEM.ecutwfc": "40"}, {"tr2_ph": "1"}]), (2, [{"INPUTPH.tr2_ph": "1"}]), (3, [{}]), (4, [])]
+    return spark.createDataFrame(steps, "id int, steps array<map<string, string>>").select("id", P.phonon_chain(F.col("steps")).alias("phonon"))
+
+
+@query("P22_task_meta", rows(
+    "task_id, tension, premise, conclusion, novelty_move, recompute_handle, gold, tier, unverified",
+    ("a", "t", "", "c", "", "adsorption", "g", "A", False), ("b", "", "p", "", "m", "site_preference", "", "B", True), ("c", "", "", "", "", "site_preference", "g", "S", False),
+))
+def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = [("a", "t", None, "c", None, "adsorption", "g", None, None), ("b", None, "p", "", "m", None, None, None, True), ("c", None, None, None, None, None, "g", "S", False)]
+    return P.task_meta(spark.createDataFrame(tasks, "task_id string, tension string, premise string, conclusion string, novelty_move string, handle string, gold string, tier string, unverified boolean"))
+
+
+@query("J16_known_fields", rows("id, kept", (1, "kpts"), (2, ""), (3, "facet miller")))
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = [(1, {"kpts": "2", "junk": "1"}, ["kpts", "smearing"]), (2, {"x": "1"}, ["y"]), (3, {"facet": "111", "miller": "1"}, ["facet", "miller"])]
+    df = spark.createDataFrame(given, "id int, fields map<string, string>, annotations array<string>")
+    return df.select("id", F.array_join(F.array_sort(F.map_keys(P.known_fields(F.col("fields"), F.col("annotations")))), " ").alias("kept"))

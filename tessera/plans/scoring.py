@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import methods as M
 from tessera.functions import scalars as C
 from tessera.operators import documents as D
+from tessera.operators import predicates as P
 from tessera.operators import scoring as R
 from tessera.registry import query, table
 
@@ -232,3 +233,22 @@ def f41(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = F.array(claim("band_gap", "", F.when(even, "no").otherwise("yes")), claim("", "coverage_shift", F.when(even, "yes").otherwise("no")), claim("none", "", F.lit("yes")))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", M.observables(claims).alias("o"), M.task_query(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("asked"))
     return rows.select("o_orderkey", F.array_join("o", ",").alias("observables"), M.picked_handle(F.col("o")).alias("handle"), "asked")
+
+
+# Claims and tensions are first lines and whole texts of documents, so both predicates see odd white space and every language.
+@query("P17_P19_claims", r"""SELECT doc_id, regexp_matches(coalesce(source, '') || ' ' || coalesce(text, ''), '(?i)\bDMC\b|\bQMC\b|diffusion monte|\bCCSD|coupled.?cluster|\bGW\b|\bRPA\b|\bMP2\b|experiment|measured|\bIR\b spectro|calorimet') AS cross_method,
+    length(regexp_replace(coalesce(text, ''), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) > 20 AS tension FROM documents""")
+def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", P.cross_method(F.col("source"), F.col("text")).alias("cross_method"), P.real_tension(F.col("text")).alias("tension"))
+
+
+@query("R9_rewarded", "SELECT event_id, coalesce(value > 10, false) AND coalesce(user_id % 3 < 2, false) AND coalesce(event_type <> 'click', false) AS rewarded FROM events")
+def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", P.rewarded(F.col("value") > 10, F.col("user_id") % 3 < 2, F.col("event_type") != "click").alias("rewarded"))
+
+
+@query("L6_gated_reconstruct", "SELECT doc_id, quality, 'lift' AS reconstruct_method, 'teacher' AS teacher_model FROM labels WHERE quality = 1 AND toxic = 0")
+def l6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels")
+    return P.gated_reconstruct(rows, (F.col("quality") == 1) & (F.col("toxic") == 0), "lift", "teacher").drop("toxic")

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import logs as L
 
@@ -89,13 +90,12 @@ def test_blocks(logs):
     assert list(rows[2].paths) == ["f.py"]
 
 
-def test_hunks_run_backwards_and_count_mismatches():
+def test_hunks_run_backwards_and_count_mismatches(spark):
     """Line numbers refer to the old file; a blank line is context, also the one behind a hunk's last line feed."""
     section = "--- a/f\n+++ b/f\n@@ -1 +1,2 @@\n-a\n+a1\n+a2\n@@ -3,1 +4,1 @@\n-c\n+C\n@@ -9,1 +9,1 @@\n-x\n+y"
-    lines, differ, created = L.apply_sections(["a", "b", "c"], section)
-    assert lines == ["a1", "a2", "", "b", "C", "", "y"] and differ == 3 and not created
-    assert L.apply_sections(["a", "b"], "--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n a\n-b\n+B") == (["a", "B"], 0, False)
-    assert L.apply_sections(["old"], "--- /dev/null\n+++ b/f\n@@ -0,0 +1,2 @@\n+n1\n+n2") == (["n1", "n2"], 0, True)
+    rows = [(0, ["a", "b", "c"], section), (1, ["a", "b"], "--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n a\n-b\n+B"), (2, ["old"], "--- /dev/null\n+++ b/f\n@@ -0,0 +1,2 @@\n+n1\n+n2"), (3, None, "@@ -1 +1 @@\n-a\n+b\n\\ No newline"), (4, ["k"], "no hunks")]
+    got = spark.createDataFrame(rows, "id int, lines array<string>, section string").select("id", L.apply_diff(F.col("lines"), F.col("section")).alias("d")).orderBy("id").collect()
+    assert [tuple(r.d) for r in got] == [(["a1", "a2", "", "b", "C", "", "y"], 3, False), (["a", "B"], 0, False), (["n1", "n2"], 0, True), (["b"], 1, False), (["k"], 0, False)]
 
 
 def test_empty_old_text(spark):
