@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import lookup, non_null
+from tessera.functions.scalars import lookup, non_null, strip
 
 # Site synonyms, the shell of each element's correction, adsorption handles in order, context keys in order.
 SITES = {"atop": "ontop", "on-top": "ontop", "top": "ontop", "on top": "ontop", "hollow": "fcc", "fcc-hollow": "fcc", "fcc hollow": "fcc", "hcp-hollow": "hcp", "hcp hollow": "hcp", "3-fold": "fcc"}
@@ -15,7 +15,7 @@ CONTEXT_KEYS = ("goal", "consensus", "tension", "question", "hypothesis", "syste
 
 def site(name: Column) -> Column:
     """a site's usual name; none given is ontop."""
-    plain = F.lower(F.trim(F.coalesce(F.when(name != "", name), F.lit("ontop"))))
+    plain = F.lower(strip(F.coalesce(F.when(name != "", name), F.lit("ontop"))))
     return F.coalesce(lookup(SITES, plain), plain)
 
 
@@ -23,7 +23,7 @@ def agrees(computed: Column, reference: Column, kind: Column, tolerance: float =
     """struct(delta, agrees): texts without case for sites and categories, else numbers within the tolerance."""
     text = kind.isin("site", "categorical", "ordinal")
     delta = computed.try_cast("double") - reference.try_cast("double")
-    same = F.lower(F.trim(computed)) == F.lower(F.trim(reference))
+    same = F.lower(strip(computed)) == F.lower(strip(reference))
     return F.struct(F.when(~text, F.round(delta, 4)).alias("delta"), F.when(text, same).otherwise(F.abs(delta) <= tolerance).alias("agrees"))
 
 
@@ -54,7 +54,7 @@ def without_move_label(text: Column, move: Column) -> Column:
     """a leading echo of the move's name goes, once, with the marks around it."""
     label = F.replace(move, F.lit("_"), F.lit(r"[_\s]"))
     pattern = F.concat(F.lit(r"(?i)^\s*\**\s*"), label, F.lit(r"\s*\**\s*[:\-–]?\s*"))
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), pattern, F.lit("")))
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), pattern, F.lit("")))
 
 
 def context_view(context: Column) -> Column:
@@ -65,7 +65,7 @@ def context_view(context: Column) -> Column:
 
 def observables(claims: Column) -> Column:
     """handles of claims, those that can be computed first, in order; claims have observable, recompute_handle, computable."""
-    handle = lambda c: F.trim(F.coalesce(F.when(c["observable"] != "", c["observable"]), c["recompute_handle"], F.lit("")))
+    handle = lambda c: strip(F.coalesce(F.when(c["observable"] != "", c["observable"]), c["recompute_handle"], F.lit("")))
     named = F.filter(claims, lambda c: (handle(c) != "") & (F.lower(handle(c)) != "none"))
     can = lambda c: F.startswith(F.lower(F.coalesce(c["computable"], F.lit(""))), F.lit("y"))
     return F.concat(F.transform(F.filter(named, can), handle), F.transform(F.filter(named, lambda c: ~can(c)), handle))
@@ -79,7 +79,7 @@ def picked_handle(handles: Column) -> Column:
 
 def task_query(premise: Column, tension: Column, hide_tension: bool = False) -> Column:
     """What an agent is asked; the tension may be left for it to find."""
-    said, crack = F.trim(F.coalesce(premise, F.lit(""))), F.trim(F.coalesce(tension, F.lit("")))
+    said, crack = strip(F.coalesce(premise, F.lit(""))), strip(F.coalesce(tension, F.lit("")))
     if hide_tension:
         return F.concat(F.lit("Given the established understanding that "), said, F.lit(" — identify an open question or tension in this consensus that a calculation could resolve, then resolve it."))
     return F.concat(F.lit("Given that "), said, F.lit(" resolve: "), crack)

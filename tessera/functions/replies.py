@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import strip
+
 # What a quote that ends a string is followed by; code fences.
 _FOLLOWS = r"[ \t\r\n]*(?:[,}\]:]|\z)"
 FENCE = r"(?m)^\s*```(?:json)?\s*|\s*```\s*$"
@@ -21,11 +23,6 @@ PLAIN = r'(?s)"(?:[^"\\]++|\\.)*+(?:"|\\?\z)'
 _BARE = r"(?<=(?<!\\)(?:\\\\){0,200})"
 
 
-def _blank(text: Column) -> Column:
-    """Python's strip."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
-
-
 def _parse(text: Column) -> Column:
     """VARIANT of a text that is one JSON value and nothing behind it; the parser itself stops at the first value's end."""
     parse = lambda c: F.call_function("try_parse_json", c)
@@ -77,14 +74,14 @@ def extract_json(reply: Column) -> Column:
 
     Objects with a key twice are null, as VARIANT has them.
     """
-    text = _blank(F.regexp_replace(reply, FENCE, ""))
+    text = strip(F.regexp_replace(reply, FENCE, ""))
     inner = outermost_object(text)
     return F.when(reply != "", F.coalesce(_parse(text), _parse(repair_inner_quotes(text)), _parse(inner), _parse(repair_inner_quotes(inner))))
 
 
 def fenced_json(reply: Column, greedy: bool = False) -> Column:
     """the object in a fence, up to its first or (greedy) last closing brace before a fence, or from the first brace to the last, as VARIANT."""
-    text = _blank(F.coalesce(reply, F.lit("")))
+    text = strip(F.coalesce(reply, F.lit("")))
     fenced = F.regexp_extract(text, GREEDY_FENCE if greedy else LAZY_FENCE, 1)
     whole = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     return _parse(F.when(fenced != "", fenced).when(whole != "", whole))

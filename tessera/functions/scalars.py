@@ -56,7 +56,7 @@ def parse_value(value: Column) -> Column:
 def join_unit(value: Column, unit: Column) -> Column:
     """the value with its unit behind it, unless it holds it already."""
     value, unit = F.coalesce(value, F.lit("")), F.coalesce(unit, F.lit(""))
-    return F.when((unit != "") & ~F.contains(value, unit), F.trim(F.concat(value, F.lit(" "), unit))).otherwise(value)
+    return F.when((unit != "") & ~F.contains(value, unit), strip(F.concat(value, F.lit(" "), unit))).otherwise(value)
 
 
 def judge_score(reply: Column) -> Column:
@@ -129,6 +129,15 @@ def file_slug(text: Column, most: int = 120) -> Column:
     return F.left(F.regexp_replace(text, r"[^\p{L}\p{N}._-]", "_"), F.lit(most))
 
 
+def strip(text: Column | str) -> Column:
+    """Python's strip: white space of Unicode and the separators 28 to 31 at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+#: Where Python's splitlines breaks.
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def one_line(text: Column, most: int = 160) -> Column:
     """F32: cut first, then line feeds as spaces."""
     return F.replace(F.left(F.coalesce(text, F.lit("")), F.lit(most)), F.lit("\n"), F.lit(" "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import looks_like_image, metric_direction, non_null
+from tessera.functions.scalars import looks_like_image, metric_direction, non_null, strip
 
 # Thresholds of the tiers, weights, peer-reviewed kinds of venue.
 SILVER = {"citedness": 5.0, "h_index": 150, "fwci": 1.5}
@@ -128,7 +128,7 @@ def headed(blocks: DataFrame) -> DataFrame:
     """
     kept = blocks.where(~F.coalesce(F.col("type").isin(*DROPPED_BLOCKS), F.lit(False)))
     is_header = F.coalesce(F.col("text_level").isin(1, 2), F.lit(False)) & F.col("type").isin("header", "text")
-    return kept.withColumn("header", F.when(is_header, F.trim(F.coalesce("text", F.lit("")))))
+    return kept.withColumn("header", F.when(is_header, strip(F.coalesce("text", F.lit("")))))
 
 
 def paper_titles(blocks: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def paper_sections(blocks: DataFrame) -> DataFrame:
     """One text for each bucket of a paper; what stands before any heading is _pre."""
     order = Window.partitionBy("paper_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     filled = headed(blocks).withColumn("section", F.coalesce(F.last(bucket(F.col("header")), ignorenulls=True).over(order), F.lit("_pre")))
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = strip(F.coalesce("text", F.lit("")))
     rows = filled.where(F.col("header").isNull() & F.col("type").isin("text", "list", "equation")).withColumn("text", text).where("text != ''")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
     return rows.groupBy("paper_id", "section").agg(F.min("pos").alias("first"), F.array_join(texts, " ").alias("text"))

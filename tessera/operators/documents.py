@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import duplicate_share, non_null, thin_scale
+from tessera.functions.scalars import LINE_BREAK, duplicate_share, non_null, strip, thin_scale
 from tessera.functions.taxonomy import CODES, SEVERITIES
 
 # The grammar of issue markers, headings, checklist rows, trailers and anchors.
@@ -62,7 +62,7 @@ def anchor_count(text: Column) -> Column:
 
 def segments(text: Column) -> Column:
     """Trimmed text from each marker to the next; what stands before the first goes."""
-    return F.transform(F.filter(F.split(text, f"(?={ISSUE})"), lambda s: s.rlike("^(?:" + ISSUE + ")")), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.transform(F.filter(F.split(text, f"(?={ISSUE})"), lambda s: s.rlike("^(?:" + ISSUE + ")")), strip)
 
 
 def sections(docs: DataFrame, body: str = "body") -> DataFrame:
@@ -91,7 +91,7 @@ def share(part: Column, whole: Column) -> Column:
 def verbatim(text: Column, quotable: Column, artifact: Column) -> tuple[Column, Column]:
     """J10, T1.8: quoted spans of 20 characters found in the sources; share of text in long lines found in the artifact."""
     quotes = F.regexp_extract_all(text, F.lit(r"`([^`\n]{20,})`"), 1)
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(text, LINE_BREAK), strip)
     copied = F.aggregate(F.filter(lines, lambda x: (F.length(x) >= 120) & F.contains(artifact, x)), F.lit(0), lambda n, x: n + F.length(x))
     return F.size(F.filter(quotes, lambda q: F.contains(quotable, q))), share(copied, F.length(text))
 
@@ -188,7 +188,7 @@ def classification_gate(docs: DataFrame) -> DataFrame:
         tag = F.concat(x["bucket"], F.lit("["), x["i"].cast("string"), F.lit("]"))
         named = F.concat(tag, F.lit(" "), x["code"], F.lit(": "))
         ev = x["evidence"]
-        evidence = F.when(ev.isNull() | (F.length(F.trim(ev)) < 10), F.concat(named, F.lit("missing/short evidence"))).when(~locatable(ev), F.concat(named, F.lit("evidence not locatable (no section/issue ref)"))).when(only_credit(ev), F.concat(named, F.lit("evidence sourced ONLY from the Credit Due section")))
+        evidence = F.when(ev.isNull() | (F.length(strip(ev)) < 10), F.concat(named, F.lit("missing/short evidence"))).when(~locatable(ev), F.concat(named, F.lit("evidence not locatable (no section/issue ref)"))).when(only_credit(ev), F.concat(named, F.lit("evidence sourced ONLY from the Credit Due section")))
         numeric = x["kind"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)")
         confidence = F.when(x["kind"].isNotNull() & (x["kind"] != "VOID") & ~F.coalesce(numeric & x["confidence"].between(0, 1), F.lit(False)), F.concat(named, F.lit("confidence out of [0,1]")))
         bad = F.when(~F.coalesce(F.array_contains(valid, x["code"]), F.lit(False)), F.concat(tag, F.lit(" invalid code "), F.coalesce(x["code"], F.lit("None"))))
@@ -211,12 +211,17 @@ def classification_gate(docs: DataFrame) -> DataFrame:
     return d.withColumn("problems", problems).select("path", F.size("coded").alias("n_labels"), F.array_sort(F.array_distinct(F.transform("good", lambda x: x["code"]))).alias("codes"), "problems", (F.size("problems") == 0).alias("ok"))
 
 
+#: Short passages that a document is searched for at once.
+SHORT_BLOCK = 1000
+
+
 def contained(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
     """J10 over tables: pairs of (doc_id, item_id) where the passage stands in the document.
 
-    Both sides are joined on their passage's first words wherever they occur in the
-    document, so the substring test runs on candidates alone and nothing is crossed.
-    Passages of fewer words have their first word as key.
+    Long passages are joined on their first words wherever they occur in the document, so
+    the substring test runs on candidates alone.  Passages of ``words`` words or fewer have
+    no such key, as they may begin and end within words: all documents are searched for
+    them, in blocks of SHORT_BLOCK passages.
     """
     spaced = lambda c: F.split(F.trim(c), " ")
     items = passages.where("text is not null and trim(text) != ''").select("item_id", F.col("text").alias("passage"), F.size(spaced(F.col("text"))).alias("n"), F.xxhash64(F.array_join(F.slice(spaced(F.col("text")), 2, words - 2), " ")).alias("key"))
@@ -229,8 +234,10 @@ def contained(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame
     grams = docs.where("text is not null").select("doc_id", F.explode(F.transform(F.array(F.split("text", " ")), keys)[0]).alias("key"))
     candidates = grams.join(long.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
     found = candidates.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "passage"), "item_id").where(F.contains("text", F.col("passage")))
-    few = docs.where("text is not null").join(short.select("item_id", "passage"), F.contains("text", F.col("passage")))
-    return found.select("doc_id", "item_id").unionByName(few.select("doc_id", "item_id"))
+    blocks = short.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-short.count() // SHORT_BLOCK)))).alias("block")).agg(F.collect_list(F.struct("item_id", "passage")).alias("items"))
+    held = F.filter("items", lambda x: F.contains(F.col("text"), x["passage"]))
+    few = docs.where("text is not null").crossJoin(blocks).select("doc_id", F.explode(F.transform(held, lambda x: x["item_id"])).alias("item_id"))
+    return found.select("doc_id", "item_id").unionByName(few)
 
 
 def first_by_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import strip
 from tessera.operators.scoring import CROSS_METHOD
 
 # Restart keys of the phonon code; parameters that specs know; a task's meta fields with their defaults.
@@ -25,14 +26,9 @@ def cross_method(claim: Column, raw: Column) -> Column:
     return F.concat(F.coalesce(claim, F.lit("")), F.lit(" "), F.coalesce(raw, F.lit(""))).rlike(CROSS_METHOD)
 
 
-def stripped(text: Column) -> Column:
-    """A text without the white space, of Unicode, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
-
-
 def real_tension(tension: Column) -> Column:
     """A tension of over 20 characters."""
-    return F.length(stripped(F.coalesce(tension, F.lit("")))) > 20
+    return F.length(strip(F.coalesce(tension, F.lit("")))) > 20
 
 
 def task_meta(tasks: DataFrame) -> DataFrame:

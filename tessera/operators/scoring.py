@@ -18,7 +18,7 @@ ADSORPTION = ("site_preference", "co_adsorption_energy", "coverage_shift")
 def parse_final(answer: Column) -> Column:
     """the fields of a final block; absent fields are null."""
     answer = F.coalesce(answer, F.lit(""))
-    field = lambda p: F.trim(C.first_group(answer, f"(?id){p}"))
+    field = lambda p: C.strip(C.first_group(answer, f"(?id){p}"))
     number = lambda p: C.first_group(answer, rf"(?i){p}\s*:\s*({C.NUMBER})").cast("double")
     inner = F.coalesce(C.first_group(answer, r"(?i)E_ads_eV\s*:\s*\{([^}]*)\}"), F.lit(""))
     pair = rf"([A-Za-z_\-]+)\s*:\s*({C.NUMBER})"
@@ -41,7 +41,7 @@ def parse_final(answer: Column) -> Column:
 
 def gate_kind(handle: Column, numeric_gold: Column) -> Column:
     """Which gate a task takes: by its handle, else by a numeric gold, else none."""
-    handle = F.trim(F.coalesce(handle, F.lit("")))
+    handle = C.strip(F.coalesce(handle, F.lit("")))
     return F.when(handle.isin(*ADSORPTION), "adsorption").when(handle == "reaction_barrier", "barrier").when(handle == "vibrational_frequency", "vibration").when(numeric_gold.isNotNull(), "metric").otherwise("soft")
 
 
@@ -117,7 +117,7 @@ CROSS_METHOD = r"(?i)\bDMC\b|\bQMC\b|diffusion monte|\bCCSD|coupled.?cluster|\bG
 
 def claim_records(claims: DataFrame) -> DataFrame:
     """Rows (task, pos, observable, recompute_handle, claim, value, unit) with a handle, parsed."""
-    handle = F.trim(F.coalesce(F.when(F.col("observable") != "", F.col("observable")), "recompute_handle", F.lit("")))
+    handle = C.strip(F.coalesce(F.when(F.col("observable") != "", F.col("observable")), "recompute_handle", F.lit("")))
     rows = claims.withColumn("handle", handle).where("handle != '' and lower(handle) != 'none'")
     return rows.withColumn("parsed", C.parse_value(C.join_unit(F.col("value"), F.col("unit")))).select("task", "pos", "handle", "claim", "parsed.*")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as C
+from tessera.operators import corpus as K
 from tessera.operators import documents as D
 from tessera.registry import query, table
 
@@ -14,7 +15,6 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-_ISSUE = r"(?m)^[ \t]*[A-Za-z]+[^.\n]{0,200}\."
 _LINES = "lines AS (SELECT doc_id, u.pos - 1 AS pos, u.line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d, unnest(l) WITH ORDINALITY AS u(line, pos))"
 
 
@@ -23,30 +23,31 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-@query("T1_1_totals", r"""SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[.!?]')) AS issues, length(text) / greatest(len(regexp_extract_all(text, '[.!?]')), 1)::DOUBLE AS ratio,
-    length(text) >= 16000 AND len(regexp_extract_all(text, '[.!?]')) >= 28 AND length(text) / greatest(len(regexp_extract_all(text, '[.!?]')), 1)::DOUBLE >= 300 AS ok FROM documents""", longs=("chars", "issues"))
-def t1_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence ends stand for issue markers."""
-    n = F.regexp_count("text", F.lit("[.!?]"))
-    d = docs(spark, sf_dir).select("doc_id", F.length("text").alias("chars"), n.alias("issues"))
-    d = d.withColumn("ratio", F.col("chars") / F.greatest("issues", F.lit(1)))
-    return d.withColumn("ok", (F.col("chars") >= D.MIN_CHARS) & (F.col("issues") >= D.MIN_ISSUES) & (F.col("ratio") >= D.MIN_RATIO))
+_MARKED = "(pos + 1)::VARCHAR || '. ' || line || CASE WHEN pos % 2 = 0 THEN ' [stage: A | root cause: depth]' ELSE ' ' END"
+_SEGMENT = rf"regexp_replace({_MARKED}, '^\s+|\s+$', '', 'g')"
 
 
-@query("T1_4_rows", r"SELECT doc_id, len(regexp_extract_all(text, '(?m)^[ \t]*[A-Z]')) AS capital_lines, len(regexp_extract_all(text, '(?m)^[ \t]*[A-Z]')) >= 12 AS ok FROM documents", longs=("capital_lines",))
-def t1_4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that begin with a capital stand for checklist rows."""
-    n = F.regexp_count("text", F.lit(r"(?md)^[ \t]*[A-Z]"))
-    return docs(spark, sf_dir).select("doc_id", n.alias("capital_lines"), (n >= D.MIN_ROWS).alias("ok"))
+def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as analyses: under one stage's heading each line is an issue, each second one with a trailer."""
+    mark = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x, F.when(i % 2 == 0, " [stage: A | root cause: depth]").otherwise(" "))
+    body = F.concat(F.lit("## A. Ideation & Planning\n"), F.array_join(F.transform(F.split("text", "\n"), mark), "\n"))
+    kinds = {"reason": "string", "quotable": "string", "artifact": "string"}
+    return docs(spark, sf_dir).where("text is not null").select(F.col("doc_id").cast("string").alias("path"), body.alias("body"), *(F.lit(None).cast(k).alias(c) for c, k in kinds.items()))
 
 
-@query("T1_5_thickness", f"""WITH {_LINES} SELECT doc_id, count(*) AS n, count(*) FILTER (length(line) < 100) AS tiny, count(*) FILTER (length(line) < 200) AS short,
-    count(*) FILTER (length(line) < 100) / count(*)::DOUBLE <= 0.05::DOUBLE AND count(*) FILTER (length(line) < 200) / count(*)::DOUBLE <= 0.28::DOUBLE AS ok FROM lines GROUP BY 1""")
-def t1_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split("text", "\n")
-    count = lambda n: F.size(F.filter(parts, lambda s: F.length(s) < n)).cast("bigint")
-    d = docs(spark, sf_dir).select("doc_id", F.size(parts).cast("bigint").alias("n"), count(100).alias("tiny"), count(200).alias("short"))
-    return d.withColumn("ok", (D.share(F.col("tiny"), F.col("n")) <= D.MAX_TINY) & (D.share(F.col("short"), F.col("n")) <= D.MAX_THIN))
+@query("T1_1_T1_5_T1_9_W2_document_gate", f"""WITH {_LINES}, s AS (SELECT doc_id, {_MARKED} AS raw, {_SEGMENT} AS seg, pos % 2 = 0 AS marked FROM lines)
+    SELECT doc_id::VARCHAR AS path, sum(length(raw) + 1) + 25 AS chars, count(*) AS issues, (sum(length(raw) + 1) + 25) / count(*)::DOUBLE AS ratio, count(*) AS n_segs, count(*) FILTER (length(seg) < 100) AS tiny, count(*) FILTER (length(seg) < 200) AS short, count(*) FILTER (marked) AS labelled FROM s GROUP BY 1""", longs=("chars", "issues", "n_segs", "tiny", "short", "labelled"))
+def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.document_gate(_analyses(spark, sf_dir)).select("path", "chars", "issues", "ratio", "n_segs", "tiny", "short", "labelled")
+
+
+@query("T1_2_T1_3_section_floors", f"""WITH {_LINES}, s AS (SELECT doc_id, sum(length({_MARKED}) + 1) AS n, count(*) AS issues FROM lines GROUP BY 1)
+    SELECT doc_id::VARCHAR AS path, n < 760 AS too_short, issues < 3 AS too_few, 14 AS missing FROM s""", longs=("missing",))
+def t1_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One section stands; its floors hold or not, and all others are missing."""
+    begins = lambda p: F.size(F.filter("problems", lambda x: F.startswith(x, F.lit(p))))
+    gate = D.document_gate(_analyses(spark, sf_dir))
+    return gate.select("path", (begins("section too short:A. Ideation") > 0).alias("too_short"), (begins("section too few issues:A. Ideation") > 0).alias("too_few"), begins("missing section:").alias("missing"))
 
 
 @query("T1_6_anchors", r"""SELECT doc_id, len(regexp_extract_all(text, '`[^`\n]{2,}`')) + len(regexp_extract_all(text, '\b\d+(?:\.\d+)?(?:[eE][-+]?\d+)?\b'))
@@ -75,33 +76,31 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.contained(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-@query("J10_T1_8_verbatim_lines", f"""WITH {_LINES}, known AS (SELECT DISTINCT line FROM lines WHERE doc_id % 2 = 0 AND length(line) >= 120)
-    SELECT doc_id, sum(CASE WHEN k.line IS NOT NULL THEN length(l.line) ELSE 0 END)::BIGINT AS copied FROM lines l LEFT JOIN known k ON k.line = l.line WHERE doc_id % 2 = 1 GROUP BY 1""")
+@query("J10_T1_8_verbatim", f"""WITH {_LINES}, a AS (SELECT string_agg(text, chr(10) ORDER BY item_id) AS artifact FROM benchmark)
+    SELECT doc_id, sum(CASE WHEN length(trim(line)) >= 120 AND contains(artifact, trim(line)) THEN length(trim(line)) ELSE 0 END) / greatest(any_value(length(text)), 1)::DOUBLE AS copied FROM lines JOIN documents USING (doc_id), a GROUP BY 1""")
 def t1_8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long lines of odd documents that stand in even ones: the artifact's lines as a join key."""
-    rows = lines(spark, sf_dir)
-    known = rows.where("doc_id % 2 = 0 and length(line) >= 120").select("line").distinct().withColumn("known", F.lit(True))
-    joined = rows.where("doc_id % 2 = 1").join(known, "line", "left")
-    return joined.groupBy("doc_id").agg(F.sum(F.when(F.col("known"), F.length("line")).otherwise(0)).cast("bigint").alias("copied"))
+    """The artifact is the benchmark's whole text, one row."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"])
+    artifact = table(spark, sf_dir, "benchmark").agg(F.array_join(parts, "\n").alias("artifact"))
+    rows = docs(spark, sf_dir).where("text is not null").crossJoin(F.broadcast(artifact))
+    return rows.select("doc_id", D.verbatim(F.col("text"), F.lit(""), F.col("artifact"))[1].alias("copied"))
 
 
-@query("W2_segments", f"WITH {_LINES} SELECT doc_id, count(*) FILTER (trim(line) <> '') AS segments, max(length(line)) AS longest, min(length(line)) AS shortest FROM lines GROUP BY 1")
-def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as papers: a line is a block, a short one (below 120 characters) a heading."""
     rows = lines(spark, sf_dir)
-    return rows.groupBy("doc_id").agg(F.count_if(F.trim("line") != "").alias("segments"), F.max(F.length("line")).cast("bigint").alias("longest"), F.min(F.length("line")).cast("bigint").alias("shortest"))
+    return rows.select(F.col("doc_id").alias("paper_id"), "pos", F.lit("text").alias("type"), F.col("line").alias("text"), F.when(F.length("line") < 120, 1).alias("text_level"))
 
 
-_HEADER = "CASE WHEN regexp_matches(line, '^[A-Z][a-z]+ [a-z]+[ ,.]') AND length(line) < 120 THEN line END"
+_TRIMMED = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
+_BUCKET = "CASE " + " ".join(f"WHEN regexp_matches({_TRIMMED}, '{p}') THEN '{b}'" for b, p in K.BUCKETS) + f" ELSE left({_TRIMMED}, 40) END"
 
 
-@query("W5_forward_fill", f"""WITH {_LINES} SELECT doc_id, section, count(*) AS blocks, sum(length(line))::BIGINT AS chars FROM (
-    SELECT doc_id, line, coalesce(last_value({_HEADER} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), '_pre') AS section FROM lines) GROUP BY 1, 2""")
+@query("W5_F14_paper_sections", f"""WITH {_LINES}, h AS (SELECT doc_id, pos, {_TRIMMED} AS t, length(line) < 120 AS head, CASE WHEN length(line) < 120 THEN {_BUCKET} END AS b FROM lines),
+    f AS (SELECT *, coalesce(last_value(b IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), '_pre') AS section FROM h)
+    SELECT doc_id AS paper_id, section, min(pos) AS first, string_agg(t, ' ' ORDER BY pos) AS text FROM f WHERE NOT head AND t <> '' GROUP BY 1, 2""", longs=("first",))
 def w5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short opening lines stand for headers; blocks take the last one before them."""
-    header = F.when(F.col("line").rlike(r"^[A-Z][a-z]+ [a-z]+[ ,.]") & (F.length("line") < 120), F.col("line"))
-    over = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines(spark, sf_dir).withColumn("section", F.coalesce(F.last(header, ignorenulls=True).over(over), F.lit("_pre")))
-    return rows.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("line")).cast("bigint").alias("chars"))
+    return K.paper_sections(_blocks(spark, sf_dir))
 
 
 @query("W11_first_section", f"WITH {_LINES} SELECT doc_id, key, pos, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS r FROM (SELECT doc_id, lower(left(line, 1)) AS key, pos, line FROM lines WHERE line <> '')) WHERE r = 1")
@@ -110,9 +109,9 @@ def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.first_by_key(rows, ["doc_id", "key"], ["pos"]).select("doc_id", "key", F.col("pos").cast("bigint").alias("pos"), "line")
 
 
-@query("W12_first_title", f"WITH {_LINES} SELECT doc_id, arg_min(line, pos) AS title FROM lines WHERE length(trim(line)) > 20 GROUP BY 1")
+@query("W12_first_title", f"""WITH {_LINES} SELECT doc_id AS paper_id, coalesce(arg_min({_TRIMMED}, pos) FILTER (length(line) < 120 AND length({_TRIMMED}) > 12 AND NOT contains(lower({_TRIMMED}), 'cite')), '(untitled)') AS title FROM lines GROUP BY 1""")
 def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).where(F.length(F.trim("line")) > 20).groupBy("doc_id").agg(F.min_by("line", "pos").alias("title"))
+    return K.paper_titles(_blocks(spark, sf_dir))
 
 
 @query("O8_F32_one_line", "SELECT doc_id, replace(left(coalesce(text, ''), 160), chr(10), ' ') AS short FROM documents")
@@ -131,13 +130,10 @@ def f28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", C.first_url(F.col("html")).alias("first_url"), C.looks_like_image(F.col("url")).alias("image"))
 
 
-@query("F14_section_bucket", """SELECT doc_id, CASE WHEN regexp_matches(h, 'abstract|license') THEN 'abstract' WHEN regexp_matches(h, 'intro|the ') THEN 'introduction' WHEN regexp_matches(h, 'result|of ') THEN 'results' WHEN regexp_matches(h, 'method') THEN 'methods' ELSE 'other' END AS bucket
-    FROM (SELECT doc_id, lower(left(text, 80)) AS h FROM documents)""")
+@query("F14_section_bucket", f"WITH {_LINES} SELECT doc_id, pos, {_BUCKET.replace(_TRIMMED, 'line')} AS bucket FROM lines", longs=("pos",))
 def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First pattern that matches a header, in order."""
-    h = F.lower(F.left("text", F.lit(80)))
-    ladder = [("abstract", "abstract|license"), ("introduction", "intro|the "), ("results", "result|of "), ("methods", "method")]
-    return docs(spark, sf_dir).select("doc_id", F.coalesce(*(F.when(h.rlike(p), b) for b, p in ladder), F.lit("other")).alias("bucket"))
+    """Every line of every document as a header."""
+    return lines(spark, sf_dir).select("doc_id", "pos", K.bucket(F.col("line")).alias("bucket"))
 
 
 @query("A28_O1_document_profile", f"""WITH {_LINES} SELECT source, count(DISTINCT doc_id) AS docs, count(*) AS lines, count(*) FILTER (length(line) < 100) / count(*)::DOUBLE AS tiny_frac FROM lines JOIN documents USING (doc_id) GROUP BY 1 ORDER BY 1""")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import logs as L
 from tessera.operators import trajectories as T
 from tessera.registry import query, table
 
@@ -111,50 +112,79 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 
 
-@query("W1_J4_paired_turns", """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, replace(left(text, 160), chr(10), ' ') AS shown, coalesce(CASE WHEN next_role = 'assistant' THEN next_text END, '') AS result
-    FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'""", longs=("idx",))
+def _logs(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
+    """Conversations as logs: one line a turn, in order."""
+    rows = _turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("log_id"), F.struct("turn", line.alias("line")).alias("l"))
+    return rows.groupBy("log_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("body"))
+
+
+def _json(**fields: Column | str) -> Column:
+    return F.to_json(F.struct(*((F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items())))
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns are tool calls, the assistant turn behind one is its result, system turns are a banner that isn't JSON."""
+    turn = F.col("turn")
+    call = F.struct(F.lit("tool_use").alias("type"), turn.cast("string").alias("id"), F.lit("Bash").alias("name"), F.struct(F.col("text").alias("command")).alias("input"))
+    result = F.struct(F.lit("tool_result").alias("type"), (turn - 1).cast("string").alias("tool_use_id"), F.col("text").alias("content"))
+    message = lambda x: F.struct(F.array(x).alias("content"))
+    line = F.when(F.col("role") == "user", _json(type="assistant", message=message(call))).when(F.col("role") == "assistant", _json(type="user", message=message(result)))
+    return _logs(spark, sf_dir, F.coalesce(line, F.lit("banner")))
+
+
+@query("W1_F32_timeline_of_calls", """SELECT conv_id::VARCHAR AS log_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, 'Bash' AS name,
+    CASE WHEN coalesce(text, '') = '' THEN '{"command":""}' ELSE replace(left(text, 160), chr(10), ' ') END AS shown FROM conversations WHERE role = 'user'""", longs=("idx",))
 def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as calls, the assistant turn behind each as its result; a call without one has an empty result."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = _turns(spark, sf_dir).withColumns({"next_role": F.lead("role").over(order), "next_text": F.lead("text").over(order)}).where("role = 'user'")
-    return rows.select("conv_id", "turn", (F.row_number().over(order) - 1).alias("idx"), F.replace(F.left("text", F.lit(160)), F.lit("\n"), F.lit(" ")).alias("shown"), F.coalesce(F.when(F.col("next_role") == "assistant", F.col("next_text")), F.lit("")).alias("result"))
+    return L.timeline(L.tool_events(_calls(spark, sf_dir)))
 
 
-@query("W3_L_P2_assistant_text", """SELECT conv_id, list(text ORDER BY turn).array_to_string(chr(10)) AS text, count(DISTINCT island) AS islands FROM (
-    SELECT *, sum(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations) WHERE role = 'assistant' GROUP BY 1""")
-def w3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _turns(spark, sf_dir).withColumn("island", F.sum(F.when(F.col("role") != "assistant", 1).otherwise(0)).over(order)).where("role = 'assistant'")
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"), F.count_distinct("island").alias("islands"))
+@query("J4_paired_results", """SELECT u.conv_id::VARCHAR AS log_id, u.turn::VARCHAR AS uid, coalesce(a.text, '') AS result FROM conversations u
+    LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""")
+def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.tool_events(_calls(spark, sf_dir)).where("kind = 'tool'").select("log_id", "uid", "result")
 
 
-@query("W4_banner", """SELECT conv_id, turn, role FROM (SELECT *, bool_or(role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS begun FROM conversations) WHERE begun""")
+@query("W4_S6_S7_json_lines", "SELECT conv_id::VARCHAR AS log_id, count(*) AS n, min(turn) AS first FROM conversations WHERE role <> 'system' GROUP BY 1", longs=("first",))
 def w4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows before the first user turn are a banner."""
-    begun = F.max(F.col("role") == "user").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    return _turns(spark, sf_dir).withColumn("begun", begun).where("begun").select("conv_id", "turn", "role")
+    """Banner lines go; what stays keeps its place in the file."""
+    first = _turns(spark, sf_dir).groupBy(F.col("conv_id").cast("string").alias("log_id")).agg(F.min("turn").alias("begin"))
+    rows = L.json_lines(_calls(spark, sf_dir)).groupBy("log_id").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
+    return rows.join(first, "log_id").select("log_id", "n", (F.col("line") + F.col("begin")).alias("first"))
 
 
-@query("W15_first_seen", "SELECT user_id, list(event_type ORDER BY first).array_to_string(',') AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY 1")
-def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
-    return first.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "event_type"))), lambda x: x["event_type"]), ",").alias("kinds"))
+@query("W3_L_P2_assistant_text", """SELECT conv_id::VARCHAR AS log_id, string_agg(t, chr(10) ORDER BY island) AS text FROM (SELECT conv_id, island, string_agg(coalesce(text, ''), '' ORDER BY turn) AS t FROM (
+    SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations) WHERE role = 'assistant' GROUP BY 1, 2) GROUP BY 1""")
+def w3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns are deltas, user turns are tool calls between them."""
+    text = F.coalesce("text", F.lit(""))
+    call = _json(type="tool_use", tool_id=F.col("turn").cast("string"), tool_name="glob", parameters=F.struct(F.lit("p").alias("pattern")))
+    line = F.when(F.col("role") == "assistant", _json(type="message", role="assistant", content=text)).when(F.col("role") == "user", call).otherwise(_json(type="init", session_id="s"))
+    return L.assistant_text(L.tool_events(_logs(spark, sf_dir, line)))
 
 
-@query("W16_J4_last_write_wins", "SELECT user_id, event_type, arg_max(value, event_id) AS value, min(event_id) AS first, max(event_id) AS last FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
-def w16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("value is not null")
-    return rows.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+@query("J5_started_completed", """SELECT u.conv_id::VARCHAR AS log_id, u.turn::VARCHAR AS uid, CASE WHEN a.turn % 4 = 0 THEN coalesce(a.text, '') ELSE coalesce(u.text, '') END AS command
+    FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""")
+def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns start commands, assistant turns complete them, each second one with a command of its own."""
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    item = lambda i, command: F.struct(i.cast("string").alias("id"), F.lit("command_execution").alias("type"), command.alias("command"))
+    line = F.when(F.col("role") == "user", _json(type="item.started", item=item(turn, text)))
+    line = line.when(F.col("role") == "assistant", _json(type="item.completed", item=item(turn - 1, F.when(turn % 4 == 0, text))))
+    rows = L.codex2_events(_logs(spark, sf_dir, F.coalesce(line, _json(type="thread.started", thread_id="t"))))
+    asked = _turns(spark, sf_dir).where("role = 'user'").select(F.col("conv_id").cast("string").alias("log_id"), F.col("turn").cast("string").alias("uid"))
+    return rows.join(asked, ["log_id", "uid"], "left_semi").select("log_id", "uid", F.expr("try_variant_get(try_parse_json(params), '$.command', 'string')").alias("command"))
 
 
-@query("J5_started_completed", """SELECT c.event_id, coalesce(CASE WHEN c.event_id % 2 = 0 THEN c.props END, s.props, '') AS command FROM events c
-    LEFT JOIN (SELECT user_id, arg_max(props, event_id) AS props FROM events WHERE event_type = 'view' GROUP BY 1) s USING (user_id) WHERE c.event_type = 'purchase'""")
-def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases complete what views start; the start's text serves only where the completion has none."""
-    e = table(spark, sf_dir, "events")
-    started = e.where("event_type = 'view'").groupBy("user_id").agg(F.max_by("props", "event_id").alias("started"))
-    done = e.where("event_type = 'purchase'").join(started, "user_id", "left")
-    return done.select("event_id", F.coalesce(F.when(F.col("event_id") % 2 == 0, F.col("props")), "started", F.lit("")).alias("command"))
+@query("W15_first_seen", "SELECT user_id::VARCHAR AS log_id, event_type AS path, min(event_id) AS first, string_agg(DISTINCT CASE event_id % 2 WHEN 0 THEN 'Edit' ELSE 'Write' END, ',' ORDER BY CASE event_id % 2 WHEN 0 THEN 'Edit' ELSE 'Write' END) AS channels FROM events GROUP BY 1, 2")
+def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    writes = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("log_id"), F.struct(e.alias("line"), F.lit(0).alias("pos")).alias("seq"), F.lit(0).alias("n"), F.col("event_type").alias("path"), F.when(e % 2 == 0, "Edit").otherwise("Write").alias("channel"))
+    return L.written_paths(writes).select("log_id", "path", F.col("first.seq.line").alias("first"), F.array_join("channels", ",").alias("channels"))
+
+
+@query("J4_last_write_wins", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def w16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.last_by(table(spark, sf_dir, "events").where("value is not null"), ["user_id", "event_type"], ["event_id"], "value")
 
 
 @query("P25_faithful", """SELECT trajectory_id, bool_and(a.exit IS NOT NULL AND a.exit = s.exit) AS faithful FROM (SELECT l_orderkey AS trajectory_id, l_suppkey AS node, l_linenumber % 2 AS exit FROM lineitem) s
@@ -172,10 +202,10 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(child, ["l_orderkey", "place"]).select(F.col("l_orderkey").alias("chain"), F.col("place").alias("parent"), "child", (F.col("l_partkey") == F.col("child_part")).alias("same_input"))
 
 
-@query("A26_max_norm", "SELECT label, max(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))) > 1.0 AS long, count(*) AS n FROM embeddings GROUP BY 1")
+@query("A26_max_norm", "SELECT label, round(max(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS longest, count(*) AS n FROM embeddings GROUP BY 1")
 def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg((F.max(norm) > 1.0).alias("long"), F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.max(norm), 6).alias("longest"), F.count(F.lit(1)).alias("n"))
 
 
 @query("L8_W17_episode_positions", """SELECT conv_id, turn, role, expected, role = expected AS in_sequence FROM (SELECT conv_id, turn, role, CASE WHEN row_number() OVER w = 1 THEN 'system' WHEN lag(role) OVER w = 'user' THEN 'assistant' ELSE 'user' END AS expected FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""")
