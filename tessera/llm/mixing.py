@@ -4,8 +4,10 @@ Every source's documents are shuffled by a hash.  A document's copy gets a virtu
 finish time: the source's tokens up to and with it, divided by the source's target.
 All copies are then range-sorted by that time over all sources and cut at the budget.
 Ties go by source, shuffle hash and doc_id.  Null text has size 0; a null source is a
-source of its own, the last.  Repeated rows are separate documents; an empty table
-gives an empty result.  The hash depends on doc_id alone, so reruns agree.
+source of its own, the last.  Texts of any length count whole.  Repeated rows are
+separate documents; an empty table gives an empty result.  The hash depends on doc_id
+alone, so reruns agree.  Targets are computed by windows over one row a source in one
+task: sources are named by people, not by data; all else is spread over all tasks.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ the stream through the tables, checks continuity counters, reassembles the packe
 and lists timestamps and random-access points.
 
 Null text counts as empty and gives a payload of 192 spaces.  Equal texts give
-equal bytes.  Repeated rows are kept; other columns are ignored.  Bytes that aren't
-a whole stream raise ValueError in ``demux``; lost packets are counted, not hidden.
+equal bytes.  Texts of any length are stored whole, one stream a document.  Repeated
+rows are kept; other columns are ignored; an empty table gives an empty result.  Bytes
+that aren't a whole stream raise ValueError in ``demux``; lost packets are counted, not
+hidden.  Tables may span packets.
 """
 
 from __future__ import annotations
@@ -120,15 +122,25 @@ class Demuxed:
 
 
 def _read_section(packets: np.ndarray, pids: np.ndarray, pid: int, table: int) -> bytes:
-    """The first section that a PID starts; a section spans one packet here."""
-    for row in packets[(pids == pid) & (packets[:, 1] & 0x40 != 0)][:1]:
+    """The first section that a PID starts, over as many packets as it takes."""
+    own = packets[(pids == pid) & (packets[:, 3] & 0x10 != 0)]
+    starts = np.flatnonzero(own[:, 1] & 0x40)
+    if not len(starts):
+        raise ValueError(f"no table in PID {pid}")
+    section, need = b"", 3
+    for k, row in enumerate(own[starts[0] :]):
         raw = row.tobytes()
-        at = 5 + raw[4] + (1 + raw[4] if raw[3] & 0x20 else 0) if not raw[3] & 0x20 else 6 + raw[4] + raw[5 + raw[4]]
-        section = raw[at : at + 3 + (struct.unpack_from(">H", raw, at + 1)[0] & 0xFFF)]
-        if section[0] != table or crc32_mpeg(section):
-            raise ValueError(f"a damaged table in PID {pid}")
-        return section
-    raise ValueError(f"no table in PID {pid}")
+        body = raw[4 + (1 + raw[4] if raw[3] & 0x20 else 0) :]
+        if raw[1] & 0x40:  # a pointer tells where the next section begins; what stands before it ends this one
+            body = body[1 + body[0] :] if k == 0 else body[1 : 1 + body[0]]
+        section += body
+        need = 3 + (struct.unpack_from(">H", section, 1)[0] & 0xFFF) if len(section) >= 3 else need
+        if len(section) >= need or (k and raw[1] & 0x40):
+            break
+    section = section[:need]
+    if len(section) < need or section[0] != table or crc32_mpeg(section):
+        raise ValueError(f"a damaged table in PID {pid}")
+    return section
 
 
 def demux(stream: bytes) -> Demuxed:

@@ -225,6 +225,34 @@ def test_damage_is_seen():
         transport.demux(b"\x00" + stream[1:])
 
 
+def test_tables_that_span_packets_are_read():
+    """A stream put together here, packet by packet: a program table with descriptors of 300 bytes, other streams beside."""
+
+    def section(table, body):
+        head = bytes([table, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 255, 0, 1, 0xC1, 0, 0]) + body
+        return head + transport.crc32_mpeg(head).to_bytes(4, "big")
+
+    def packets(pid, data, counter=0):
+        out = []
+        while data or not out:
+            piece, data = data[:184], data[184:]
+            out.append(bytes([0x47, (0 if out else 0x40) | pid >> 8, pid & 255, 0x10 | counter & 15]) + piece.ljust(184, b"\xff"))
+            counter += 1
+        return out
+
+    pes = lambda payload, pts: b"\x00\x00\x01\xbd" + (len(payload) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + bytes([0x21 | pts >> 29 & 0x0E, pts >> 22 & 255, pts >> 14 & 0xFE | 1, pts >> 7 & 255, pts << 1 & 0xFE | 1]) + payload
+    pat = packets(0, b"\x00" + section(0, bytes([0, 9, 0xE1, 0x23])))
+    info = bytes([5, 150]) + bytes(150) + bytes([5, 146]) + bytes(146)
+    pmt = packets(0x123, b"\x00" + section(2, bytes([0xE0, 0x50, 0xF0 | len(info) >> 8, len(info) & 255]) + info + bytes([6, 0xE0, 0x50, 0xF0, 0])))
+    assert len(pmt) == 2
+    body = pes(b"a" * (184 - 14), 7) + pes(b"b" * (2 * 184 - 14), (1 << 33) - 1)
+    first, second = packets(0x50, body[:184]), packets(0x50, body[184:], 1)
+    noise = packets(0x60, b"noise")
+    got = transport.demux(b"".join([*pat, pmt[0], *noise, pmt[1], *first, *noise, *second]))
+    assert (got.program, got.pid, got.stream_type, got.continuity_errors) == (9, 0x50, 6, 0)
+    assert got.payload == b"a" * 170 + b"b" * 354 and got.pts == [7, (1 << 33) - 1]
+
+
 def test_media_digest(docs, empty):
     text = dict(docs.select("doc_id", "text").collect())
     rows = transport.media_digest(docs).collect()
