@@ -6,9 +6,10 @@ or kept as nulls, as each source says.  Keys come from paths.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import strip
 from tessera.operators.corpus import WORK
 
 TRAJECTORY = "task_id string, reward double, reason string, report_md string, claude_log string, gemini_log string, codex_log string"
@@ -33,7 +34,7 @@ def analyses(spark: SparkSession, corpus: str, manifest: str | None = None) -> D
     rows = whole_files(spark, corpus, "analysis.md").select("path", part(F.col("path"), 3).alias("model"), part(F.col("path"), 2).alias("task"), "body")
     rows = rows.where(~F.startswith("model", F.lit("_")))
     sets = source_sets(spark, manifest) if manifest else spark.createDataFrame([], "task string, source_set string")
-    return rows.join(F.broadcast(sets), "task", "left").select("model", "task", F.coalesce("source_set", F.lit("unknown")).alias("source_set"), "path", "body")
+    return rows.join(sets, "task", "left").select("model", "task", F.coalesce("source_set", F.lit("unknown")).alias("source_set"), "path", "body")
 
 
 def source_sets(spark: SparkSession, path: str) -> DataFrame:
@@ -45,8 +46,17 @@ def source_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Path, line, text; lines end at line feeds alone."""
-    return whole_files(spark, path).select("path", F.posexplode(F.split("body", "\n")).alias("line", "text"))
+    """Path, line, text; lines end at line feeds alone.
+
+    Large files are read in blocks.  A line's number is its place in its block after the
+    lines of the file's earlier blocks, of which there is one row each.
+    """
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.make_valid_utf8("value").alias("text"))
+    blocks = rows.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select("path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    return rows.join(bases, ["path", "_block"]).select("path", (F.col("_id") + F.col("_base")).cast("int").alias("line"), "text")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -57,7 +67,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def topics(spark: SparkSession, path: str) -> DataFrame:
     """One topic a line, without comments and blank lines, in order."""
-    rows = whole_lines(spark, path).withColumn("topic", F.trim("text"))
+    rows = whole_lines(spark, path).withColumn("topic", strip("text"))
     return rows.where((F.col("topic") != "") & ~F.startswith("topic", F.lit("#"))).select("line", "topic")
 
 
@@ -72,7 +82,7 @@ def trajectories(spark: SparkSession, run_dir: str) -> DataFrame:
     log = F.coalesce(*(F.when(kind == k, F.coalesce(F.col(c), F.lit(""))) for k, c in logs))
     reason = F.coalesce("reason", F.lit(""))
     category = F.coalesce(*(F.when(F.startswith(reason, F.lit(p)), p) for p in KNOWN_REASONS), F.lit("soft"))
-    return d.select("path", "task_id", "reward", reason.alias("reason"), category.alias("category"), kind.alias("log_format"), F.length(log).alias("log_chars"), log.alias("log"), "report_md").orderBy("path")
+    return d.select("path", "task_id", "reward", reason.alias("reason"), category.alias("category"), kind.alias("log_format"), F.length(log).alias("log_chars"), log.alias("log"), "report_md")
 
 
 def classifications(spark: SparkSession, root: str) -> DataFrame:

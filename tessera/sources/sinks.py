@@ -37,9 +37,17 @@ def grid_json(labels: DataFrame, records: DataFrame) -> DataFrame:
     return rows.select("model", "task", F.concat(F.lit("["), inner("model"), F.lit(", "), inner("task"), F.lit(", {"), F.coalesce(pairs, F.lit("")), F.lit("}]")).alias("row"))
 
 
+def small(df: DataFrame, most: int) -> list:
+    """The rows of a report; more than ``most`` are an error, as a report isn't for data."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    return rows
+
+
 def markdown(df: DataFrame, most: int = 2000) -> str:
     """A small frame as a table, floats with one decimal."""
-    rows = df.limit(most).collect()
+    rows = small(df, most)
     cell = lambda v: "" if v is None else one_decimal(v) if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
@@ -48,7 +56,7 @@ def markdown(df: DataFrame, most: int = 2000) -> str:
 def latex(df: DataFrame, caption: str, most: int = 2000) -> str:
     """K8: a small frame as a tabular with escaped texts."""
     texts = [c for c, t in df.dtypes if t == "string"]
-    rows = df.withColumns({c: latex_escape(F.col(c)) for c in texts}).limit(most).collect()
+    rows = small(df.withColumns({c: latex_escape(F.col(c)) for c in texts}), most)
     cell = lambda v: "" if v is None else one_decimal(v) if isinstance(v, float) else str(v)
     body = [" & ".join(cell(v) for v in r) + r" \\" for r in rows]
     head = " & ".join(c.replace("_", r"\_") for c in df.columns) + r" \\"

@@ -1,3 +1,4 @@
+import pytest
 import json
 import zipfile
 
@@ -146,3 +147,27 @@ def test_logs_stream_once(spark, tmp_path):
 def test_pdf_and_paths(spark):
     row = spark.createDataFrame([(bytearray(b"%PDF-1.7 x"), bytearray(b"<html>"))], "a binary, b binary").select(corpus.pdf_ok(F.col("a")).alias("a"), corpus.pdf_ok(F.col("b")).alias("b")).head()
     assert row.a and not row.b
+
+
+def test_lines_of_files_read_in_blocks_keep_their_numbers(spark, tmp_path):
+    from tessera.sources import files
+
+    texts = {"a.jsonl": [f'{{"n": {k}}}' for k in range(3000)], "b.jsonl": ["x\u0085y", "", "tail\r"], "c.jsonl": ["one"]}
+    for name, rows in texts.items():
+        (tmp_path / name).write_bytes(("\n".join(rows) + ("\n" if name == "a.jsonl" else "")).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = files.whole_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 0 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        got = {(r.path.rsplit("/", 1)[1], r.line): r.text for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(name, k): t for name, rows in texts.items() for k, t in enumerate(rows)}
+
+
+def test_a_report_of_too_many_rows_is_an_error(spark):
+    from tessera.sources import sinks
+
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(11), 10)
+    assert sinks.markdown(spark.range(2), 10).count("\n") == 4
