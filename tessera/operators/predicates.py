@@ -54,3 +54,43 @@ def rewarded(sane: Column, decisive: Column, valid: Column) -> Column:
 def gated_reconstruct(rows: DataFrame, kept: Column, method: str, model: str) -> DataFrame:
     """The rows that a gate keeps, stamped with their method and teacher; the others go unstamped."""
     return rows.where(F.coalesce(kept, F.lit(False))).withColumns({"reconstruct_method": F.lit(method), "teacher_model": F.lit(model)})
+
+
+def faithful(steps: DataFrame, archive: DataFrame) -> DataFrame:
+    """P25: per trajectory whether each step (trajectory_id, node, exit) ended as its archived node (node, archived) did; an unknown node didn't."""
+    same = F.coalesce(F.col("archived") == F.col("exit"), F.lit(False))
+    return steps.join(archive, "node", "left").groupBy("trajectory_id").agg(F.bool_and(same).alias("faithful"))
+
+
+def chain_links(attempts: DataFrame) -> DataFrame:
+    """Of attempts (chain, place, input) each with the next one, and whether both have the same input."""
+    child = attempts.select("chain", (F.col("place") - 1).alias("place"), F.col("place").alias("child"), F.col("input").alias("next"))
+    return attempts.join(child, ["chain", "place"]).select("chain", F.col("place").alias("parent"), "child", (F.col("input") == F.col("next")).alias("same_input"))
+
+
+def norm(vector: Column) -> Column:
+    """A vector's length, summed in doubles."""
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+def prefilter(force: Column, energy: Column, reference: Column, most_force: float, most_off: float) -> Column:
+    """Forces within tolerance, and an energy near its reference where there is one."""
+    return (force <= most_force) & (reference.isNull() | (F.abs(energy - reference) <= most_off))
+
+
+def distribution(rows: DataFrame, value: Column, paper: str) -> DataFrame:
+    """Values with their counts and distinct papers; null is (none)."""
+    counted = rows.groupBy(F.coalesce(value, F.lit("(none)")).alias("move"))
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(paper).alias("papers"))
+
+
+def allowed(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is listed."""
+    return rows.join(ids.select(key), key, "left_semi")
+
+
+def looked_up(rows: DataFrame, execution: DataFrame, discovery: DataFrame, key: str) -> DataFrame:
+    """The name of an id by the execution registry, else by that of discovery; both are (key, name)."""
+    first, second = execution.withColumnRenamed("name", "_first"), discovery.withColumnRenamed("name", "_second")
+    found = rows.join(first, key, "left").join(second, key, "left")
+    return found.withColumns({"name": F.coalesce("_first", "_second"), "execution": F.col("_first").isNotNull()}).drop("_first", "_second")

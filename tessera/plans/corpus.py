@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import control as L
 from tessera.operators import corpus as K
+from tessera.operators import predicates as P
 from tessera.registry import query, table
 
 # Works from parts: venue metrics from the supplier of the same number, institutions from customers.
@@ -122,8 +123,7 @@ def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A19_A21_distribution", "SELECT coalesce(nullif(event_type, 'view'), '(none)') AS move, count(*) AS n, count(DISTINCT user_id) AS papers, row_number() OVER (ORDER BY count(*) DESC, 1) AS place FROM (SELECT coalesce(nullif(event_type, 'view'), '(none)') AS event_type, user_id FROM events) GROUP BY 1", longs=("place",))
 def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    move = F.coalesce(F.nullif("event_type", F.lit("view")), F.lit("(none)"))
-    rows = table(spark, sf_dir, "events").groupBy(move.alias("move")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("papers"))
+    rows = P.distribution(table(spark, sf_dir, "events"), F.nullif("event_type", F.lit("view")), "user_id")
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "move")))
 
 
@@ -131,8 +131,8 @@ def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two registries, the first preferred: regions, then nations, by one id."""
     n = table(spark, sf_dir, "nation")
-    first = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_nationkey"), "r_name")
-    return n.join(F.broadcast(first), "n_nationkey", "left").select("n_nationkey", F.coalesce("r_name", "n_name").alias("name"), F.col("r_name").isNotNull().alias("execution"))
+    first = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("name"))
+    return P.looked_up(n.select("n_nationkey"), first, n.select("n_nationkey", F.col("n_name").alias("name")), "n_nationkey")
 
 
 @query("J17_hierarchy", """SELECT r_name, n_name, count(c_custkey) AS leaves FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""")
@@ -146,7 +146,7 @@ def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("P1_S23_allow_list", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
 def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(allowed, "o_custkey", "left_semi").select("o_orderkey")
+    return P.allowed(table(spark, sf_dir, "orders"), allowed, "o_custkey").select("o_orderkey")
 
 
 @query("P21_P24_task_objective", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 'reach_conclusion' WHEN o_orderpriority = '1-URGENT' THEN 'reproduce_or_surpass' ELSE 'reproduce' END AS objective, o_orderpriority = '2-HIGH' AS qe_ready FROM orders""")
@@ -161,5 +161,5 @@ def p24(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A force tolerance, and an energy deviation where a reference is given."""
     force, reference = F.coalesce("value", F.lit(0.0)) / 10.0, F.when(F.col("user_id") % 3 == 0, F.lit(50.0))
-    passed = (force <= 5.0) & (reference.isNull() | (F.abs(F.col("value") - reference) <= 20.0))
+    passed = P.prefilter(force, F.col("value"), reference, 5.0, 20.0)
     return table(spark, sf_dir, "events").where("value is not null").select("event_id", passed.alias("passed"))

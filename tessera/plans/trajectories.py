@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import logs as L
+from tessera.operators import predicates as P
 from tessera.operators import trajectories as T
 from tessera.registry import query, table
 
@@ -192,20 +193,17 @@ def w16(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p25(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps_ = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trajectory_id"), F.col("l_suppkey").alias("node"), (F.col("l_linenumber") % 2).alias("exit"))
     archive = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 2).alias("archived"))
-    return steps_.join(archive, "node", "left").groupBy("trajectory_id").agg(F.bool_and(F.coalesce(F.col("archived") == F.col("exit"), F.lit(False))).alias("faithful"))
+    return P.faithful(steps_, archive)
 
 
 @query("J12_chain_links", "WITH n AS (SELECT l_orderkey, l_partkey, " + _PLACE + " AS place FROM lineitem) SELECT a.l_orderkey AS chain, a.place AS parent, b.place AS child, a.l_partkey = b.l_partkey AS same_input FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND b.place = a.place + 1", longs=("parent", "child"))
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).select("l_orderkey", "place", "l_partkey")
-    child = rows.select("l_orderkey", (F.col("place") - 1).alias("place"), F.col("place").alias("child"), F.col("l_partkey").alias("child_part"))
-    return rows.join(child, ["l_orderkey", "place"]).select(F.col("l_orderkey").alias("chain"), F.col("place").alias("parent"), "child", (F.col("l_partkey") == F.col("child_part")).alias("same_input"))
+    return P.chain_links(lines(spark, sf_dir).select(F.col("l_orderkey").alias("chain"), "place", F.col("l_partkey").alias("input")))
 
 
 @query("A26_max_norm", "SELECT label, round(max(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS longest, count(*) AS n FROM embeddings GROUP BY 1")
 def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.max(norm), 6).alias("longest"), F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.max(P.norm(F.col("embedding"))), 6).alias("longest"), F.count(F.lit(1)).alias("n"))
 
 
 @query("L8_W17_episode_positions", """SELECT conv_id, turn, role, expected, role = expected AS in_sequence FROM (SELECT conv_id, turn, role, CASE WHEN row_number() OVER w = 1 THEN 'system' WHEN lag(role) OVER w = 'user' THEN 'assistant' ELSE 'user' END AS expected FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""")
