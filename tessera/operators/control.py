@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.replies import extract_json
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """U8: new records replace old ones of their key."""
@@ -70,12 +72,17 @@ def answer_table(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.select("key", "reply", F.when(F.col("reply").isNull(), "transport: no stored answer").alias("error"))
 
 
-def one_pass(tasks: DataFrame, state: DataFrame, call: Callable[[DataFrame], DataFrame], gate: Callable[[Column], Column], most_attempts: int) -> DataFrame:
-    """L1 to L4: the state behind one pass over tasks (key, prompt); state has key, status, attempts, reply."""
+def one_pass(tasks: DataFrame, state: DataFrame, call: Callable[[DataFrame], DataFrame], gate: Callable[[Column], Column], most_attempts: int, as_json: bool = False) -> DataFrame:
+    """L1 to L4: the state behind one pass over tasks (key, prompt); state has key, status, attempts, reply.
+
+    With ``as_json`` a reply is the JSON found in it, tolerantly (F1); one without any counts as no reply.
+    """
     joined = tasks.join(state.select("key", F.col("status").alias("was"), F.col("attempts").alias("before")), "key", "left")
     plan = plan_status(F.col("was").isin("done", "skipped"), F.lit(False), F.col("before"), most_attempts)
     open_ = joined.withColumn("plan", plan).where("plan is null")
     replies = call(open_.select("key", "prompt")).join(open_.select("key", "before"), "key")
+    if as_json:
+        replies = replies.withColumn("reply", F.to_json(extract_json(F.col("reply"))))
     status = result_status(F.col("reply").isNotNull(), F.col("error"), F.coalesce(gate(F.col("reply")), F.lit(False)))
     new = replies.withColumn("status", status).select("key", "status", charged_attempts(F.col("before"), F.col("status")).alias("attempts"), "reply")
     return upsert(state.select("key", "status", "attempts", "reply"), new, ["key"])

@@ -110,6 +110,15 @@ def test_passes_until_complete(spark, tmp_path):
     assert got == {"k0": ("done", 1), "k1": ("done", 1), "k2": ("done", 1), "k3": ("infra_error", 0), "k4": ("qa_fail", 2)}
 
 
+def test_replies_are_read_as_json(spark):
+    tasks = spark.createDataFrame([("a", "p1"), ("b", "p2")], "key string, prompt string")
+    state = spark.createDataFrame([], "key string, status string, attempts int, reply string")
+    answers = spark.createDataFrame([("p1", 'Sure: {"ok": "say "yes" now"} bye'), ("p2", "no object")], "prompt string, reply string")
+    end = control.one_pass(tasks, state, lambda p: control.answer_table(p, answers), lambda r: r.contains("yes"), 2, as_json=True)
+    got = {r.key: (r.status, r.reply) for r in end.collect()}
+    assert got["a"] == ("done", r'{"ok":"say \"yes\" now"}') and got["b"][0] != "done" and got["b"][1] is None
+
+
 def test_a_failing_call_is_an_error_in_its_row(spark):
     def complete(prompt):
         if "2" in prompt:
