@@ -80,7 +80,39 @@ least_node AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)
 SELECT m.doc_id, CAST(m.n AS BIGINT) AS n_shingles, coalesce(l.component, m.doc_id) AS component_id, m.doc_id = coalesce(l.component, m.doc_id) AS kept
 FROM members m LEFT JOIN least_node l ON l.node = m.node"""
 
+FILTER_AUDIT = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT t.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+         {'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+          'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+          'E': coalesce(min(t.doc_id) OVER (PARTITION BY text) < t.doc_id, false)} AS f
+  FROM texts t LEFT JOIN marks m USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE b.l <> a.l AND c.l NOT IN (a.l, b.l) AND d.l NOT IN (a.l, b.l, c.l) AND e.l NOT IN (a.l, b.l, c.l, d.l)),
+failing AS (
+  SELECT part, good, toxic, concat(CASE WHEN f.A THEN 'A' ELSE '' END, CASE WHEN f.B THEN 'B' ELSE '' END, CASE WHEN f.C THEN 'C' ELSE '' END,
+         CASE WHEN f.D THEN 'D' ELSE '' END, CASE WHEN f.E THEN 'E' ELSE '' END) AS fails FROM flags),
+patterns AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failing GROUP BY ALL),
+replayed AS (
+  SELECT p.*, o, k AS step, o[k] AS letter,
+         len(list_filter(range(1, k), lambda i: contains(fails, o[i]))) > 0 AS earlier, contains(fails, o[k]) AS failing
+  FROM patterns p, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+counted AS (
+  SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, letter,
+         CAST(coalesce(sum(n) FILTER (NOT earlier AND NOT failing), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT earlier AND failing), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (earlier AND failing), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = letter), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (NOT earlier AND failing), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT earlier AND failing), 0) AS BIGINT) AS toxic_lost
+  FROM replayed GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM counted"""
+
 
 def oracle_sql() -> dict[str, str]:
     """By query; the tokenizer, the learned models and the media format have none."""
-    return {"op2_sharding": SHARDING, "op3_exact_dedup": EXACT_DEDUP, "op8_near_dedup": NEAR_DEDUP, "op10_mixing": MIXING}
+    return {"op2_sharding": SHARDING, "op3_exact_dedup": EXACT_DEDUP, "op8_near_dedup": NEAR_DEDUP, "op10_mixing": MIXING, "op13_filter_audit": FILTER_AUDIT}
