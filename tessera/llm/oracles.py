@@ -80,6 +80,34 @@ least_node AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)
 SELECT m.doc_id, CAST(m.n AS BIGINT) AS n_shingles, coalesce(l.component, m.doc_id) AS component_id, m.doc_id = coalesce(l.component, m.doc_id) AS kept
 FROM members m LEFT JOIN least_node l ON l.node = m.node"""
 
+# The checksum is a fold over each distinct feature's bytes.
+IMPORTANCE_RESAMPLING = r"""
+WITH RECURSIVE bits(byte, r, k) AS (
+  SELECT CAST(range AS BIGINT), CAST(range AS BIGINT), 0 FROM range(256)
+  UNION ALL SELECT byte, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(r ORDER BY byte) AS t FROM bits WHERE k = 8),
+texts AS (SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS (
+  SELECT side, row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (SELECT side, row, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
+distinct_features AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)),
+hashed AS (
+  SELECT f, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(0, len(h) // 2), lambda i: CAST((instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1 AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) % 10000 AS bucket FROM distinct_features, crc),
+counts AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM features JOIN hashed USING (f) GROUP BY bucket),
+totals AS (SELECT count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM features),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(c.t + 1 AS DOUBLE) * (o.s + 10000) / (CAST(c.s + 1 AS DOUBLE) * (o.t + 10000)))) AS BIGINT) AS gain FROM counts c, totals o),
+sums AS (SELECT row, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE side = 0 GROUP BY row),
+scored AS (
+  SELECT w.doc_id, len(w.w) AS n_words, coalesce(n, 0) AS n_features, coalesce(CASE WHEN g >= 0 THEN g // n ELSE -((n - 1 - g) // n) END, 0) AS weight,
+         CAST(concat('0x', sha256('7:' || coalesce(CAST(w.doc_id AS VARCHAR), ''))[1:8]) AS BIGINT) AS h
+  FROM words w LEFT JOIN sums USING (row) WHERE side = 0),
+noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place, count(*) FILTER (n_words >= 20) OVER () AS eligible FROM noisy)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN n_words >= 20 AND place <= 25 * eligible // 100 THEN place END AS rank FROM ranked"""
+
 FILTER_AUDIT = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
@@ -115,4 +143,4 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 def oracle_sql() -> dict[str, str]:
     """By query; the tokenizer, the learned models and the media format have none."""
-    return {"op2_sharding": SHARDING, "op3_exact_dedup": EXACT_DEDUP, "op8_near_dedup": NEAR_DEDUP, "op10_mixing": MIXING, "op13_filter_audit": FILTER_AUDIT}
+    return {"op2_sharding": SHARDING, "op3_exact_dedup": EXACT_DEDUP, "op8_near_dedup": NEAR_DEDUP, "op10_mixing": MIXING, "op11_importance_resampling": IMPORTANCE_RESAMPLING, "op13_filter_audit": FILTER_AUDIT}

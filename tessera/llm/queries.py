@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, filter_audit, language_id, mixing, near_dedup, packing, passages, sharding, tokens, toxicity, transport
+from tessera.llm import exact_dedup, filter_audit, language_id, lm_scoring, mixing, near_dedup, packing, passages, resampling, sharding, tokens, toxicity, transport
 from tessera.llm.common import bound_batches
 
 
@@ -60,9 +60,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.take_mix(_documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_documents(spark, sf_dir), lm_scoring.every_seventh())
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_sharding, op3_exact_dedup, op4_language_id, op5_packing, op6_toxicity, op7_media_columns, op8_near_dedup, op9_substring_dedup, op10_mixing, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_token_output, op2_sharding, op3_exact_dedup, op4_language_id, op5_packing, op6_toxicity, op7_media_columns, op8_near_dedup, op9_substring_dedup, op10_mixing, op11_importance_resampling, op12_lm_scoring, op13_filter_audit)}
