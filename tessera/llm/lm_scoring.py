@@ -165,6 +165,8 @@ def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
 
 def _by_owner(keys: np.ndarray, key_bits: int, owner_bits: int) -> Iterator[tuple[int, slice, bytes]]:
     """Sorted distinct keys cut by owner: the owner, where its keys stand, and their code."""
+    if not len(keys):
+        return
     span = key_bits - owner_bits
     owners = keys >> np.uint64(span)
     cuts = np.flatnonzero(np.diff(owners.astype(np.int64), prepend=-1))
@@ -249,14 +251,14 @@ def _place(a: np.ndarray, b: np.ndarray, probe: int, bits: np.ndarray | np.uint6
     return (((a + np.uint64(probe) * b) & _LOW) * bits) >> np.uint64(32)
 
 
-def block_bits(inserts: int) -> int:
+def block_bits(inserts: int, bits: int = BITS) -> int:
     """Bits of a block: whole bytes."""
-    return -(-inserts * BITS // 8) * 8
+    return -(-inserts * bits // 8) * 8
 
 
-def block(keys: np.ndarray, levels: np.ndarray) -> bytes:
+def block(keys: np.ndarray, levels: np.ndarray, bits: int = BITS) -> bytes:
     """A filter that holds (key, 1), (key, 2) ... up to each key's level."""
-    size = block_bits(int(levels.sum(dtype=np.int64)))
+    size = block_bits(int(levels.sum(dtype=np.int64)), bits)
     marks = np.zeros(size, np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
         a, b = _halves(keys[levels >= level], level)
@@ -297,18 +299,18 @@ class LevelFilter:
         return probe_levels(self.data, self.bits[order - 1][owner], self.begin[order - 1][owner], keys)
 
 
-def _build(key_bits: int, owner_bits: list[int]):
+def _build(key_bits: int, owner_bits: list[int], bits: int):
     """The block of each merged row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in (r for b in batches for r in b.to_pylist()):
             keys = _decoded(p["keys"], p["n"], p["owner"], key_bits, owner_bits[p["order"] - 1])
-            yield _batch([{"order": p["order"], "owner": p["owner"], "data": block(keys, np.frombuffer(p["levels"], np.uint8))}], "order int, owner int, data binary")
+            yield _batch([{"order": p["order"], "owner": p["owner"], "data": block(keys, np.frombuffer(p["levels"], np.uint8), bits)}], "order int, owner int, data binary")
 
     return run
 
 
-def _reply(key_bits: int, owner_bits: list[int]):
+def _reply(key_bits: int, owner_bits: list[int], bits: int):
     """Owner side of a filter too large to be broadcast: probes its block for each chunk that asks."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -317,11 +319,11 @@ def _reply(key_bits: int, owner_bits: list[int]):
         width, data, rows = owner_bits[order - 1], np.zeros(0, np.uint8), []
         for p in parts:
             if p["chunk"] is None and p["n"]:
-                data = np.frombuffer(block(_decoded(p["keys"], p["n"], owner, key_bits, width), np.frombuffer(p["levels"], np.uint8)), np.uint8)
+                data = np.frombuffer(block(_decoded(p["keys"], p["n"], owner, key_bits, width), np.frombuffer(p["levels"], np.uint8), bits), np.uint8)
         for p in parts:
             if p["chunk"] is not None:
-                bits = np.full(p["n"], 8 * len(data), np.uint64)
-                levels = probe_levels(data, bits, np.zeros(p["n"], np.uint64), _decoded(p["keys"], p["n"], owner, key_bits, width))
+                whole = np.full(p["n"], 8 * len(data), np.uint64)
+                levels = probe_levels(data, whole, np.zeros(p["n"], np.uint64), _decoded(p["keys"], p["n"], owner, key_bits, width))
                 rows.append({"chunk": p["chunk"], "order": order, "owner": owner, "n": p["n"], "counts": levels.tobytes()})
         return pa.Table.from_batches([_batch(rows, "chunk bigint, order int, owner int, n bigint, counts binary")])
 
@@ -379,7 +381,7 @@ def _owner_bits(entries: int, key_bits: int) -> int:
     return min(20, key_bits - 1, 6 + (entries // (OWNER_HOLDS << 6)).bit_length())
 
 
-def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER, strength: float = STRENGTH, most_bytes: int = MOST_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER, strength: float = STRENGTH, bits: int = BITS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row per document: its tokens, base score and score in log10, by what isn't held out.
 
     ``held_out`` is a condition over the columns of ``docs``; null counts as held out.
@@ -405,10 +407,10 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER, stren
     total = levels.where("order = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).head()
 
     # A number for each owner, of which there are 2**20 an order at most.
-    sizes = {(r.order, r.owner): block_bits(r.inserts) for r in levels.where("inserts > 0").select("order", "owner", "inserts").collect()}
+    sizes = {(r.order, r.owner): block_bits(r.inserts, bits) for r in levels.where("inserts > 0").select("order", "owner", "inserts").collect()}
     held = None
     if sum(sizes.values()) <= 8 * most_bytes:
-        built = levels.where("inserts > 0").select("order", "owner", "n", "keys", "levels").mapInArrow(_build(key_bits, owner_bits), "order int, owner int, data binary").toArrow()
+        built = levels.where("inserts > 0").select("order", "owner", "n", "keys", "levels").mapInArrow(_build(key_bits, owner_bits, bits), "order int, owner int, data binary").toArrow()
         data = {(o, w): i for i, (o, w) in enumerate(zip(built["order"].to_pylist(), built["owner"].to_pylist(), strict=True))}
         blocks = built["data"]
         held = spark.sparkContext.broadcast(LevelFilter(sizes, owner_bits, key_bits, b"".join(blocks[data[k]].as_buffer() for k in sorted(data))))
@@ -417,7 +419,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER, stren
         for n, width in enumerate(owner_bits, 1):
             asks = chunks.mapInArrow(_send(n, key_bits, width, ask=True), _MESSAGE)
             blocks = levels.where(F.col("order") == n).select("order", "owner", "chunk", "n", "keys", "levels")
-            replied = asks.drop("counts").withColumn("levels", F.lit(None).cast("binary")).unionByName(blocks).groupBy("order", "owner").applyInArrow(_reply(key_bits, owner_bits), "chunk bigint, order int, owner int, n bigint, counts binary")
+            replied = asks.drop("counts").withColumn("levels", F.lit(None).cast("binary")).unionByName(blocks).groupBy("order", "owner").applyInArrow(_reply(key_bits, owner_bits, bits), "chunk bigint, order int, owner int, n bigint, counts binary")
             answers = answers.unionByName(materialize(replied, f"replies{n}", **_LAYOUT))
     # A chunk's answers are as many as its distinct n-grams.
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("order", "owner", "n", "counts")).alias("answers"))
