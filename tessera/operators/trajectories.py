@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import any_of, non_null
+from tessera.operators.episodes import VOCABULARY
 
 # Words by which lints know claims, and parameters' names.
 VERDICT = r"(?i)\b(we (conclude|demonstrate|show that)|in conclusion|this (confirms|proves|establishes))\b"
@@ -17,10 +18,8 @@ SUCCESS = ("converged", "success", "finished successfully", "settled")
 MECHANISMS = ("oscillat", "charge density", "charge-density", "charge sloshing", "sloshing", "failed to settle", "did not settle", "instabilit", "diverg", "too large")
 CLAIMED = ("now converged", "has converged", "have converged", "successfully converged", "converged successfully", "scf converged", "it converged", "run converged", "finally converged", "reached convergence", "is converged", "did converge")
 RESTART_CLAIMS = ("restarting from", "restart from the", "continuing the previous", "continuing from the previous", "recovering from the", "from the previous run", "resuming the", "picking up from", "continue the previous")
-PHONON_KEYS = ("alpha_mix(1)", "fildrho", "fildvscf", "epsil", "tr2_ph", "niter_ph", "recover", "fildyn")
 RESTART_KEYS = ("restart_mode", "startingpot")
 DROPPED_KEYS = ("max_seconds",)
-PHASES = {"survey_consensus": "FRAME", "surface_tension": "FRAME", "pose_question": "FRAME", "run_calculation": "PROBE", "draw_conclusion": "RESOLVE"}
 
 
 def step_succeeded(exit_status: Column, state: Column) -> Column:
@@ -57,7 +56,7 @@ def arc_problems(steps: DataFrame) -> DataFrame:
     order = Window.partitionBy("traj_id").orderBy("idx")
     whole = Window.partitionBy("traj_id")
     base = F.substring_index("move", ":", 1)
-    phase = F.try_element_at(F.create_map(*[F.lit(x) for kv in PHASES.items() for x in kv]), base)
+    phase = F.try_element_at(F.create_map(*[F.lit(x) for kv in VOCABULARY.items() for x in kv]), base)
     s = steps.withColumns({"base": base, "phase": phase, "n": F.count(F.lit(1)).over(whole), "place": F.row_number().over(order) - 1})
     s = s.withColumn("left_frame", F.coalesce(F.max(F.col("phase").isin("PROBE", "RESOLVE")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
     s = s.withColumn("first_calc", F.coalesce(F.min(F.when(F.col("base") == "run_calculation", F.col("place"))).over(whole), F.col("n")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import control as L
 from tessera.operators import corpus as K
 from tessera.operators import predicates as P
+from tessera.operators import trees as T
 from tessera.registry import query, table
 
 # Works from parts: venue metrics from the supplier of the same number, institutions from customers.
@@ -135,12 +136,27 @@ def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.looked_up(n.select("n_nationkey"), first, n.select("n_nationkey", F.col("n_name").alias("name")), "n_nationkey")
 
 
-@query("J17_hierarchy", """SELECT r_name, n_name, count(c_custkey) AS leaves FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+# Customers as nodes of a forest: each hangs below the one of half its key; those of nation 7 turn in a ring of their own, and their heirs hang on it.
+_LINKS = """ring AS (SELECT c_custkey AS node, coalesce(lead(c_custkey) OVER (ORDER BY c_custkey), min(c_custkey) OVER ()) AS next FROM customer WHERE c_nationkey = 7 AND c_custkey < 400),
+    links AS (SELECT c_custkey AS node, coalesce(next, CASE WHEN c_custkey > 1 THEN CASE WHEN c_custkey % 97 = 0 THEN -1 ELSE c_custkey // 2 END END) AS parent FROM customer LEFT JOIN ring ON node = c_custkey)"""
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("nation"))
+    # At most 400 nodes make the ring.
+    ring, order = rows.where("nation = 7 and node < 400"), Window.partitionBy("nation")
+    ring = ring.select("node", F.coalesce(F.lead("node").over(order.orderBy("node")), F.min("node").over(order)).alias("next"))
+    halved = F.when(F.col("node") > 1, F.when(F.col("node") % 97 == 0, F.lit(-1)).otherwise(F.floor(F.col("node") / 2)))
+    return rows.join(ring, "node", "left").select("node", F.coalesce("next", halved).cast("bigint").alias("parent"))
+
+
+@query("J17_hierarchy", f"""WITH RECURSIVE {_LINKS}, walk AS (SELECT node, parent, node AS root, 0::BIGINT AS depth, [node] AS path FROM links WHERE parent IS NULL
+      UNION ALL SELECT node, parent, parent, 1, [parent, node] FROM links WHERE parent IS NOT NULL AND parent NOT IN (SELECT node FROM links)
+      UNION ALL SELECT l.node, l.parent, w.root, w.depth + 1, list_append(w.path, l.node) FROM walk w JOIN links l ON l.parent = w.node)
+    SELECT l.node, l.parent, w.root, w.depth, array_to_string(w.path, '/') AS path, w.root IS NULL AS cycle FROM links l LEFT JOIN walk w USING (node)""")
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parents, children and leaves of a tree by its id links."""
-    tree = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
-    leaves = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("leaves"))
-    return tree.join(leaves, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("r_name", "n_name", F.coalesce("leaves", F.lit(0)).alias("leaves"))
+    """A forest of unknown depth with missing parents, a ring and what hangs on it."""
+    return T.hierarchy(links(spark, sf_dir)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
 
 
 @query("P1_S23_allow_list", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")

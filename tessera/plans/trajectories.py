@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import episodes as E
 from tessera.operators import logs as L
 from tessera.operators import predicates as P
 from tessera.operators import trajectories as T
@@ -45,17 +46,17 @@ def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.size(F.filter(votes, lambda v: v)).cast("bigint").alias("votes_for"), ok.alias("admissible"))
 
 
-_MOVES = """moves AS (SELECT conv_id AS traj_id, turn AS idx, CASE role WHEN 'system' THEN 'survey_consensus' WHEN 'user' THEN 'run_calculation:x' ELSE CASE WHEN turn % 4 = 0 THEN 'pose_question' ELSE 'draw_conclusion' END END AS move,
+_MOVES = """moves AS (SELECT conv_id AS traj_id, turn AS idx, CASE role WHEN 'system' THEN 'survey_consensus' WHEN 'user' THEN 'run_calculation:x' ELSE CASE WHEN turn % 4 = 0 THEN 'formulate_question' ELSE 'draw_conclusion' END END AS move,
     CASE WHEN length(text) % 3 = 0 THEN 'we conclude ' ELSE '' END AS thought FROM conversations)"""
 
 
 @query("T3_W8_W9_arc_lint", f"""WITH {_MOVES}, s AS (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY idx) - 1 AS place, count(*) OVER (PARTITION BY traj_id) AS n,
-      CASE split_part(move, ':', 1) WHEN 'survey_consensus' THEN 'FRAME' WHEN 'pose_question' THEN 'FRAME' WHEN 'run_calculation' THEN 'PROBE' WHEN 'draw_conclusion' THEN 'RESOLVE' END AS phase FROM moves),
+      CASE split_part(move, ':', 1) WHEN 'survey_consensus' THEN 'FRAME' WHEN 'formulate_question' THEN 'FRAME' WHEN 'run_calculation' THEN 'PROBE' WHEN 'draw_conclusion' THEN 'RESOLVE' END AS phase FROM moves),
     t AS (SELECT *, coalesce(bool_or(phase IN ('PROBE', 'RESOLVE')) OVER (PARTITION BY traj_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone,
       coalesce(min(CASE WHEN phase = 'PROBE' THEN place END) OVER (PARTITION BY traj_id), n) AS calc FROM s)
     SELECT traj_id, sum((place = 0 AND NOT starts_with(move, 'survey_consensus'))::INT + (place = n - 1 AND NOT starts_with(move, 'draw_conclusion'))::INT + (phase = 'FRAME' AND gone)::INT + (place < least(calc, n - 1) AND contains(thought, 'we conclude'))::INT)::BIGINT AS problems FROM t GROUP BY 1""")
 def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    move = F.when(F.col("role") == "system", "survey_consensus").when(F.col("role") == "user", "run_calculation:x").when(F.col("turn") % 4 == 0, "pose_question").otherwise("draw_conclusion")
+    move = F.when(F.col("role") == "system", "survey_consensus").when(F.col("role") == "user", "run_calculation:x").when(F.col("turn") % 4 == 0, "formulate_question").otherwise("draw_conclusion")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("traj_id"), F.col("turn").alias("idx"), move.alias("move"), F.when(F.length("text") % 3 == 0, "we conclude ").otherwise("").alias("thought"), F.lit("").alias("observation"))
     return T.arc_problems(rows).select("traj_id", F.size("problems").cast("bigint").alias("problems"))
 
@@ -206,9 +207,72 @@ def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.max(P.norm(F.col("embedding"))), 6).alias("longest"), F.count(F.lit(1)).alias("n"))
 
 
-@query("L8_W17_episode_positions", """SELECT conv_id, turn, role, expected, role = expected AS in_sequence FROM (SELECT conv_id, turn, role, CASE WHEN row_number() OVER w = 1 THEN 'system' WHEN lag(role) OVER w = 'user' THEN 'assistant' ELSE 'user' END AS expected FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""")
+# A turn as a move: the planned one of its place, none given, a wrong one or a reset, by the length of its text.
+_PLAN_SQL = "[" + ", ".join(f"'{m}'" for m in E.PLAN) + "]"
+_EPISODES = f"""actions AS (SELECT conv_id AS episode, turn AS idx, CASE WHEN length(text) % 17 = 1 THEN 'reset' WHEN length(text) % 6 = 0 THEN 'interpret_result' WHEN turn % 3 <> 0 THEN {_PLAN_SQL}[turn % 8 + 1] END AS move,
+      role = 'assistant' AS rewarded FROM conversations),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY idx, move NULLS FIRST) AS place FROM actions),
+    walk AS (SELECT episode, place, 0 AS phase, CASE WHEN move = 'reset' THEN 0 WHEN move IS NULL OR move = {_PLAN_SQL}[1] THEN 1 ELSE 0 END AS after FROM numbered WHERE place = 1
+      UNION ALL SELECT n.episode, n.place, w.after, CASE WHEN n.move = 'reset' THEN 0 WHEN w.after = 8 THEN 8 WHEN n.move IS NULL OR n.move = {_PLAN_SQL}[w.after + 1] THEN w.after + 1 ELSE w.after END
+      FROM walk w JOIN numbered n ON n.episode = w.episode AND n.place = w.place + 1)"""
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, turn = F.length("text"), F.col("turn")
+    planned = F.element_at(F.array(*map(F.lit, E.PLAN)), (turn % 8 + 1).cast("int"))
+    move = F.when(size % 17 == 1, "reset").when(size % 6 == 0, "interpret_result").when(turn % 3 != 0, planned)
+    return _turns(spark, sf_dir).select(F.col("conv_id").alias("episode"), turn.alias("idx"), move.alias("move"), (F.col("role") == "assistant").alias("rewarded"))
+
+
+@query("L8_W17_episodes", f"""WITH RECURSIVE {_EPISODES} SELECT n.episode, n.idx, n.move, w.phase, {_PLAN_SQL}[w.phase + 1] AS expected,
+      coalesce(n.move = 'reset', false) OR w.after <> w.phase AS accepted,
+      CASE WHEN n.move = 'reset' THEN NULL WHEN w.phase = 8 THEN 'episode already terminated; call reset()' WHEN w.after = w.phase THEN 'expected move ' || chr(39) || {_PLAN_SQL}[w.phase + 1] || chr(39) || ', got ' || chr(39) || n.move || chr(39) END AS reason,
+      CASE WHEN w.phase = 7 AND w.after = 8 AND n.rewarded THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward, w.phase = 7 AND w.after = 8 AS done, {_PLAN_SQL}[w.after + 1] AS next_move
+    FROM walk w JOIN numbered n USING (episode, place)""")
 def l8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn against the one that the state before it allows."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    expected = F.when(F.row_number().over(order) == 1, "system").when(F.lag("role").over(order) == "user", "assistant").otherwise("user")
-    return _turns(spark, sf_dir).select("conv_id", "turn", "role", expected.alias("expected")).withColumn("in_sequence", F.col("role") == F.col("expected"))
+    """All turns through the guarded machine: a refused one doesn't move it."""
+    return E.replay_episodes(actions(spark, sf_dir))
+
+
+_RECORDS = """records AS (SELECT conv_id AS paper_id, turn AS idx, ['survey_consensus', 'run_calculation:dft', 'other:look', 'compare_reference', 'draw_conclusion'][length(text) % 5 + 1] AS move,
+      CASE WHEN role <> 'system' THEN left(text, 20) END AS thought, CASE WHEN role = 'assistant' THEN 'd' || turn END AS computes, coalesce(text, '') AS observation FROM conversations)"""
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moves = F.element_at(F.array(*map(F.lit, ("survey_consensus", "run_calculation:dft", "other:look", "compare_reference", "draw_conclusion"))), (F.length("text") % 5 + 1).cast("int"))
+    args = F.when(F.col("role") == "assistant", F.create_map(F.lit("computes"), F.concat(F.lit("d"), F.col("turn").cast("string"))))
+    return _turns(spark, sf_dir).select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("idx"), moves.alias("move"), F.when(F.col("role") != "system", F.left("text", F.lit(20))).alias("thought"), args.alias("args"), "text", F.coalesce("text", F.lit("")).alias("observation"))
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern a conversation: each third has no claim that can be computed again."""
+    claim = F.struct(F.lit("Work function").alias("observable"), F.lit(None).cast("string").alias("recompute_handle"), F.when(F.col("paper_id") % 2 == 0, "yes").otherwise("no").alias("computable"))
+    legacy = F.struct(F.lit("").alias("observable"), F.lit(" band_gap ").alias("recompute_handle"), F.lit("Y").alias("computable"))
+    none = F.struct(F.lit("none").alias("observable"), F.lit(None).cast("string").alias("recompute_handle"), F.lit("yes").alias("computable"))
+    heads = _turns(spark, sf_dir).groupBy(F.col("conv_id").alias("paper_id")).agg(F.max("turn").alias("last"))
+    text = F.col("paper_id").cast("string")
+    return heads.select("paper_id", F.concat(F.lit(" p"), text).alias("premise_consensus"), F.when(F.col("last") % 2 == 0, F.concat(F.lit("t"), text)).alias("tension"), F.concat(F.lit("m"), text, F.lit(" ")).alias("motivation"), F.when(F.col("paper_id") % 4 != 0, F.concat(F.lit("c"), text)).alias("conclusion"), F.lit("n").alias("novelty_move"), F.concat(F.lit("T"), text).alias("title"), F.when(F.col("paper_id") % 3 == 0, F.array(none)).otherwise(F.array(claim, none, legacy)).alias("key_claims"))
+
+
+_PATTERNS = """patterns AS (SELECT conv_id AS paper_id, max(turn) AS last, CASE WHEN conv_id % 3 = 0 THEN [] WHEN conv_id % 2 = 0 THEN ['Work function', 'band_gap'] ELSE ['band_gap', 'Work function'] END AS handles,
+      CASE WHEN conv_id % 4 <> 0 THEN 'c' || conv_id END AS conclusion FROM conversations GROUP BY 1)"""
+
+
+@query("L9_trajectories", f"""WITH {_RECORDS}, {_PATTERNS}, placed AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY idx) - 1 AS place, count(*) OVER (PARTITION BY paper_id) AS n, count(*) FILTER (move = 'other:look') OVER (PARTITION BY paper_id) AS escapes FROM records)
+    SELECT 'discovery::' || p.paper_id AS id, 'Given the prior understanding that p' || p.paper_id || ' resolve the following open question: ' || CASE WHEN last % 2 = 0 THEN 't' ELSE 'm' END || p.paper_id AS goal,
+      CASE WHEN len(handles) > 0 THEN 'recompute anchors: ' || array_to_string(handles, ', ') END AS task_spec, place AS idx, split_part(move, ':', 1) AS action, computes IS NOT NULL AS has_args, nullif(thought, '') AS thought,
+      CASE WHEN place = n - 1 AND move = 'draw_conclusion' THEN 'res=' || coalesce(conclusion, observation) WHEN move = 'run_calculation:dft' THEN 'computes=' || coalesce(computes, 'none') || ';exec_tool=' ELSE '' END AS content,
+      CASE WHEN place = n - 1 THEN CASE WHEN len(handles) > 0 THEN 'rule' ELSE 'model' END END AS style, CASE WHEN place = n - 1 AND len(handles) = 0 THEN conclusion END AS claim, escapes, true AS read_back
+    FROM placed JOIN patterns p USING (paper_id)""", longs=("idx", "escapes"))
+def l9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories built from all turns; each step beside what the inverse reads back for it."""
+    given = records(spark, sf_dir)
+    built = E.build_trajectories(patterns(spark, sf_dir), given)
+    steps_ = built.select("paper_id", "id", "goal", "task_spec", F.size("metadata.escape_hatch_moves").alias("escapes"), F.explode("steps").alias("s"))
+    content = F.array_join(F.transform(F.map_entries("s.observation.content"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    laid = steps_.select("paper_id", "id", "goal", "task_spec", F.col("s.index").alias("idx"), F.col("s.action.name").alias("action"), (F.size(F.map_keys("s.action.params")) > 0).alias("has_args"), F.col("s.thought").alias("thought"), content.alias("content"), F.col("s.reward.style").alias("style"), F.col("s.reward.qualitative_claim").alias("claim"), "escapes")
+    order = Window.partitionBy("paper_id").orderBy("idx")
+    wanted = given.select("paper_id", (F.row_number().over(order) - 1).alias("idx"), F.struct("move", F.nullif("thought", F.lit("")).alias("thought"), F.to_json("args").alias("args"), "observation").alias("w"))
+    read = E.trajectory_records(built).select("paper_id", "idx", F.struct("move", "thought", F.when(F.size(F.map_keys("args")) > 0, F.to_json("args")).alias("args"), "observation").alias("r"))
+    same = wanted.join(read, ["paper_id", "idx"]).select("paper_id", "idx", F.col("w").eqNullSafe(F.col("r")).alias("read_back"))
+    return laid.join(same, ["paper_id", "idx"], "left").drop("paper_id")
