@@ -38,7 +38,7 @@ from tessera.llm.common import hash_words, materialize, mix64, text_bytes, text_
 from tessera.llm.exact_dedup import _shift, golomb_decode, golomb_encode
 
 #: Longest n-gram; bytes of text of a chunk; entries that an owner is meant to hold; bytes that are broadcast at most.
-ORDER, CHUNK, OWNER_HOLDS, MOST_BYTES = 2, 8 << 20, 1 << 19, 128 << 20
+ORDER, CHUNK, OWNER_HOLDS, MOST_BYTES = 2, 4 << 20, 1 << 19, 128 << 20
 #: The filter's bits an entry and probes; the counts' base; how many observations the lower order weighs.
 BITS, PROBES, BASE, STRENGTH = 8, 5, 1.5, 500.0
 
@@ -335,15 +335,15 @@ def _reply(key_bits: int, owner_bits: list[int], bits: int):
 # --------------------------------------------------------------------------
 
 
-def token_probabilities(chunk: Chunk, order: int, strength: float, tokens: int, distinct: int, look: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The smoothed probability of every token; ``look`` gives the levels of n-grams of an order."""
+def token_probabilities(chunk: Chunk, order: int, strength: float, total: int, look: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The smoothed probability of every token; ``look`` gives the levels of n-grams of an order, ``total`` is the number of tokens and of distinct ones."""
     counts = VALUES[look(1, chunk.words)][chunk.tokens]
-    p = (counts + 1) / (tokens + distinct + 1)
+    p = (counts + 1) / (total + 1)
     for n, grams, reach in chunk.grams(order):
         context = np.roll(counts, 1)  # of the words before; what is out of reach isn't used
         at = np.flatnonzero(reach & (context > 0) & (counts > 0))
-        own = np.zeros(len(p))
-        own[at] = np.minimum(VALUES[look(n, grams[at])], np.minimum(context[at], counts[at]))
+        own, (distinct, where) = np.zeros(len(p)), np.unique(grams[at], return_inverse=True)
+        own[at] = np.minimum(VALUES[look(n, distinct)][where], np.minimum(context[at], counts[at]))
         p = np.where(reach, (own + strength * p) / (context + strength), p)
         counts = own
     return p
@@ -368,7 +368,7 @@ def _score(order: int, strength: float, tokens: int, distinct: int, key_bits: in
                 every = chunk.words if order == 1 else next(g[reach] for k, g, reach in chunk.grams(order) if k == order)
                 return np.concatenate(found[order])[np.searchsorted(np.unique(every >> shift), hashes >> shift)]
 
-            p = token_probabilities(chunk, order, strength, tokens, distinct, held.value.levels if held else asked)
+            p = token_probabilities(chunk, order, strength, tokens + distinct, held.value.levels if held else asked)
             score = np.bincount(chunk.owner, np.log10(p), n)
             columns = [row["doc_ids"], row["held"], chunk.sizes, known, np.full(n, tokens), base, score]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
