@@ -139,6 +139,11 @@ def status(done: DataFrame) -> DataFrame:
     return done.rollup("model").agg(F.count_if(F.col("ok")).alias("passing"), F.count(F.lit(1)).alias("total")).select(F.coalesce("model", F.lit("TOTAL")).alias("model"), "passing", "total")
 
 
+def mechanisms(rows: DataFrame, mechanism: Column, analysis: str) -> DataFrame:
+    """K9: findings that no code covers, by mechanism: how many, and in how many analyses; null is (none)."""
+    return rows.groupBy(F.coalesce(mechanism, F.lit("(none)")).alias("mechanism")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(analysis).alias("analyses"))
+
+
 def head_overlap(old: DataFrame, new: DataFrame, n: int = 10, least: int = 4) -> DataFrame:
     """How many of the n most frequent codes two runs share; ties go by taxonomy order.
 

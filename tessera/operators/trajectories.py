@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
+from tessera.functions.python_json import python_json
 from tessera.functions.scalars import any_of, non_null
 from tessera.operators.episodes import VOCABULARY
 
@@ -161,10 +163,7 @@ def diagnosed_text(exit_status: Column, energy: Column, iterations: Column) -> C
 
 def spaced_json(params: Column) -> Column:
     """A map of strings as JSON with sorted keys, a space behind each colon and comma."""
-    quote = lambda x: F.to_json(F.array(x))
-    bare = lambda x: F.substr(quote(x), F.lit(2), F.length(quote(x)) - 2)
-    entries = F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(bare(e["key"]), F.lit(": "), F.coalesce(bare(e["value"]), F.lit("null"))))
-    return F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))
+    return python_json(params, MapType(StringType(), StringType()), sort_keys=True)
 
 
 def chat_messages(trajectories: DataFrame, steps: DataFrame) -> DataFrame:

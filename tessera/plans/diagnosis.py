@@ -50,38 +50,38 @@ _TOTALS = """SELECT d.ord, d.code, d.name, d.stage, d.pillar, count(*) FILTER (l
     FROM dim d LEFT JOIN labels l ON l.code = d.code GROUP BY 1, 2, 3, 4, 5"""
 
 
-def _inputs(spark: SparkSession, sf_dir: str, dense: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def label_inputs(spark: SparkSession, sf_dir: str, dense: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = labels(spark, sf_dir, dense)
     return found, records(found), dim_code(spark)
 
 
 @query("A1_code_totals", f"{_BASE} {_TOTALS}")
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _, dim = _inputs(spark, sf_dir)
+    found, _, dim = label_inputs(spark, sf_dir)
     return S.totals_by_code(found, dim)
 
 
 @query("A2_model_totals", f"""{_BASE} SELECT m.model, m.analyses, d.code, count(*) FILTER (l.score = 2) AS hits, count(*) FILTER (l.score = 1) AS partials
     FROM (SELECT model, count(*) AS analyses FROM records GROUP BY 1) m CROSS JOIN dim d LEFT JOIN labels l ON l.model = m.model AND l.code = d.code GROUP BY 1, 2, 3""")
 def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.totals_by_model(*_inputs(spark, sf_dir))
+    return S.totals_by_model(*label_inputs(spark, sf_dir))
 
 
 @query("A3_J9_code_model_grid", f"""{_BASE} SELECT d.ord, d.code, m.model, count(l.score) AS n
     FROM (SELECT DISTINCT model FROM records) m CROSS JOIN dim d LEFT JOIN labels l ON l.model = m.model AND l.code = d.code AND l.score = 2 GROUP BY 1, 2, 3""")
 def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, recs, dim = _inputs(spark, sf_dir)
+    found, recs, dim = label_inputs(spark, sf_dir)
     return S.grid(found, dim, "model", recs).select("ord", "code", "model", "n")
 
 
 @query("A4_hit_rates", f"""{_BASE} SELECT t.*, n.analyses, 100.0::DOUBLE * t.hits / n.analyses AS hit_pct FROM ({_TOTALS}) t, (SELECT greatest(count(*), 1) AS analyses FROM records) n""")
 def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.hit_rates(*_inputs(spark, sf_dir))
+    return S.hit_rates(*label_inputs(spark, sf_dir))
 
 
 @query("W10_ranked_codes", f"{_BASE} SELECT *, row_number() OVER (ORDER BY hits DESC, code) AS rank FROM ({_TOTALS})", longs=("rank",))
 def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _, dim = _inputs(spark, sf_dir)
+    found, _, dim = label_inputs(spark, sf_dir)
     return S.ranked(S.totals_by_code(found, dim))
 
 
@@ -91,7 +91,7 @@ def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(*) FILTER (severity = 'none') AS severity_none, count(*) FILTER (severity IS NULL) AS severity_unknown
     FROM records r JOIN per USING (model, task) GROUP BY 1""")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, recs, _ = _inputs(spark, sf_dir)
+    found, recs, _ = label_inputs(spark, sf_dir)
     return S.model_load(found, recs)
 
 
@@ -100,13 +100,13 @@ _CELLS = "coalesce(stage, 'all') AS stage, coalesce(pillar, 'all') AS pillar, co
 
 @query("A6_root_cause_grid", f"{_BASE} SELECT {_CELLS} GROUP BY CUBE (stage, pillar)")
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _, dim = _inputs(spark, sf_dir)
+    found, _, dim = label_inputs(spark, sf_dir)
     return S.root_cause_grid(found, dim)
 
 
 @query("A6_root_cause_by_model", f"{_BASE} SELECT model, {_CELLS} GROUP BY GROUPING SETS ((model, stage, pillar), (model, stage), (model, pillar), (model))")
 def a6_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _, dim = _inputs(spark, sf_dir)
+    found, _, dim = label_inputs(spark, sf_dir)
     return S.root_cause_grid(found, dim, ["model"])
 
 
@@ -114,7 +114,7 @@ def a6_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     h AS (SELECT d.code, count(*) FILTER (l.task LIKE 'W%') AS w, count(*) FILTER (l.task LIKE 'b%') AS b FROM dim d LEFT JOIN labels l ON l.code = d.code AND l.score = 2 GROUP BY 1)
     SELECT code, 100.0::DOUBLE * h.w / n.w AS rate_first, 100.0::DOUBLE * h.b / n.b AS rate_second, 100.0::DOUBLE * h.w / n.w - 100.0::DOUBLE * h.b / n.b AS delta_pp FROM h, n""")
 def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, recs, dim = _inputs(spark, sf_dir)
+    found, recs, dim = label_inputs(spark, sf_dir)
     return S.slice_rates(found.withColumn("source_set", F.left("task", F.lit(1))), recs, dim, "source_set", "W", "b")
 
 
@@ -127,12 +127,12 @@ _PAIRS = """hit AS (SELECT model, task, code, ord FROM labels JOIN dim USING (co
 
 @query("J8_A8_A9_cooccurrence_lift", f"{_BASE}, {_PAIRS} SELECT * FROM lifted")
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.cooccurrence(*_inputs(spark, sf_dir))
+    return S.cooccurrence(*label_inputs(spark, sf_dir))
 
 
 @query("O2_top_pairs", f"{_BASE}, {_PAIRS} SELECT * FROM lifted ORDER BY n DESC, a DESC, b DESC LIMIT 40")
 def o2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.top_pairs(S.cooccurrence(*_inputs(spark, sf_dir)))
+    return S.top_pairs(S.cooccurrence(*label_inputs(spark, sf_dir)))
 
 
 def _agreement_sql(base: str) -> str:
@@ -145,13 +145,13 @@ def _agreement_sql(base: str) -> str:
 
 @query("A10_O5_agreement_dense", _agreement_sql(_DENSE))
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, recs, _ = _inputs(spark, sf_dir, dense=True)
+    found, recs, _ = label_inputs(spark, sf_dir, dense=True)
     return S.agreement(found, recs)
 
 
 @query("A10_O5_agreement_sparse", _agreement_sql(_BASE))
 def a10_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, recs, _ = _inputs(spark, sf_dir)
+    found, recs, _ = label_inputs(spark, sf_dir)
     return S.agreement(found, recs)
 
 
@@ -225,27 +225,27 @@ def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A15_status", f"{_BASE} SELECT coalesce(model, 'TOTAL') AS model, count(*) FILTER (severity IS NOT NULL AND severity <> 'high') AS passing, count(*) AS total FROM records GROUP BY ROLLUP (model)")
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, recs, _ = _inputs(spark, sf_dir)
+    _, recs, _ = label_inputs(spark, sf_dir)
     return S.status(recs.select("model", F.coalesce(F.col("severity") != "high", F.lit(False)).alias("ok")))
 
 
 @query("U6_J1_remaining", f"{_BASE} SELECT model, task FROM records r WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.model = r.model AND l.task = r.task AND l.score = 2)")
 def u6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, recs, _ = _inputs(spark, sf_dir)
+    found, recs, _ = label_inputs(spark, sf_dir)
     return recs.join(found.where("score = 2"), ["model", "task"], "left_anti").select("model", "task")
 
 
 @query("J2_P9_labels_long", f"{_BASE} SELECT l.model, l.task, l.code, d.name, d.stage, d.pillar, l.score, CASE l.score WHEN 2 THEN 'HIT' ELSE 'PARTIAL' END AS verdict FROM labels l JOIN dim d USING (code) WHERE l.score > 0")
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tidy label rows with their taxonomy attributes; codes outside the taxonomy drop out."""
-    found, _, dim = _inputs(spark, sf_dir)
+    found, _, dim = label_inputs(spark, sf_dir)
     return found.where("score > 0").join(F.broadcast(dim.drop("ord")), "code").withColumn("verdict", F.when(F.col("score") == 2, "HIT").otherwise("PARTIAL")).select("model", "task", "code", "name", "stage", "pillar", "score", "verdict")
 
 
 @query("J3_source_set", f"""{_BASE} SELECT r.model, r.task, coalesce(s.source_set, 'unknown') AS source_set FROM records r
     LEFT JOIN (SELECT DISTINCT task, source_set FROM records WHERE task LIKE '%1%') s USING (task)""")
 def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, recs, _ = _inputs(spark, sf_dir)
+    _, recs, _ = label_inputs(spark, sf_dir)
     side = recs.where(F.contains("task", F.lit("1"))).select("task", "source_set").distinct()
     return recs.select("model", "task").join(side, "task", "left").select("model", "task", F.coalesce("source_set", F.lit("unknown")).alias("source_set"))
 
@@ -260,7 +260,7 @@ def a27(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each failure pattern occurs by model: one row a code, one column a model."""
-    found, recs, dim = _inputs(spark, sf_dir)
+    found, recs, dim = label_inputs(spark, sf_dir)
     models = [f"m{k}" for k in range(8)]
     wide = found.where("score = 2").groupBy("code").pivot("model", models).count()
     totals = S.ranked(S.hit_rates(found, recs, dim))

@@ -1,17 +1,36 @@
-"""Sources and sinks: tables and literal files written to the shared folder and read back."""
+"""Sources and sinks: files written from the driver's tables to the shared folder, under the names that tools expect, and read back."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.literals import rows
-from tessera.registry import query, table
+from tessera.functions import templates
+from tessera.functions.python_json import python_json
+from tessera.operators import statistics as A
+from tessera.plans import corpus, trajectories
+from tessera.plans.diagnosis import label_inputs
+from tessera.registry import ORACLES, query, table
 from tessera.sources import files as S
 from tessera.sources import sinks as K
-from tessera.sources.scratch import folder, put
+from tessera.sources.named_files import read_named, write_named
+from tessera.sources.scratch import folder
+
+
+def stored(spark: SparkSession, files: DataFrame) -> str:
+    """A folder of its own with each row (path, content) as a file."""
+    root = folder(spark)
+    write_named(files, root)
+    return root
+
+
+def joined_lines(rows: DataFrame, path: Column, order: Column, line: Column) -> DataFrame:
+    """(path, content): a file a path of its lines in order."""
+    return rows.groupBy(path.alias("path")).agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda x: x["l"]), "\n"), F.lit("\n")).alias("content"))
+
+
+def _json(**fields: Column | str) -> Column:
+    return F.to_json(F.struct(*((F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items())))
 
 
 @query("S6_S15_S17_K13_K17_json_lines", "SELECT doc_id, lang, source, text FROM documents")
@@ -22,10 +41,11 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.json_lines(spark, path, "doc_id bigint, lang string, source string, text string").select("doc_id", "lang", "source", "text")
 
 
-@query("K14_json_lines_by_topic", "SELECT doc_id, lang AS topic FROM documents WHERE lang IS NOT NULL")
+@query("K14_json_lines_by_topic", "SELECT doc_id, lang AS topic FROM documents")
 def by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a topic a document has a folder of its own, and reads back without one."""
     path = folder(spark)
-    K.to_json_lines(table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", F.col("lang").alias("topic")), path, "topic")
+    K.to_json_lines(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("topic")), path, "topic")
     return spark.read.schema("doc_id bigint, topic string").json(path)
 
 
@@ -36,87 +56,340 @@ def tidy_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("doc_id bigint, quality int, toxic int").csv(path, header=True)
 
 
-@query("S22_topics", rows("line, topic", (1, "first topic"), (4, "b #c")))
+@query("S22_topics", """WITH n AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS line, CASE p_partkey % 4 WHEN 0 THEN '# ' || p_name WHEN 1 THEN ' ' || p_name || ' ' WHEN 2 THEN ' ' || chr(9) ELSE p_name || ' #' || p_partkey END AS t FROM part)
+    SELECT replace(p_brand, '#', '') || '.txt' AS file, line, trim(t, ' ' || chr(9)) AS topic FROM n WHERE trim(t, ' ' || chr(9)) <> '' AND NOT starts_with(trim(t, ' ' || chr(9)), '#')""", longs=("line",))
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.topics(spark, put(spark, folder(spark), {"topics.txt": "# comment\n first topic \n\n \t\nb #c\n  # more\n"}))
+    """A file of topics a brand, with comments and blank lines."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    line = F.when(key % 4 == 0, F.concat(F.lit("# "), name)).when(key % 4 == 1, F.concat(F.lit(" "), name, F.lit(" "))).when(key % 4 == 2, " \t").otherwise(F.concat(name, F.lit(" #"), key.cast("string")))
+    root = stored(spark, joined_lines(table(spark, sf_dir, "part"), F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".txt")), key, line))
+    return S.topics(spark, root).select(S.part(F.col("path"), 1).alias("file"), "line", "topic")
+
 
+_MANIFEST = """sets AS (SELECT c_nationkey * 1000000 + c_custkey // 2 AS task, arg_max(CASE WHEN c_custkey % 3 = 1 THEN 'W' ELSE 'b' END || c_mktsegment, c_custkey) AS source_set FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1)"""
 
-_MANIFEST = "task\tset\nt1\told\nshort\nt1\tdev\nt2\ttest\textra\n"
 
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest a nation: a header, rows with a column too many, short rows, tasks that repeat."""
+    key = F.col("c_custkey")
+    task = (F.col("c_nationkey") * 1000000 + F.floor(key / 2)).cast("string")
+    name = F.concat(F.when(key % 3 == 1, "W").otherwise("b"), "c_mktsegment")
+    line = F.when(key % 5 == 0, task).otherwise(F.concat_ws("\t", task, name, F.when(key % 7 == 0, F.lit("more"))))
+    files = joined_lines(table(spark, sf_dir, "customer"), F.concat(F.lit("m"), F.col("c_nationkey").cast("string"), F.lit(".tsv")), key, line)
+    return files.withColumn("content", F.concat(F.lit("task\tset\n"), "content"))
 
-@query("S5_source_sets", rows("task, source_set", ("t1", "dev"), ("t2", "test")))
+
+@query("S5_source_sets", f"WITH {_MANIFEST} SELECT task::VARCHAR AS task, source_set FROM sets")
 def source_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.source_sets(spark, put(spark, folder(spark), {"manifest.tsv": _MANIFEST}))
+    return S.source_sets(spark, stored(spark, manifests(spark, sf_dir)))
 
 
-@query("S1_S2_J3_analyses", rows("model, task, source_set, body", ("m1", "t1", "dev", "one"), ("m1", "t9", "unknown", "two\n"), ("m2", "t2", "test", "# three")))
+@query("S1_S2_J3_analyses", """WITH sets AS (SELECT doc_id, 'q' || quality AS s FROM labels WHERE doc_id % 10 <> 0) SELECT source AS model, d.doc_id::VARCHAR AS task, coalesce(s, 'unknown') AS source_set, text AS body
+    FROM documents d LEFT JOIN sets USING (doc_id) WHERE source IS NOT NULL AND text <> '' AND doc_id % 11 <> 0""")
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = put(spark, folder(spark), {"c/m1/t1/analysis.md": "one", "c/m1/t9/analysis.md": "two\n", "c/m2/t2/analysis.md": "# three", "c/_old/t1/analysis.md": "x", "c/m2/t2/notes.md": "y", "manifest.tsv": _MANIFEST})
-    return S.analyses(spark, f"{root}/c", f"{root}/manifest.tsv").select("model", "task", "source_set", "body")
+    """Documents as analyses of their sources; those of a folder with an underscore, and notes beside them, aren't read."""
+    d, path = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    folder_ = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("_"), F.coalesce("source", F.lit("none")))).otherwise(F.coalesce("source", F.lit("_none")))
+    files = d.select(F.concat(folder_, F.lit("/"), path, F.lit("/analysis.md")).alias("path"), F.col("text").alias("content"))
+    notes = d.select(F.concat(folder_, F.lit("/"), path, F.lit("/notes.md")).alias("path"), F.lit("n").alias("content"))
+    labels = table(spark, sf_dir, "labels").where("doc_id % 10 <> 0").select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("line"), "doc_id")
+    manifest = stored(spark, joined_lines(labels, F.lit("manifest.tsv"), F.col("doc_id"), F.col("line")).withColumn("content", F.concat(F.lit("task\tset\n"), "content")))
+    return S.analyses(spark, stored(spark, files.unionByName(notes)), manifest).select("model", "task", "source_set", "body")
+
+
+# Conversations as trajectories: some files are broken, some logs are there and empty, some reasons have a known head.
+_TRAJ = """t AS (SELECT conv_id, conv_id % 7 AS k, max(length(coalesce(text, ''))) AS chars, count(*) AS turns FROM conversations GROUP BY 1)"""
+
+
+def _trajectory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+    k, empty = F.col("conv_id") % 7, F.lit("")
+    reason = F.when(k == 0, "no_decision: late").when(k == 1, "judge_unavailable").when(k == 2, "timeout x").when(k == 3, "soft[x]")
+    log = F.repeat(F.lit("é"), F.col("turns").cast("int"))
+    body = F.to_json(F.struct(
+        F.col("conv_id").cast("string").alias("task_id"), F.when(k != 4, F.col("turns") / 2).alias("reward"), reason.alias("reason"),
+        F.when(k % 2 == 0, empty).alias("claude_log"), F.when(k % 3 == 0, log).alias("gemini_log"), F.when(k == 5, empty).alias("codex_log"),
+        F.struct(F.concat(F.lit("obs "), k.cast("string")).alias("observable"), F.array(F.lit(1), F.lit(2)).alias("steps")).alias("decision"), F.lit("R\n").alias("report_md"), (F.col("turns") * 1.5).alias("wall_clock_s"),
+    ))
+    name = F.concat(F.lit("traj/"), F.col("conv_id").cast("string"))
+    files = rows.select(F.concat(name, F.lit(".json")).alias("path"), F.when(k == 6, "{broken").otherwise(body).alias("content"))
+    return files.unionByName(rows.select(F.concat(name, F.lit(".txt")).alias("path"), F.lit("{}").alias("content")))
+
+
+@query("S3_S4_P2_trajectories", f"""WITH {_TRAJ} SELECT conv_id::VARCHAR AS task_id, CASE WHEN k <> 4 THEN turns / 2.0::DOUBLE END AS reward, CASE k WHEN 0 THEN 'no_decision: late' WHEN 1 THEN 'judge_unavailable' WHEN 2 THEN 'timeout x' WHEN 3 THEN 'soft[x]' ELSE '' END AS reason,
+    CASE k WHEN 0 THEN 'no_decision' WHEN 1 THEN 'judge_unavailable' WHEN 2 THEN 'timeout' ELSE 'soft' END AS category, CASE WHEN k % 3 = 0 THEN 'gemini' WHEN k % 2 = 0 THEN 'claude' WHEN k = 5 THEN 'codex' ELSE 'claude' END AS log_format, CASE WHEN k % 3 = 0 THEN turns ELSE 0 END AS log_chars
+    FROM t WHERE k <> 6""", longs=("log_chars",))
+def read_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filled log gives the format, then the one that is there, then the default; broken files are skipped."""
+    return S.trajectories(spark, stored(spark, _trajectory_files(spark, sf_dir))).select("task_id", "reward", "reason", "category", "log_format", "log_chars")
 
 
-@query("S3_S4_P2_trajectories", rows("task_id, reward, reason, category, log_format, log_chars", ("a", 0.5, "no_decision: late", "no_decision", "gemini", 3), ("b", None, "", "soft", "codex", 0), ("c", 1.0, "judge_unavailable", "judge_unavailable", "claude", 0)))
-def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filled log gives the format, then the one that is there, then the default; broken files are skipped."""
-    given = {"a": {"task_id": "a", "reward": 0.5, "reason": "no_decision: late", "claude_log": "", "gemini_log": "log"}, "b": {"task_id": "b", "codex_log": ""}, "c": {"task_id": "c", "reward": 1, "reason": "judge_unavailable"}}
-    root = put(spark, folder(spark), {f"traj/{k}.json": json.dumps(v) for k, v in given.items()} | {"traj/broken.json": "{", "traj/note.txt": "{}"})
-    return S.trajectories(spark, root).select("task_id", "reward", "reason", "category", "log_format", F.col("log_chars").cast("int").alias("log_chars"))
+@query("K19_workspaces", f"""WITH {_TRAJ}, w AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'gemini' WHEN k % 2 = 0 THEN 'claude' WHEN k = 5 THEN 'codex' ELSE 'claude' END AS f FROM t WHERE k <> 6),
+    n AS (SELECT *, CASE f WHEN 'claude' THEN 'claude_log.jsonl' ELSE 'agent_log.txt' END AS log_file, CASE WHEN k % 3 = 0 THEN repeat('é', turns::INT) ELSE '' END AS log, CASE k WHEN 0 THEN '"no_decision: late"' WHEN 1 THEN '"judge_unavailable"' WHEN 2 THEN '"timeout x"' WHEN 3 THEN '"soft[x]"' ELSE 'null' END AS reason FROM w),
+    files AS (SELECT conv_id, 'report.md' AS name, 'R' || chr(10) AS content FROM n UNION ALL SELECT conv_id, log_file, log FROM n WHERE log <> ''
+      UNION ALL SELECT conv_id, 'decision.json', '{{' || chr(10) || '  "observable": "obs ' || k || '",' || chr(10) || '  "steps": [' || chr(10) || '    1,' || chr(10) || '    2' || chr(10) || '  ]' || chr(10) || '}}' FROM n
+      UNION ALL SELECT conv_id, 'meta.json', '{{' || chr(10) || array_to_string(['  "task_id": "' || conv_id || '"', '  "reward": ' || CASE WHEN k <> 4 THEN CASE WHEN turns % 2 = 0 THEN (turns // 2)::VARCHAR ELSE (turns / 2.0::DOUBLE)::VARCHAR END ELSE 'null' END, '  "reason": ' || reason, '  "dims": null', '  "wall_clock_s": ' || CASE WHEN turns % 2 = 0 THEN (turns * 3 // 2)::VARCHAR ELSE (turns * 1.5::DOUBLE)::VARCHAR END, '  "resource_monitor": null',
+        '  "observable_text": "obs ' || k || '"', '  "log_format": "' || f || '"', '  "agent_cli": "' || CASE f WHEN 'claude' THEN 'claude-code' WHEN 'gemini' THEN 'gemini-cli' ELSE 'codex-cli' END || '"', '  "log_file": "' || log_file || '"', '  "log_chars": ' || length(log)], ',' || chr(10)) || chr(10) || '}}' FROM n)
+    SELECT conv_id || '/' || name AS path, content FROM files""")
+def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trajectories taken apart into workspaces; an empty file isn't a row when read."""
+    read = S.trajectories(spark, stored(spark, _trajectory_files(spark, sf_dir)))
+    root = stored(spark, K.workspace_files(read))
+    return read_named(S.whole_files(spark, root), root)
 
 
-@query("J1_classifications", rows("model, task, body", ("m", "t", "{}"), ("m", "u", "{broken")))
+@query("J1_classifications", "SELECT coalesce(source, 'none') AS model, doc_id::VARCHAR AS task, CASE WHEN quality = 1 THEN '{\"toxic\":' || toxic || '}' ELSE '{broken' END AS body FROM documents JOIN labels USING (doc_id)")
 def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.classifications(spark, put(spark, folder(spark), {"m/t.json": "{}", "m/u.json": "{broken", "m/u.log": "x"})).select("model", "task", "body")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"))
+    files = d.select(F.concat(name, F.lit(".json")).alias("path"), F.when(F.col("quality") == 1, _json(toxic=F.col("toxic"))).otherwise("{broken").alias("content"))
+    return S.classifications(spark, stored(spark, files.unionByName(d.select(F.concat(name, F.lit(".log")).alias("path"), F.lit("x").alias("content"))))).select("model", "task", "body")
 
 
-@query("S20_prior_scores", rows("model, task, code, score", ("m", "t", "A.1", 2), ("m", "t", "F.4", 1)))
+@query("S20_prior_scores", "SELECT * FROM (SELECT coalesce(source, 'none') AS model, doc_id::VARCHAR AS task, unnest(['Q', 'T']) AS code, unnest([quality, toxic]) AS score FROM documents JOIN labels USING (doc_id)) WHERE score > 0")
 def prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.prior_scores(spark, put(spark, folder(spark), {"agg.json": json.dumps({"rows": [["m", "t", {"A.1": 2, "F.4": 1}], ["m", "u", {}]]})})).select("model", "task", "code", F.col("score").cast("int").alias("score"))
-
-
-@query("K2_grid_json", """SELECT '["' || source || '", "' || doc_id || '", {' || coalesce(CASE WHEN q + t > 0 THEN concat_ws(', ', CASE WHEN q > 0 THEN '"Q": ' || q END, CASE WHEN t > 0 THEN '"T": ' || t END) END, '') || '}]' AS row, source AS model, doc_id::VARCHAR AS task
-    FROM (SELECT doc_id, source, coalesce(quality, 0) AS q, coalesce(toxic, 0) AS t FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL)""")
+    """An aggregate file a hundred documents; only scores above zero stand in it."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    scores = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in (("Q", "quality"), ("T", "toxic"))]), lambda e: e["v"] > 0)
+    names = F.to_json(F.array(F.coalesce("source", F.lit("none")), F.col("doc_id").cast("string")))
+    row = F.concat(F.left(names, F.length(names) - 1), F.lit(","), F.to_json(F.map_from_entries(scores)), F.lit("]"))
+    files = d.groupBy(F.floor(F.col("doc_id") / 100).alias("part")).agg(F.array_join(F.collect_list(row), ",").alias("rows"))
+    root = stored(spark, files.select(F.concat(F.lit("agg"), F.col("part").cast("string"), F.lit(".json")).alias("path"), F.concat(F.lit('{"rows":['), "rows", F.lit("]}")).alias("content")))
+    return S.prior_scores(spark, root).select("model", "task", "code", "score")
+
+
+@query("K2_grid_json", """SELECT '[' || coalesce('"' || source || '"', 'null') || ', "' || doc_id || '", {' || coalesce(CASE WHEN q + t > 0 THEN concat_ws(', ', CASE WHEN q > 0 THEN '"Q": ' || q END, CASE WHEN t > 0 THEN '"T": ' || t END) END, '') || '}]' AS row, source AS model, doc_id::VARCHAR AS task
+    FROM (SELECT doc_id, source, coalesce(quality, 0) AS q, coalesce(toxic, 0) AS t FROM documents JOIN labels USING (doc_id))""")
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scores a labelled document, by source; zeros aren't listed."""
-    records = table(spark, sf_dir, "documents").where("source is not null").join(table(spark, sf_dir, "labels"), "doc_id")
+    records = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     records = records.select(F.col("source").alias("model"), F.col("doc_id").cast("string").alias("task"), "quality", "toxic")
     long = records.select("model", "task", F.expr("stack(2, 'Q', quality, 'T', toxic) as (code, score)"))
     return K.grid_json(long, records)
 
 
-@query("K3_K4_K5_K9_K10_K15_markdown", rows("report", ("| a | b | c |\n|---|---|---|\n| 1 | x\\|y | 2.5 |\n| 2 |  | 0.0 |\n",)))
-def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = spark.createDataFrame([(1, "x|y", 2.46), (2, None, 0.0)], "a int, b string, c double").coalesce(1)
-    return spark.createDataFrame([(K.markdown(small),)], "report string")
+# -- reports: the rows of another query's SQL as a table's lines ----------------
+
+
+def report_sql(base: str, columns: dict[str, str], order: str) -> str:
+    """SQL of a Markdown table's lines: ``columns`` are names and kinds (text, whole, rate)."""
+    cell = {"text": "replace(coalesce({0}, ''), '|', '\\|')", "whole": "coalesce({0}::VARCHAR, '')", "rate": "coalesce(printf('%.1f', {0}), '')"}
+    cells = " || ' | ' || ".join(cell[k].format(c) for c, k in columns.items())
+    return f"""WITH base AS ({base}) SELECT 1::BIGINT AS line, '| {" | ".join(columns)} |' AS text UNION ALL SELECT 2, '|{"---|" * len(columns)}'
+    UNION ALL SELECT 2 + row_number() OVER (ORDER BY {order}), '| ' || {cells} || ' |' FROM base"""
+
+
+def lines_of(spark: SparkSession, text: str) -> DataFrame:
+    """A written report as numbered lines; it has as many rows as its codes, stages or sources."""
+    return spark.createDataFrame([(text,)], "t string").select(F.posexplode(F.split(F.rtrim("t", F.lit("\n")), "\n")).alias("at", "text")).select((F.col("at") + 1).cast("bigint").alias("line"), "text")
+
+
+_SUMMARY = {"code": "text", "hits": "whole", "partials": "whole"}
+
+
+@query("K3_summary_report", report_sql(ORACLES["A1_code_totals"], _SUMMARY, "code"))
+def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _, dim = label_inputs(spark, sf_dir)
+    return lines_of(spark, K.markdown(A.totals_by_code(found, dim).select(*_SUMMARY).orderBy("code")))
+
+
+_CELLS = {"stage": "text", "pillar": "text", "hits": "whole"}
+
+
+@query("K4_root_cause_report", report_sql(ORACLES["A6_root_cause_grid"], _CELLS, "stage, pillar"))
+def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _, dim = label_inputs(spark, sf_dir)
+    return lines_of(spark, K.markdown(A.root_cause_grid(found, dim).select(*_CELLS).orderBy("stage", "pillar")))
+
+
+_SLICES = {"code": "text", "rate_first": "rate", "rate_second": "rate", "delta_pp": "rate"}
+
+
+@query("K5_slice_report", report_sql(ORACLES["A7_slice_rates"], _SLICES, "code"))
+def k5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, recs, dim = label_inputs(spark, sf_dir)
+    rates = A.slice_rates(found.withColumn("source_set", F.left("task", F.lit(1))), recs, dim, "source_set", "W", "b")
+    return lines_of(spark, K.markdown(rates.select(*_SLICES).orderBy("code")))
+
+
+_RULES = {"rule": "whole", "analyses": "whole", "citations": "whole"}
+
 
+@query("K10_rule_report", report_sql(ORACLES["A11_rule_frequencies"], _RULES, "rule"))
+def k10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.registry import QUERIES
 
-@query("K12_sft_lines", rows("value", ('{"messages":["m1","m2"],"loss_mask":[0,1]}',)))
+    return lines_of(spark, K.markdown(QUERIES["A11_rule_frequencies"](spark, sf_dir).select(*_RULES).orderBy("rule")))
+
+
+_TOPICS = {"topic": "whole", "tier": "text", "n": "whole", "share": "rate"}
+
+
+@query("K15_topic_index", report_sql(ORACLES["A18_tier_shares"], _TOPICS, "topic, tier"))
+def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(spark, K.markdown(corpus.a18(spark, sf_dir).select(*_TOPICS).orderBy("topic", "tier")))
+
+
+_UNCOVERED = "SELECT coalesce(event_type, '(none)') AS mechanism, count(*) AS n, count(DISTINCT user_id) AS analyses FROM events WHERE value IS NULL OR event_id % 3 = 0 GROUP BY 1"
+
+
+@query("K9_uncovered_report", report_sql(_UNCOVERED, {"mechanism": "text", "n": "whole", "analyses": "whole"}, "n DESC, mechanism"))
+def k9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without a value, and each third, as mechanisms that no code covers."""
+    rows = table(spark, sf_dir, "events").where("value is null or event_id % 3 = 0")
+    counted = A.mechanisms(rows, F.col("event_type"), "user_id").orderBy(F.desc("n"), "mechanism")
+    return lines_of(spark, K.markdown(counted))
+
+
+@query("K8_latex_table", f"""WITH base AS ({ORACLES["A18_tier_shares"]}), body AS (SELECT row_number() OVER (ORDER BY topic, tier) AS k, topic || ' & ' || tier || ' & ' || n || ' & ' || printf('%.1f', share) || ' ' || chr(92) || chr(92) AS text FROM base)
+    SELECT k + 5 AS line, text FROM body UNION ALL SELECT * FROM (VALUES (1, chr(92) || 'begin{{table}}'), (2, chr(92) || 'caption{{Tiers}}'), (3, chr(92) || 'begin{{tabular}}{{llll}}'), (4, 'topic & tier & n & share ' || chr(92) || chr(92)), (5, chr(92) || 'hline')) v(line, text)
+    UNION ALL SELECT (SELECT count(*) FROM body) + 6, chr(92) || 'end{{tabular}}' UNION ALL SELECT (SELECT count(*) FROM body) + 7, chr(92) || 'end{{table}}'""")
+def k8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(spark, K.latex(corpus.a18(spark, sf_dir).select(*_TOPICS).orderBy("topic", "tier"), "Tiers"))
+
+
+@query("K11_status_report", report_sql(ORACLES["A15_status"], {"model": "text", "passing": "whole", "total": "whole"}, "model"))
+def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's lines; its exit code is 0 only if all pass."""
+    from tessera.registry import QUERIES
+
+    text, code = K.status_report(QUERIES["A15_status"](spark, sf_dir))
+    assert code in (0, 1)
+    return lines_of(spark, text)
+
+
+@query("K16_fetch_failures", """SELECT o_orderkey AS work_id, CASE WHEN o_custkey % 10 = 0 THEN 'not in id list' WHEN o_orderpriority = '5-LOW' THEN 'tier' WHEN o_totalprice > 300000 THEN 'already present' ELSE 'not open access' END AS reason, o_totalprice AS size
+    FROM orders WHERE o_custkey % 10 = 0 OR o_orderpriority = '5-LOW' OR o_totalprice > 300000 OR o_orderstatus <> 'O'""")
+def k16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What wasn't fetched, as JSON lines with its reason, and back."""
+    rows = corpus.fetched(spark, sf_dir)
+    path = folder(spark)
+    K.to_json_lines(rows.where("reason is not null").select(F.col("o_orderkey").alias("work_id"), "reason", F.col("o_totalprice").alias("size")), path)
+    return S.json_lines(spark, path, "work_id bigint, reason string, size double").select("work_id", "reason", "size")
+
+
+@query("K12_sft_lines", f"""WITH base AS ({ORACLES["W13_F22_F23_chat_messages"].replace("array_to_string(list(role || ': ' || content ORDER BY place), ' | ') AS messages, array_to_string(list(CASE role WHEN 'assistant' THEN '1' ELSE '0' END ORDER BY place), '') AS mask", "array_to_string(list('{{\"role\": \"' || role || '\", \"content\": ' || to_json(content) || '}}' ORDER BY place), ', ') AS messages, array_to_string(list(CASE role WHEN 'assistant' THEN '1' ELSE '0' END ORDER BY place), ', ') AS mask".replace("{{", "{").replace("}}", "}"))})
+    SELECT '{{"messages": [' || messages || '], "loss_mask": [' || mask || ']}}' AS value FROM base WHERE trajectory_id % 3 <> 0""")
 def sft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = [(["m1", "m2"], [0, 1], True), (["n"], [1], False), (["o"], [1], None)]
-    return K.sft_lines(spark.createDataFrame(given, "messages array<string>, loss_mask array<int>, ok boolean"), F.col("ok"))
+    """A line of training data for each admissible order; an unknown verdict is no."""
+    rows = trajectories.chat(spark, sf_dir)
+    key = F.col("trajectory_id")
+    return K.sft_lines(rows, F.when(key % 3 == 1, True).when(key % 3 == 2, key > 0))
+
+
+# -- task directories -----------------------------------------------------------
+
+_TASKS = """tasks AS (SELECT 'P/' || p_partkey AS task_id, 'P_' || p_partkey AS slug, p_type AS handle, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE '' END AS move, CASE WHEN p_size % 4 <> 0 THEN 'silver' ELSE '' END AS tier,
+      CASE WHEN p_size % 5 = 0 THEN '1.0' ELSE (p_size / 2.0::DOUBLE)::VARCHAR END AS weight, CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END AS ready, p_name AS premise, p_brand AS conclusion, p_retailprice AS price FROM part)"""
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("P/"), F.col("p_partkey").cast("string")).alias("task_id"), F.col("p_type").alias("handle"), F.array("p_type", "p_brand").alias("all_handles"), F.when(size % 3 == 0, F.col("p_brand")).alias("novelty_move"),
+        F.when(size % 4 != 0, "silver").alias("tier"), F.when(size % 5 != 0, size / 2).alias("tier_weight"), F.when(size % 2 == 0, True).alias("qe_ready"), F.col("p_name").alias("premise"), F.lit(None).cast("string").alias("tension"),
+        F.col("p_brand").alias("conclusion"), F.struct(F.col("p_name").alias("claim"), F.col("p_retailprice").alias("value")).alias("gold"), F.array(F.struct(F.lit("e").alias("observable"), size.alias("n"))).alias("paper_gt"),
+    )
+
 
+_ASK = "# {title}\n\nGiven {premise}, settle: {tension}\nAnswer in {{braces}}.\n"
 
-@query("K18_task_files", rows(
-    "folder, name, content",
-    ("W1_x", "task.toml", 'version = "1.0"\n\n[metadata]\ntask_id = "W1/x"\n'), ("W1_x", "instruction.md", "do it"),
-    ("W1_x", "rubric.json", '{"handle": "h", "objective": "", "task_id": "W1/x"}'),
-))
+
+@query("K18_task_files", f"""WITH {_TASKS}, nl AS (SELECT chr(10) AS n)
+    SELECT slug || '/task.toml' AS path, 'version = "1.0"' || n || n || '[metadata]' || n || 'benchmark = "discovery"' || n || 'instance_id = "' || slug || '"' || n || 'category = "discovery"' || n || 'observable = "' || handle || '"' || n || 'novelty_move = "' || move || '"' || n || 'tier = "' || tier || '"' || n || 'tier_weight = ' || weight || n || 'qe_ready = ' || ready || n || 'source = "corpus"' || n || n || '[verifier]' || n || 'module = "tests.evaluate"' || n || 'timeout_sec = 1800.0' || n || n || '[agent]' || n || 'timeout_sec = 10800.0' || n AS content FROM tasks, nl
+    UNION ALL SELECT slug || '/instruction.md', '# ' || task_id || n || n || 'Given ' || premise || ', settle: (not stated)' || n || 'Answer in {{braces}}.' || n FROM tasks, nl
+    UNION ALL SELECT slug || '/tests/task_meta.json', '{{' || n || '  "rubric": {{' || n || array_to_string(['    "task_id": "' || task_id || '"', '    "premise": "' || premise || '"', '    "tension": ""', '    "paper_conclusion": "' || conclusion || '"', '    "novelty_move": "' || move || '"', '    "observable": "' || handle || '"',
+        '    "all_observables": [' || n || '      "' || handle || '",' || n || '      "' || conclusion || '"' || n || '    ]', '    "gold": {{' || n || '      "claim": "' || premise || '",' || n || '      "value": ' || price::VARCHAR || n || '    }}', '    "paper_gt": [' || n || '      {{' || n || '        "observable": "e",' || n || '        "n": ' || size || n || '      }}' || n || '    ]', '    "tier": "' || tier || '"', '    "tier_weight": ' || weight, '    "qe_ready": ' || ready], ',' || chr(10)) || n || '  }}' || n || '}}'
+      FROM tasks, nl JOIN (SELECT 'P/' || p_partkey AS task_id, p_size AS size FROM part) USING (task_id)
+    UNION ALL SELECT 'dataset.toml', 'version = "1.0"' || n || '[metadata]' || n || 'name = "discovery"' || n || 'benchmark = "discovery"' || n FROM nl UNION ALL SELECT 'tests/evaluate.py', 'pass' FROM nl""".replace("FROM tasks, nl JOIN (SELECT", "FROM nl, tasks JOIN (SELECT"))
 def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files as the writer's folders hold them."""
-    path = folder(spark)
-    K.write_task_files(K.task_files(spark.createDataFrame([("W1/x", "h", None, "do it")], "task_id string, handle string, objective string, instruction string")), path)
-    return spark.read.text(path, wholetext=True).select("folder", "name", F.regexp_replace("value", r"\n\z", "").alias("content"))
+    """A directory a part as a task, under the very names that its harness reads."""
+    given = tasks(spark, sf_dir)
+    ask = templates.compiled(_ASK, {"title": F.col("task_id"), "premise": F.coalesce("premise", F.lit("(not stated)")), "tension": F.coalesce("tension", F.lit("(not stated)"))})
+    root = stored(spark, K.task_files(given, ask).unionByName(K.dataset_files(spark, {"evaluate.py": "pass"})))
+    return read_named(S.whole_files(spark, root), root)
+
+
+_PATTERN_ROWS = """p AS (SELECT s_suppkey AS paper_id, CASE WHEN s_suppkey % 4 <> 0 THEN 'move ' || s_nationkey % 5 END AS novelty_move, CASE s_suppkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['h' || s_nationkey % 4] ELSE ['h' || s_nationkey % 4, 'energy'] END AS handles,
+      CASE WHEN s_suppkey % 2 = 0 THEN s_name || ' "quoted"' ELSE '  short  ' END AS tension FROM supplier)"""
+
+
+def supplier_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, anchor = F.col("s_suppkey"), F.concat(F.lit("h"), (F.col("s_nationkey") % 4).cast("string"))
+    handles = F.when(key % 3 == 0, F.array().cast("array<string>")).when(key % 3 == 1, F.array(anchor)).otherwise(F.array(anchor, F.lit("energy")))
+    return table(spark, sf_dir, "supplier").select(key.alias("paper_id"), F.when(key % 4 != 0, F.concat(F.lit("move "), (F.col("s_nationkey") % 5).cast("string"))).alias("novelty_move"), handles.alias("handles"), F.when(key % 2 == 0, F.concat("s_name", F.lit(' "quoted"'))).otherwise("  short  ").alias("tension"))
+
+
+@query("K21_pattern_files", f"""WITH {_PATTERN_ROWS}, n AS (SELECT chr(10) AS n), moves AS (SELECT novelty_move AS k, count(*) AS c, min(paper_id) AS f FROM p WHERE novelty_move IS NOT NULL GROUP BY 1), anchors AS (SELECT h AS k, count(*) AS c, min(paper_id) AS f FROM (SELECT paper_id, unnest(handles) AS h FROM p) GROUP BY 1)
+    SELECT 'patterns/' || paper_id || '.json' AS path, '{{' || n || '  "paper_id": ' || paper_id || ',' || n || '  "novelty_move": ' || coalesce('"' || novelty_move || '"', 'null') || ',' || n || '  "handles": ' || CASE WHEN len(handles) = 0 THEN '[]' ELSE '[' || n || '    "' || array_to_string(handles, '",' || chr(10) || '    "') || '"' || n || '  ]' END || ',' || n || '  "tension": "' || replace(tension, '"', chr(92) || '"') || '"' || n || '}}' AS content FROM p, n
+    UNION ALL SELECT 'corpus_map.json', '{{' || n || '  "n_papers": ' || (SELECT count(*) FROM p) || ',' || n || '  "move_distribution": {{' || n || '    ' || (SELECT string_agg('"' || k || '": ' || c, ',' || chr(10) || '    ' ORDER BY c DESC, f, k) FROM moves) || n || '  }},' || n || '  "recompute_anchor_distribution": {{' || n || '    ' || (SELECT string_agg('"' || k || '": ' || c, ',' || chr(10) || '    ' ORDER BY c DESC, f, k) FROM anchors) || n || '  }},' || n
+      || '  "n_with_nontrivial_tension": ' || (SELECT count(*) FROM p WHERE length(trim(tension)) > 20) || ',' || n || '  "n_with_recompute_anchor": ' || (SELECT count(*) FROM p WHERE len(handles) > 0) || n || '}}' FROM n""")
+def pattern_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = supplier_patterns(spark, sf_dir)
+    root = stored(spark, K.pattern_files(given).unionByName(K.corpus_map(given)))
+    return read_named(S.whole_files(spark, root), root)
 
 
-@query("S16_U1_pattern_sets", rows("label, id, move", ("gold", "p1", "probe"), ("gold", "p2", None), ("extra", "p1", "frame")))
+@query("S16_U1_pattern_sets", """SELECT CASE p_size % 2 WHEN 0 THEN 'gold' ELSE 'extra' END AS label, p_partkey AS id, CASE WHEN p_size % 5 <> 0 THEN p_type END AS move FROM part WHERE p_size % 7 <> 0""")
 def pattern_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders under their labels, known fields alone; a folder that is missing is skipped."""
-    root = put(spark, folder(spark), {"g/p1.json": '{"id": "p1", "move": "probe", "junk": 1}', "g/p2.json": '{"id": "p2"}', "e/p1.json": '{"id": "p1", "move": "frame"}'})
-    return S.pattern_sets(spark, {"gold": f"{root}/g", "extra": f"{root}/e", "none": f"{root}/n"}, "id string, move string").select(F.col("set").alias("label"), "id", "move")
+    """Folders under their labels, known fields alone; broken files and a folder that is missing are skipped."""
+    size = F.col("p_size")
+    body = F.when(size % 7 == 0, "{").otherwise(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.when(size % 5 != 0, F.col("p_type")).alias("move"), F.col("p_brand").alias("junk"))))
+    files = table(spark, sf_dir, "part").select(F.concat(F.when(size % 2 == 0, "g/").otherwise("e/"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("path"), body.alias("content"))
+    root = stored(spark, files)
+    return S.pattern_sets(spark, {"gold": f"{root}/g", "extra": f"{root}/e", "none": f"{root}/n"}, "id bigint, move string").where("id is not null").select(F.col("set").alias("label"), "id", "move")
 
 
-@query("S9_S10_paper_blocks", rows("paper_id, pos, type, text, text_level", ("W1", 0, "text", "Title", 1), ("W1", 1, "text", "body", None), ("W2", 0, "equation", "x", None)))
+@query("S9_S10_paper_blocks", """SELECT doc_id::VARCHAR AS paper_id, pos - 1 AS pos, CASE WHEN pos = 1 THEN 'title' ELSE 'text' END AS type, line AS text, CASE WHEN pos = 1 THEN 1 END AS text_level
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL)""", longs=("pos",))
 def paper_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of two parses of a paper the one of the vlm."""
-    blocks = lambda *b: json.dumps([dict(zip(("type", "text", "text_level"), x, strict=False)) for x in b])
-    root = put(spark, folder(spark), {"W1.mineru/vlm/W1_content_list.json": blocks(("text", "Title", 1), ("text", "body")), "W1.mineru/auto/W1_content_list.json": blocks(("text", "worse")), "W2.mineru/auto/W2_content_list.json": blocks(("equation", "x"))})
-    return S.paper_blocks(spark, root).select("paper_id", F.col("pos").cast("int").alias("pos"), "type", "text", "text_level")
+    """Documents as parsed papers, a line a block; of two parses of a paper the one of the vlm."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    blocks = F.transform(F.split("text", "\n"), lambda t, i: F.struct(F.when(i == 0, "title").otherwise("text").alias("type"), t.alias("text"), F.when(i == 0, 1).alias("text_level")))
+    name = lambda kind: F.concat(F.col("doc_id").cast("string"), F.lit(f".mineru/{kind}/"), F.col("doc_id").cast("string"), F.lit("_content_list.json"))
+    good = d.select(F.when(F.col("doc_id") % 2 == 0, name("vlm")).otherwise(name("auto")).alias("path"), F.to_json(blocks).alias("content"))
+    worse = d.where("doc_id % 2 = 0").select(name("auto").alias("path"), F.lit('[{"type":"text","text":"worse"}]').alias("content"))
+    return S.paper_blocks(spark, stored(spark, good.unionByName(worse))).select("paper_id", F.col("pos").cast("int").alias("pos"), "type", "text", "text_level")
+
+
+@query("S19_quotable_sources", """SELECT doc_id::VARCHAR AS workspace, CASE doc_id % 3 WHEN 0 THEN text ELSE text || chr(10) || 'code ' || doc_id END AS quotable, text AS artifact FROM documents WHERE text <> ''""")
+def quotable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as workspaces with a report, and two in three with code below it."""
+    d, name = table(spark, sf_dir, "documents").where("text <> ''"), F.col("doc_id").cast("string")
+    files = d.select(F.concat(name, F.lit("/report.md")).alias("path"), F.col("text").alias("content"))
+    code = d.where("doc_id % 3 <> 0").select(F.concat(name, F.lit("/agent_code/run.py")).alias("path"), F.concat(F.lit("code "), name).alias("content"))
+    return S.quotable(spark, stored(spark, files.unionByName(code))).select("workspace", "quotable", "artifact")
+
+
+@query("S18_registries", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+def registries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry file a region, with its nations as entries."""
+    entries = F.to_json(F.struct(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("actions")))
+    files = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(entries.alias("content")).select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".json")).alias("path"), "content")
+    return S.registry(spark, stored(spark, files), "actions", "id int, name string").select("id", "name")
+
+
+@query("UD5_python_json", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, '{"discount": ' || l_discount::VARCHAR || ', "price": ' || CASE WHEN l_extendedprice = floor(l_extendedprice) THEN l_extendedprice::BIGINT || '.0' ELSE l_extendedprice::VARCHAR END || ', "tiny": ' || CASE WHEN l_quantity < 10 THEN l_quantity::INT || 'e-07' ELSE (l_quantity::INT // 10) || CASE WHEN l_quantity::INT % 10 <> 0 THEN '.' || (l_quantity::INT % 10) ELSE '' END || 'e-06' END || '}' AS json FROM lineitem""")
+def python_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three doubles of each line item as Python writes them."""
+    rows = table(spark, sf_dir, "lineitem")
+    tiny = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("e-7")).cast("double")
+    record = F.struct(tiny.alias("tiny"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"))
+    kind = rows.select(record.alias("r")).schema["r"].dataType
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", python_json(record, kind, sort_keys=True).alias("json"))
+
+
+# Own wordings; what counts is that all versions are rendered over all rows.
+VERSIONS = {
+    "v1": "{title}: {premise} / {tension}", "v2": "Title {title}. Known: {premise}. Open: {tension}.", "v3": "{{\"t\": \"{title}\"}} {premise}{tension}", "v4": "{tension} {premise} {title} {title}",
+    "v5": "{{{{{title}}}}} {premise} {tension}", "v6": "\n{title}\n{premise}\n{tension}\n",
+}
+
+
+@query("UD9_prompt_versions", """WITH r AS (SELECT o_orderkey, 'o' || o_orderkey AS t, '{' || o_orderpriority || '}' AS p, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus ELSE '' END AS x FROM orders)
+    SELECT o_orderkey, 'v1' AS version, t || ': ' || p || ' / ' || x AS text FROM r UNION ALL SELECT o_orderkey, 'v2', 'Title ' || t || '. Known: ' || p || '. Open: ' || x || '.' FROM r UNION ALL SELECT o_orderkey, 'v3', '{"t": "' || t || '"} ' || p || x FROM r
+    UNION ALL SELECT o_orderkey, 'v4', x || ' ' || p || ' ' || t || ' ' || t FROM r UNION ALL SELECT o_orderkey, 'v5', '{{' || t || '}} ' || p || ' ' || x FROM r UNION ALL SELECT o_orderkey, 'v6', chr(10) || t || chr(10) || p || chr(10) || x || chr(10) FROM r""")
+def prompt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six versions of a template over all orders; braces in values stay."""
+    fields = {"title": F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), "premise": F.concat(F.lit("{"), "o_orderpriority", F.lit("}")), "tension": F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))}
+    return templates.rendered(table(spark, sf_dir, "orders"), VERSIONS, fields, "o_orderkey")

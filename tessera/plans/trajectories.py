@@ -103,13 +103,18 @@ def f21(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT trajectory_id, 1000, 'assistant', 'Final Answer: ' || CASE WHEN arg_max({_OK}, idx) THEN 'Completed successfully.' ELSE 'Run did not converge cleanly: late.' END FROM steps GROUP BY 1)
     SELECT trajectory_id, array_to_string(list(role || ': ' || content ORDER BY place), ' | ') AS messages, array_to_string(list(CASE role WHEN 'assistant' THEN '1' ELSE '0' END ORDER BY place), '') AS mask FROM m GROUP BY 1""")
 def w13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = steps(spark, sf_dir).withColumns({"name": F.lit("run_scf"), "thought": F.when(F.col("p") % 3 == 0, F.concat(F.lit("t"), F.col("p").cast("string"))), "params": F.create_map(F.lit("q"), F.col("q").cast("int").cast("string"), F.lit("part"), F.col("p").cast("string")), "text": F.when(F.col("p") % 2 == 0, F.concat(F.lit("seen "), F.col("p").cast("string"))), "exit_message": F.lit("late")})
-    heads = s.select("trajectory_id").distinct().select("trajectory_id", F.lit("sys").alias("system_prompt"), F.concat(F.lit("goal "), F.col("trajectory_id").cast("string")).alias("goal"))
-    rows = T.chat_messages(heads, s)
+    rows = chat(spark, sf_dir)
     joined = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), " | ")
     return rows.select("trajectory_id", joined.alias("messages"), F.array_join(F.transform("loss_mask", lambda x: x.cast("string")), "").alias("mask"))
 
 
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as chats."""
+    s = steps(spark, sf_dir).withColumns({"name": F.lit("run_scf"), "thought": F.when(F.col("p") % 3 == 0, F.concat(F.lit("t"), F.col("p").cast("string"))), "params": F.create_map(F.lit("q"), F.col("q").cast("int").cast("string"), F.lit("part"), F.col("p").cast("string")), "text": F.when(F.col("p") % 2 == 0, F.concat(F.lit("seen "), F.col("p").cast("string"))), "exit_message": F.lit("late")})
+    heads = s.select("trajectory_id").distinct().select("trajectory_id", F.lit("sys").alias("system_prompt"), F.concat(F.lit("goal "), F.col("trajectory_id").cast("string")).alias("goal"))
+    return T.chat_messages(heads, s)
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 

@@ -68,7 +68,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def topics(spark: SparkSession, path: str) -> DataFrame:
     """One topic a line, without comments and blank lines, in order."""
     rows = whole_lines(spark, path).withColumn("topic", strip("text"))
-    return rows.where((F.col("topic") != "") & ~F.startswith("topic", F.lit("#"))).select("line", "topic")
+    return rows.where((F.col("topic") != "") & ~F.startswith("topic", F.lit("#"))).select("path", "line", "topic")
 
 
 def trajectories(spark: SparkSession, run_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def trajectories(spark: SparkSession, run_dir: str) -> DataFrame:
     log = F.coalesce(*(F.when(kind == k, F.coalesce(F.col(c), F.lit(""))) for k, c in logs))
     reason = F.coalesce("reason", F.lit(""))
     category = F.coalesce(*(F.when(F.startswith(reason, F.lit(p)), p) for p in KNOWN_REASONS), F.lit("soft"))
-    return d.select("path", "task_id", "reward", reason.alias("reason"), category.alias("category"), kind.alias("log_format"), F.length(log).alias("log_chars"), log.alias("log"), "report_md")
+    return d.select("path", "task_id", "reward", reason.alias("reason"), category.alias("category"), kind.alias("log_format"), F.length(log).alias("log_chars"), log.alias("log"), "report_md", "v")
 
 
 def classifications(spark: SparkSession, root: str) -> DataFrame:

@@ -135,10 +135,6 @@ def test_sinks(spark, tmp_path):
     assert r"a\_b \& 5\%" in sinks.latex(frame, "c")
     sinks.to_csv(frame, f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
-    tasks = spark.createDataFrame([("t/1", "auc", "reproduce", "do it")], "task_id string, handle string, objective string, instruction string")
-    made = {r.name: (r.folder, r.content) for r in sinks.task_files(tasks).collect()}
-    assert made["rubric.json"] == ("t_1", '{"handle": "auc", "objective": "reproduce", "task_id": "t/1"}') and 'task_id = "t/1"' in made["task.toml"][1]
-    sinks.write_task_files(sinks.task_files(tasks), f"{tmp_path}/tasks")
     labels = spark.createDataFrame([("m", "t", "A.1", 2), ("m", "t", "B.2", 0)], "model string, task string, code string, score int")
     records = spark.createDataFrame([("m", "t"), ("m", "u")], "model string, task string")
     assert {r.task: json.loads(r.row) for r in sinks.grid_json(labels, records).collect()} == {"t": ["m", "t", {"A.1": 2}], "u": ["m", "u", {}]}
