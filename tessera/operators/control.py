@@ -6,9 +6,14 @@ state table knows, one call each, and the new records put over the old ones.
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.replies import extract_json
@@ -40,29 +45,87 @@ def charged_attempts(before: Column, status: Column) -> Column:
     return F.coalesce(before, F.lit(0)) + F.when(status.isin("failed", "done", "qa_fail"), 1).otherwise(0)
 
 
-def next_budget(tokens: Column, most: int = 64000) -> Column:
-    """The next ceiling behind a truncated answer."""
-    return F.least(F.floor(tokens * 1.8).cast("int"), F.lit(most))
+class Truncated(Exception):
+    """An answer that ran into its ceiling of tokens."""
 
 
-def call_model(prompts: DataFrame, complete: Callable[[str], str]) -> DataFrame:
-    """UD3, L3: (key, prompt) to (key, reply, error); a call that fails is an error in its row, not of the job."""
+@dataclass(frozen=True)
+class Ask:
+    """What a client is asked: the prompt, its ceiling of tokens, and which try this is, from 0."""
+
+    prompt: str
+    tokens: int
+    attempt: int
+
+
+@dataclass(frozen=True)
+class Budget:
+    """A ceiling that grows behind a truncated answer, and waits behind trouble of the provider."""
+
+    tokens: int = 16000
+    most: int = 64000
+    growth: float = 1.8
+    retries: int = 3
+    wait: float = 2.0
+    most_wait: float = 30.0
+
+
+def answered(prompt: str, complete: Callable[[Ask], str], budget: Budget, sleep: Callable[[float], None]) -> tuple:
+    """(reply, error, tries, tokens, waited) of one prompt.
+
+    A truncated answer is asked for again at once, with more room; trouble of the provider (an
+    OSError, time-outs too) after a wait that doubles; anything else isn't asked for again.
+    """
+    tokens, waited = budget.tokens, 0.0
+    for attempt in range(budget.retries + 1):
+        try:
+            return complete(Ask(prompt, tokens, attempt)), None, attempt + 1, tokens, waited
+        except Truncated as e:
+            error, grown = f"truncated: {e}", min(int(tokens * budget.growth), budget.most)
+            if attempt < budget.retries:
+                tokens = grown
+        except OSError as e:
+            error = f"transport: {e}"
+            if attempt < budget.retries:
+                pause = min(2**attempt * budget.wait, budget.most_wait)
+                sleep(pause)
+                waited += pause
+        except Exception as e:  # noqa: BLE001  one bad row must not end the pass
+            return None, f"{type(e).__name__}: {e}", attempt + 1, tokens, waited
+    return None, error, budget.retries + 1, tokens, waited
+
+
+def in_window(items: Iterable, work: Callable, at_once: int) -> Iterator:
+    """L3: ``work`` over items in threads: at most ``at_once`` under way or done ahead, results in the items' order."""
+    with ThreadPoolExecutor(at_once) as pool:
+        under_way: deque = deque()
+        for item in items:
+            if len(under_way) == at_once:
+                yield under_way.popleft().result()
+            under_way.append(pool.submit(work, item))
+        while under_way:
+            yield under_way.popleft().result()
+
+
+def call_model(prompts: DataFrame, complete: Callable[[Ask], str], at_once: int = 24, budget: Budget = Budget(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """UD3, L3, L5: (key, prompt) to (key, reply, error, tries, tokens, waited).
+
+    Each task keeps up to ``at_once`` calls under way and gives their answers in its rows'
+    order; calls over the whole cluster are bounded by the tasks that run times that.  A
+    call that fails is an error in its row, not of the job.  A task that runs again asks
+    anew.  A null prompt is asked as empty text.
+    """
 
     def run(batches: Iterable) -> Iterator:
         import pandas as pd
 
-        for batch in batches:
-            replies, errors = [], []
-            for prompt in batch["prompt"]:
-                try:
-                    replies.append(complete(prompt))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  one bad row must not end the pass
-                    replies.append(None)
-                    errors.append(f"transport: {e}")
-            yield pd.DataFrame({"key": batch["key"], "reply": replies, "error": errors})
+        rows = ((key, prompt) for batch in batches for key, prompt in zip(batch["key"], batch["prompt"], strict=True))
+        work = lambda row: (row[0], *answered(row[1] or "", complete, budget, sleep))
+        done = in_window(rows, work, at_once)
+        while part := list(islice(done, 256)):
+            yield pd.DataFrame(part, columns=["key", "reply", "error", "tries", "tokens", "waited"])
 
-    return prompts.select("key", "prompt").mapInPandas(run, "key string, reply string, error string")
+    return prompts.select(F.col("key").cast("string").alias("key"), "prompt").mapInPandas(run, "key string, reply string, error string, tries int, tokens int, waited double")
 
 
 def answer_table(prompts: DataFrame, answers: DataFrame) -> DataFrame:
@@ -106,8 +169,3 @@ def ordered_cascade(rows: DataFrame, stages: list[tuple[str, Column]]) -> DataFr
 def first_admitted(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first n admitted rows."""
     return rows.where("stage = 'admitted'").orderBy(*order).limit(n)
-
-
-def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The newest record of each key."""
-    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order]))).where("_place = 1").drop("_place")

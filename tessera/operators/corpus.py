@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import looks_like_image, metric_direction, non_null, strip
+from tessera.sources.snapshots import Corpus
 
 # Thresholds of the tiers, weights, peer-reviewed kinds of venue.
 SILVER = {"citedness": 5.0, "h_index": 150, "fwci": 1.5}
@@ -184,3 +185,31 @@ def gold_block(value_raw: Column, claim: Column, energy: Column, numeric: Column
     site = F.coalesce(*(F.when(F.contains(said, F.lit(s)), r) for s, r in (("atop", "ontop"), ("ontop", "ontop"), ("fcc", "fcc"), ("hcp", "hcp"), ("bridge", "bridge"), ("hollow", "fcc"), ("top", "ontop"))))
     both = value.isNotNull() & (F.coalesce(unit, F.lit("")) != "")
     return F.struct(F.coalesce(claim, F.lit("")).alias("claim"), F.when(both, value).alias("value"), F.when(both, unit).alias("unit"), F.when(handle == "site_preference", site).alias("site_preference"))
+
+
+def lookup_key(stem: Column) -> Column:
+    """What a pattern's file name stands for: a work's id, or a DOI with its first underscore as the slash."""
+    cut = F.instr(stem, "_")
+    return F.when(stem.rlike(r"^W\d+\z") | (cut == 0), stem).otherwise(F.concat(F.left(stem, cut - 1), F.lit("/"), F.substr(stem, cut + 1)))
+
+
+def backfill_tiers(patterns: Corpus, sidecar: Corpus, resolved: DataFrame) -> None:
+    """Tiers of works, kept in a sidecar by key, put into stored patterns (stem, ...).
+
+    ``resolved`` has key, tier, weight and reasons; its records replace the sidecar's.  A
+    pattern that isn't resolved is bronze.  The sidecar is published first: if the second
+    step breaks off, a run again ends alike, as both steps give the same for the same input.
+    """
+    known = sidecar.versions()
+    if known:
+        sidecar.change(lambda old: old.join(resolved.select("key"), "key", "left_anti").unionByName(resolved))
+    else:
+        sidecar.publish(resolved, 0)
+    tiers = sidecar.read().select("key", F.col("tier").alias("_tier"), F.col("weight").alias("_weight"), F.col("reasons").alias("_reasons"))
+
+    def augmented(rows: DataFrame) -> DataFrame:
+        own = [c for c in rows.columns if c not in ("tier", "tier_weight", "tier_reasons")]
+        found = rows.select(*own).withColumn("key", lookup_key(F.col("stem"))).join(tiers, "key", "left")
+        return found.select(*own, F.coalesce("_tier", F.lit("bronze")).alias("tier"), F.coalesce("_weight", F.lit(1.0)).alias("tier_weight"), F.coalesce("_reasons", F.array(F.lit("not found"))).alias("tier_reasons"))
+
+    patterns.change(augmented)

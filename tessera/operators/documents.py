@@ -211,35 +211,6 @@ def classification_gate(docs: DataFrame) -> DataFrame:
     return d.withColumn("problems", problems).select("path", F.size("coded").alias("n_labels"), F.array_sort(F.array_distinct(F.transform("good", lambda x: x["code"]))).alias("codes"), "problems", (F.size("problems") == 0).alias("ok"))
 
 
-#: Short passages that a document is searched for at once.
-SHORT_BLOCK = 1000
-
-
-def contained(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
-    """J10 over tables: pairs of (doc_id, item_id) where the passage stands in the document.
-
-    Long passages are joined on their first words wherever they occur in the document, so
-    the substring test runs on candidates alone.  Passages of ``words`` words or fewer have
-    no such key, as they may begin and end within words: all documents are searched for
-    them, in blocks of SHORT_BLOCK passages.
-    """
-    spaced = lambda c: F.split(F.trim(c), " ")
-    items = passages.where("text is not null and trim(text) != ''").select("item_id", F.col("text").alias("passage"), F.size(spaced(F.col("text"))).alias("n"), F.xxhash64(F.array_join(F.slice(spaced(F.col("text")), 2, words - 2), " ")).alias("key"))
-    long, short = items.where(F.col("n") > words), items.where(F.col("n") <= words)
-
-    def keys(tokens: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (words - 3), F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, words - 2), " "))))
-
-    grams = docs.where("text is not null").select("doc_id", F.explode(F.transform(F.array(F.split("text", " ")), keys)[0]).alias("key"))
-    candidates = grams.join(long.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    found = candidates.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "passage"), "item_id").where(F.contains("text", F.col("passage")))
-    blocks = short.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-short.count() // SHORT_BLOCK)))).alias("block")).agg(F.collect_list(F.struct("item_id", "passage")).alias("items"))
-    held = F.filter("items", lambda x: F.contains(F.col("text"), x["passage"]))
-    few = docs.where("text is not null").crossJoin(blocks).select("doc_id", F.explode(F.transform(held, lambda x: x["item_id"])).alias("item_id"))
-    return found.select("doc_id", "item_id").unionByName(few)
-
-
 def first_by_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in an order."""
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_place = 1").drop("_place")

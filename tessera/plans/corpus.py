@@ -108,6 +108,31 @@ def l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(attempts).alias("attempts"), F.round(F.sum(cost), 2).alias("spend"))
 
 
+def stand_in(ask: L.Ask) -> str:
+    """A client that depends on the prompt alone: its answer needs 400 tokens a character; some prompts meet trouble first, some fail for good."""
+    size = len(ask.prompt)
+    if size % 13 == 5:
+        raise ValueError("no JSON")
+    if ask.attempt < size % 6 - 1:
+        raise OSError(f"http 529 at {ask.attempt}")
+    if size * 400 > ask.tokens:
+        raise L.Truncated(str(ask.tokens))
+    return f"{size} in {ask.tokens}"
+
+
+@query("L3_L5_bounded_calls", """WITH RECURSIVE p AS (SELECT conv_id || '/' || turn AS key, length(text) AS n FROM conversations),
+    go AS (SELECT key, n, 0 AS attempt, 16000 AS tokens, 0.0::DOUBLE AS waited, CASE WHEN n % 13 = 5 THEN 'bad' WHEN 0 < n % 6 - 1 THEN 'busy' WHEN n * 400 > 16000 THEN 'long' ELSE 'ok' END AS outcome FROM p
+      UNION ALL SELECT key, n, attempt + 1, t, w, CASE WHEN attempt + 1 < n % 6 - 1 THEN 'busy' WHEN n * 400 > t THEN 'long' ELSE 'ok' END
+      FROM (SELECT *, CASE outcome WHEN 'long' THEN least(tokens * 18 // 10, 64000) ELSE tokens END AS t, waited + CASE outcome WHEN 'busy' THEN 2.0 * (1 << attempt) ELSE 0 END AS w FROM go WHERE outcome IN ('busy', 'long') AND attempt < 3)),
+    last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY attempt DESC) AS r FROM go)
+    SELECT key, CASE outcome WHEN 'ok' THEN n || ' in ' || tokens END AS reply, CASE outcome WHEN 'bad' THEN 'ValueError: no JSON' WHEN 'busy' THEN 'transport: http 529 at ' || attempt WHEN 'long' THEN 'truncated: ' || tokens END AS error, attempt + 1 AS tries, tokens, waited FROM last WHERE r = 1""", longs=("tries", "tokens"))
+def bounded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns asked, eight at once a task; the client doesn't make one wait."""
+    turns = table(spark, sf_dir, "conversations")
+    prompts = turns.select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("key"), F.col("text").alias("prompt"))
+    return L.call_model(prompts, stand_in, at_once=8, sleep=lambda s: None)
+
+
 @query("L7_O11_admission", """SELECT stage, count(*) AS n FROM (SELECT CASE WHEN NOT coalesce(value > 10, false) THEN 'exit chain' WHEN event_type = 'view' THEN 'thoughts' WHEN user_id % 9 = 0 THEN 'physics' ELSE 'admitted' END AS stage FROM events) GROUP BY 1""")
 def l7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = L.ordered_cascade(table(spark, sf_dir, "events"), [("exit chain", F.col("value") > 10), ("thoughts", F.col("event_type") != "view"), ("physics", F.col("user_id") % 9 != 0)])

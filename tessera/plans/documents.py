@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as C
 from tessera.operators import corpus as K
 from tessera.operators import documents as D
+from tessera.operators import spans as N
 from tessera.registry import query, table
 
 
@@ -17,6 +18,9 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINES = "lines AS (SELECT doc_id, u.pos - 1 AS pos, u.line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d, unnest(l) WITH ORDINALITY AS u(line, pos))"
 
+#: Lines without the white space that Python's strip takes off.
+_STRIPPED = r"regexp_replace(line, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
+
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, line: the driver's documents have lines where analyses have issues."""
@@ -73,17 +77,34 @@ def t1_9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J10_contained_passages", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE trim(b.text) <> ''")
 def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.contained(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return N.contained(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-@query("J10_T1_8_verbatim", f"""WITH {_LINES}, a AS (SELECT string_agg(text, chr(10) ORDER BY item_id) AS artifact FROM benchmark)
-    SELECT doc_id, sum(CASE WHEN length(trim(line)) >= 120 AND contains(artifact, trim(line)) THEN length(trim(line)) ELSE 0 END) / greatest(any_value(length(text)), 1)::DOUBLE AS copied FROM lines JOIN documents USING (doc_id), a GROUP BY 1""")
+@query("J10_T1_8_verbatim", f"""WITH {_LINES}, long AS (SELECT doc_id, {_STRIPPED} AS line FROM lines WHERE length({_STRIPPED}) >= 120),
+    copied AS (SELECT doc_id, sum(length(line)) AS n FROM long WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(b.text, line)) GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0) / greatest(coalesce(length(text), 0), 1)::DOUBLE AS copied FROM documents LEFT JOIN copied USING (doc_id)""")
 def t1_8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The artifact is the benchmark's whole text, one row."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"])
-    artifact = table(spark, sf_dir, "benchmark").agg(F.array_join(parts, "\n").alias("artifact"))
-    rows = docs(spark, sf_dir).where("text is not null").crossJoin(F.broadcast(artifact))
-    return rows.select("doc_id", D.verbatim(F.col("text"), F.lit(""), F.col("artifact"))[1].alias("copied"))
+    """Lines of all documents against all texts of the benchmark."""
+    return N.copied_share(docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+
+
+@query("T1_8_copied_from_others", f"""WITH {_LINES}, long AS (SELECT doc_id, {_STRIPPED} AS line FROM lines WHERE length({_STRIPPED}) >= 120),
+    copied AS (SELECT doc_id, sum(length(line)) AS n FROM long l WHERE EXISTS (SELECT 1 FROM documents o WHERE o.doc_id <> l.doc_id AND contains(o.text, l.line)) GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0) / greatest(coalesce(length(text), 0), 1)::DOUBLE AS copied FROM documents LEFT JOIN copied USING (doc_id)""")
+def t1_8_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents against all other documents."""
+    rows = docs(spark, sf_dir)
+    return N.copied_share(rows, rows.select(F.col("doc_id").alias("id"), "text"), others=True)
+
+
+@query("J10_traceable_quotes", """WITH q AS (SELECT doc_id, text, substr(text, 30 + doc_id % 50, 20 + doc_id % 60) AS own FROM documents)
+    SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE 1 + fits END::BIGINT AS quotes, coalesce(fits, 0)::BIGINT AS traceable FROM (SELECT doc_id, text, CASE WHEN length(own) >= 20 AND NOT contains(own, chr(10)) AND NOT contains(own, '`') THEN 1 ELSE 0 END AS fits FROM q)""")
+def j10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Critiques that quote a passage of each document, and one that no document has, against all documents."""
+    rows, key = docs(spark, sf_dir), F.col("doc_id")
+    own = F.substr("text", (30 + key % 50).cast("int"), (20 + key % 60).cast("int"))
+    said = F.concat(F.lit("It says `"), own, F.lit("` and\n`nowhere said in number "), key.cast("string"), F.lit("`."))
+    return N.traceable_quotes(rows.select("doc_id", said.alias("text")), rows.select(F.col("doc_id").alias("id"), "text"))
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

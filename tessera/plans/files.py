@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import templates
 from tessera.functions.python_json import python_json
+from tessera.operators import corpus as C
 from tessera.operators import statistics as A
 from tessera.plans import corpus, trajectories
 from tessera.plans.diagnosis import label_inputs
@@ -15,6 +16,7 @@ from tessera.sources import files as S
 from tessera.sources import sinks as K
 from tessera.sources.named_files import read_named, write_named
 from tessera.sources.scratch import folder
+from tessera.sources.snapshots import Corpus
 
 
 def stored(spark: SparkSession, files: DataFrame) -> str:
@@ -393,3 +395,19 @@ def prompt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six versions of a template over all orders; braces in values stay."""
     fields = {"title": F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), "premise": F.concat(F.lit("{"), "o_orderpriority", F.lit("}")), "tension": F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))}
     return templates.rendered(table(spark, sf_dir, "orders"), VERSIONS, fields, "o_orderkey")
+
+
+@query("K20_tier_backfill", """WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'W' || p_partkey ELSE '10.' || p_size || '_X_' || p_partkey END AS stem, p_name AS title, p_partkey AS k FROM part)
+    SELECT stem, title, CASE WHEN k % 3 = 0 THEN 'bronze' WHEN k % 5 = 0 THEN 'golden' ELSE 'silver' END AS tier, CASE WHEN k % 3 = 0 THEN 1.0::DOUBLE WHEN k % 5 = 0 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END AS tier_weight,
+      CASE WHEN k % 3 = 0 THEN 'not found' WHEN k % 5 = 0 THEN 'second look' ELSE 'fwci' END AS reasons, 3::BIGINT AS version FROM p""")
+def tier_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored patterns get their tiers in place, twice: the second run has new records for some works."""
+    key = F.col("p_partkey")
+    doi = F.concat(F.lit("10."), F.col("p_size").cast("string"), F.lit("_X_"), key.cast("string"))
+    parts = table(spark, sf_dir, "part").select("*", F.when(key % 2 == 0, F.concat(F.lit("W"), key.cast("string"))).otherwise(doi).alias("stem"))
+    patterns, sidecar = Corpus(spark, folder(spark)), Corpus(spark, folder(spark))
+    patterns.publish(parts.select("stem", F.col("p_name").alias("title")), 0)
+    record = lambda rows, tier, weight, reason: rows.select(C.lookup_key(F.col("stem")).alias("key"), F.lit(tier).alias("tier"), F.lit(weight).alias("weight"), F.array(F.lit(reason)).alias("reasons"))
+    C.backfill_tiers(patterns, sidecar, record(parts.where("p_partkey % 3 <> 0"), "silver", 2.0, "fwci"))
+    C.backfill_tiers(patterns, sidecar, record(parts.where("p_partkey % 3 <> 0 and p_partkey % 5 = 0"), "golden", 4.0, "second look"))
+    return patterns.read().select("stem", "title", "tier", "tier_weight", F.array_join("tier_reasons", "; ").alias("reasons"), F.lit(patterns.versions()[-1]).cast("bigint").alias("version"))

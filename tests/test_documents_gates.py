@@ -86,12 +86,6 @@ def test_band_gap_reads_as_higher_is_better(spark):
     assert spark.range(1).select(C.metric_direction(F.lit("band_gap"))).head()[0] is True
 
 
-def test_contained_passages_without_common_words(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "zz c d e f g h i"), (3, None), (4, "short")], "doc_id bigint, text string")
-    items = spark.createDataFrame([(10, "c d e f g h"), (11, "short"), (12, "b c d e f x y"), (13, None), (14, " ")], "item_id bigint, text string")
-    assert sorted(map(tuple, D.contained(docs, items).collect())) == [(1, 10), (2, 10), (4, 11)]
-
-
 def test_method_cards_and_views(spark):
     from tessera.functions import methods as M
 

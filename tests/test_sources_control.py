@@ -1,7 +1,10 @@
-import pytest
 import json
+import threading
+import time
 import zipfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessera.operators import control, corpus
@@ -119,14 +122,54 @@ def test_replies_are_read_as_json(spark):
     assert got["a"] == ("done", r'{"ok":"say \"yes\" now"}') and got["b"][0] != "done" and got["b"][1] is None
 
 
-def test_a_failing_call_is_an_error_in_its_row(spark):
-    def complete(prompt):
-        if "2" in prompt:
+def test_calls_in_a_window_with_growing_budgets(spark):
+    def complete(ask):
+        kind, _, n = ask.prompt.partition(" ")
+        if kind == "bad":
             raise ValueError("no")
-        return prompt.upper()
-
-    rows = {r.key: (r.reply, r.error) for r in control.call_model(spark.createDataFrame([("a", "p1"), ("b", "p2")], "key string, prompt string"), complete).collect()}
-    assert rows == {"a": ("P1", None), "b": (None, "transport: no")}
+        if kind == "long" and ask.tokens < int(n):
+            raise control.Truncated(f"at {ask.tokens}")
+        if kind == "busy" and ask.attempt < int(n):
+            raise OSError("http 529")
+        return ask.prompt.upper()
+
+    asked = [("ok", "ok"), ("bad", "bad"), ("l1", "long 20000"), ("l2", "long 60000"), ("l3", "long 99999"), ("b2", "busy 2"), ("b9", "busy 9"), ("none", None)]
+    prompts = spark.createDataFrame(asked, "key string, prompt string").coalesce(1)
+    rows = control.call_model(prompts, complete, at_once=3, sleep=lambda s: None).collect()
+    assert [r.key for r in rows] == [k for k, _ in asked]
+    got = {r.key: (r.reply, r.error, r.tries, r.tokens, r.waited) for r in rows}
+    assert got == {
+        "ok": ("OK", None, 1, 16000, 0.0), "bad": (None, "ValueError: no", 1, 16000, 0.0), "l1": ("LONG 20000", None, 2, 28800, 0.0), "l2": ("LONG 60000", None, 4, 64000, 0.0),
+        "l3": (None, "truncated: at 64000", 4, 64000, 0.0), "b2": ("BUSY 2", None, 3, 16000, 6.0), "b9": (None, "transport: http 529", 4, 16000, 14.0), "none": ("", None, 1, 16000, 0.0),
+    }
+
+
+def test_windows_keep_order_and_bound():
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def work(i):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.002 * (i % 7))
+        with lock:
+            now[0] -= 1
+        return i
+
+    taken = []
+
+    def items():
+        for i in range(60):
+            taken.append(i)
+            yield i
+
+    results = control.in_window(items(), work, 5)
+    assert next(results) == 0 and len(taken) <= 6  # read as far as the window, not further
+    assert list(results) == list(range(1, 60)) and 1 < most[0] <= 5
+    assert control.Budget(wait=2.0, most_wait=5.0).most_wait == 5.0
+    pauses = []
+    control.answered("x", lambda a: (_ for _ in ()).throw(OSError("x")), control.Budget(retries=4, most_wait=5.0), pauses.append)
+    assert pauses == [2.0, 4.0, 5.0, 5.0]
 
 
 def test_sinks(spark, tmp_path):
