@@ -1,8 +1,8 @@
-"""Scoring queries: literal fixtures for grammars, driver tables for arithmetic."""
+"""Scoring queries: grammars over texts made from each row of the driver's tables, arithmetic over their numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import methods as M
@@ -12,41 +12,52 @@ from tessera.operators import predicates as P
 from tessera.operators import scoring as R
 from tessera.registry import query, table
 
-_VALUES = ["-3.37(1) eV", "201 kJ/mol", "≥7-fold sites", "S = 1/2", "−1.53 eV", "150 meV", "2.0 Ry", "0.5 Ha", "2070 cm⁻¹", "12 kcal mol", "300 K", "none", "", "1.0 Å", "about 5 %"]
 _NUM = r"-?\d+\.?\d*"
 _QTY = r"(?i)(-?\d+\.?\d*)\s*(?:\(\d+\))?\s*(eV|meV|kJ\s*/?\s*mol|kcal\s*/?\s*mol|Ha|Ry|Å|cm-?1|K)(?:$|[^a-zA-Z0-9])"
 
 
-def _literal(name: str, columns: str, rows: list[tuple]) -> str:
-    def one(x) -> str:
-        if x is None:
-            return "NULL"
-        if isinstance(x, bool):
-            return str(x).lower()
-        return str(x) + ("::DOUBLE" if isinstance(x, float) else "") if isinstance(x, int | float) else "'" + x.replace("'", "''") + "'"
+def _one_of(choices: tuple[str, ...], at: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, choices)), (at + 1).cast("int"))
 
-    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)})"
 
+def _sql_list(choices: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in choices) + "]"
 
-_VALUE_ROWS = list(enumerate(_VALUES))
 
+# Texts with a number of the line item between two parts: units, spellings, and none.
+_HEADS = ("-", "", "≥", "S = ", "−", "about ", "", "", "", "", "none", "ratio 1/")
+_TAILS = ("(1) eV", " kJ/mol", "-fold sites", "/2", " eV", " meV", " Ry", " Ha", " cm⁻¹", " kcal mol", "", " Å")
+_VALUES = f"v AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, l_extendedprice AS price, {_sql_list(_HEADS)}[l_partkey % 12 + 1] || CASE WHEN l_partkey % 12 = 10 THEN '' ELSE (CASE WHEN l_suppkey % 2 = 0 THEN l_quantity::INT::VARCHAR ELSE l_quantity::INT || '.' || l_linenumber END) END || {_sql_list(_TAILS)}[l_partkey % 12 + 1] AS value FROM lineitem)"
 
-@query("F4_parse_value", rf"""WITH {_literal('v', 'id, value', _VALUE_ROWS)}, p AS (SELECT id, value, replace(replace(replace(replace(value, '−', '-'), '–', '-'), '⁻¹', '-1'), '⁻', '-') AS t FROM v),
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, q = F.col("l_partkey") % 12, F.col("l_quantity").cast("int").cast("string")
+    number = F.when(F.col("l_suppkey") % 2 == 0, q).otherwise(F.concat(q, F.lit("."), F.col("l_linenumber").cast("string")))
+    value = F.concat(_one_of(_HEADS, k), F.when(k == 10, "").otherwise(number), _one_of(_TAILS, k))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"), value.alias("value"))
+
+
+@query("F4_parse_value", rf"""WITH {_VALUES}, p AS (SELECT id, line, part, supp, price, value, replace(replace(replace(replace(value, '−', '-'), '–', '-'), '⁻¹', '-1'), '⁻', '-') AS t FROM v),
     q AS (SELECT *, nullif(regexp_extract(t, '{_QTY}', 1), '') AS num, lower(replace(nullif(regexp_extract(t, '{_QTY}', 2), ''), ' ', '')) AS key, nullif(regexp_extract(t, '({_NUM})', 1), '') AS bare FROM p),
     u AS (SELECT *, CASE key WHEN 'ev' THEN 'eV' WHEN 'mev' THEN 'meV' WHEN 'kj/mol' THEN 'kJ/mol' WHEN 'kjmol' THEN 'kJ/mol' WHEN 'kcal/mol' THEN 'kcal/mol' WHEN 'kcalmol' THEN 'kcal/mol' WHEN 'ha' THEN 'Ha' WHEN 'ry' THEN 'Ry' WHEN 'å' THEN 'Å' WHEN 'cm-1' THEN 'cm-1' WHEN 'cm1' THEN 'cm-1' WHEN 'k' THEN 'K' ELSE key END AS unit FROM q)
-    SELECT id, value AS raw, CAST(coalesce(num, bare) AS DOUBLE) AS numeric, unit, round(CAST(num AS DOUBLE) * CASE unit WHEN 'eV' THEN 1.0::DOUBLE WHEN 'meV' THEN 0.001::DOUBLE WHEN 'kJ/mol' THEN 1.0::DOUBLE / 96.485::DOUBLE WHEN 'kcal/mol' THEN 1.0::DOUBLE / 23.061::DOUBLE WHEN 'Ha' THEN 27.2114::DOUBLE WHEN 'Ry' THEN 13.6057::DOUBLE END, 4) AS ev FROM u""")
+    SELECT id, line, part, supp, price, value AS raw, CAST(coalesce(num, bare) AS DOUBLE) AS numeric, unit, round(CAST(num AS DOUBLE) * CASE unit WHEN 'eV' THEN 1.0::DOUBLE WHEN 'meV' THEN 0.001::DOUBLE WHEN 'kJ/mol' THEN 1.0::DOUBLE / 96.485::DOUBLE WHEN 'kcal/mol' THEN 1.0::DOUBLE / 23.061::DOUBLE WHEN 'Ha' THEN 27.2114::DOUBLE WHEN 'Ry' THEN 13.6057::DOUBLE END, 4) AS ev FROM u""")
 def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_VALUE_ROWS, "id int, value string").select("id", C.parse_value(F.col("value")).alias("p"))
-    return rows.select("id", "p.raw", "p.numeric", "p.unit", F.col("p.eV").alias("ev"))
+    rows = _values(spark, sf_dir).select("*", C.parse_value(F.col("value")).alias("p"))
+    return rows.select("id", "line", "part", "supp", "price", "p.raw", "p.numeric", "p.unit", F.col("p.eV").alias("ev"))
 
 
-_REPLIES = [(0, "0.7"), (1, "score: 1.4"), (2, "-0.3"), (3, "none"), (4, None), (5, "I say 1/2")]
+_SAID = ("", "score: ", "-", "none", "I say ", "0.")
+_SAYS = f"v AS (SELECT event_id AS id, CASE event_id % 7 WHEN 6 THEN NULL WHEN 3 THEN 'none' ELSE {_sql_list(_SAID)}[event_id % 7 + 1] || (user_id % 30) || CASE WHEN event_id % 2 = 0 THEN '' ELSE '.' || (event_id % 90) END END AS reply FROM events)"
 
 
-@query("F7_R7_judge_score", rf"""WITH {_literal('v', 'id, reply', _REPLIES)}, s AS (SELECT id, CASE WHEN regexp_matches(reply, '{_NUM}') THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST(regexp_extract(reply, '({_NUM})', 1) AS DOUBLE))) END AS score FROM v)
+@query("F7_R7_judge_score", rf"""WITH {_SAYS}, s AS (SELECT id, CASE WHEN regexp_matches(reply, '{_NUM}') THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST(regexp_extract(reply, '({_NUM})', 1) AS DOUBLE))) END AS score FROM v)
     SELECT id, score, coalesce(score, 0.5::DOUBLE) AS neutral, greatest(coalesce(score, 0.0::DOUBLE), 0.5::DOUBLE) AS floored FROM s""")
 def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_REPLIES, "id int, reply string").select("id", C.judge_score(F.col("reply")).alias("score"))
+    """Judges' replies with a number of each event, or with none."""
+    e = F.col("event_id")
+    number = F.concat((F.col("user_id") % 30).cast("string"), F.when(e % 2 == 0, "").otherwise(F.concat(F.lit("."), (e % 90).cast("string"))))
+    reply = F.when(e % 7 == 3, "none").when(e % 7 < 6, F.concat(_one_of(_SAID, F.least(e % 7, F.lit(5))), number))
+    rows = table(spark, sf_dir, "events").select(e.alias("id"), C.judge_score(reply).alias("score"))
     return rows.select("id", "score", R.judged(F.col("score")).alias("neutral"), R.judged(F.col("score"), F.lit(0.5)).alias("floored"))
 
 
@@ -58,17 +69,19 @@ def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.graded_closeness(F.col("l_discount"), F.col("l_tax"), 0.1).alias("graded"))
 
 
-_NAMES = ["auc", "AUROC", "rmse", "error_rate", "band_gap", "yield", "", None, "Pearson corr", "val_loss", "top1 accuracy", "kendall tau", "energy"]
-_NAME_ROWS = list(enumerate(_NAMES))
+_NAMES = ("auc", "AUROC", "rmse", "error_rate", "band_gap", "yield", "", "Pearson corr", "val_loss", "top1 accuracy", "kendall tau", "energy")
 
 
 def _has(parts: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(n, '{p}')" for p in parts) + ")"
 
 
-@query("F9_metric_direction", f"WITH {_literal('v', 'id, name', _NAME_ROWS)} SELECT id, CASE WHEN {_has(C.LOWER)} THEN 'false' WHEN {_has(C.HIGHER)} THEN 'true' END AS higher FROM (SELECT id, lower(coalesce(name, '')) AS n FROM v)")
+@query("F9_metric_direction", f"WITH v AS (SELECT p_partkey AS id, CASE WHEN p_size % 13 < 12 THEN {_sql_list(_NAMES)}[p_size % 13 + 1] || ' ' || p_name END AS name FROM part) SELECT id, CASE WHEN {_has(C.LOWER)} THEN 'false' WHEN {_has(C.HIGHER)} THEN 'true' END AS higher FROM (SELECT id, lower(coalesce(name, '')) AS n FROM v)")
 def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_NAME_ROWS, "id int, name string").select("id", C.metric_direction(F.col("name")).cast("string").alias("higher"))
+    """Metric names beside each part's own name, which may hold a part of one as well."""
+    k = F.col("p_size") % 13
+    name = F.when(k < 12, F.concat(_one_of(_NAMES, F.least(k, F.lit(11))), F.lit(" "), "p_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name")).select("id", C.metric_direction(F.col("name")).cast("string").alias("higher"))
 
 
 # Rollouts derived from events: a metric of one of four names, a gold that is a fraction, a percentage or absent.
@@ -144,41 +157,69 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.gold_for_handle(rows).select("task", "handle", "numeric")
 
 
-_FINALS = [(0, "E_ads_eV: {ontop: -1.53, fcc: -1.69}\nsite_preference: FCC\nconclusion: fcc wins here\nmethod: PBE"), (1, "barrier_eV: 0.82\nexecuted: yes"), (2, "metric_value: 0.923\nmetric_name: Top1 AUC\nexecuted: true\nConclusion:  beats it "), (3, "frequency_cm1: 2070.5\nexecuted: no"), (4, ""), (5, None)]
+_ENDS = """v AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'E_ads_eV: {{ontop: -' || o_custkey % 4 || '.53, fcc: -1.' || o_custkey % 100 || '}}' || chr(10) || 'site_preference: FCC' || chr(10) || 'conclusion: fcc wins ' || o_orderpriority || chr(10) || 'method: PBE' WHEN 1 THEN 'barrier_eV: 0.' || o_custkey % 100 || chr(10) || 'executed: yes'
+      WHEN 2 THEN 'metric_value: -' || o_custkey % 9 || '.5' || chr(10) || 'metric_name: Top1 AUC' || chr(10) || 'executed: true' || chr(10) || 'Conclusion:  beats ' || o_orderstatus || ' ' WHEN 3 THEN 'frequency_cm1: ' || o_custkey || '.5' || chr(10) || 'executed: no' WHEN 4 THEN '' END AS answer FROM orders)""".replace("{{", "{").replace("}}", "}")
+
+
+def _finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey") % 6, F.col("o_custkey")
+    t = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    energies = t("E_ads_eV: {ontop: -", c % 4, ".53, fcc: -1.", c % 100, "}\nsite_preference: FCC\nconclusion: fcc wins ", F.col("o_orderpriority"), "\nmethod: PBE")
+    metric = t("metric_value: -", c % 9, ".5\nmetric_name: Top1 AUC\nexecuted: true\nConclusion:  beats ", F.col("o_orderstatus"), " ")
+    answer = F.when(k == 0, energies).when(k == 1, t("barrier_eV: 0.", c % 100, "\nexecuted: yes")).when(k == 2, metric).when(k == 3, t("frequency_cm1: ", c, ".5\nexecuted: no")).when(k == 4, "")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), answer.alias("answer"))
 
 
 def _field(p: str, group: str = "1") -> str:
     return f"nullif(regexp_extract(a, '(?i){p}', {group}), '')"
 
 
-@query("F6_parse_final", f"""WITH {_literal('v', 'id, answer', _FINALS)} SELECT id, len(regexp_extract_all(regexp_extract(a, '(?i)E_ads_eV\\s*:\\s*\\{{([^}}]*)\\}}', 1), '([A-Za-z_\\-]+)\\s*:\\s*({_NUM})')) AS energies,
+@query("F6_parse_final", f"""WITH {_ENDS} SELECT id, len(regexp_extract_all(regexp_extract(a, '(?i)E_ads_eV\\s*:\\s*\\{{([^}}]*)\\}}', 1), '([A-Za-z_\\-]+)\\s*:\\s*({_NUM})')) AS energies,
     lower({_field('site_preference\\s*:\\s*([A-Za-z_\\-]+)')}) AS site, CAST({_field(f'barrier_eV\\s*:\\s*({_NUM})')} AS DOUBLE) AS barrier, CAST({_field(f'frequency_cm1\\s*:\\s*({_NUM})')} AS DOUBLE) AS frequency,
     CAST({_field(f'metric_value\\s*:\\s*({_NUM})')} AS DOUBLE) AS metric, lower(trim({_field('metric_name\\s*:\\s*([A-Za-z0-9_\\-/ ]+)')})) AS metric_name, regexp_matches(a, '(?i)executed\\s*:\\s*(true|1|yes)\\b') AS executed,
     coalesce(trim({_field('conclusion\\s*:\\s*(.+)')}), '') AS conclusion FROM (SELECT id, coalesce(answer, '') AS a FROM v)""")
 def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_FINALS, "id int, answer string").select("id", R.parse_final(F.col("answer")).alias("f"))
+    rows = _finals(spark, sf_dir).select("id", R.parse_final(F.col("answer")).alias("f"))
     return rows.select("id", F.size("f.e_ads").cast("bigint").alias("energies"), *(F.col(f"f.{c}").alias(c) for c in ("site", "barrier", "frequency", "metric", "metric_name", "executed", "conclusion")))
 
 
-_EVIDENCE = [(0, "Section C, issue 8 shows the leak"), (1, "short"), (2, "it was done right, credit is due"), (3, "## Credit Due (full)"), (4, "see C.3 for the mismatch"), (5, "the agent simply stopped without reason"), (6, 'it writes "no effect found" twice'), (7, "stage: A planning gap")]
-_LOC = r"""(?im)\bSection\s+[A-FX]\b|\bstage[: ]\s*[A-FX]\b|\b(?:Core Verdict|Credit Due|Trajectory Arc)\b|\b(?:issue|finding|problem)\s*#?\s*\d+\b|\brow\s*\d+\b|#\d+|\b[A-FX]\.\d+\b|\b[A-FX]\d{1,3}\b|"[^"\n]{4,}"|^.{0,30}:"""
+_POINTS = ("Section C, issue 8 shows ", "short ", "it was done right, credit is due ", "## Credit Due (full) ", "see C.3 for ", "the agent simply ", 'it writes "no effect found" ', "stage: A planning ", "row 12 of ", "§ B-2 ", "Finding #4 ", "x: ")
+#: The operator's own pattern; the flags that the other engine has no names for change nothing on ASCII texts.
+_LOC = D.LOCATOR.replace("(?imdu)", "(?im)").replace("'", "''")
+_CITED = f"v AS (SELECT doc_id AS id, {_sql_list(_POINTS)}[doc_id % 12 + 1] || left(regexp_replace(coalesce(text, ''), '[^a-z ]', ' ', 'g'), (doc_id % 40)::INT) AS evidence FROM documents)"
 
 
-@query("T2_3_evidence", rf"""WITH {_literal('v', 'id, evidence', _EVIDENCE)} SELECT id, length(trim(evidence)) >= 10 AS long_enough, regexp_matches(evidence, '{_LOC}') AS locatable FROM v""")
+@query("T2_3_evidence", rf"""WITH {_CITED} SELECT id, length(trim(evidence)) >= 10 AS long_enough, regexp_matches(evidence, '{_LOC}') AS locatable FROM v""")
 def t2_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_EVIDENCE, "id int, evidence string")
+    """Evidence from each document's small letters, behind words that point at a place or don't."""
+    key = F.col("doc_id")
+    plain = F.left(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z ]", " "), (key % 40).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(key.alias("id"), F.concat(_one_of(_POINTS, key % 12), plain).alias("evidence"))
     return rows.select("id", (F.length(F.trim("evidence")) >= 10).alias("long_enough"), D.locatable(F.col("evidence")).alias("locatable"))
 
 
-_MISC = [(0, "W123", "claude__run1", "a & b_c 5% \"x\"", None, 100, 10, "no_decision: late"), (1, "echonet", "gemini", "plain", 0.5, 1, 1, "soft[x]"), (2, "b7", "m__a__b", "", None, None, 3, "timeout after 4h"), (3, "Wx", "codex__", "50%", 0.0, 7, None, None)]
+_WHY = ("no_decision: late", "soft[x]", "timeout after 4h", "judge_unavailable", "no_computation", "")
+_RUNS = f"""v AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'W' ELSE 'b' END || c_custkey AS task, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment || '__run' || c_custkey WHEN 1 THEN c_mktsegment WHEN 2 THEN 'm__a__b' ELSE 'codex__' END AS dir, c_name || CASE WHEN c_custkey % 2 = 0 THEN ' & b_c 5% "x"' ELSE '' END AS tex,
+      CASE WHEN c_custkey % 5 = 0 THEN c_acctbal END AS cost, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS p, CASE WHEN c_custkey % 11 <> 0 THEN c_nationkey END AS c, CASE WHEN c_custkey % 7 < 6 THEN {_sql_list(_WHY)}[c_custkey % 7 + 1] END AS reason FROM customer)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    text = k.cast("string")
+    folder = F.when(k % 4 == 0, F.concat("c_mktsegment", F.lit("__run"), text)).when(k % 4 == 1, F.col("c_mktsegment")).when(k % 4 == 2, "m__a__b").otherwise("codex__")
+    reason = F.when(k % 7 < 6, _one_of(_WHY, F.least(k % 7, F.lit(5))))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.concat(F.when(k % 3 == 0, "W").otherwise("b"), text).alias("task"), folder.alias("dir"), F.concat("c_name", F.when(k % 2 == 0, ' & b_c 5% "x"').otherwise("")).alias("tex"),
+        F.when(k % 5 == 0, F.col("c_acctbal")).alias("cost"), F.when(k % 7 != 0, k).alias("p"), F.when(k % 11 != 0, F.col("c_nationkey")).alias("c"), reason.alias("reason"),
+    )
 
 
-@query("F33_F34_F35_F36_P2_P3", f"""WITH {_literal('v', 'id, task, dir, tex, cost, p, c, reason', _MISC)} SELECT id, CASE WHEN task LIKE 'W%' THEN 'W-paper' ELSE 'named-benchmark' END AS family, split_part(dir, '__', 1) AS model,
+@query("F33_F34_F35_F36_P2_P3", f"""WITH {_RUNS} SELECT id, CASE WHEN task LIKE 'W%' THEN 'W-paper' ELSE 'named-benchmark' END AS family, split_part(dir, '__', 1) AS model,
     replace(replace(replace(replace(tex, '&', '\\&'), '_', '\\_'), '"', ''), '%', '\\%') AS latex, coalesce(cost, coalesce(p, 0) * 0.000002::DOUBLE + coalesce(c, 0) * 0.00001::DOUBLE)::DOUBLE AS usd,
     CASE WHEN reason LIKE 'judge_unavailable%' THEN 'judge_unavailable' WHEN reason LIKE 'no_decision%' THEN 'no_decision' WHEN reason LIKE 'no_computation%' THEN 'no_computation' WHEN reason LIKE 'timeout%' THEN 'timeout' ELSE 'soft' END AS category,
     coalesce(regexp_matches(reason, '^(no_decision|no_computation|timeout)'), false) AS thin FROM v""")
 def f33(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_MISC, "id int, task string, dir string, tex string, cost double, p int, c int, reason string")
+    rows = _runs(spark, sf_dir)
     category = C.reason_category(F.col("reason"), ("judge_unavailable", "no_decision", "no_computation", "timeout"))
     thin = F.coalesce(F.col("reason").rlike("^(" + "|".join(D.THIN_REASONS) + ")"), F.lit(False))
     return rows.select("id", C.task_family(F.col("task")).alias("family"), C.model_key(F.col("dir")).alias("model"), C.latex_escape(F.col("tex")).alias("latex"), C.call_cost(F.col("cost"), F.col("p"), F.col("c")).alias("usd"), category.alias("category"), thin.alias("thin"))
@@ -189,22 +230,32 @@ def f37(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.thin_scale(F.col("l_quantity"), F.col("l_returnflag") == "R").alias("floor_value"))
 
 
-_PATHS = [(i, p) for i, p in enumerate(["src/a.py", "0.99", "notes.md", "r=%.3f", "../x", "-o", "data/out", "plain", "a b/c", "run.JSON", "", "x" * 301 + "/y"])]
+_BEFORE = ("src/", "", "notes", "r=%.", "../", "-o", "data/", "", "a b/", "run.", "$HOME/", "0.")
+_BEHIND = (".py", "", ".md", "f", "x", "", "", "", "/c", ".JSON", "", "")
+_PATHS = f"v AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 13 = 12 THEN repeat(p_brand, 40) || '/y' ELSE {_sql_list(_BEFORE)}[p_partkey % 13 + 1] || replace(p_brand, '#', '_') || {_sql_list(_BEHIND)}[p_partkey % 13 + 1] END AS p FROM part)"
 
 
-@query("P14_paths", rf"""WITH {_literal('v', 'id, p', _PATHS)} SELECT id, p <> '' AND length(p) <= 300 AND NOT regexp_matches(p, '[={{}}%()"''`$*?]') AND NOT regexp_matches(p, '^[\d.-]')
+@query("P14_paths", rf"""WITH {_PATHS} SELECT id, p <> '' AND length(p) <= 300 AND NOT regexp_matches(p, '[={{}}%()"''`$*?]') AND NOT regexp_matches(p, '^[\d.-]')
     AND (contains(p, '/') OR regexp_matches(p, '(?i)\.(py|json|jsonl|md|txt|csv|tsv|npy|npz|log|sh|ya?ml|toml|png|pdf|h5|hdf5|pkl|parquet|ipynb|c|cpp|f90|R)$')) AS path FROM v""")
 def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_PATHS, "id int, p string").select("id", C.looks_like_path(F.col("p")).alias("path"))
+    """Each part's brand as a name, with and without what makes it a path."""
+    k = F.col("p_partkey") % 13
+    name = F.concat(_one_of(_BEFORE, F.least(k, F.lit(11))), F.replace("p_brand", F.lit("#"), F.lit("_")), _one_of(_BEHIND, F.least(k, F.lit(11))))
+    p = F.when(k == 12, F.concat(F.repeat("p_brand", 40), F.lit("/y"))).otherwise(name)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), p.alias("p")).select("id", C.looks_like_path(F.col("p")).alias("path"))
 
 
-_SITES = [(i, s, r) for i, (s, r) in enumerate([("Atop", "ontop"), ("fcc hollow", "FCC"), (None, "ontop"), (" hcp ", "bridge"), ("3-fold", "fcc")])]
+_PLACES = ("Atop", "fcc hollow", " hcp ", "3-fold", "Bridge", "on top", "hollow")
+_SITES = f"v AS (SELECT s_suppkey AS id, CASE s_suppkey % 9 WHEN 7 THEN NULL WHEN 8 THEN s_name ELSE {_sql_list(_PLACES)}[s_suppkey % 9 + 1] END AS site, ['ontop', 'FCC', 'bridge', lower(s_name)][s_suppkey % 4 + 1] AS ref FROM supplier)"
 
 
-@query("F13_F17_sites", f"""WITH {_literal('v', 'id, site, ref', _SITES)} SELECT id, s AS site, lower(trim(s)) = lower(trim(ref)) AS agrees FROM (SELECT id, ref, CASE lower(trim(coalesce(site, 'ontop'))) WHEN 'atop' THEN 'ontop' WHEN 'on-top' THEN 'ontop' WHEN 'top' THEN 'ontop' WHEN 'on top' THEN 'ontop'
+@query("F13_F17_sites", f"""WITH {_SITES} SELECT id, s AS site, lower(trim(s)) = lower(trim(ref)) AS agrees FROM (SELECT id, ref, CASE lower(trim(coalesce(site, 'ontop'))) WHEN 'atop' THEN 'ontop' WHEN 'on-top' THEN 'ontop' WHEN 'top' THEN 'ontop' WHEN 'on top' THEN 'ontop'
     WHEN 'hollow' THEN 'fcc' WHEN 'fcc-hollow' THEN 'fcc' WHEN 'fcc hollow' THEN 'fcc' WHEN 'hcp-hollow' THEN 'hcp' WHEN 'hcp hollow' THEN 'hcp' WHEN '3-fold' THEN 'fcc' ELSE lower(trim(coalesce(site, 'ontop'))) END AS s FROM v)""")
 def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_SITES, "id int, site string, ref string").select("id", M.site(F.col("site")).alias("site"), "ref")
+    k = F.col("s_suppkey")
+    site = F.when(k % 9 == 8, F.col("s_name")).when(k % 9 < 7, _one_of(_PLACES, F.least(k % 9, F.lit(6))))
+    ref = F.when(k % 4 == 3, F.lower("s_name")).otherwise(_one_of(("ontop", "FCC", "bridge"), F.least(k % 4, F.lit(2))))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("id"), M.site(site).alias("site"), ref.alias("ref"))
     return rows.select("id", "site", M.agrees(F.col("site"), F.col("ref"), F.lit("site"))["agrees"].alias("agrees"))
 
 
@@ -217,12 +268,17 @@ def f26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "m.ecutwfc", "m.ecutrho", F.col("m.kpts")[0].alias("k"), F.size("m.notes").alias("notes"))
 
 
-_ECHOES = [(0, "compare_reference: it fits", "compare_reference"), (1, "**draw conclusion** - so it is", "draw_conclusion"), (2, "no label here", "run_calculation"), (3, None, "run_calculation")]
+_LABELS = ("compare_reference: ", "**draw conclusion** - ", "", "Run Calculation ")
+_ECHOES = f"v AS (SELECT conv_id, turn, {_sql_list(_LABELS)}[turn % 4 + 1] || regexp_replace(text, '[^a-z ]', '', 'g') AS text FROM conversations)"
 
 
-@query("F24_move_labels", rf"""WITH {_literal('v', 'id, text, move', _ECHOES)} SELECT id, trim(regexp_replace(coalesce(text, ''), '(?i)^\s*\**\s*(compare[_\s]reference|draw[_\s]conclusion|run[_\s]calculation)\s*\**\s*[:\-–]?\s*', '')) AS text FROM v""")
+@query("F24_move_labels", rf"""WITH {_ECHOES} SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '(?i)^\s*\**\s*(compare[_\s]reference|draw[_\s]conclusion|run[_\s]calculation)\s*\**\s*[:\-–]?\s*', '')) AS text FROM v""")
 def f24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_ECHOES, "id int, text string, move string").select("id", M.without_move_label(F.col("text"), F.col("move")).alias("text"))
+    """Turns that begin with the name of their move, spelled in some way, or don't."""
+    turn = F.col("turn")
+    move = _one_of(("compare_reference", "draw_conclusion", "run_calculation", "run_calculation"), turn % 4)
+    said = F.concat(_one_of(_LABELS, turn % 4), F.regexp_replace("text", "[^a-z ]", ""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("text"), move.alias("move")).select("conv_id", "turn", M.without_move_label(F.col("text"), F.col("move")).alias("text"))
 
 
 @query("F41_F42_P23_handles", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'coverage_shift,band_gap' ELSE 'band_gap,coverage_shift' END AS observables, 'coverage_shift' AS handle, 'Given that ' || o_orderstatus || ' resolve: ' || o_orderpriority AS asked FROM orders""")
