@@ -1,3 +1,3 @@
 """Registered plans; importing them fills the registry."""
 
-from tessera.plans import corpus, diagnosis, documents, files, logs, scoring, trajectories
+from tessera.plans import corpus, diagnosis, documents, files, gates, logs, scoring, trajectories
