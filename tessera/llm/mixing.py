@@ -79,6 +79,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """
     used = take_mix(docs, weights, most).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
     used = materialize(used.withColumnRenamed("doc_id", "__id"), "used", compact=True)
-    # Hashed on the narrow side, so that whole texts are shuffled once and never sorted.
-    rows = docs.join(used.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies", "__id")
+    # Hashed on the narrow side, so that whole texts are shuffled once and never sorted.  The row is one column, whatever its own are called.
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__key")).join(used.hint("shuffle_hash"), F.col("__key").eqNullSafe(F.col("__id")))
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")

@@ -31,14 +31,16 @@ def sample_texts(docs: DataFrame, labelled: DataFrame, per_label: int, most_byte
     """Whole texts and their labels: about ``per_label`` documents and at most ``most_bytes`` of text of each label.
 
     Documents are taken in the order of the sample's hash; one that would pass the bound is
-    passed over.  What comes to the driver is bounded in rows first, then in bytes.
+    passed over.  What comes to the driver is bounded in rows first (each text of a document
+    once, 4 * MOST_ROWS of them at most), then in bytes.
     """
     chosen = sample_by_label(labelled, per_label)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sized = rows.select("doc_id", "label", "place", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))
     held: dict = {}
     wanted = set()
-    for r in sized.orderBy("place", "doc_id", "hash").collect():
+    # A document that stands on very many rows comes once, and one with very many texts can't fill the driver either.
+    for r in sized.dropDuplicates(["doc_id", "hash"]).orderBy("place", "doc_id", "hash").limit(4 * MOST_ROWS).collect():
         if held.get(r.label, 0) + r.size <= most_bytes and (r.doc_id, r.hash) not in wanted:
             held[r.label] = held.get(r.label, 0) + r.size
             wanted.add((r.doc_id, r.hash))

@@ -268,3 +268,12 @@ def test_media_digest(docs, empty):
         by_text.setdefault(text[r.doc_id] or "", set()).add((r.media_sha256, r.feature))
     assert all(len(v) == 1 for v in by_text.values())
     assert transport.media_digest(empty).collect() == []
+
+
+def test_a_document_on_many_rows_comes_to_the_sample_once(spark):
+    from tessera.llm.sampling import sample_texts
+
+    rows = spark.range(6000).selectExpr("cast(3 as bigint) as doc_id", "'the same' as text").union(spark.range(40).selectExpr("id + 10", "concat('t', id)"))
+    labels = rows.select("doc_id").distinct().selectExpr("doc_id", "cast(doc_id % 2 as int) as label")
+    texts, marks = sample_texts(rows, labels, 1000, 1 << 20)
+    assert texts.count("the same") <= 1 and len(texts) == len(set(texts)) == len(marks) > 20

@@ -160,3 +160,9 @@ def test_columns_of_any_name_pass_sharding(spark):
     df = spark.createDataFrame([(1, "k", 2.5, "j")], "doc_id bigint, _key string, _jump double, __key___ string")
     (row,) = sharding.jump_shards(df, F.col("doc_id"), 24).collect()
     assert (row._key, row._jump, row["__key___"], row.shard) == ("k", 2.5, "j", jump(1, 24))
+
+
+def test_mixing_keeps_columns_of_any_name(docs):
+    named = docs.select("doc_id", "text", "source", F.lit(1).alias("__copies"), F.lit(2).alias("__id"), F.lit(3).alias("__copy"), F.lit(4).alias("__row"))
+    rows = mixing.mixed_documents(named)
+    assert rows.columns == named.columns and {tuple(r)[3:] for r in rows.collect()} == {(1, 2, 3, 4)}
