@@ -14,6 +14,7 @@ from tessera.plans.diagnosis import label_inputs
 from tessera.registry import ORACLES, query, table
 from tessera.sources import files as S
 from tessera.sources import sinks as K
+from tessera.sources.archives import search
 from tessera.sources.named_files import read_named, write_named
 from tessera.sources.scratch import folder
 from tessera.sources.snapshots import Corpus
@@ -411,3 +412,21 @@ def tier_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.backfill_tiers(patterns, sidecar, record(parts.where("p_partkey % 3 <> 0"), "silver", 2.0, "fwci"))
     C.backfill_tiers(patterns, sidecar, record(parts.where("p_partkey % 3 <> 0 and p_partkey % 5 = 0"), "golden", 4.0, "second look"))
     return patterns.read().select("stem", "title", "tier", "tier_weight", F.array_join("tier_reasons", "; ").alias("reasons"), F.lit(patterns.versions()[-1]).cast("bigint").alias("version"))
+
+
+@query("S11_S12_searches", """WITH r AS (SELECT 'q' || page_id % 3 AS query, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) AS rank, page_id AS id, url FROM pages)
+    SELECT mode, query, rank::INTEGER AS rank, id, url FROM r, (SELECT unnest(['ranked', 'sampled']) AS mode)""")
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the works of three queries, stored twenty to a page of answers: read by cursor, and by ranges of page numbers."""
+    pages, key = table(spark, sf_dir, "pages"), F.col("page_id")
+    ranked = pages.select(F.concat(F.lit("q"), (key % 3).cast("string")).alias("query"), F.floor(key / 60).alias("page"), key.alias("id"), "url")
+    # Numbers of pages follow the ids, which have no gaps in a query: three in a row are one of each.
+    work = F.struct("id", "url")
+    answers = ranked.groupBy("query", "page").agg(F.array_sort(F.collect_list(work)).alias("results"))
+    number = (F.col("page") + 1).cast("string")
+    body = F.to_json(F.struct("results", F.struct((F.col("page") + 2).cast("string").alias("next_cursor")).alias("meta")))
+    root = stored(spark, answers.select(F.concat("query", F.lit("/"), number, F.lit(".json")).alias("path"), body.alias("content")))
+    options = {"folder": root, "per_page": "20", "max_works": str(pages.count())}
+    found = [search(spark, ["q0", "q1", "q2"], **options, **more).withColumn("mode", F.lit(mode)) for mode, more in (("ranked", {}), ("sampled", {"sample": "true"}))]
+    works = found[0].unionByName(found[1]).withColumn("w", F.from_json("work", "id bigint, url string"))
+    return works.select("mode", "query", "rank", "w.id", "w.url")

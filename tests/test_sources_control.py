@@ -65,6 +65,37 @@ def test_search_by_cursor(spark):
     assert archives.search(spark, ["q1"], pages=json.dumps(pages), max_works="2").count() == 2
 
 
+def test_sampled_search_by_page_ranges(spark):
+    pages = {"q1": [{"results": [{"id": f"{k}-{i}"} for i in range(3)]} for k in range(5)], "q2": [{"results": []}]}
+    options = {"pages": json.dumps(pages), "sample": "true", "per_page": "3", "pages_per_partition": "2"}
+    rows = archives.search(spark, ["q1", "q2"], max_works="13", **options)
+    assert rows.rdd.getNumPartitions() == 6
+    got = sorted((r.rank, json.loads(r.work)["id"]) for r in rows.collect())
+    assert got == [(3 * k + i + 1, f"{k}-{i}") for k in range(5) for i in range(3) if 3 * k + i < 13]
+    assert archives.search(spark, ["q1"], max_works="100", **options).count() == 15
+
+
+def test_a_stopped_crawl_goes_on_where_it_was(spark, tmp_path):
+    for k in range(1, 6):
+        put(tmp_path, f"pages/q/{k}.json", json.dumps({"results": [{"id": f"{k}-{i}"} for i in range(2)]}))
+    options = {"folder": f"{tmp_path}/pages", "per_page": "2", "max_works": "10", "pages_per_batch": "1"}
+
+    def crawl(until):
+        query = archives.search_stream(spark, ["q"], **options).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").start()
+        end = time.time() + 60
+        while time.time() < end and query.isActive and (query.lastProgress is None or query.lastProgress["batchId"] < until):
+            time.sleep(0.2)
+        query.stop()
+        return {(r.rank, json.loads(r.work)["id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+    first = crawl(1)
+    assert first >= {(1, "1-0"), (2, "1-1"), (3, "2-0"), (4, "2-1")}
+    put(tmp_path, "pages/q/1.json", "{broken")  # is read no more
+    rows = crawl(4)
+    assert rows == {(2 * k + i - 1, f"{k}-{i}") for k in range(1, 6) for i in range(2)}
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 10
+
+
 def test_retries_wait_and_raise():
     calls = []
 
