@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.python_json import python_float
 from tessera.functions.scalars import lookup, non_null, strip
 
 # Site synonyms, the shell of each element's correction, adsorption handles in order, context keys in order.
@@ -28,15 +29,26 @@ def agrees(computed: Column, reference: Column, kind: Column, tolerance: float =
 
 
 def clamped_method(wfc: Column, rho: Column, smearing: Column, degauss: Column, kpts: Column) -> Column:
-    """a method held to affordable ranges, with a note for each change in order; the density cutoff follows the clamped one."""
+    """a method held to affordable ranges, with a note for each change in order; the density cutoff follows the clamped one.
+
+    No points count as (4, 4, 1).
+    """
     w = F.when(wfc < 30, 30.0).when(wfc > 90, 90.0).otherwise(wfc)
     r = F.greatest(F.least(rho, 12 * w), 8 * w)
     smeared = (F.coalesce(smearing, F.lit("")) != "") & (smearing != "none")
     d = F.when(smeared & (degauss > 0.05), 0.02).when(smeared & (degauss < 0.002), 0.01).otherwise(degauss)
-    k = F.transform(F.coalesce(kpts, F.array(F.lit(4), F.lit(4), F.lit(1))), lambda x: F.greatest(F.lit(1), F.least(F.lit(16), x)))
-    text = lambda c: c.cast("string")
-    tell = lambda name, a, b: F.concat(F.lit(f"{name} "), text(a), F.lit("->"), text(b))
-    notes = non_null(F.when(w != wfc, tell("ecutwfc", wfc, w)), F.when(r != rho, tell("ecutrho", rho, r)), F.when(d != degauss, tell("degauss", degauss, d)), F.when(~F.coalesce(k == kpts, F.lit(False)), F.concat(F.lit("kpts ->"), F.array_join(F.transform(k, text), ","))))
+    k = F.transform(F.coalesce(F.when(F.size(kpts) > 0, kpts), F.array(F.lit(4), F.lit(4), F.lit(1))), lambda x: F.greatest(F.lit(1), F.least(F.lit(16), x)))
+    given = F.coalesce(kpts, F.array().cast("array<int>"))
+    number = lambda c: python_float(c.cast("double"))
+    inner = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ", ")
+    several = lambda c: F.concat(F.lit("("), inner(c), F.when(F.size(c) == 1, ",").otherwise(""), F.lit(")"))
+    tell = lambda name, was, to: F.concat(F.lit(f"{name} "), was, F.lit("->"), F.lit(to) if isinstance(to, str) else to)
+    notes = non_null(
+        F.when(wfc < 30, tell("ecutwfc", number(wfc), "30")).when(wfc > 90, tell("ecutwfc", number(wfc), "90 (was unphysically high)")),
+        F.when(r != rho, tell("ecutrho", number(rho), number(r))),
+        F.when(smeared & (degauss > 0.05), tell("degauss", number(degauss), "0.02")).when(smeared & (degauss < 0.002), tell("degauss", number(degauss), "0.01")),
+        F.when(k != given, tell("kpts", several(given), several(k))),
+    )
     return F.struct(w.alias("ecutwfc"), r.alias("ecutrho"), d.alias("degauss"), k.alias("kpts"), notes.alias("notes"))
 
 

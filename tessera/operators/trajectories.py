@@ -76,14 +76,23 @@ def arc_problems(steps: DataFrame) -> DataFrame:
 
 
 def thought_lint(steps: DataFrame) -> DataFrame:
-    """T4: recovery chains whose thoughts claim no success on a failed step, no restart first, no unseen mechanism."""
-    whole = Window.partitionBy("trajectory_id")
-    seen = F.lower(F.array_join(F.collect_list(F.coalesce("text", F.lit(""))).over(whole), " "))
-    s = steps.withColumns({"th": F.lower(F.coalesce("thought", F.lit(""))), "seen": seen, "first": F.min("index").over(whole) == F.col("index"), "bad_exit": F.coalesce(F.col("exit_status") != 0, F.lit(False))})
-    unseen = F.exists(F.array(*map(F.lit, MECHANISMS)), lambda m: F.contains(F.col("th"), m) & ~F.contains(F.col("seen"), m))
-    clean = (F.col("th") != "") & ~(F.col("bad_exit") & any_of(F.col("th"), SUCCESS)) & ~(F.col("first") & any_of(F.col("th"), ("restart", "recover", "previous run"))) & ~unseen
-    rows = s.groupBy("trajectory_id").agg(F.bool_and(clean).alias("clean"), F.transform(F.array_sort(F.collect_list(F.struct("index", "exit_status"))), lambda x: x["exit_status"]).alias("exits"))
-    return rows.select("trajectory_id", (F.col("clean") & error_recovery(F.col("exits"))).alias("ok"))
+    """T4: recovery chains whose thoughts claim no success on a failed step, no restart first, no unseen mechanism.
+
+    A mechanism is seen if any step's text names it: one flag a mechanism and step, so no
+    step carries the text of its trajectory.  Words that only come together where two texts
+    meet don't name it.
+    """
+    th, text = F.lower(F.coalesce("thought", F.lit(""))), F.lower(F.coalesce("text", F.lit("")))
+    bad_exit = F.coalesce(F.col("exit_status") != 0, F.lit(False))
+    claims = {f"said{k}": F.contains(th, F.lit(m)) for k, m in enumerate(MECHANISMS)} | {f"seen{k}": F.contains(text, F.lit(m)) for k, m in enumerate(MECHANISMS)}
+    clean = (th != "") & ~(bad_exit & any_of(th, SUCCESS))
+    s = steps.select("trajectory_id", "index", "exit_status", clean.alias("clean"), any_of(th, ("restart", "recover", "previous run")).alias("restarts"), *(c.alias(n) for n, c in claims.items()))
+    exits = F.transform(F.array_sort(F.collect_list(F.struct("index", "exit_status"))), lambda x: x["exit_status"]).alias("exits")
+    rows = s.groupBy("trajectory_id").agg(F.bool_and("clean").alias("clean"), F.min_by("restarts", "index").alias("restarts"), *(F.bool_or(n).alias(n) for n in claims), exits)
+    unseen = F.lit(False)
+    for k in range(len(MECHANISMS)):
+        unseen = unseen | (F.col(f"said{k}") & ~F.col(f"seen{k}"))
+    return rows.select("trajectory_id", (F.col("clean") & ~F.col("restarts") & ~unseen & error_recovery(F.col("exits"))).alias("ok"))
 
 
 def scientist_lint(steps: DataFrame) -> DataFrame:

@@ -259,13 +259,16 @@ def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "site", M.agrees(F.col("site"), F.col("ref"), F.lit("site"))["agrees"].alias("agrees"))
 
 
-@query("F26_method_clamps", """SELECT l_orderkey, l_linenumber, w AS ecutwfc, greatest(least(rho, 12 * w), 8 * w) AS ecutrho, least(greatest(k, 1), 16) AS k, (w <> wfc)::INT + (greatest(least(rho, 12 * w), 8 * w) <> rho)::INT + (least(greatest(k, 1), 16) <> k)::INT AS notes
-    FROM (SELECT *, CASE WHEN wfc < 30 THEN 30.0::DOUBLE WHEN wfc > 90 THEN 90.0::DOUBLE ELSE wfc END AS w FROM (SELECT l_orderkey, l_linenumber, l_quantity * 3 AS wfc, l_quantity * 25 AS rho, l_partkey % 20 AS k FROM lineitem))""", longs=("k",))
+@query("F26_method_clamps", """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 3 AS wfc, l_quantity * 25 AS rho, (l_partkey % 20)::INTEGER AS k, l_discount AS d FROM lineitem),
+    c AS (SELECT *, CASE WHEN wfc < 30 THEN 30.0::DOUBLE WHEN wfc > 90 THEN 90.0::DOUBLE ELSE wfc END AS w, least(greatest(k, 1), 16) AS kk FROM m), r AS (SELECT *, greatest(least(rho, 12 * w), 8 * w) AS rr FROM c)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, w AS ecutwfc, rr AS ecutrho, CASE WHEN d > 0.05 THEN 0.02::DOUBLE WHEN d < 0.002 THEN 0.01::DOUBLE ELSE d END AS degauss, kk AS k,
+      concat_ws('; ', CASE WHEN wfc < 30 THEN 'ecutwfc ' || wfc::INT || '.0->30' WHEN wfc > 90 THEN 'ecutwfc ' || wfc::INT || '.0->90 (was unphysically high)' END, CASE WHEN rr <> rho THEN 'ecutrho ' || rho::INT || '.0->' || rr::INT || '.0' END,
+        CASE WHEN d > 0.05 THEN 'degauss ' || d::VARCHAR || '->0.02' WHEN d < 0.002 THEN 'degauss ' || d::VARCHAR || '->0.01' END, CASE WHEN kk <> k THEN 'kpts (' || k || ', 1)->(' || kk || ', 1)' END) AS notes FROM r""", longs=("k",))
 def f26(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("l_partkey") % 20).cast("int")
-    m = M.clamped_method(F.col("l_quantity") * 3, F.col("l_quantity") * 25, F.lit("none"), F.lit(0.01), F.array(k))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", m.alias("m"))
-    return rows.select("l_orderkey", "l_linenumber", "m.ecutwfc", "m.ecutrho", F.col("m.kpts")[0].alias("k"), F.size("m.notes").alias("notes"))
+    m = M.clamped_method(F.col("l_quantity") * 3, F.col("l_quantity") * 25, F.lit("mv"), F.col("l_discount"), F.array(k, F.lit(1)))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", m.alias("m"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "m.ecutwfc", "m.ecutrho", "m.degauss", F.col("m.kpts")[0].alias("k"), F.array_join("m.notes", "; ").alias("notes"))
 
 
 _LABELS = ("compare_reference: ", "**draw conclusion** - ", "", "Run Calculation ")
