@@ -213,3 +213,12 @@ def backfill_tiers(patterns: Corpus, sidecar: Corpus, resolved: DataFrame) -> No
         return found.select(*own, F.coalesce("_tier", F.lit("bronze")).alias("tier"), F.coalesce("_weight", F.lit(1.0)).alias("tier_weight"), F.coalesce("_reasons", F.array(F.lit("not found"))).alias("tier_reasons"))
 
     patterns.change(augmented)
+
+
+def labelled_union(sets: dict[str, DataFrame], by: list[str]) -> DataFrame:
+    """Sets under their labels put together, and counted by label and columns; a row may be in several sets."""
+    parts = [df.select(F.lit(name).alias("label"), *by) for name, df in sets.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("label", *by).agg(F.count(F.lit(1)).alias("n"))

@@ -214,3 +214,11 @@ def classification_gate(docs: DataFrame) -> DataFrame:
 def first_by_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in an order."""
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_place = 1").drop("_place")
+
+
+def profile(docs: DataFrame, by: str, tiny: int = 100) -> DataFrame:
+    """Documents, lines and the share of lines below ``tiny`` characters, by a column; null text has no lines."""
+    parts = F.split(F.col("text"), "\n")
+    rows = docs.select(by, F.coalesce(F.size(parts), F.lit(0)).alias("n"), F.coalesce(F.size(F.filter(parts, lambda s: F.length(s) < tiny)), F.lit(0)).alias("tiny"))
+    counted = rows.groupBy(by).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.greatest("n", F.lit(0))).alias("lines"), F.sum(F.greatest("tiny", F.lit(0))).alias("tiny"))
+    return counted.select(by, "docs", "lines", (F.col("tiny") / F.greatest("lines", F.lit(1))).alias("tiny_frac"))

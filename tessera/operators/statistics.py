@@ -151,3 +151,38 @@ def head_overlap(old: DataFrame, new: DataFrame, n: int = 10, least: int = 4) ->
     """
     tops = [t.orderBy(F.desc("rate"), "ord").limit(n).select("code") for t in (old, new)]
     return tops[0].join(tops[1], "code").agg(F.count(F.lit(1)).alias("overlap")).withColumn("ok", F.col("overlap") >= least)
+
+
+def tidy_labels(labels: DataFrame, dim: DataFrame) -> DataFrame:
+    """A row for each label above zero with its code's attributes; codes that the taxonomy doesn't have drop out.
+
+    ``dim`` has a row a code and is broadcast.
+    """
+    verdict = F.when(F.col("score") == 2, "HIT").otherwise("PARTIAL")
+    rows = labels.where("score > 0").join(F.broadcast(dim.select("code", "name", "stage", "pillar")), "code")
+    return rows.select("model", "task", "code", "name", "stage", "pillar", "score", verdict.alias("verdict"))
+
+
+def polarity(rows: DataFrame, by: str, named: Column, hit: Column, most: float = 0.6) -> DataFrame:
+    """How often a subject is named and how often it is a hit, in percent; hits nearly as frequent as mentions are suspect.
+
+    Null counts as no; without any mention or hit nothing is suspect.
+    """
+    n = F.count(F.lit(1))
+    rates = rows.groupBy(by).agg(n.alias("n"), (100.0 * F.count_if(named) / n).alias("mention_pct"), (100.0 * F.count_if(hit) / n).alias("hit_pct"))
+    return rates.withColumn("bad", F.col("hit_pct") > most * F.col("mention_pct"))
+
+
+def remaining(discovered: DataFrame, passing: DataFrame, key: list[str]) -> DataFrame:
+    """What has been discovered and has no passing result."""
+    return discovered.select(*key).distinct().join(passing.select(*key).distinct(), key, "left_anti")
+
+
+def taxonomy_counts(dim: DataFrame, labels: DataFrame) -> DataFrame:
+    """Codes by stage and by pillar, whether a stage's numbers have no gap, and how many of the codes any label uses."""
+    used = dim.join(labels.where("score > 0").select("code").distinct(), "code", "left_semi").select("code", F.lit(1).alias("used"))
+    rows = dim.select("code", "stage", "pillar").join(used, "code", "left")
+    counts = [F.count(F.lit(1)).alias("n"), F.count("used").alias("used")]
+    whole = (F.max(F.split_part("code", F.lit("."), F.lit(2)).cast("int")) == F.count(F.lit(1))).alias("contiguous")
+    stages = rows.groupBy(F.lit("stage").alias("kind"), F.col("stage").alias("key")).agg(*counts, whole)
+    return stages.unionByName(rows.groupBy(F.lit("pillar").alias("kind"), F.col("pillar").alias("key")).agg(*counts, F.lit(True).alias("contiguous")))

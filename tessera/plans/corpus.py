@@ -85,10 +85,10 @@ def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").withColumn("reason", reason)
 
 
-@query("U8_upsert", "SELECT o_orderkey, o_totalprice AS price, 'new' AS record FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 0.0::DOUBLE, 'old' FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0")
+@query("U8_upsert", "SELECT o_orderkey, o_totalprice AS price, 'new' AS record FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 0.0::DOUBLE, 'old' FROM orders WHERE o_orderkey % 3 <> 0")
 def u8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
-    old = rows.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit(0.0).alias("price"), F.lit("old").alias("record"))
+    old = rows.select("o_orderkey", F.lit(0.0).alias("price"), F.lit("old").alias("record"))
     new = rows.where("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_totalprice").alias("price"), F.lit("new").alias("record"))
     return L.upsert(old, new, ["o_orderkey"])
 
@@ -145,11 +145,13 @@ def o11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.first_admitted(rows, ["event_id"], 25).select("event_id")
 
 
-@query("U1_A20_union_sets", "SELECT label, priority, count(*) AS n FROM (SELECT 'finished' AS label, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'open', o_orderpriority FROM orders WHERE o_orderstatus = 'O') GROUP BY 1, 2")
+@query("U1_A20_union_sets", "SELECT label, priority, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'pending' END AS label, o_orderpriority AS priority FROM orders UNION ALL SELECT 'all', o_orderpriority FROM orders) GROUP BY 1, 2")
 def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders")
-    parts = [rows.where(F.col("o_orderstatus") == s).select(F.lit(n).alias("label"), F.col("o_orderpriority").alias("priority")) for s, n in (("F", "finished"), ("O", "open"))]
-    return parts[0].unionByName(parts[1]).groupBy("label", "priority").agg(F.count(F.lit(1)).alias("n"))
+    """Orders by status, and all of them as a set of their own."""
+    rows = table(spark, sf_dir, "orders").withColumn("priority", F.col("o_orderpriority"))
+    status = F.coalesce("o_orderstatus", F.lit(""))
+    sets = {"finished": rows.where(status == "F"), "open": rows.where(status == "O"), "pending": rows.where(~status.isin("F", "O")), "all": rows}
+    return K.labelled_union(sets, ["priority"])
 
 
 @query("A19_A21_distribution", "SELECT coalesce(nullif(event_type, 'view'), '(none)') AS move, count(*) AS n, count(DISTINCT user_id) AS papers, row_number() OVER (ORDER BY count(*) DESC, 1) AS place FROM (SELECT coalesce(nullif(event_type, 'view'), '(none)') AS event_type, user_id FROM events) GROUP BY 1", longs=("place",))
@@ -203,9 +205,9 @@ def p24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.task_rows(rows.select("paper_id"), claims, claims.select("task", "handle", "numeric")).select(F.col("paper_id").alias("o_orderkey"), "objective", "qe_ready")
 
 
-@query("T6_prefilter", "SELECT event_id, coalesce(value, 0.0::DOUBLE) / 10.0::DOUBLE <= 5.0::DOUBLE AND (user_id % 3 <> 0 OR abs(value - 50.0::DOUBLE) <= 20.0::DOUBLE) AS passed FROM events WHERE value IS NOT NULL")
+@query("T6_prefilter", "SELECT event_id, coalesce(value, 0.0::DOUBLE) / 10.0::DOUBLE <= 5.0::DOUBLE AND (user_id % 3 <> 0 OR abs(value - 50.0::DOUBLE) <= 20.0::DOUBLE) AS passed FROM events")
 def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A force tolerance, and an energy deviation where a reference is given."""
     force, reference = F.coalesce("value", F.lit(0.0)) / 10.0, F.when(F.col("user_id") % 3 == 0, F.lit(50.0))
     passed = P.prefilter(force, F.col("value"), reference, 5.0, 20.0)
-    return table(spark, sf_dir, "events").where("value is not null").select("event_id", passed.alias("passed"))
+    return table(spark, sf_dir, "events").select("event_id", passed.alias("passed"))

@@ -205,11 +205,9 @@ def a12_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT lang, count(*) AS n, 100.0::DOUBLE * count(*) FILTER (contains(lower(text), 'license')) / count(*) AS mention_pct, 100.0::DOUBLE * count(*) FILTER (quality = 1) / count(*) AS hit_pct
     FROM documents JOIN labels USING (doc_id) GROUP BY 1)""")
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mention rate against hit rate; a code hit nearly as often as its subject is named is suspect."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.contains(F.lower("text"), F.lit("license")).alias("named")).join(table(spark, sf_dir, "labels"), "doc_id")
-    n = F.count(F.lit(1))
-    rates = rows.groupBy("lang").agg(n.alias("n"), (100.0 * F.count_if("named") / n).alias("mention_pct"), (100.0 * F.count_if(F.col("quality") == 1) / n).alias("hit_pct"))
-    return rates.withColumn("bad", F.col("hit_pct") > 0.6 * F.col("mention_pct"))
+    """Licenses named in documents against their quality, by language."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return S.polarity(rows, "lang", F.contains(F.lower("text"), F.lit("license")), F.col("quality") == 1)
 
 
 def _head_sql(name: str) -> str:
@@ -232,14 +230,13 @@ def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("U6_J1_remaining", f"{_BASE} SELECT model, task FROM records r WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.model = r.model AND l.task = r.task AND l.score = 2)")
 def u6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, recs, _ = label_inputs(spark, sf_dir)
-    return recs.join(found.where("score = 2"), ["model", "task"], "left_anti").select("model", "task")
+    return S.remaining(recs, found.where("score = 2"), ["model", "task"])
 
 
 @query("J2_P9_labels_long", f"{_BASE} SELECT l.model, l.task, l.code, d.name, d.stage, d.pillar, l.score, CASE l.score WHEN 2 THEN 'HIT' ELSE 'PARTIAL' END AS verdict FROM labels l JOIN dim d USING (code) WHERE l.score > 0")
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tidy label rows with their taxonomy attributes; codes outside the taxonomy drop out."""
     found, _, dim = label_inputs(spark, sf_dir)
-    return found.where("score > 0").join(F.broadcast(dim.drop("ord")), "code").withColumn("verdict", F.when(F.col("score") == 2, "HIT").otherwise("PARTIAL")).select("model", "task", "code", "name", "stage", "pillar", "score", "verdict")
+    return S.tidy_labels(found, dim)
 
 
 @query("J3_source_set", f"""{_BASE} SELECT r.model, r.task, coalesce(s.source_set, 'unknown') AS source_set FROM records r
@@ -250,12 +247,13 @@ def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recs.select("model", "task").join(side, "task", "left").select("model", "task", F.coalesce("source_set", F.lit("unknown")).alias("source_set"))
 
 
-@query("A27_taxonomy_check", f"""WITH {dim_code_sql()} SELECT 'stage' AS kind, stage AS key, count(*) AS n, max(CAST(split_part(code, '.', 2) AS INTEGER)) = count(*) AS contiguous FROM dim GROUP BY 1, 2
-    UNION ALL SELECT 'pillar', pillar, count(*), true FROM dim GROUP BY 1, 2""")
+@query("A27_taxonomy_check", f"""{_BASE}, u AS (SELECT *, code IN (SELECT code FROM labels WHERE score > 0) AS used FROM dim)
+    SELECT 'stage' AS kind, stage AS key, count(*) AS n, count(*) FILTER (used) AS used, max(CAST(split_part(code, '.', 2) AS INTEGER)) = count(*) AS contiguous FROM u GROUP BY 1, 2
+    UNION ALL SELECT 'pillar', pillar, count(*), count(*) FILTER (used), true FROM u GROUP BY 1, 2""")
 def a27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = dim_code(spark)
-    stages = dim.groupBy(F.lit("stage").alias("kind"), F.col("stage").alias("key")).agg(F.count(F.lit(1)).alias("n"), (F.max(F.split_part("code", F.lit("."), F.lit(2)).cast("int")) == F.count(F.lit(1))).alias("contiguous"))
-    return stages.unionByName(dim.groupBy(F.lit("pillar").alias("kind"), F.col("pillar").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("contiguous")))
+    """The taxonomy's numbers, and how many of its codes the labels use."""
+    found, _, dim = label_inputs(spark, sf_dir)
+    return S.taxonomy_counts(dim, found)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

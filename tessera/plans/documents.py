@@ -157,8 +157,6 @@ def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "pos", K.bucket(F.col("line")).alias("bucket"))
 
 
-@query("A28_O1_document_profile", f"""WITH {_LINES} SELECT source, count(DISTINCT doc_id) AS docs, count(*) AS lines, count(*) FILTER (length(line) < 100) / count(*)::DOUBLE AS tiny_frac FROM lines JOIN documents USING (doc_id) GROUP BY 1 ORDER BY 1""")
+@query("A28_O1_document_profile", f"""WITH {_LINES} SELECT source, count(DISTINCT doc_id) AS docs, count(line) AS lines, count(*) FILTER (length(line) < 100) / greatest(count(line), 1)::DOUBLE AS tiny_frac FROM documents LEFT JOIN lines USING (doc_id) GROUP BY 1""")
 def a28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split("text", "\n")
-    rows = docs(spark, sf_dir).select("source", F.size(parts).alias("n"), F.size(F.filter(parts, lambda s: F.length(s) < 100)).alias("tiny"))
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("lines"), (F.sum("tiny") / F.sum("n")).alias("tiny_frac")).orderBy("source")
+    return D.profile(docs(spark, sf_dir), "source")

@@ -87,10 +87,10 @@ def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Rollouts derived from events: a metric of one of four names, a gold that is a fraction, a percentage or absent.
 _ROLLOUT = """SELECT event_id, value / 100.0::DOUBLE AS v, CASE event_id % 4 WHEN 0 THEN 'auc' WHEN 1 THEN 'rmse' WHEN 2 THEN 'yield' ELSE 'pearson' END AS name, user_id % 2 = 0 AS executed,
     CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN (user_id % 100)::DOUBLE ELSE (user_id % 10) / 10.0::DOUBLE END AS gold FROM events"""
-_METRIC = f"""WITH r AS ({_ROLLOUT}), s AS (SELECT *, CASE WHEN name = 'auc' THEN v BETWEEN 0 AND 100 WHEN name = 'pearson' THEN v BETWEEN -1.0001::DOUBLE AND 1.0001::DOUBLE ELSE true END AS sane,
+_METRIC = f"""WITH r AS ({_ROLLOUT}), s AS (SELECT *, CASE WHEN v IS NULL THEN false WHEN name = 'auc' THEN v BETWEEN 0 AND 100 WHEN name = 'pearson' THEN v BETWEEN -1.0001::DOUBLE AND 1.0001::DOUBLE ELSE true END AS sane,
       CASE name WHEN 'auc' THEN true WHEN 'pearson' THEN true WHEN 'rmse' THEN false END AS higher, CASE WHEN gold > 1.5 AND abs(v) <= 1.5 THEN v * 100.0::DOUBLE ELSE v END AS w,
-      CASE WHEN abs(v) > 1.5 AND abs(gold) <= 1.5 THEN gold * 100.0::DOUBLE ELSE gold END AS best FROM r WHERE v IS NOT NULL),
-    g AS (SELECT *, CASE WHEN higher THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (w - best) / greatest(abs(best), 0.000000001::DOUBLE) AS g, abs(w - best) / greatest(abs(best), 0.000000001::DOUBLE) AS rel, gold IS NOT NULL AND executed AS comparable FROM s),
+      CASE WHEN abs(v) > 1.5 AND abs(gold) <= 1.5 THEN gold * 100.0::DOUBLE ELSE gold END AS best FROM r),
+    g AS (SELECT *, CASE WHEN higher THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (w - best) / greatest(abs(best), 0.000000001::DOUBLE) AS g, abs(w - best) / greatest(abs(best), 0.000000001::DOUBLE) AS rel, gold IS NOT NULL AND v IS NOT NULL AND executed AS comparable FROM s),
     verdict AS (SELECT event_id, sane, executed AS valid, CASE WHEN comparable THEN CASE WHEN NOT sane THEN false WHEN higher IS NULL THEN abs(w - best) <= 0.1::DOUBLE * greatest(abs(best), 0.000000001::DOUBLE) ELSE g >= -0.1::DOUBLE END END AS matched,
       CASE WHEN comparable THEN CASE WHEN NOT sane THEN 0.0::DOUBLE WHEN higher IS NULL THEN CASE WHEN rel <= 0.1::DOUBLE THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - (rel - 0.1::DOUBLE) / (3.0::DOUBLE * 0.1::DOUBLE)) END
         WHEN g >= 0.1::DOUBLE THEN 1.0::DOUBLE WHEN g >= 0 THEN 0.85::DOUBLE + 0.15000000000000002::DOUBLE * (g / 0.1::DOUBLE) ELSE greatest(0.0::DOUBLE, 0.85::DOUBLE * (1.0::DOUBLE - (-g) / (3.0::DOUBLE * 0.1::DOUBLE))) END END AS graded,
@@ -101,7 +101,7 @@ def _rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     name = F.when(e % 4 == 0, "auc").when(e % 4 == 1, "rmse").when(e % 4 == 2, "yield").otherwise("pearson")
     gold = F.when(e % 5 == 0, None).when(e % 5 == 1, (F.col("user_id") % 100).cast("double")).otherwise((F.col("user_id") % 10) / 10.0)
-    rows = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 100.0).alias("v"), name.alias("name"), (F.col("user_id") % 2 == 0).alias("executed"), gold.alias("gold")).where("v is not null")
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 100.0).alias("v"), name.alias("name"), (F.col("user_id") % 2 == 0).alias("executed"), gold.alias("gold"))
     return rows.select("event_id", R.metric_verdict(F.col("v"), F.col("name"), F.col("executed"), F.col("gold")).alias("verdict"))
 
 
@@ -121,13 +121,13 @@ def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rollouts(spark, sf_dir).select("event_id", scores.alias("s")).select("event_id", (F.col("s.reward") > 0.5).alias("rewarded"), "s.correctness", "s.admissible", "s.unverified")
 
 
-@query("R4_window_gates", """SELECT event_id, b > 0.0 AND b < 6.0 AS barrier_sane, CAST(CASE WHEN gb IS NOT NULL THEN abs(b - gb) <= 0.3::DOUBLE END AS VARCHAR) AS barrier_matched, nu > 200.0 AND nu < 4000.0 AS frequency_sane, abs(nu - 500.0::DOUBLE) <= 80.0::DOUBLE AS frequency_matched
-    FROM (SELECT event_id, value / 10.0::DOUBLE AS b, CASE WHEN event_id % 2 = 0 THEN (user_id % 7)::DOUBLE END AS gb, value * 10.0::DOUBLE AS nu FROM events WHERE value IS NOT NULL)""")
+@query("R4_window_gates", """SELECT event_id, coalesce(b > 0.0 AND b < 6.0, false) AS barrier_sane, CAST(CASE WHEN gb IS NOT NULL THEN abs(b - gb) <= 0.3::DOUBLE END AS VARCHAR) AS barrier_matched, coalesce(nu > 200.0 AND nu < 4000.0, false) AS frequency_sane, abs(nu - 500.0::DOUBLE) <= 80.0::DOUBLE AS frequency_matched
+    FROM (SELECT event_id, value / 10.0::DOUBLE AS b, CASE WHEN event_id % 2 = 0 THEN (user_id % 7)::DOUBLE END AS gb, value * 10.0::DOUBLE AS nu FROM events)""")
 def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
     value, gold = F.col("value"), F.when(F.col("event_id") % 2 == 0, (F.col("user_id") % 7).cast("double"))
     b = R.window_verdict(value / 10.0, gold, F.lit("emt"), 0.0, 6.0, 0.3)
     nu = R.window_verdict(value * 10.0, F.lit(500.0), F.lit("emt"), 200.0, 4000.0, 80.0)
-    rows = table(spark, sf_dir, "events").where("value is not null").select("event_id", b.alias("b"), nu.alias("nu"))
+    rows = table(spark, sf_dir, "events").select("event_id", b.alias("b"), nu.alias("nu"))
     return rows.select("event_id", F.col("b.sane").alias("barrier_sane"), F.col("b.matched").cast("string").alias("barrier_matched"), F.col("nu.sane").alias("frequency_sane"), F.col("nu.matched").alias("frequency_matched"))
 
 

@@ -189,9 +189,9 @@ def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.written_paths(writes).select("log_id", "path", F.col("first.seq.line").alias("first"), F.array_join("channels", ",").alias("channels"))
 
 
-@query("J4_last_write_wins", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+@query("J4_last_write_wins", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def w16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.last_by(table(spark, sf_dir, "events").where("value is not null"), ["user_id", "event_type"], ["event_id"], "value")
+    return L.last_by(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["event_id"], "value")
 
 
 @query("P25_faithful", """SELECT trajectory_id, bool_and(a.exit IS NOT NULL AND a.exit = s.exit) AS faithful FROM (SELECT l_orderkey AS trajectory_id, l_suppkey AS node, l_linenumber % 2 AS exit FROM lineitem) s
