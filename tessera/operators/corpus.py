@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import looks_like_image, metric_direction, non_null, strip
+from tessera.operators.documents import first_by_key
 from tessera.sources.snapshots import Corpus
 
 # Thresholds of the tiers, weights, peer-reviewed kinds of venue.
@@ -74,8 +75,7 @@ def tiered(rows: DataFrame) -> DataFrame:
 
 def first_topic(manifests: DataFrame) -> DataFrame:
     """Of a work that several topics found, the row of the first topic, then rank."""
-    order = Window.partitionBy("work_id").orderBy("topic_ord", "rank")
-    return manifests.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    return first_by_key(manifests, ["work_id"], ["topic_ord", "rank"])
 
 
 def tier_shares(rows: DataFrame, by: list[str]) -> DataFrame:

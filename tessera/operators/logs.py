@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions.scalars import first_group, first_url, looks_like_path, one_line
+from tessera.sources.scratch import folder
 
 # The grammars of the dialects.
 RAW_MARK = r"(?md)^----- RAW stream-json -----$"
@@ -162,8 +164,13 @@ _READERS = {"claude": claude_events, "gemini": gemini_events, "codex": codex_eve
 
 
 def tool_events(logs: DataFrame) -> DataFrame:
-    """L-P1: canonical events of all logs, each read by its dialect."""
-    known = dialect(logs)
+    """L-P1: canonical events of all logs, each read by its dialect.
+
+    Logs are told apart once and written; each reader scans its own dialect's folder.
+    """
+    path = folder(logs.sparkSession)
+    dialect(logs).write.partitionBy("dialect").parquet(path)
+    known = logs.sparkSession.read.schema(StructType([*logs.schema.fields, StructField("dialect", StringType())])).parquet(path)
     parts = [read(known.where(F.col("dialect") == name)).select(*_EVENT).withColumn("dialect", F.lit(name)) for name, read in _READERS.items()]
     out = parts[0]
     for p in parts[1:]:

@@ -56,7 +56,8 @@ def whole_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = rows.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocks.select("path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
-    return rows.join(bases, ["path", "_block"]).select("path", (F.col("_id") + F.col("_base")).cast("int").alias("line"), "text")
+    # One narrow row a block of a file: where they are few, Spark broadcasts them by their measured size.
+    return rows.join(bases, ["path", "_block"]).select("path", (F.col("_id") + F.col("_base")).alias("line"), "text")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The same transforms over Structured Streaming: new logs as they arrive, windows over events.
+"""The same transforms over Structured Streaming: new logs as they arrive.
 
 Files are taken once each (``availableNow``), with progress in a checkpoint, so a
 run resumes where the last one ended.
@@ -34,9 +34,3 @@ def events_of_new_logs(spark: SparkSession, path: str, out: str, checkpoint: str
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "dialect").parquet(out)
 
     return take_available(log_stream(spark, path), checkpoint, each)
-
-
-def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Events by type and window, with a watermark; ``ts`` may have no time zone."""
-    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return timed.groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
