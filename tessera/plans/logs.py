@@ -22,11 +22,31 @@ def _json(**fields: Column | str) -> Column:
     return F.to_json(F.struct(*((F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items())))
 
 
-TURN, TEXT = F.col("turn"), F.col("text")
-KEY = TURN.cast("string")
-BEFORE = (TURN - 1).cast("string")
-FLAT = F.replace("text", F.lit("\n"), F.lit(" "))
-KIND = F.floor(TURN / 2) % 4
+def turn_() -> Column:
+    return F.col("turn")
+
+
+def text_() -> Column:
+    return F.col("text")
+
+
+def key_() -> Column:
+    """A turn's number as text."""
+    return turn_().cast("string")
+
+
+def before_() -> Column:
+    return (turn_() - 1).cast("string")
+
+
+def flat_() -> Column:
+    """A turn's text on one line."""
+    return F.replace("text", F.lit("\n"), F.lit(" "))
+
+
+def kind_() -> Column:
+    """Which of four tools a turn takes."""
+    return F.floor(turn_() / 2) % 4
 
 
 def text(*parts: Column | str) -> Column:
@@ -49,34 +69,34 @@ def by_role(user: Column, assistant: Column, system: Column) -> Column:
 
 def claude(rows: DataFrame) -> DataFrame:
     """Four tools in turn; results come in two parts; a system turn is a banner."""
-    path = text("f", (TURN % 2).cast("string"), ".py")
-    use = lambda name, params: F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.array(F.to_variant_object(F.struct(F.lit("text").alias("type"), text("t", KEY).alias("text"))), F.to_variant_object(F.struct(F.lit("tool_use").alias("type"), KEY.alias("id"), F.lit(name).alias("name"), params.alias("input")))).alias("content")).alias("message")))
-    user = F.when(KIND == 0, use("Bash", F.struct(FLAT.alias("command")))).when(KIND == 1, use("Write", F.struct(path.alias("file_path"), TEXT.alias("content")))).when(KIND == 2, use("Edit", F.struct(path.alias("file_path"), F.lit("e").alias("old_string"), text("E", KEY).alias("new_string")))).otherwise(use("WebSearch", F.struct(FLAT.alias("query"))))
-    result = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), BEFORE.alias("tool_use_id"), F.array(F.struct(TEXT.alias("text")), F.struct(F.lit("end").alias("text"))).alias("content"))).alias("content")).alias("message")))
+    path = text("f", (turn_() % 2).cast("string"), ".py")
+    use = lambda name, params: F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.array(F.to_variant_object(F.struct(F.lit("text").alias("type"), text("t", key_()).alias("text"))), F.to_variant_object(F.struct(F.lit("tool_use").alias("type"), key_().alias("id"), F.lit(name).alias("name"), params.alias("input")))).alias("content")).alias("message")))
+    user = F.when(kind_() == 0, use("Bash", F.struct(flat_().alias("command")))).when(kind_() == 1, use("Write", F.struct(path.alias("file_path"), text_().alias("content")))).when(kind_() == 2, use("Edit", F.struct(path.alias("file_path"), F.lit("e").alias("old_string"), text("E", key_()).alias("new_string")))).otherwise(use("WebSearch", F.struct(flat_().alias("query"))))
+    result = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), before_().alias("tool_use_id"), F.array(F.struct(text_().alias("text")), F.struct(F.lit("end").alias("text"))).alias("content"))).alias("content")).alias("message")))
     return bodies(rows.where("conv_id % 5 = 0"), by_role(user, result, F.lit("banner {")))
 
 
 def gemini(rows: DataFrame) -> DataFrame:
-    use = F.to_json(F.struct(F.lit("tool_use").alias("type"), KEY.alias("tool_id"), F.lit("web_fetch").alias("tool_name"), F.struct(text("see https://e.org/", KEY, " now").alias("prompt")).alias("parameters")))
-    return bodies(rows.where("conv_id % 5 = 1"), by_role(use, _json(type="tool_result", tool_id=BEFORE, output=TEXT), _json(type="message", role="assistant", content=TEXT)), "prose before\n----- RAW stream-json -----\n")
+    use = F.to_json(F.struct(F.lit("tool_use").alias("type"), key_().alias("tool_id"), F.lit("web_fetch").alias("tool_name"), F.struct(text("see https://e.org/", key_(), " now").alias("prompt")).alias("parameters")))
+    return bodies(rows.where("conv_id % 5 = 1"), by_role(use, _json(type="tool_result", tool_id=before_(), output=text_()), _json(type="message", role="assistant", content=text_())), "prose before\n----- RAW stream-json -----\n")
 
 
 def prose(rows: DataFrame) -> DataFrame:
-    return bodies(rows.where("conv_id % 5 = 2"), by_role(text("Tool call: run_shell_command ", _json(command=FLAT)), text("Tool result (run): ", FLAT, " "), F.lit("note")))
+    return bodies(rows.where("conv_id % 5 = 2"), by_role(text("Tool call: run_shell_command ", _json(command=flat_())), text("Tool result (run): ", flat_(), " "), F.lit("note")))
 
 
 def codex(rows: DataFrame) -> DataFrame:
     """Commands that write a file each; every third fails, every fifth has a second result line; a system turn is a summary."""
-    status = F.when(TURN % 3 == 0, " exited 1").otherwise(" succeeded")
-    result = text(status, " in ", KEY, "ms:\n", TEXT, F.when(TURN % 5 == 0, "\n succeeded in 3ms:\nlate").otherwise(""))
-    return bodies(rows.where("conv_id % 5 = 3"), by_role(text("exec\nbash -lc 'echo ", KEY, " > out", (TURN % 3).cast("string"), ".log' in /w"), result, text("**Plan**\n", TEXT)), "OpenAI Codex v1\n")
+    status = F.when(turn_() % 3 == 0, " exited 1").otherwise(" succeeded")
+    result = text(status, " in ", key_(), "ms:\n", text_(), F.when(turn_() % 5 == 0, "\n succeeded in 3ms:\nlate").otherwise(""))
+    return bodies(rows.where("conv_id % 5 = 3"), by_role(text("exec\nbash -lc 'echo ", key_(), " > out", (turn_() % 3).cast("string"), ".log' in /w"), result, text("**Plan**\n", text_())), "OpenAI Codex v1\n")
 
 
 def codex2(rows: DataFrame) -> DataFrame:
     """Commands are started by the user's turn and completed by the assistant's, or a message is all that comes."""
     item = lambda **fields: F.struct(*((F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()))
-    start = _json(type="item.started", item=item(id=KEY, type="command_execution", command=text("curl http://h.org/", KEY, " | head")))
-    done = F.when(TURN % 3 == 0, _json(type="item.completed", item=item(id=KEY, type="agent_message", text=TEXT))).otherwise(_json(type="item.completed", item=item(id=BEFORE, type="command_execution", aggregated_output=TEXT)))
+    start = _json(type="item.started", item=item(id=key_(), type="command_execution", command=text("curl http://h.org/", key_(), " | head")))
+    done = F.when(turn_() % 3 == 0, _json(type="item.completed", item=item(id=key_(), type="agent_message", text=text_()))).otherwise(_json(type="item.completed", item=item(id=before_(), type="command_execution", aggregated_output=text_())))
     return bodies(rows.where("conv_id % 5 = 4"), by_role(start, done, _json(type="thread.started", thread_id="t")))
 
 
@@ -163,7 +183,7 @@ def diff_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({"place": F.row_number().over(order), "was": first(F.lag("text").over(order))})
     lines = F.split("text", "\n")
     made = text("--- /dev/null\n+++ b/f.py\n@@ -0,0 +1,", F.size(lines).cast("string"), " @@\n", F.array_join(F.transform(lines, lambda x: F.concat(F.lit("+"), x)), "\n"))
-    changed = text("--- a/f.py\n+++ b/f.py\n@@ -1,1 +1,1 @@\n-", F.when(F.col("conv_id") % 3 == 0, "not there").otherwise(F.col("was")), "\n+", first(TEXT))
+    changed = text("--- a/f.py\n+++ b/f.py\n@@ -1,1 +1,1 @@\n-", F.when(F.col("conv_id") % 3 == 0, "not there").otherwise(F.col("was")), "\n+", first(text_()))
     diff = text("apply patch\npatch: completed\nf.py\ndiff --git a/f.py b/f.py\n", F.when(F.col("place") == 1, made).otherwise(changed))
     return bodies(rows, diff, "OpenAI Codex v1\n")
 
@@ -185,7 +205,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("L_P9_S6_failure_status", "SELECT conv_id::VARCHAR AS log_id, CASE WHEN max(turn) % 4 <> 3 THEN (500 + max(turn))::VARCHAR END AS status FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns are results with a status, every fourth without; the others are broken or no results."""
-    result = F.when(TURN % 4 == 3, _json(type="result")).otherwise(_json(type="result", api_error_status=(TURN + 500).cast("string")))
+    result = F.when(turn_() % 4 == 3, _json(type="result")).otherwise(_json(type="result", api_error_status=(turn_() + 500).cast("string")))
     return L.failure_status(bodies(turns(spark, sf_dir), by_role(F.lit('{"type": "result", broken'), result, _json(type="system"))))
 
 
