@@ -5,8 +5,12 @@ within pieces).  Each task packs blocks of its documents: pieces in descending
 length go to the sequence of lowest cost with room.  A piece that fits nowhere is
 cut to fill the roomiest sequence, and its rest takes its turn by length.
 
-A block has as many sequences as its tokens fill; what is left over becomes
-sequences of powers of two, which need no padding.  So every sequence is full.
+A block has as many sequences as its tokens fill.  What is left over of all tasks'
+blocks, less than a sequence each, meets once more, dealt by hash, and is packed alike.
+Only what a task of that second pass leaves over becomes sequences of powers of two.
+So no sequence is padded, and few are short: with a task or more of BLOCK_TOKENS tokens
+at most one token in five hundred is left over at first, and less than one in ten
+thousand in the end.
 Null text is empty and still has its end token.  Texts of any length are encoded
 whole; of documents of equal length the later one in the block is placed first.
 Which pieces and sequences there are depends on how the input is partitioned; all ids
@@ -18,18 +22,20 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import little_endian, text_slices
+from tessera.llm.common import little_endian, materialize, text_slices
 from tessera.llm.tokens import encoder
 
 #: Tokens that are packed together.
 BLOCK_TOKENS = 1 << 20
+#: Left-over tokens of a task of the second pass, while such tasks are few.
+REST_TOKENS = 1 << 16
 
 
 def pack(lengths: list[int], capacity: int = 2048, linear: float = 1.0, quadratic: float = 1 / 1024) -> list[tuple[int, int, int, int, int]]:
@@ -74,42 +80,76 @@ def pack(lengths: list[int], capacity: int = 2048, linear: float = 1.0, quadrati
     return out
 
 
-def _pack_rows(tokenizer: str, end: int, capacity: int):
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
 
-    def emit(ids: list, blobs: list[bytes], first: int, kind: pa.DataType) -> tuple[pa.RecordBatch, int]:
-        pieces = pack([len(b) // 4 for b in blobs], capacity)
-        doc, start, length, sequence, offset = np.array(pieces, np.int64).T
-        filled = np.bincount(sequence, length).astype(np.int64)
-        crc = [zlib.crc32(blobs[d][4 * a : 4 * (a + n)]) for d, a, n, _, _ in pieces]
-        whole = np.array([len(b) // 4 for b in blobs], np.int64)
-        columns = [pa.array([ids[d] for d in doc], kind), *map(pa.array, (start, length, np.array(crc, np.int64), whole[doc], first + sequence, offset, filled[sequence]))]
-        return pa.RecordBatch.from_arrays(columns, names), first + len(filled)
+
+def _placed(columns: dict, capacity: int, first: int, kind: pa.DataType, keep_rest: bool) -> tuple[pa.RecordBatch, int]:
+    """Packs stretches of documents (their ids as bytes ``blob``, their ``start``, their documents' ``doc_tokens``).
+
+    With ``keep_rest``, pieces in sequences below the capacity have their ids as bytes in ``rest``.
+    """
+    blobs = columns["blob"]
+    pieces = pack([len(b) // 4 for b in blobs], capacity)
+    doc, start, length, sequence, offset = np.array(pieces, np.int64).T
+    filled = np.bincount(sequence, length).astype(np.int64)
+    ids = [blobs[d][4 * a : 4 * (a + n)] for d, a, n, _, _ in pieces]
+    crc = np.array([zlib.crc32(b) for b in ids], np.int64)
+    begin, whole = (np.array(columns[c], np.int64)[doc] for c in ("start", "doc_tokens"))
+    out = [pa.array([columns["doc_id"][d] for d in doc], kind), *map(pa.array, (begin + start, length, crc, whole, first + sequence, offset, filled[sequence]))]
+    if keep_rest:
+        out.append(pa.array([b if filled[s] < capacity else None for b, s in zip(ids, sequence, strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(out, [*NAMES, *(["rest"] if keep_rest else [])]), first + len(filled)
+
+
+def _in_blocks(stretches: Callable, capacity: int, series: int, keep_rest: bool) -> Callable:
+    """A task's side: the stretches of its batches in blocks of BLOCK_TOKENS, packed; sequences are numbered by series, partition and turn."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        first, held, n, kind = series << 62 | TaskContext.get().partitionId() << 33, {}, 0, None
+        for kind, columns in stretches(batches):
+            for c, values in columns.items():
+                held.setdefault(c, []).extend(values)
+            n += sum(map(len, columns["blob"])) // 4
+            if n >= BLOCK_TOKENS:
+                out, first = _placed(held, capacity, first, kind, keep_rest)
+                yield out
+                held, n = {}, 0
+        if n:
+            yield _placed(held, capacity, first, kind, keep_rest)[0]
+
+    return run
+
+
+def _encoded(tokenizer: str, end: int) -> Callable:
+    """Whole documents, encoded."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.DataType, dict]]:
         enc, stop = encoder(tokenizer, True), little_endian(np.array([end]))
-        first, ids, blobs, held = TaskContext.get().partitionId() << 33, [], [], 0
         for batch in batches:
-            kind = batch.column("doc_id").type
             for cut in text_slices(batch, "text"):
-                new = [x + stop for x in enc.encode([t or "" for t in cut.column("text").to_pylist()])]
-                ids += cut.column("doc_id").to_pylist()
-                blobs += new
-                held += sum(map(len, new)) // 4
-                if held >= BLOCK_TOKENS:
-                    out, first = emit(ids, blobs, first, kind)
-                    yield out
-                    ids, blobs, held = [], [], 0
-        if blobs:
-            yield emit(ids, blobs, first, kind)[0]
+                blobs = [x + stop for x in enc.encode([t or "" for t in cut.column("text").to_pylist()])]
+                yield batch.column("doc_id").type, {"doc_id": cut.column("doc_id").to_pylist(), "blob": blobs, "start": [0] * len(blobs), "doc_tokens": [len(b) // 4 for b in blobs]}
 
     return run
 
 
+def _left_over(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.DataType, dict]]:
+    """Pieces that the first pass left over."""
+    for batch in batches:
+        yield batch.column("doc_id").type, {c: batch.column(d).to_pylist() for c, d in (("doc_id", "doc_id"), ("blob", "rest"), ("start", "start"), ("doc_tokens", "doc_tokens"))}
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 2048) -> DataFrame:
-    """All documents' tokens in sequences; one row per piece.  No row is shuffled."""
+    """All documents' tokens in sequences; one row per piece.  Only pieces that blocks leave over are shuffled."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint"
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pack_rows(tokenizer, end, capacity), schema)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pieces = materialize(texts.mapInArrow(_in_blocks(_encoded(tokenizer, end), capacity, 0, True), schema + ", rest binary"), "pieces")
+    rest = pieces.where("rest is not null").select("doc_id", "start", "length", "doc_tokens", "rest")
+    n = rest.agg(F.sum("length")).head()[0] or 0
+    # Few tokens meet in few tasks, so that little is left over again; many in tasks of a block each.
+    tasks = max(-(-n // BLOCK_TOKENS), min(64, -(-n // REST_TOKENS)), 1)
+    again = rest.repartition(tasks, "doc_id", "start").mapInArrow(_in_blocks(_left_over, capacity, 1, False), schema)
+    return pieces.where("rest is null").drop("rest").unionByName(again)

@@ -154,3 +154,34 @@ def test_packed_documents(docs):
     for r in rows:
         ids = encode(by_id[r.doc_id]) + [1]
         assert r.doc_tokens == len(ids) and r.ids_crc32 == crc(ids[r.start : r.start + r.length])
+
+
+def test_what_tasks_leave_over_is_packed_again(spark):
+    """Many small partitions: nearly all tokens are in full sequences, and each id is in one piece."""
+    encode = plain("word_bpe_49k.json")
+    docs = spark.range(0, 600, 1, 60).selectExpr("id as doc_id", "if(id = 7, null, concat(repeat(concat('some words ', id, ' '), cast(20 + id % 90 as int)), 'end')) as text")
+    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    by_id = {r.doc_id: encode(r.text or "") + [1] for r in docs.collect()}
+    own, filled = {}, {}
+    for r in rows:
+        own.setdefault(r.doc_id, []).append(r)
+        filled.setdefault(r.sequence_id, []).append(r)
+        assert r.ids_crc32 == crc(by_id[r.doc_id][r.start : r.start + r.length]) and r.doc_tokens == len(by_id[r.doc_id])
+    assert own.keys() == by_id.keys()
+    for i, pieces in own.items():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at
+            at += p.length
+        assert at == len(by_id[i])
+    for pieces in filled.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at == pieces[0].sequence_tokens and (at & (at - 1)) == 0
+    total = sum(len(v) for v in by_id.values())
+    full = sum(r.length for r in rows if r.sequence_tokens == 2048)
+    tail = [n for n in {s: p[0].sequence_tokens for s, p in filled.items()}.values() if n < 2048]
+    # All left-overs fit in few tasks of the second pass, and each leaves less than one sequence.
+    assert full >= 0.98 * total and sum(tail) < 2048 * max(1, -(-60 * 2048 // packing.REST_TOKENS))
