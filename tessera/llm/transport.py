@@ -81,9 +81,18 @@ def _clock(pts: int) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """The payload as a transport stream."""
-    out, counter = [_TABLES], 0
+    return indexed_mux(payload)[0]
+
+
+def indexed_mux(payload: bytes) -> tuple[bytes, list[int], list[int], list[int]]:
+    """The payload as a transport stream; its units' timestamps, its random-access units, and the bytes at which their packets begin."""
+    out, counter, stamps, access, places, size = [_TABLES], 0, [], [], [], len(_TABLES)
     for k, at in enumerate(range(0, len(payload), UNIT)):
         data, pts = payload[at : at + UNIT], k * TICKS & (1 << 33) - 1
+        stamps.append(pts)
+        if k % KEY == 0:
+            access.append(k)
+            places.append(size)
         unit = struct.pack(">HBBHBBB", 0, 1, PRIVATE_STREAM, len(data) + 8, 0x84, 0x80, 5) + _stamp(pts) + data
         adapt = b"\x50" + _clock(pts) if k % KEY == 0 else b""
         first = min(len(unit), PACKET - 4 - (len(adapt) + 1 if adapt else 0))
@@ -104,7 +113,8 @@ def mux(payload: bytes) -> bytes:
                 packets[row, 4 : 4 + space] = np.frombuffer(fill.ljust(space, b"\xff"), np.uint8)
             packets[row, 4 + space :] = piece
         out.append(packets.tobytes())
-    return b"".join(out)
+        size += n * PACKET
+    return b"".join(out), stamps, access, places
 
 
 @dataclass
@@ -119,6 +129,7 @@ class Demuxed:
     program: int
     pid: int
     stream_type: int
+    units: list[bytes]
 
 
 def _read_section(packets: np.ndarray, pids: np.ndarray, pid: int, table: int) -> bytes:
@@ -174,7 +185,7 @@ def demux(stream: bytes) -> Demuxed:
             x, y, z = struct.unpack_from(">BHH", body, a + 9)
             pts.append((x >> 1 & 7) << 30 | y >> 1 << 15 | z >> 1)
         parts.append(body[a + 9 + head : a + 6 + length])
-    return Demuxed(b"".join(parts), pts, np.flatnonzero(key[firsts]).tolist(), lost, len(packets), program, pid & 0x1FFF, stream_type)
+    return Demuxed(b"".join(parts), pts, np.flatnonzero(key[firsts]).tolist(), lost, len(packets), program, pid & 0x1FFF, stream_type, parts)
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -183,17 +194,22 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(1, -(-len(raw) // FRAME)) * FRAME, b" ")
 
 
+#: Columns that let a reader seek: timestamps of units, random-access units, and the bytes at which their packets begin.
+INDEX = ["pts", "random_access", "access_bytes"]
+
+
 def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (s for b in batches for s in text_slices(b, "text", 1 << 23)):
         made = [payload_of(t) for t in batch.column("text").to_pylist()]
-        media = pa.array([mux(p) for _, p in made], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in made], pa.int64()), media], ["doc_id", "n_bytes", "media"])
+        streams = [indexed_mux(p) for _, p in made]
+        lists = (pa.array([s[i] for s in streams], pa.list_(pa.int64())) for i in (1, 2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in made], pa.int64()), *lists, pa.array([s[0] for s in streams], pa.binary())], ["doc_id", "n_bytes", *INDEX, "media"])
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the media column."""
+    """doc_id, n_bytes, the columns of INDEX and the media column."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_store, f"doc_id {kind}, n_bytes bigint, media binary")
+    return docs.select("doc_id", "text").mapInArrow(_store, f"doc_id {kind}, n_bytes bigint, {', '.join(f'{c} array<bigint>' for c in INDEX)}, media binary")
 
 
 def _features(media: bytes) -> tuple:
@@ -214,7 +230,39 @@ def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_media(media: DataFrame) -> DataFrame:
     """Checksums, features, timestamps and random-access points of a media column."""
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(_read_back, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pts array<bigint>, random_access array<bigint>")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read_back, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pts array<bigint>, random_access array<bigint>")
+
+
+def read_range(media: DataFrame, begin: int, end: int) -> DataFrame:
+    """Of each stream the units with begin <= timestamp < end: doc_id, the first one's timestamp, how many, and their bytes.
+
+    The stored index tells which bytes those are: from the last random-access point that
+    isn't behind the first unit to the first one behind the last.  Only they and the tables
+    are cut out, in the JVM, and parsed.  A stream without such units gives no row.
+    """
+    kind = media.schema["doc_id"].dataType.simpleString()
+    wanted = F.filter("pts", lambda p: (p >= begin) & (p < end))
+    first, last = F.array_min(wanted), F.array_max(wanted)
+    # Timestamps ascend (33 bits last 26 hours); a random-access point's is that of its unit.
+    points = F.transform(F.arrays_zip("random_access", "access_bytes"), lambda a: F.struct(F.get("pts", a["random_access"].cast("int")).alias("pts"), a["access_bytes"].alias("at")))
+    low = F.array_max(F.transform(F.filter(points, lambda a: a["pts"] <= first), lambda a: a["at"]))
+    high = F.coalesce(F.array_min(F.transform(F.filter(points, lambda a: a["pts"] > last), lambda a: a["at"])), F.octet_length("media"))
+    tables = F.get("access_bytes", F.lit(0))
+    found = media.where(F.size(wanted) > 0)
+    piece = lambda at, n: F.substring("media", (at + 1).cast("int"), n.cast("int"))
+    cut = found.select("doc_id", F.concat(piece(F.lit(0), tables), piece(low, high - low)).alias("media"))
+
+    def units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for cell in batch.column("media"):
+                d = demux(cell.as_buffer().to_pybytes())
+                inside = [k for k, p in enumerate(d.pts) if begin <= p < end]
+                rows.append((d.pts[inside[0]], len(inside), b"".join(d.units[k] for k in inside)))
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "first_pts", "n_units", "data"])
+
+    return cut.mapInArrow(units, f"doc_id {kind}, first_pts bigint, n_units bigint, data binary")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:

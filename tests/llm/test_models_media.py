@@ -277,3 +277,29 @@ def test_a_document_on_many_rows_comes_to_the_sample_once(spark):
     labels = rows.select("doc_id").distinct().selectExpr("doc_id", "cast(doc_id % 2 as int) as label")
     texts, marks = sample_texts(rows, labels, 1000, 1 << 20)
     assert texts.count("the same") <= 1 and len(texts) == len(set(texts)) == len(marks) > 20
+
+
+def test_stored_index_lets_a_reader_seek(spark):
+    """The index columns are what the stream itself says, and units of a range of time are read from a cut of it."""
+    unit = transport.UNIT
+    rows = [(0, None), (1, "short"), (2, "".join(chr(97 + i % 26) for i in range(unit * 21 + 5))), (3, "z" * unit)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    stored = transport.store_media(docs)
+    for r in stored.collect():
+        d = transport.demux(bytes(r.media))
+        assert list(r.pts) == d.pts and list(r.random_access) == d.random_access
+        for k, at in zip(r.random_access, r.access_bytes, strict=True):
+            packet = bytes(r.media)[at : at + 188]
+            assert packet[0] == 0x47 and packet[1] & 0x40 and packet[3] & 0x20 and packet[5] & 0x40 and k % transport.KEY == 0
+    ticks = transport.TICKS
+    for begin, end in ((0, 1), (9 * ticks, 12 * ticks), (7 * ticks + 1, 17 * ticks), (0, 99 * ticks), (21 * ticks, 22 * ticks), (500 * ticks, 600 * ticks), (5, 5)):
+        got = {r.doc_id: (r.first_pts, r.n_units, bytes(r.data)) for r in transport.read_range(stored, begin, end).collect()}
+        want = {}
+        for i, text in rows:
+            data = transport.payload_of(text)[1]
+            units = [data[a : a + unit] for a in range(0, len(data), unit)]
+            inside = [k for k in range(len(units)) if begin <= k * ticks < end]
+            if inside:
+                want[i] = (inside[0] * ticks, len(inside), b"".join(units[k] for k in inside))
+        assert got == want
+    assert transport.read_range(transport.store_media(docs.where("false")), 0, 9).collect() == []
