@@ -12,7 +12,7 @@ task: sources are named by people, not by data; all else is spread over all task
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, ordered_sums
@@ -72,13 +72,25 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", F.coalesce("copies", F.lit(0)).alias("copies"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space as it stands."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n), "")
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, each as often as the mix begins a copy of it.
+    """The rows of ``docs``, each as often as the mix takes it: whole copies, then the words that it takes of a last one.
 
-    Rows that share a doc_id are each repeated as often as the most used of them.
+    Only where a source or the budget ends is a text cut, so the rows hold as many words as
+    ``take_mix`` says.  Other columns are unchanged, also ones that tell of the whole text.
+    Rows with the same doc_id, source and number of words are each taken as the most used of them.
     """
-    used = take_mix(docs, weights, most).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    used = materialize(used.withColumnRenamed("doc_id", "__id"), "used", compact=True)
+    used = take_mix(docs, weights, most).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("__taken"))
+    used = materialize(used.withColumnsRenamed({"doc_id": "__id", "source": "__from", "size": "__size"}), "used", compact=True)
     # Hashed on the narrow side, so that whole texts are shuffled once and never sorted.  The row is one column, whatever its own are called.
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__key")).join(used.hint("shuffle_hash"), F.col("__key").eqNullSafe(F.col("__id")))
-    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
+    keyed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__key"), F.col("source").alias("__origin"), word_count().alias("__words"))
+    rows = keyed.join(used.hint("shuffle_hash"), F.col("__key").eqNullSafe(F.col("__id")) & F.col("__origin").eqNullSafe(F.col("__from")) & (F.col("__words") == F.col("__size")))
+    times = F.sequence(F.lit(0), F.expr("cast((__taken - 1) div __size as int)"))
+    rows = rows.select("__row", "__size", "__taken", F.explode(times).alias("__copy"))
+    left = F.least("__size", F.col("__taken") - F.col("__copy") * F.col("__size")).cast("int")
+    text = F.when(left < F.col("__size"), first_words(F.col("__row.text"), left)).otherwise(F.col("__row.text"))
+    return rows.select(F.col("__row").withField("text", text).alias("__row")).select("__row.*")

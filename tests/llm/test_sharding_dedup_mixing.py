@@ -166,3 +166,25 @@ def test_mixing_keeps_columns_of_any_name(docs):
     named = docs.select("doc_id", "text", "source", F.lit(1).alias("__copies"), F.lit(2).alias("__id"), F.lit(3).alias("__copy"), F.lit(4).alias("__row"))
     rows = mixing.mixed_documents(named)
     assert rows.columns == named.columns and {tuple(r)[3:] for r in rows.collect()} == {(1, 2, 3, 4)}
+
+
+def test_mixed_rows_hold_the_words_that_the_mix_takes(spark):
+    import re
+
+    docs = spark.range(300).selectExpr("id as doc_id", "if(id < 7, 'a', if(id < 200, 'b', null)) as source", "concat('  ', repeat('w\\t x', cast(1 + id % 50 as int)), ' end ') as text", "'k' as other")
+    taken = {r.doc_id: r.taken for r in mixing.take_mix(docs).collect() if r.taken}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    held, whole = Counter(), 0
+    for r in mixing.mixed_documents(docs).collect():
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        held[r.doc_id] += words
+        whole += r.text == text[r.doc_id]
+        assert words and text[r.doc_id].startswith(r.text) and r.other == "k"
+    assert held == taken and whole > 100
+
+
+def test_first_words_keep_white_space(spark):
+    long = "lorem \n" * 20000
+    rows = [(" a  b\n\nc d ", 3), ("a", 1), (long, 15000)]
+    got = [r[0] for r in spark.createDataFrame(rows, "text string, n int").select(mixing.first_words(F.col("text"), F.col("n"))).collect()]
+    assert got == [" a  b\n\nc", "a", ("lorem \n" * 15000)[:-2]]
