@@ -8,9 +8,8 @@ cut to fill the roomiest sequence, and its rest takes its turn by length.
 A block has as many sequences as its tokens fill.  What is left over of all tasks'
 blocks, less than a sequence each, meets once more, dealt by hash, and is packed alike.
 Only what a task of that second pass leaves over becomes sequences of powers of two.
-So no sequence is padded, and few are short: with a task or more of BLOCK_TOKENS tokens
-at most one token in five hundred is left over at first, and less than one in ten
-thousand in the end.
+So no sequence is padded, and few are short: where tasks have BLOCK_TOKENS tokens or more,
+a block leaves over less than a sequence, and so does each task of the second pass.
 Null text is empty and still has its end token.  Texts of any length are encoded
 whole; of documents of equal length the later one in the block is placed first.
 Which pieces and sequences there are depends on how the input is partitioned; all ids
