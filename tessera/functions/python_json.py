@@ -54,6 +54,14 @@ def python_float(x: Column) -> Column:
     know the nearest 17 digits of all numbers from 2**63 on: about one in 100,000 of those
     taken at random then ends in a neighbouring digit.
     """
+    # What the JVM writes in up to 15 digits without an exponent, and with no needless zero, is the shortest there is:
+    # decimals of so few digits are doubles of their own.
+    short = x.cast("string")
+    plain = (F.length(short) <= 16) & ~F.contains(short, F.lit("E")) & (~F.endswith(short, F.lit("0")) | F.endswith(short, F.lit(".0")))
+    return F.when(plain, short).otherwise(_any_float(x))
+
+
+def _any_float(x: Column) -> Column:
     # The JVM rounds whole numbers of this size to digits that aren't the nearest.
     text = F.when((F.abs(x) >= 2.0**53) & (F.abs(x) < 2.0**63), F.concat(F.abs(x).try_cast("bigint").cast("string"), F.lit(".0"))).otherwise(F.abs(x).cast("string"))
     mantissa = F.substring_index(text, "E", 1)
@@ -81,11 +89,14 @@ def python_float(x: Column) -> Column:
 
 def python_string(text: Column, ascii_only: bool = False) -> Column:
     """A string in quotes, escaped as Python does; with ``ascii_only`` other characters as ``\\uXXXX``, surrogates in pairs."""
-    marked = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for code in range(32):
+    usual = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for code in (9, 10):
+        usual = F.replace(usual, F.lit(chr(code)), F.lit(_NAMED[code]))
+    marked = usual
+    for code in (c for c in range(32) if c not in (9, 10)):
         marked = F.replace(marked, F.lit(chr(code)), F.lit(_NAMED.get(code, f"\\u{code:04x}")))
-    # Few texts hold any of these.
-    out = F.when(text.rlike('["\\\\\\x00-\\x1f]'), marked).otherwise(text)
+    # Few texts hold any of these, and fewer a control character that isn't a tab or a line feed.
+    out = F.when(~text.rlike('["\\\\\\x00-\\x1f]'), text).when(~text.rlike("[\\x00-\\x08\\x0b-\\x1f]"), usual).otherwise(marked)
     if ascii_only:
         unit = lambda c: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(c)), 4, "0"))
 
@@ -108,20 +119,22 @@ def python_json(value: Column, kind: T.DataType, sort_keys: bool = False, indent
     down = lambda v, t: python_json(v, t, sort_keys, indent, ascii_only, _level + 1)
     glue = ", " if indent is None else ",\n" + " " * indent * (_level + 1)
     begin, end = ("", "") if indent is None else ("\n" + " " * indent * (_level + 1), "\n" + " " * indent * _level)
-    wrap = lambda a, items, b: F.when(F.size(items) == 0, a + b).otherwise(F.concat(F.lit(a + begin), F.array_join(items, glue), F.lit(end + b)))
+    # Whether there are any is asked of the value: what is written stands once, so that nesting doesn't double the work at each level.
+    wrap = lambda a, of, items, b: F.when(F.size(of) == 0, a + b).otherwise(F.concat(F.lit(a + begin), F.array_join(items, glue), F.lit(end + b)))
     pair = lambda name, shown: F.concat(python_string(name, ascii_only), F.lit(": "), shown)
     if isinstance(kind, T.StructType):
         fields = sorted(kind.fields, key=lambda f: f.name) if sort_keys else kind.fields
-        shown = wrap("{", F.array(*[pair(F.lit(f.name), down(value[f.name], f.dataType)) for f in fields]), "}") if fields else F.lit("{}")
+        named = [x for f in fields for x in (F.lit(glue), pair(F.lit(f.name), down(value[f.name], f.dataType)))][1:]
+        shown = F.concat(F.lit("{" + begin), *named, F.lit(end + "}")) if fields else F.lit("{}")
     elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
         entries = F.map_entries(value)
         if sort_keys:
             keys = F.array_sort(F.map_keys(value))
-            shown = wrap("{", F.transform(keys, lambda k: pair(k, down(value[k], kind.valueType))), "}")
+            shown = wrap("{", keys, F.transform(keys, lambda k: pair(k, down(value[k], kind.valueType))), "}")
         else:
-            shown = wrap("{", F.transform(entries, lambda e: pair(e["key"], down(e["value"], kind.valueType))), "}")
+            shown = wrap("{", value, F.transform(entries, lambda e: pair(e["key"], down(e["value"], kind.valueType))), "}")
     elif isinstance(kind, T.ArrayType):
-        shown = wrap("[", F.transform(value, lambda e: down(e, kind.elementType)), "]")
+        shown = wrap("[", value, F.transform(value, lambda e: down(e, kind.elementType)), "]")
     elif isinstance(kind, T.StringType):
         shown = python_string(value, ascii_only)
     elif isinstance(kind, T.BooleanType | T.IntegralType):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import strip
 from tessera.operators.corpus import WORK
+from tessera.sources import packs
 
 TRAJECTORY = "task_id string, reward double, reason string, report_md string, claude_log string, gemini_log string, codex_log string"
 KNOWN_REASONS = ("judge_unavailable", "no_decision", "no_computation", "timeout")
@@ -18,9 +19,12 @@ BLOCKS = "array<struct<type: string, text: string, text_level: int>>"
 
 
 def whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """path, size, body: one row a file, found at any depth."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    """path, size, body: one row a file, found at any depth; also of files in a pack."""
+    if packed := packs.split(path):
+        files = packs.read(spark, *packed, glob)
+    else:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     return files.select("path", F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
 
 
@@ -114,8 +118,8 @@ def pattern_sets(spark: SparkSession, folders: dict[str, str], schema: str) -> D
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, in whatever store it names."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """Whether a path exists, in whatever store it names; a path in a pack does if the pack does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path((packs.split(path) or (path,))[0])
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 

@@ -11,14 +11,14 @@ from pyspark.sql import SparkSession
 _MADE: list[tuple[SparkSession, str]] = []
 
 
-def folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession, suffix: str = "") -> str:
     """A fresh path below the session's ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    path = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}{suffix}"
     _MADE.append((spark, path))
     return path
 
