@@ -23,7 +23,7 @@ from tessera.operators.documents import share
 from tessera.sources.scratch import folder
 
 #: Least bytes of a span and width of the windows by which it is searched, shortest first.
-TIERS = ((1, 1), (2, 2), (3, 3), (4, 4), (20, 12), (64, 24))
+TIERS = ((1, 1), (2, 2), (3, 3), (4, 4), (20, 12), (64, 24), (120, 64))
 #: Bytes of text that numpy works on at once; spans that a text is searched for in one row.
 SLICE, SPANS_A_ROW = 1 << 20, 1000
 
@@ -113,6 +113,8 @@ def _confirmed(candidates: DataFrame, spans: DataFrame, sources: DataFrame) -> D
     lists = pairs.groupBy("id", "deal").agg(F.collect_list(F.struct("span_id", "span")).alias("spans"))
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("spans") - 1) / SPANS_A_ROW).cast("int")), lambda i: F.slice("spans", i * SPANS_A_ROW + 1, SPANS_A_ROW))
     lists = lists.select("id", F.explode(pieces).alias("spans"))
+    # Written first: few of them are broadcast by their size, and the texts stay where they are.
+    lists = _kept(lists)
     held = F.transform(F.filter("spans", lambda s: F.contains(F.col("text"), s["span"])), lambda s: s["span_id"])
     return lists.join(sources, "id").select("id", F.explode(held).alias("span_id"))
 
@@ -136,7 +138,7 @@ def occurrences(spans: DataFrame, sources: DataFrame) -> DataFrame:
     for least, width, own in _tiers(spans):
         probes = _index(own.select(F.col("span_id").alias("id"), F.col("span").alias("text")), width, least).withColumnRenamed("id", "span_id")
         index = _kept(_index(sources, width, least).join(probes.select("key").distinct(), "key", "left_semi"))
-        chosen = _rarest(_kept(probes), index)
+        chosen = _rarest(_kept(probes), index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")))
         parts.append(_confirmed(chosen.join(index, "key").select("span_id", "id").distinct(), own, sources.select("id", "text")).distinct())
     if not parts:
         return spans.join(sources.select("id"), F.lit(False)).select("span_id", "id")
@@ -152,33 +154,42 @@ def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return occurrences(spans, docs.select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), F.col("span_id").alias("item_id"))
 
 
-def _rarest(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """(span_id, key): of each span's keys that of the fewest sources; a span with a key that no source has is nowhere."""
-    counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    known = probes.join(counts, "key", "left")
-    return known.groupBy("span_id").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0").select("span_id", "key")
+def _rarest(probes: DataFrame, ends: DataFrame) -> DataFrame:
+    """(span_id, key, a, b): of each span's keys that of the fewest sources, with its least and greatest; a span with a key that no source has is nowhere."""
+    n = F.coalesce("n", F.lit(0))
+    known = probes.join(ends, "key", "left").groupBy("span_id").agg(F.min(F.struct(n.alias("n"), "key", "a", "b")).alias("k"))
+    return known.where("k.n > 0").select("span_id", "k.key", "k.a", "k.b")
 
 
-def first_and_last(spans: DataFrame, sources: DataFrame) -> DataFrame:
+def first_and_last(spans: DataFrame, sources: DataFrame, both: bool = True) -> DataFrame:
     """J10, T1.8: for each span (span_id, span) that stands anywhere, two ids of sources that hold it, equal if only one does.
 
     A key's least and greatest source are tried first; only spans that these don't settle
     are looked for in all sources of their key, so that a span which most sources hold
-    costs two tests.  The two ids needn't be the least and greatest of all.
+    costs two tests.  The two ids needn't be the least and greatest of all; without
+    ``both`` a span is settled by the first that holds it.  With columns ``low`` and ``high``
+    (the ids of the sources that a span was taken from) a span that can stand in no other
+    isn't looked up, nor returned.
     """
     texts, parts = sources.select("id", "text"), []
+    owned = "low" in spans.columns
     for least, width, own in _tiers(spans):
         probes = _kept(_index(own.select(F.col("span_id").alias("id"), F.col("span").alias("text")), width, least).withColumnRenamed("id", "span_id"))
         index = _kept(_index(sources, width, least).join(probes.select("key").distinct(), "key", "left_semi"))
-        chosen = _kept(_rarest(probes, index))
-        ends = index.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-        tried = _kept(chosen.join(ends, "key").select("span_id", "key", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"), (F.col("a") == F.col("b")).alias("only")))
-        hits = _confirmed(tried.select("span_id", "id"), own, texts).groupBy("span_id").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        hits = _kept(hits)
-        settled = hits.where("first <> last").select("span_id").unionByName(tried.where("only").select("span_id"))
-        open_ = chosen.join(settled, "span_id", "left_anti")
-        rest = _confirmed(open_.join(index, "key").select("span_id", "id").distinct(), own, texts).groupBy("span_id").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        parts.append(hits.join(settled, "span_id", "left_semi").unionByName(rest))
+        ends = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+        chosen = _rarest(probes, ends)
+        if owned:
+            chosen = chosen.join(own.select("span_id", "low", "high"), "span_id").where("not (low <=> a and low <=> b and high <=> a)")
+        chosen = _kept(chosen.select("span_id", "key", "a", "b"))
+        tried = chosen.select("span_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
+        pair = lambda pairs: _confirmed(pairs, own.select("span_id", "span"), texts).groupBy("span_id").agg(F.min("id").alias("first"), F.max("id").alias("last"))  # noqa: E731, B023
+        hits = _kept(pair(tried))
+        settled = hits.where("first <> last" if both else "true").select("span_id").unionByName(chosen.where("a = b").select("span_id"))
+        open_ = _kept(chosen.join(settled, "span_id", "left_anti").select("span_id", "key"))
+        if open_.isEmpty():
+            parts.append(hits)
+        else:
+            parts.append(hits.join(settled, "span_id", "left_semi").unionByName(pair(open_.join(index, "key").select("span_id", "id").distinct())))
     if not parts:
         return spans.join(sources.select("id"), F.lit(False)).select("span_id", F.col("id").alias("first"), F.col("id").alias("last"))
     out = parts[0]
@@ -188,10 +199,13 @@ def first_and_last(spans: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _looked_up(pieces: DataFrame, sources: DataFrame, others: bool) -> DataFrame:
-    """Pieces (doc_id, span, ...) with ``found``: whether any source, or any but the document itself, holds the span."""
-    spans = _kept(pieces.select("span").distinct().select(F.sha2("span", 256).alias("span_id"), "span"))
-    places = first_and_last(spans, sources)
-    rows = pieces.withColumn("span_id", F.sha2("span", 256)).join(places, "span_id", "left")
+    """Pieces (doc_id, span) as (doc_id, size, found): whether any source, or any but the document itself, holds the span."""
+    # 128 bits of a hash stand for a span wherever its text isn't needed.
+    named = pieces.withColumn("span_id", F.unhex(F.left(F.sha2("span", 256), F.lit(32))))
+    owners = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")] if others else []
+    spans = _kept(named.groupBy("span_id").agg(F.first("span").alias("span"), *owners) if others else named.select("span_id", "span").distinct())
+    places = first_and_last(spans, sources, both=others)
+    rows = named.select("doc_id", "span_id", F.length("span").alias("size")).join(places, "span_id", "left")
     own = F.col("doc_id")
     found = F.col("first").isNotNull() & ((F.col("first") != own) | (F.col("last") != own)) if others else F.col("first").isNotNull()
     return rows.withColumn("found", F.coalesce(found, F.lit(False)))
@@ -211,7 +225,7 @@ def copied_share(docs: DataFrame, sources: DataFrame, others: bool = False) -> D
     source.  Null text has a share of 0.
     """
     lines = docs.select("doc_id", F.explode(F.transform(F.split("text", LINE_BREAK), strip)).alias("span")).where(F.length("span") >= 120)
-    sums = _looked_up(lines, sources, others).where("found").groupBy("doc_id").agg(F.sum(F.length("span")).alias("copied"))
+    sums = _looked_up(lines, sources, others).where("found").groupBy("doc_id").agg(F.sum("size").alias("copied"))
     whole = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
     return whole.join(sums, "doc_id", "left").select("doc_id", share(F.coalesce("copied", F.lit(0)), F.col("chars")).alias("copied"))
 
