@@ -80,3 +80,36 @@ def test_quotes_and_copied_lines(spark):
     assert own[1] > 0.5 and own[2] == 1.0 and re.search("é", line)
     alone = {r.doc_id: r.copied for r in N.copied_share(rows, spark.createDataFrame([("s", line)], "id string, text string")).collect()}
     assert alone[1] > 0.5 and alone[3] > 0.4 and alone[5] == 0.0
+
+
+def _pairs_confirmed(monkeypatch, run):
+    """How many pairs of a span and a text were compared."""
+    from tessera.operators import spans as N
+
+    seen, confirmed = [], N._confirmed
+    monkeypatch.setattr(N, "_confirmed", lambda pairs, *more: seen.append(pairs.count()) or confirmed(pairs, *more))
+    return run(), sum(seen)
+
+
+def test_lines_of_one_document_alone_are_not_compared(spark, monkeypatch):
+    import random
+
+    from tessera.operators import spans as N
+
+    rng = random.Random(7)
+    line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(150)).strip() + "x" * 10
+    shared = line()
+    rows = [(i, "\n".join([line(), line(), *([shared] if i < 2 else []), *([f"in it {shared} too"] if i == 2 else [])])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, pairs = _pairs_confirmed(monkeypatch, lambda: {r.doc_id: r.copied for r in N.copied_share(docs, docs.withColumnRenamed("doc_id", "id"), others=True).collect()})
+    assert [i for i in range(20) if got[i] > 0] == [0, 1] and pairs < 20
+
+
+def test_a_quote_is_settled_by_one_source(spark, monkeypatch):
+    from tessera.operators import spans as N
+
+    said = "the same passage stands in every one of them"
+    sources = spark.createDataFrame([(i, f"{i} {said}" if i != 9 else said[:-1]) for i in range(10)], "id long, text string")
+    docs = spark.createDataFrame([(1, f"`{said}` and `{said.upper()}`")], "doc_id long, text string")
+    got, pairs = _pairs_confirmed(monkeypatch, lambda: N.traceable_quotes(docs, sources).first())
+    assert (got.quotes, got.traceable) == (2, 1) and pairs <= 2
