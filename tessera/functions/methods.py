@@ -40,15 +40,17 @@ def clamped_method(wfc: Column, rho: Column, smearing: Column, degauss: Column,
     k = F.transform(F.coalesce(F.when(F.size(kpts) > 0, kpts), F.array(F.lit(4), F.lit(4), F.lit(1))), lambda x: F.greatest(F.lit(1), F.least(F.lit(16), x)))
     given = F.coalesce(kpts, F.array().cast("array<int>"))
     number = lambda c: python_float(c.cast("double"))
-    inner = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ", ")
+    inner = lambda c: F.array_join(c.cast("array<string>"), ", ")
     several = lambda c: F.concat(F.lit("("), inner(c), F.when(F.size(c) == 1, ",").otherwise(""), F.lit(")"))
     tell = lambda name, was, to: F.concat(F.lit(f"{name} "), was, F.lit("->"), F.lit(to) if isinstance(to, str) else to)
-    notes = non_null(
-        F.when(wfc < 30, tell("ecutwfc", number(wfc), "30")).when(wfc > 90, tell("ecutwfc", number(wfc), "90 (was unphysically high)")),
-        F.when(r != rho, tell("ecutrho", number(rho), number(r))),
-        F.when(smeared & (degauss > 0.05), tell("degauss", number(degauss), "0.02")).when(smeared & (degauss < 0.002), tell("degauss", number(degauss), "0.01")),
-        F.when(k != given, tell("kpts", several(given), several(k))),
-    )
+    # Flattened, not filtered: a filter's function would have all notes worked out without compiled code.
+    noted = lambda c, n: F.when(c, F.array(n)).otherwise(F.array().cast("array<string>"))
+    notes = F.flatten(F.array(
+        noted((wfc < 30) | (wfc > 90), tell("ecutwfc", number(wfc), F.when(wfc < 30, "30").otherwise("90 (was unphysically high)"))),
+        noted(r != rho, tell("ecutrho", number(rho), number(r))),
+        noted(smeared & ((degauss > 0.05) | (degauss < 0.002)), tell("degauss", number(degauss), F.when(degauss > 0.05, "0.02").otherwise("0.01"))),
+        noted(k != given, tell("kpts", several(given), several(k))),
+    ))
     return F.struct(w.alias("ecutwfc"), r.alias("ecutrho"), d.alias("degauss"), k.alias("kpts"), notes.alias("notes"))
 
 

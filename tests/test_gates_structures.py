@@ -103,3 +103,11 @@ def test_thoughts_name_what_was_seen(spark):
     rows = chain(1, *good) + chain(2, ("it oscillates", "nothing", 400), ("on", "ok", 0)) + chain(3, ("restart it", "x", 400), ("on", "y", 0)) + chain(4, ("converged", "x", 400), ("on", "y", 0)) + chain(5, ("", "x", 400), ("on", "y", 0)) + chain(6, ("a", "x", 0), ("b", "y", 0)) + chain(7, ("a", None, 400), ("restart now", None, 0))
     got = {r.trajectory_id: r.ok for r in T.thought_lint(spark.createDataFrame(rows, "trajectory_id int, index int, thought string, text string, exit_status int")).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, 7: True}
+
+
+def test_notes_of_clamps_are_compiled(spark):
+    """A filter's function would have every note of every row worked out without compiled code."""
+    rows = spark.range(3).selectExpr("id * 60.0D as w", "400.0D as r", "'mv' as s", "0.1D as d", "array(cast(id * 10 as int)) as k")
+    notes = rows.select(M.clamped_method(F.col("w"), F.col("r"), F.col("s"), F.col("d"), F.col("k"))["notes"].alias("n"))
+    assert "filter(array" not in notes._jdf.queryExecution().optimizedPlan().toString()
+    assert [len(r.n) for r in notes.collect()] == [4, 2, 4]
