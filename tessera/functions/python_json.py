@@ -129,7 +129,7 @@ def python_json(value: Column, kind: T.DataType, sort_keys: bool = False, indent
     elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
         entries = F.map_entries(value)
         if sort_keys:
-            keys = F.array_sort(F.map_keys(value))
+            keys = F.sort_array(F.map_keys(value))
             shown = wrap("{", keys, F.transform(keys, lambda k: pair(k, down(value[k], kind.valueType))), "}")
         else:
             shown = wrap("{", value, F.transform(entries, lambda e: pair(e["key"], down(e["value"], kind.valueType))), "}")

@@ -186,7 +186,7 @@ def chat_messages(trajectories: DataFrame, steps: DataFrame) -> DataFrame:
     prefix = F.when(failed, F.rtrim(F.concat(F.lit("Observation: [error exit_status="), F.col("exit_status").cast("string"), F.lit(" "), F.coalesce("exit_message", F.lit("")), F.lit("]")))).otherwise("Observation:")
     saw = F.when(F.coalesce("text", F.lit("")) != "", F.col("text")).otherwise(F.trim(prefix))
     pair = F.array(F.struct(F.lit("assistant").alias("role"), act.alias("content")), F.struct(F.lit("tool").alias("role"), saw.alias("content")))
-    turns = steps.withColumn("pair", pair).withColumn("good", step_succeeded(F.col("exit_status"), F.col("state"))).groupBy("trajectory_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("index", "pair"))), lambda x: x["pair"])).alias("turns"), F.max_by("good", "index").alias("good"), F.max_by("exit_message", "index").alias("last_message"))
+    turns = steps.withColumn("pair", pair).withColumn("good", step_succeeded(F.col("exit_status"), F.col("state"))).groupBy("trajectory_id").agg(F.flatten(F.sort_array(F.collect_list(F.struct("index", "pair")))["pair"]).alias("turns"), F.max_by("good", "index").alias("good"), F.max_by("exit_message", "index").alias("last_message"))
     d = trajectories.join(turns, "trajectory_id", "left")
     answer = F.when(F.col("turns").isNull(), "done").when(F.col("good"), "Completed successfully.").otherwise(F.concat(F.lit("Run did not converge cleanly: "), F.coalesce("last_message", F.lit("see observations")), F.lit(".")))
     say = lambda role, c: F.array(F.struct(F.lit(role).alias("role"), c.alias("content")))

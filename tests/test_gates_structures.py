@@ -111,3 +111,12 @@ def test_notes_of_clamps_are_compiled(spark):
     notes = rows.select(M.clamped_method(F.col("w"), F.col("r"), F.col("s"), F.col("d"), F.col("k"))["notes"].alias("n"))
     assert "filter(array" not in notes._jdf.queryExecution().optimizedPlan().toString()
     assert [len(r.n) for r in notes.collect()] == [4, 2, 4]
+
+
+def test_turns_of_chats_are_sorted_by_compiled_code(spark):
+    """array_sort calls a function for each comparison."""
+    steps = spark.createDataFrame([(1, i, 0, "finished", "n", None, {"b": "2", "a": "1"}, f"s{i}", None) for i in (10, 2, 1)], "trajectory_id int, index int, exit_status int, state string, name string, thought string, params map<string,string>, text string, exit_message string")
+    chat = T.chat_messages(spark.createDataFrame([(1, "sys", "goal")], "trajectory_id int, system_prompt string, goal string"), steps)
+    assert "array_sort" not in chat._jdf.queryExecution().optimizedPlan().toString()
+    said = [m.content for m in chat.first().messages]
+    assert said[3:8:2] == ["s1", "s2", "s10"] and said[2] == 'Action: n({"a": "1", "b": "2"})'
