@@ -3,29 +3,37 @@
 Of the windows of a text those are kept that have the least hash among neighbours
 (winnowing): any span of ``least`` bytes or more keeps, wherever it stands, at least the
 window that is least among its own first ones.  So a span is looked up by one hash, the
-rarest of those that it keeps, and what is found is confirmed in the text itself.  Texts
-stay rows: a text is shuffled once, to the spans that may stand in it.
+rarest of those that it keeps, and what is found is confirmed in the text itself.  Of a
+text's windows only those leave their task that pass a bit filter of the hashes looked up.
+Short spans are confirmed in the bytes around the window; for others texts stay rows: a text
+is shuffled once, to the spans that may stand in it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tessera.functions.scalars import LINE_BREAK, strip
 from tessera.operators.documents import share
 from tessera.sources.scratch import folder
 
 #: Least bytes of a span and width of the windows by which it is searched, shortest first.
-TIERS = ((1, 1), (2, 2), (3, 3), (4, 4), (20, 12), (64, 24), (120, 64))
+TIERS = ((1, 1), (2, 2), (3, 3), (4, 4), (20, 17), (40, 34), (120, 64))
 #: Bytes of text that numpy works on at once; spans that a text is searched for in one row.
 SLICE, SPANS_A_ROW = 1 << 20, 1000
+#: Sources by which it is estimated how common a key is (results don't depend on it), and keys of a span that are looked up.
+SAMPLE, FEW = 1 << 12, 1
+#: log2 of the bits of the greatest filter (8 MB), and least bytes of spans that are confirmed around their window.
+MOST_BITS, AROUND = 26, 20
 
 _BASE, _ODD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
@@ -59,11 +67,11 @@ def _sliding(values: np.ndarray, n: int, best) -> np.ndarray:
     return best(values[: len(values) - (n - size)], values[n - size :]) if size < n else values
 
 
-def winnowed(data: np.ndarray, offsets: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of concatenated texts the distinct (text, hash) of the windows that are kept."""
+def windows(data: np.ndarray, offsets: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of concatenated texts the windows that are kept: text, place in the data, and hash."""
     k = least - width + 1
     if len(data) < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = np.maximum(_rolling(data, width), np.uint64(1))
     lowest = _sliding(hashes, k, np.minimum)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -72,33 +80,77 @@ def winnowed(data: np.ndarray, offsets: np.ndarray, width: int, least: int) -> t
     # A window is kept if a group of k that holds it has it as its least.
     padded = np.concatenate([np.zeros(k - 1, np.uint64), lowest, np.zeros(k - 1, np.uint64)])
     kept = np.flatnonzero((_sliding(padded, k, np.maximum) == hashes))
-    pairs = np.unique(np.stack([owner[kept].astype(np.uint64), hashes[kept]], axis=1), axis=0)
-    return pairs[:, 0].astype(np.int64), pairs[:, 1]
+    return owner[kept], kept, hashes[kept]
 
 
-def _keys(width: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            cuts, held = [0], 0
-            for i, n in enumerate(sizes.tolist()):
-                if held and held + n > SLICE:
-                    cuts.append(i)
-                    held = 0
-                held += n
-            for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
-                own = batch.slice(a, b - a)
-                raw = b"".join(x or b"" for x in own.column("text").cast(pa.binary()).to_pylist())
-                at, hashes = winnowed(np.frombuffer(raw, np.uint8), np.append(0, np.cumsum(sizes[a:b])), width, least)
-                yield pa.RecordBatch.from_arrays([own.column("id").take(pa.array(at)), pa.array(hashes.view(np.int64))], ["id", "key"])
-
-    return run
+def winnowed(data: np.ndarray, offsets: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of concatenated texts the distinct (text, hash) of the windows that are kept."""
+    return _distinct(*windows(data, offsets, width, least)[::2])
+
+
+def _distinct(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]))[: len(owner)]
+    return owner[new], hashes[new]
+
+
+def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's two bits in a filter: its high and its low ones."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in a filter, a power of two of 64-bit words."""
+    bits, at = (len(words) - 1).bit_length() + 6, np.arange(len(keys))
+    for slot in (0, 1):
+        own = _slots(keys[at], bits)[slot]
+        at = at[(words[own >> 6] >> (own & 63).astype(np.uint64)) & np.uint64(1) == 1]
+    return at
+
+
+def _filter(keys: DataFrame):
+    """A broadcast filter of the column ``key``: 16 bits a key, at most 2^MOST_BITS bits whatever their number."""
+    rows = keys.select("key").distinct()
+    bits = max(12, min(MOST_BITS, math.ceil(math.log2(max(1, rows.count()) * 16))))
+    slots = F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))
+    set_ = rows.select(F.explode(slots).alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    found = set_.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(words)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], width: int, least: int, held=None, reach: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(id, key) of rows (id, text), of keys that ``held`` may hold; with ``reach`` also so many bytes on both sides of each window."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts, size = [0], 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > SLICE:
+                cuts.append(i)
+                size = 0
+            size += n
+        for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
+            own = batch.slice(a, b - a)
+            raw, offsets = b"".join(x or b"" for x in own.column("text").cast(pa.binary()).to_pylist()), np.append(0, np.cumsum(sizes[a:b]))
+            at, place, hashes = windows(np.frombuffer(raw, np.uint8), offsets, width, least)
+            if held is not None:
+                may = _may_hold(held.value, hashes)
+                at, place, hashes = at[may], place[may], hashes[may]
+            around = []
+            if reach is None:
+                at, hashes = _distinct(at, hashes)
+            else:
+                lows, highs = np.maximum(offsets[at], place - reach), np.minimum(offsets[at + 1], place + width + reach)
+                around = [pa.array([raw[u:v] for u, v in zip(lows.tolist(), highs.tolist(), strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([own.column("id").take(pa.array(at)), pa.array(hashes.view(np.int64)), *around], ["id", "key", "around"][: 2 + len(around)])
 
 
-def _index(rows: DataFrame, width: int, least: int) -> DataFrame:
-    """(id, key) of rows (id, text)."""
-    schema = StructType([rows.schema["id"], StructField("key", LongType())])
-    return rows.where(F.octet_length("text") >= least).select("id", "text").mapInArrow(_keys(width, least), schema)
+def _index(rows: DataFrame, width: int, least: int, held=None, reach: int | None = None) -> DataFrame:
+    """(id, key) of rows (id, text), with the bytes around the window if ``reach`` is given."""
+    schema = StructType([rows.schema["id"], StructField("key", LongType()), *([StructField("around", BinaryType())] if reach is not None else [])])
+    return rows.where(F.octet_length("text") >= least).select("id", "text").mapInArrow(partial(_keys, width=width, least=least, held=held, reach=reach), schema)
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -119,13 +171,13 @@ def _confirmed(candidates: DataFrame, spans: DataFrame, sources: DataFrame) -> D
     return lists.join(sources, "id").select("id", F.explode(held).alias("span_id"))
 
 
-def _tiers(spans: DataFrame) -> list[tuple[int, int, DataFrame]]:
-    """The spans of each tier that has any."""
+def _tiers(spans: DataFrame) -> list[tuple[int, int, int | None, DataFrame]]:
+    """The spans of each tier that has any, with the least bytes, the width, and the bytes that none reaches."""
     rows = spans.withColumn("size", F.octet_length("span")).where("size > 0")
     tops = [*(t[0] for t in TIERS[1:]), None]
     there = {r[0] for r in rows.select(F.coalesce(*(F.when(F.col("size") < t, i) for i, t in enumerate(tops) if t), F.lit(len(TIERS) - 1))).distinct().collect()}
     inside = lambda i: (F.col("size") >= TIERS[i][0]) & (F.col("size") < tops[i] if tops[i] else F.lit(True))
-    return [(least, width, rows.where(inside(i)).drop("size")) for i, (least, width) in enumerate(TIERS) if i in there]
+    return [(least, width, tops[i], rows.where(inside(i)).drop("size")) for i, (least, width) in enumerate(TIERS) if i in there]
 
 
 def occurrences(spans: DataFrame, sources: DataFrame) -> DataFrame:
@@ -135,10 +187,10 @@ def occurrences(spans: DataFrame, sources: DataFrame) -> DataFrame:
     source.  The result is as large as what there is to find.
     """
     parts = []
-    for least, width, own in _tiers(spans):
-        probes = _index(own.select(F.col("span_id").alias("id"), F.col("span").alias("text")), width, least).withColumnRenamed("id", "span_id")
-        index = _kept(_index(sources, width, least).join(probes.select("key").distinct(), "key", "left_semi"))
-        chosen = _rarest(_kept(probes), index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")))
+    for least, width, _, own in _tiers(spans):
+        probes = _kept(_index(own.select(F.col("span_id").alias("id"), F.col("span").alias("text")), width, least).withColumnRenamed("id", "span_id"))
+        index = _kept(_index(sources, width, least, _filter(probes)).join(probes.select("key").distinct(), "key", "left_semi"))
+        chosen = _rarest(probes, index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")))
         parts.append(_confirmed(chosen.join(index, "key").select("span_id", "id").distinct(), own, sources.select("id", "text")).distinct())
     if not parts:
         return spans.join(sources.select("id"), F.lit(False)).select("span_id", "id")
@@ -161,6 +213,14 @@ def _rarest(probes: DataFrame, ends: DataFrame) -> DataFrame:
     return known.where("k.n > 0").select("span_id", "k.key", "k.a", "k.b")
 
 
+def _least_common(probes: DataFrame, sources: DataFrame, width: int, least: int) -> DataFrame:
+    """Of each span's keys the FEW that the fewest of a sample of sources have."""
+    every = max(1, sources.count() // SAMPLE)
+    common = _index(sources.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), width, least).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = probes.join(common, "key", "left").groupBy("span_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))).alias("keys"))
+    return ranked.select("span_id", F.explode(F.slice("keys", 1, FEW)).alias("k")).select("span_id", "k.key")
+
+
 def first_and_last(spans: DataFrame, sources: DataFrame, both: bool = True) -> DataFrame:
     """J10, T1.8: for each span (span_id, span) that stands anywhere, two ids of sources that hold it, equal if only one does.
 
@@ -173,23 +233,40 @@ def first_and_last(spans: DataFrame, sources: DataFrame, both: bool = True) -> D
     """
     texts, parts = sources.select("id", "text"), []
     owned = "low" in spans.columns
-    for least, width, own in _tiers(spans):
+    for least, width, top, own in _tiers(spans):
         probes = _kept(_index(own.select(F.col("span_id").alias("id"), F.col("span").alias("text")), width, least).withColumnRenamed("id", "span_id"))
-        index = _kept(_index(sources, width, least).join(probes.select("key").distinct(), "key", "left_semi"))
-        ends = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+        probes = _kept(_least_common(probes, texts, width, least))
+        near = top is not None and least >= AROUND
+        if near:
+            # Places whose surroundings are equal are one row, so copies of a passage cost no more than one.
+            index = _index(texts, width, least, _filter(probes), top - 1 - width).groupBy("key", "around").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+            index = _kept(index.join(probes.select("key").distinct(), "key", "left_semi"))
+            ends = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
+        else:
+            index = _kept(_index(texts, width, least, _filter(probes)).join(probes.select("key").distinct(), "key", "left_semi"))
+            ends = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
         chosen = _rarest(probes, ends)
         if owned:
             chosen = chosen.join(own.select("span_id", "low", "high"), "span_id").where("not (low <=> a and low <=> b and high <=> a)")
         chosen = _kept(chosen.select("span_id", "key", "a", "b"))
-        tried = chosen.select("span_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
-        pair = lambda pairs: _confirmed(pairs, own.select("span_id", "span"), texts).groupBy("span_id").agg(F.min("id").alias("first"), F.max("id").alias("last"))  # noqa: E731, B023
-        hits = _kept(pair(tried))
-        settled = hits.where("first <> last" if both else "true").select("span_id").unionByName(chosen.where("a = b").select("span_id"))
+        if near:
+            first = index.groupBy("key").agg(F.array_distinct(F.array(F.min(F.struct("a", "around", "b")), F.max(F.struct("a", "around", "b")))).alias("tried"))
+            tried = first.select("key", F.explode("tried").alias("t")).select("key", "t.a", "t.around", "t.b")
+            pair = lambda rows, places: _around(rows, places, own.select("span_id", "span"))  # noqa: E731, B023
+            hits = _kept(pair(chosen.select("span_id", "key"), tried))
+            # All places of a key were tried if there were two at most.
+            alone = chosen.join(ends.where("n <= 2").select("key"), "key", "left_semi").select("span_id")
+        else:
+            pair = lambda rows, places: _confirmed(rows.join(places, "key").select("span_id", "id").distinct(), own.select("span_id", "span"), texts).groupBy("span_id").agg(F.min("id").alias("first"), F.max("id").alias("last"))  # noqa: E731, B023
+            ones = chosen.select("span_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
+            hits = _kept(_confirmed(ones, own.select("span_id", "span"), texts).groupBy("span_id").agg(F.min("id").alias("first"), F.max("id").alias("last")))
+            alone = chosen.where("a = b").select("span_id")
+        settled = hits.where("first <> last" if both else "true").select("span_id").unionByName(alone)
         open_ = _kept(chosen.join(settled, "span_id", "left_anti").select("span_id", "key"))
         if open_.isEmpty():
             parts.append(hits)
         else:
-            parts.append(hits.join(settled, "span_id", "left_semi").unionByName(pair(open_.join(index, "key").select("span_id", "id").distinct())))
+            parts.append(hits.join(settled, "span_id", "left_semi").unionByName(pair(open_, index)))
     if not parts:
         return spans.join(sources.select("id"), F.lit(False)).select("span_id", F.col("id").alias("first"), F.col("id").alias("last"))
     out = parts[0]
@@ -198,6 +275,12 @@ def first_and_last(spans: DataFrame, sources: DataFrame, both: bool = True) -> D
     return out
 
 
+def _around(rows: DataFrame, places: DataFrame, spans: DataFrame) -> DataFrame:
+    """(span_id, first, last) of rows (span_id, key) whose span stands around places (key, around, a, b) of their key."""
+    found = rows.join(spans, "span_id").join(places, "key").where(F.contains("around", F.col("span").cast("binary")))
+    return found.groupBy("span_id").agg(F.min("a").alias("first"), F.max("b").alias("last"))
+
+
 def _looked_up(pieces: DataFrame, sources: DataFrame, others: bool) -> DataFrame:
     """Pieces (doc_id, span) as (doc_id, size, found): whether any source, or any but the document itself, holds the span."""
     # 128 bits of a hash stand for a span wherever its text isn't needed.

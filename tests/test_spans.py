@@ -113,3 +113,57 @@ def test_a_quote_is_settled_by_one_source(spark, monkeypatch):
     docs = spark.createDataFrame([(1, f"`{said}` and `{said.upper()}`")], "doc_id long, text string")
     got, pairs = _pairs_confirmed(monkeypatch, lambda: N.traceable_quotes(docs, sources).first())
     assert (got.quotes, got.traceable) == (2, 1) and pairs <= 2
+
+
+def test_windows_that_no_span_has_are_not_shuffled(spark, monkeypatch):
+    """Without broadcasts: neither texts nor their windows go anywhere but where short spans may stand."""
+    monkeypatch.setattr(N, "SAMPLE", 4, raising=False)
+    rnd = random.Random(21)
+    texts = [" ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(300)) for _ in range(400)]
+    sources = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(4).cache()
+    spans = spark.createDataFrame([(i, texts[i][50 : 50 + n]) for i, n in enumerate((20, 39, 40, 119))] + [(9, "nowhere said in any text")], "span_id bigint, span string")
+    store, made = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList
+    stages = lambda: store.stageList(made(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), made())
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        every = stages()
+        return {every.apply(i).stageId(): every.apply(i).shuffleWriteBytes() for i in range(every.size())}
+
+    sources.count()
+    before = shuffled()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.span_id: (r.first, r.last) for r in N.first_and_last(spans, sources, both=False).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert found == {i: (i, i) for i in range(4)}
+    assert sum(n for i, n in shuffled().items() if i not in before) < sum(map(len, texts)) / 2
+
+
+def test_spans_are_found_around_their_windows(spark, monkeypatch):
+    """At both ends of texts and of all sizes, one beside another, in letters of several bytes; against all texts."""
+    rnd = random.Random(22)
+    draw = lambda n: "".join(rnd.choice("abä漢 ") for _ in range(n))
+    common = draw(90)
+    texts = [draw(rnd.randint(0, 120)) + common * (i % 3) + draw(rnd.randint(0, 120)) for i in range(60)] + ["", common]
+    spans = {t[a : a + n] for t in texts[::4] for n in (10, 14, 20, 30, 40, 60, 80, 119) for a in (0, max(0, len(t) - n), len(t) // 2)} | {draw(25), common, common[5:40], common[3:]}
+    spans = sorted(s for s in spans if s)
+    held = {s: [i for i, t in enumerate(texts) if s in t] for s in spans}
+    rows = spark.createDataFrame(list(enumerate(spans)), "span_id bigint, span string")
+    sources = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(3)
+    for sample in (1, 1 << 12):
+        monkeypatch.setattr(N, "SAMPLE", sample)
+        for both in (True, False):
+            found = {spans[r.span_id]: (r.first, r.last) for r in N.first_and_last(rows, sources, both=both).collect()}
+            assert set(found) == {s for s in spans if held[s]}
+            for s, (first, last) in found.items():
+                assert first in held[s] and last in held[s] and (not both or (first != last) == (len(held[s]) > 1))
+
+
+def test_a_filter_holds_all_its_keys(spark):
+    keys = np.random.default_rng(3).integers(0, 2**64, 5000, dtype=np.uint64)
+    words = N._filter(spark.createDataFrame([(int(k),) for k in keys[:2000].view(np.int64)], "key bigint")).value
+    assert set(range(2000)) <= set(N._may_hold(words, keys).tolist()) and len(N._may_hold(words, keys)) < 2300
+    assert len(N._may_hold(N._filter(spark.createDataFrame([], "key bigint")).value, keys)) == 0
