@@ -3,21 +3,27 @@
 1. Texts are cut into chunks of CHUNK bytes, each stored once: its tokens as places in the
    list of its distinct words' 64-bit hashes.  A document's last token is its end, which is
    also what stands before its first word.
-2. Chunks send the n-grams of their training documents, sorted and Golomb-coded, to owners
-   by a prefix of the hash.  Owners add up counts.  For words they answer every chunk with
-   exact counts, from which the unsmoothed base score follows.
+2. Chunks send their n-grams, sorted and Golomb-coded, to owners by a prefix of the hash,
+   all orders at once.  Owners add up the counts of training documents.  For words they
+   answer every chunk with exact counts, from which the unsmoothed base score follows.
 3. A count c is quantised to level 1 + floor(log(c) / log(BASE)), and an n-gram enters its
    owner's block of the filter once for each level up to its own, so that frequent ones
    cost a few entries more.  Keys have as many bits as keep two n-grams apart (16 more
    than the number of tokens), blocks BITS bits an entry.
-4. Workers find an n-gram's level by repeated membership probes, level by level until one
+4. An n-gram's level is found by repeated membership probes, level by level until one
    misses; a miss is certain, a false hit has a probability of about two in a hundred.
    A level stands for the mean of its counts.  Each order is smoothed by the one below:
    ``(count + STRENGTH * lower) / (context's count + STRENGTH)``, words by one added to each.
 
-The filter is broadcast while it has at most MOST_BYTES.  Beyond that it stays in blocks
-with its owners: chunks send each owner the n-grams that they look for, owners probe and
-answer.  Both ways give the same levels, and nothing that grows passes through the driver.
+The filter is broadcast if it can't have more than MOST_BYTES (a level is no greater than
+its count, so entries are no more than tokens).  Otherwise its blocks stay with their
+owners, which probe for every n-gram that a chunk sent and answer with its level: each
+n-gram goes to its owner and back once, and nothing that grows passes through the driver.
+Both ways give the same levels.
+
+A message is what one chunk sends one owner.  There are chunks times owners of them, which
+grows by more than the input, so no code runs for a single one: all messages of a chunk
+are coded, and all of an owner decoded, in one piece.
 
 Null text counts as empty: its only token is the end.  A null doc_id counts as held out.
 Repeated rows are separate documents, counted and scored each.  A text of any length is
@@ -31,19 +37,20 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import hash_words, materialize, mix64, text_bytes, text_slices
-from tessera.llm.exact_dedup import _shift, golomb_decode, golomb_encode
+from tessera.llm.exact_dedup import _shift
 
 #: Longest n-gram; bytes of text of a chunk; entries that an owner is meant to hold; bytes that are broadcast at most.
-ORDER, CHUNK, OWNER_HOLDS, MOST_BYTES = 2, 4 << 20, 1 << 19, 128 << 20
+ORDER, CHUNK, OWNER_HOLDS, MOST_BYTES = 2, 4 << 20, 1 << 21, 128 << 20
 #: The filter's bits an entry and probes; the counts' base; how many observations the lower order weighs.
 BITS, PROBES, BASE, STRENGTH = 8, 5, 1.5, 500.0
 
 END = np.uint64(0xD1B54A32D192ED03)
-_PAIR, _LEVEL, _LOW = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F, np.uint64(0xFFFFFFFF)
+_PAIR, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF)
 #: Large rows: groups and pages are closed as soon as they are full.
 _LAYOUT = {"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
@@ -60,6 +67,8 @@ def _thresholds() -> np.ndarray:
 
 
 THRESHOLDS = _thresholds()
+#: What sets a key's entries apart, by level.
+_LEVELS = np.arange(len(THRESHOLDS) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 #: What a level's counts are on average; level 0 is no count.
 VALUES = np.append(0.0, np.append((THRESHOLDS[:-1] + THRESHOLDS[1:] - 1) / 2, float(THRESHOLDS[-1])))
 
@@ -69,6 +78,89 @@ def quantised(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(THRESHOLDS, counts, "right").astype(np.uint8)
 
 
+# --------------------------------------------------------------------------
+# Codes
+# --------------------------------------------------------------------------
+
+#: The columns of a code of keys.
+_CODES = ("unary", "rest", "low")
+#: A count of MANY or more stands in ``many``, with eight bytes.
+MANY = 255
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bytes cut into values of these sizes."""
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _flat(values: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and where each value begins."""
+    values = values.cast(pa.large_binary())
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0]
+
+
+def encode_runs(keys: np.ndarray, sizes: np.ndarray, shift: int) -> dict[str, pa.Array]:
+    """Golomb-Rice codes of many runs of sorted unsigned integers, none empty, a value for each run.
+
+    ``unary`` are the gaps' quotients, ``rest`` and ``low`` their ``shift`` low bits: what is
+    more than whole bytes, and those.
+    """
+    begins, whole, rest = np.cumsum(sizes) - sizes, shift // 8, shift % 8
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    gaps[begins] = keys[begins]
+    ends = np.cumsum((gaps >> np.uint64(shift)).astype(np.int64) + 1)
+    before = np.append(0, ends[begins[1:] - 1])
+    unary_sizes = (np.append(before[1:], ends[-1:]) - before + 7) // 8
+    unary = np.zeros(8 * int(unary_sizes.sum()), np.uint8)
+    unary[ends - 1 + np.repeat(8 * (np.cumsum(unary_sizes) - unary_sizes) - before, sizes)] = 1
+    rest_sizes = (sizes * rest + 7) // 8
+    bits = np.zeros(8 * int(rest_sizes.sum()), np.uint8)
+    if rest:
+        at, over = np.arange(len(keys)) * rest + np.repeat(8 * (np.cumsum(rest_sizes) - rest_sizes) - begins * rest, sizes), ((gaps >> np.uint64(8 * whole)) & np.uint64((1 << rest) - 1)).astype(np.uint8)
+        for b in range(rest):
+            bits[at + b] = (over >> (rest - 1 - b)) & 1
+    low = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :whole]
+    return {"unary": _binary(np.packbits(unary), unary_sizes), "rest": _binary(np.packbits(bits), rest_sizes), "low": _binary(low, sizes * whole)}
+
+
+def decode_runs(columns: pa.Table | pa.RecordBatch, sizes: np.ndarray, shift: int) -> np.ndarray:
+    """All integers of ``encode_runs``, run by run."""
+    begins, whole, rest, n = np.cumsum(sizes) - sizes, shift // 8, shift % 8, int(sizes.sum())
+    data, starts = _flat(columns["unary"])
+    ends = np.flatnonzero(np.unpackbits(data))
+    before = np.append(-1, ends[:-1])
+    before[begins] = 8 * starts - 1
+    gaps = (ends - before - 1).astype(np.uint64) << np.uint64(shift)
+    if rest:
+        data, starts = _flat(columns["rest"])
+        bits, at = np.unpackbits(data), np.arange(n) * rest + np.repeat(8 * starts - begins * rest, sizes)
+        over = np.zeros(n, np.uint8)
+        for b in range(rest):
+            over |= bits[at + b] << (rest - 1 - b)
+        gaps |= over.astype(np.uint64) << np.uint64(8 * whole)
+    low = np.zeros((n, 8), np.uint8)
+    low[:, :whole] = _flat(columns["low"])[0].reshape(n, whole)
+    gaps |= low.view("<u8").reshape(-1)
+    keys = np.cumsum(gaps, dtype=np.uint64)
+    return keys - np.repeat(keys[begins] - gaps[begins], sizes)
+
+
+def encode_counts(counts: np.ndarray, sizes: np.ndarray) -> dict[str, pa.Array]:
+    """A byte a count, and those of MANY or more apart."""
+    many = counts >= MANY
+    return {"counts": _binary(np.minimum(counts, MANY).astype(np.uint8), sizes), "many": _binary(counts[many].astype("<i8").view(np.uint8), 8 * np.add.reduceat(many, np.cumsum(sizes) - sizes, dtype=np.int64))}
+
+
+def decode_counts(columns: pa.Table | pa.RecordBatch) -> np.ndarray:
+    counts = _flat(columns["counts"])[0].astype(np.int64)
+    counts[counts == MANY] = np.ascontiguousarray(_flat(columns["many"])[0]).view("<i8")
+    return counts
+
+
 # --------------------------------------------------------------------------
 # Chunks
 # --------------------------------------------------------------------------
@@ -97,7 +189,7 @@ def unpack_places(blob: bytes, n: int) -> np.ndarray:
 
 def _cut(kind: pa.DataType):
     """Documents to chunks.  Places are by frequency, as small numbers pack well; words are stored sorted by hash, with the place of each."""
-    schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(kind)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("tokens", pa.binary()), ("words", pa.binary()), ("ranks", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(kind)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("tokens", pa.binary()), ("ranks", pa.binary()), *((code, pa.binary()) for code in _CODES)])
 
     def chunk(at: int, held: list[tuple]) -> pa.RecordBatch:
         ids, marks = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
@@ -106,8 +198,9 @@ def _cut(kind: pa.DataType):
         order = np.argsort(-counts, kind="stable")
         ranks = np.empty(len(order), np.uint32)
         ranks[order] = np.arange(len(order), dtype=np.uint32)
-        row = [[at], [ids.to_pylist()], [marks.to_pylist()], [sizes.tolist()], [len(tokens)], [len(words)], [pack_places(ranks[places])], [golomb_encode(words, _shift(len(words), 64))], [pack_places(ranks)]]
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+        row = [[at], [ids.to_pylist()], [marks.to_pylist()], [sizes.tolist()], [len(tokens)], [len(words)], [pack_places(ranks[places])], [pack_places(ranks)]]
+        code = encode_runs(words, np.array([len(words)]), _shift(len(words), 64))
+        return pa.RecordBatch.from_arrays([*(pa.array(v, f.type) for v, f in zip(row, schema, strict=False)), *(code[c] for c in _CODES)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -130,7 +223,7 @@ class Chunk:
 
     def __init__(self, row: dict):
         self.at, self.sizes = row["chunk"], np.array(row["sizes"], np.int64)
-        self.words = golomb_decode(row["words"], row["n_words"], _shift(row["n_words"], 64))
+        self.words = decode_runs(pa.table({c: [row[c]] for c in _CODES}), np.array([row["n_words"]]), _shift(row["n_words"], 64))
         self.where = np.empty(row["n_words"], np.int64)  # by place, the word's position in order of hashes
         self.where[unpack_places(row["ranks"], row["n_words"])] = np.arange(row["n_words"])
         self.tokens = self.where[unpack_places(row["tokens"], row["n_tokens"])]
@@ -153,86 +246,91 @@ class Chunk:
 # The exchange
 # --------------------------------------------------------------------------
 
-_MESSAGE = "order int, owner int, chunk bigint, n bigint, keys binary, counts binary"
-_MERGED = "order int, owner int, chunk bigint, n bigint, inserts bigint, tokens bigint, keys binary, levels binary, counts binary"
-
+_KINDS = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
 
-def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-    fields = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
-    return pa.RecordBatch.from_pylist(rows, fields)
+_MESSAGE = "order int, owner int, chunk bigint, n bigint, unary binary, rest binary, low binary, counts binary, many binary"
+_MERGED = "order int, owner int, chunk bigint, inserts bigint, tokens bigint, distinct bigint, data binary, counts binary, many binary, levels binary"
+_ANSWER = ["order", "owner", "counts", "many", "levels"]
 
 
-def _by_owner(keys: np.ndarray, key_bits: int, owner_bits: int) -> Iterator[tuple[int, slice, bytes]]:
-    """Sorted distinct keys cut by owner: the owner, where its keys stand, and their code."""
-    if not len(keys):
-        return
-    span = key_bits - owner_bits
-    owners = keys >> np.uint64(span)
-    cuts = np.flatnonzero(np.diff(owners.astype(np.int64), prepend=-1))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
-        yield int(owners[a]), slice(a, b), golomb_encode(keys[a:b] & np.uint64((1 << span) - 1), _shift(b - a, span))
+def _batch(columns: dict, schema: str) -> pa.RecordBatch:
+    fields = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if f.name not in columns else columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in fields], schema=fields)
 
 
-def _decoded(keys: bytes, n: int, owner: int, key_bits: int, owner_bits: int) -> np.ndarray:
-    span = key_bits - owner_bits
-    return golomb_decode(keys, n, _shift(n, span)) | np.uint64(owner << span)
+class Layout:
+    """Bits of keys, as they are sent and in the filter, of owners' numbers and of Rice codes, by order."""
 
+    def __init__(self, orders: int, key_bits: int, tokens: int, words: int, chunks: int):
+        self.orders, self.key_bits = range(1, orders + 1), key_bits
+        self.owner_bits = [_owner_bits(words if n == 1 else tokens, key_bits) for n in self.orders]
+        self.wide = [64 if n == 1 else key_bits for n in self.orders]  # base scores are of whole words
+        self.span = [w - o for w, o in zip(self.wide, self.owner_bits, strict=True)]
+        self.shift = [_shift((words if n == 1 else tokens) // (max(1, chunks) << self.owner_bits[n - 1]), self.span[n - 1]) for n in self.orders]
 
-def _plain(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as hold the greatest."""
-    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))).newbyteorder("<")).tobytes()
 
+def _send(layout: Layout, asked: bool):
+    """Chunk side: counts of learned n-grams.
 
-def _counts(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{len(blob) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
-
-
-def _send(order: int, key_bits: int, owner_bits: int, ask: bool = False):
-    """Chunk side: the counts of learned n-grams; ``ask`` sends every n-gram of the chunk, without counts.
-
-    Words are sent with those of held-out documents, counted 0, as all want an answer.
+    Words are sent with those of held-out documents, counted 0, as all want an answer; so
+    are all n-grams if levels are ``asked``.
     """
 
+    def message(order: int, chunk: Chunk, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """A row for each owner of sorted distinct keys."""
+        span = layout.span[order - 1]
+        owners = (keys >> np.uint64(span)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(owners, prepend=-1))
+        sizes = np.diff(cuts, append=len(keys))
+        columns = {"order": np.full(len(cuts), order), "owner": owners[cuts], "chunk": np.full(len(cuts), chunk.at), "n": sizes}
+        columns |= encode_runs(keys & np.uint64((1 << span) - 1), sizes, layout.shift[order - 1]) | encode_counts(counts, sizes)
+        return _batch(columns, _MESSAGE)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
             chunk = Chunk(row)
-            if order == 1:
-                # Words have few bits less than 64 only where the filter is asked.
-                keys, counts = chunk.words >> np.uint64(64 - key_bits), np.bincount(chunk.tokens[chunk.learned], minlength=len(chunk.words))
-                keys, first = np.unique(keys, return_index=True)
-                counts = counts[first]
-            else:
-                *_, (_, grams, reach) = chunk.grams(order)
-                keys, counts = np.unique(grams[reach if ask else reach & chunk.learned] >> np.uint64(64 - key_bits), return_counts=True)
-            rows = [{"order": order, "owner": o, "chunk": chunk.at, "n": own.stop - own.start, "keys": code, "counts": b"" if ask else _plain(counts[own])} for o, own, code in _by_owner(keys, key_bits, owner_bits)]
-            yield _batch(rows, _MESSAGE)
+            yield message(1, chunk, chunk.words, np.bincount(chunk.tokens[chunk.learned], minlength=len(chunk.words)))
+            for n, grams, reach in chunk.grams(layout.orders[-1]):
+                shift = np.uint64(64 - layout.key_bits)
+                keys, counts = np.unique(grams[reach & chunk.learned] >> shift, return_counts=True)
+                if asked:
+                    learned, found = keys, counts
+                    keys = np.unique(grams[reach] >> shift, return_counts=True)[0]  # sorts; without counts numpy hashes, which is far slower here
+                    counts = np.zeros(len(keys), np.int64)
+                    counts[np.searchsorted(keys, learned)] = found
+                if len(keys):
+                    yield message(n, chunk, keys, counts)
 
     return run
 
 
-def _merge(key_bits: int, owner_bits: int, answer: bool, filter_bits: int):
-    """Owner side: one row of all keys' levels; with ``answer`` also each chunk's keys' counts over all chunks.
+def _merge(layout: Layout, bits: int, asked: bool):
+    """Owner side: one row of its block, or what it holds, and each chunk's answers: counts over all chunks of its words, levels of its n-grams if ``asked``.
 
-    The filter's keys are the first ``filter_bits`` of a key.
+    The filter's keys are the first ``key_bits`` of a key.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        parts = table.to_pylist()
-        owner, order = parts[0]["owner"], parts[0]["order"]
-        keys = [_decoded(p["keys"], p["n"], owner, key_bits, owner_bits) for p in parts]
-        known, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, np.concatenate([_counts(p["counts"], p["n"]) for p in parts])).astype(np.int64)
-        seen = total > 0
-        short, at = np.unique(known[seen] >> np.uint64(key_bits - filter_bits), return_inverse=True)
-        levels = quantised(np.bincount(at, total[seen], len(short)).astype(np.int64)) if len(short) else np.zeros(0, np.uint8)
-        span = filter_bits - owner_bits
-        code = golomb_encode(short & np.uint64((1 << span) - 1), _shift(len(short), span)) if len(short) else b""
-        rows = [{"order": order, "owner": owner, "n": len(short), "inserts": int(levels.sum(dtype=np.int64)), "tokens": int(total.sum()), "distinct": int(seen.sum()), "keys": code, "levels": levels.tobytes()}]
-        if answer:
-            ends = np.cumsum([len(k) for k in keys])
-            rows += [{"order": order, "owner": owner, "chunk": p["chunk"], "n": p["n"], "counts": _plain(total[where[e - p["n"] : e]])} for p, e in zip(parts, ends.tolist(), strict=True)]
-        return pa.Table.from_batches([_batch(rows, _MERGED + ", distinct bigint")])
+        order, owner = table["order"][0].as_py(), table["owner"][0].as_py()
+        span, sizes = layout.span[order - 1], table["n"].to_numpy().astype(np.int64)
+        known, where = np.unique(decode_runs(table, sizes, layout.shift[order - 1]) | np.uint64(owner << span), return_inverse=True)
+        total = np.bincount(where, decode_counts(table)).astype(np.int64)
+        seen, (short, at) = total > 0, np.unique(known >> np.uint64(layout.wide[order - 1] - layout.key_bits), return_inverse=True)
+        levels = quantised(np.bincount(at, total).astype(np.int64))
+        data = block(short[levels > 0], levels[levels > 0], bits)
+        held = {"order": [order], "owner": [owner], "inserts": [int(levels.sum(dtype=np.int64))], "tokens": [int(total.sum())], "distinct": [int(seen.sum())], "data": [None if asked else data]}
+        found = [_batch(held, _MERGED)]
+        if asked or order == 1:
+            none = _binary(np.zeros(0, np.uint8), np.zeros(len(sizes), np.int64))
+            answers = {"order": np.full(len(sizes), order), "owner": np.full(len(sizes), owner), "chunk": table["chunk"].combine_chunks(), "counts": none, "many": none, "levels": none}
+            if order == 1:
+                answers |= encode_counts(total[where], sizes)
+            if asked:
+                probed = probe_levels(np.frombuffer(data, np.uint8), np.full(len(short), 8 * len(data), np.uint64), np.zeros(len(short), np.uint64), short, levels)
+                answers["levels"] = _binary(probed[at[where]], sizes)
+            found.append(_batch(answers, _MERGED))
+        return pa.Table.from_batches(found)
 
     return run
 
@@ -242,8 +340,8 @@ def _merge(key_bits: int, owner_bits: int, answer: bool, filter_bits: int):
 # --------------------------------------------------------------------------
 
 
-def _halves(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    mixed = mix64(keys * _PAIR + np.uint64(level * _LEVEL % (1 << 64)))
+def _halves(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mixed = mix64(keys * _PAIR + _LEVELS[level])
     return mixed >> np.uint64(32), (mixed & _LOW) | np.uint64(1)
 
 
@@ -267,17 +365,21 @@ def block(keys: np.ndarray, levels: np.ndarray, bits: int = BITS) -> bytes:
     return np.packbits(marks, bitorder="little").tobytes()
 
 
-def probe_levels(data: np.ndarray, bits: np.ndarray, begin: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Each key's level in the block of ``bits`` bits that begins at bit ``begin`` (both by key)."""
-    levels, alive, level = np.zeros(len(keys), np.uint8), np.flatnonzero(bits), 1
-    while len(alive) and level <= len(THRESHOLDS):
-        a, b = _halves(keys[alive], level)
+def probe_levels(data: np.ndarray, bits: np.ndarray, begin: np.ndarray, keys: np.ndarray, held: np.ndarray | None = None) -> np.ndarray:
+    """Each key's level in the block of ``bits`` bits that begins at bit ``begin`` (both by key).
+
+    ``held`` are levels up to which keys are known to be in the block, so that these hit.
+    """
+    levels = np.zeros(len(keys), np.uint8) if held is None else held.copy()
+    alive = np.flatnonzero((bits > 0) & (levels < len(THRESHOLDS)))
+    while len(alive):
+        a, b = _halves(keys[alive], levels[alive] + 1)
         for probe in range(PROBES):
             at = _place(a, b, probe, bits[alive]) + begin[alive]
             hit = (data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             alive, a, b = alive[hit], a[hit], b[hit]
-        levels[alive] = level
-        level += 1
+        levels[alive] += 1
+        alive = alive[levels[alive] < len(THRESHOLDS)]
     return levels
 
 
@@ -299,79 +401,57 @@ class LevelFilter:
         return probe_levels(self.data, self.bits[order - 1][owner], self.begin[order - 1][owner], keys)
 
 
-def _build(key_bits: int, owner_bits: list[int], bits: int):
-    """The block of each merged row."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in (r for b in batches for r in b.to_pylist()):
-            keys = _decoded(p["keys"], p["n"], p["owner"], key_bits, owner_bits[p["order"] - 1])
-            yield _batch([{"order": p["order"], "owner": p["owner"], "data": block(keys, np.frombuffer(p["levels"], np.uint8), bits)}], "order int, owner int, data binary")
-
-    return run
-
-
-def _reply(key_bits: int, owner_bits: list[int], bits: int):
-    """Owner side of a filter too large to be broadcast: probes its block for each chunk that asks."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = table.to_pylist()
-        order, owner = parts[0]["order"], parts[0]["owner"]
-        width, data, rows = owner_bits[order - 1], np.zeros(0, np.uint8), []
-        for p in parts:
-            if p["chunk"] is None and p["n"]:
-                data = np.frombuffer(block(_decoded(p["keys"], p["n"], owner, key_bits, width), np.frombuffer(p["levels"], np.uint8), bits), np.uint8)
-        for p in parts:
-            if p["chunk"] is not None:
-                whole = np.full(p["n"], 8 * len(data), np.uint64)
-                levels = probe_levels(data, whole, np.zeros(p["n"], np.uint64), _decoded(p["keys"], p["n"], owner, key_bits, width))
-                rows.append({"chunk": p["chunk"], "order": order, "owner": owner, "n": p["n"], "counts": levels.tobytes()})
-        return pa.Table.from_batches([_batch(rows, "chunk bigint, order int, owner int, n bigint, counts binary")])
-
-    return run
-
-
 # --------------------------------------------------------------------------
 # Scores
 # --------------------------------------------------------------------------
 
 
-def token_probabilities(chunk: Chunk, order: int, strength: float, total: int, look: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The smoothed probability of every token; ``look`` gives the levels of n-grams of an order, ``total`` is the number of tokens and of distinct ones."""
-    counts = VALUES[look(1, chunk.words)][chunk.tokens]
+def token_probabilities(chunk: Chunk, order: int, strength: float, total: int, look: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The smoothed probability of every token; ``look`` gives the levels of n-grams of an order at some of those in reach, ``total`` is the number of tokens and of distinct ones."""
+    counts = VALUES[look(1, chunk.words, np.arange(len(chunk.words)))][chunk.tokens]
     p = (counts + 1) / (total + 1)
     for n, grams, reach in chunk.grams(order):
         context = np.roll(counts, 1)  # of the words before; what is out of reach isn't used
         at = np.flatnonzero(reach & (context > 0) & (counts > 0))
-        own, (distinct, where) = np.zeros(len(p)), np.unique(grams[at], return_inverse=True)
-        own[at] = np.minimum(VALUES[look(n, distinct)][where], np.minimum(context[at], counts[at]))
+        own = np.zeros(len(p))
+        own[at] = np.minimum(VALUES[look(n, grams, at)], np.minimum(context[at], counts[at]))
         p = np.where(reach, (own + strength * p) / (context + strength), p)
         counts = own
     return p
 
 
-def _score(order: int, strength: float, tokens: int, distinct: int, key_bits: int, held, kind: pa.DataType):
-    """Scores of a chunk's documents; ``held`` is the broadcast filter, or None where the owners' replies stand in the row."""
+def _score(layout: Layout, strength: float, tokens: int, distinct: int, held, kind: pa.DataType):
+    """Scores of a chunk's documents; ``held`` is the broadcast filter, or None where the owners' levels stand in the row."""
     schema = pa.schema([("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    cut = np.uint64(64 - layout.key_bits)
+
+    def broadcast(n: int, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+        found, where = np.unique(grams[at], return_inverse=True)
+        return held.value.levels(n, found)[where]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            chunk, n = Chunk(row), len(row["sizes"])
-            found: dict[int, list[np.ndarray]] = {}
-            for part in sorted(row["answers"], key=lambda a: (a["order"], a["owner"])):
-                found.setdefault(part["order"], []).append(_counts(part["counts"], part["n"]))
-            counts = np.concatenate(found[0])[chunk.tokens]
-            base = np.bincount(chunk.owner, np.log10((counts + 1) / (tokens + distinct + 1)), n)
-            known = np.bincount(chunk.owner[counts > 0], minlength=n)
-
-            def asked(order: int, hashes: np.ndarray, chunk: Chunk = chunk, found: dict = found) -> np.ndarray:
-                shift = np.uint64(64 - key_bits)
-                every = chunk.words if order == 1 else next(g[reach] for k, g, reach in chunk.grams(order) if k == order)
-                return np.concatenate(found[order])[np.searchsorted(np.unique(every >> shift), hashes >> shift)]
-
-            p = token_probabilities(chunk, order, strength, tokens + distinct, held.value.levels if held else asked)
-            score = np.bincount(chunk.owner, np.log10(p), n)
-            columns = [row["doc_ids"], row["held"], chunk.sizes, known, np.full(n, tokens), base, score]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        for batch in batches:
+            for i, row in enumerate(batch.drop_columns(["answers"]).to_pylist()):
+                chunk, n = Chunk(row), len(row["sizes"])
+                answers = pa.Table.from_struct_array(batch.column("answers")[i].values).sort_by([("order", "ascending"), ("owner", "ascending")])
+                parts = {k: answers.filter(pc.equal(answers["order"], k)) for k in layout.orders}
+
+                def answered(k: int, grams: np.ndarray, at: np.ndarray, chunk: Chunk = chunk, parts: dict = parts) -> np.ndarray:
+                    levels = _flat(parts[k]["levels"])[0]
+                    if k == 1:
+                        return levels[at]
+                    reach = next(r for o, _, r in chunk.grams(k) if o == k)
+                    where = np.zeros(len(grams), np.int64)
+                    where[reach] = np.unique(grams[reach] >> cut, return_inverse=True)[1]
+                    return levels[where[at]]
+
+                counts = decode_counts(parts[1])[chunk.tokens]
+                base = np.bincount(chunk.owner, np.log10((counts + 1) / (tokens + distinct + 1)), n)
+                known = np.bincount(chunk.owner[counts > 0], minlength=n)
+                p = token_probabilities(chunk, layout.orders[-1], strength, tokens + distinct, broadcast if held else answered)
+                score = np.bincount(chunk.owner, np.log10(p), n)
+                columns = [row["doc_ids"], row["held"], chunk.sizes, known, np.full(n, tokens), base, score]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
@@ -389,41 +469,26 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER, stren
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     arrow_kind = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held"), "text")
-    layout = f"chunk bigint, doc_ids array<{kind}>, held array<boolean>, sizes array<bigint>, n_tokens bigint, n_words bigint, tokens binary, words binary, ranks binary"
-    chunks = materialize(rows.mapInArrow(_cut(arrow_kind), layout), "chunks", **_LAYOUT)
-    size = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).head()
+    columns = f"chunk bigint, doc_ids array<{kind}>, held array<boolean>, sizes array<bigint>, n_tokens bigint, n_words bigint, tokens binary, ranks binary, unary binary, rest binary, low binary"
+    chunks = materialize(rows.mapInArrow(_cut(arrow_kind), columns), "chunks", **_LAYOUT)
+    size = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("chunks")).head()
     key_bits = min(64, max(32, size.tokens.bit_length() + 16))
-    owner_bits = [_owner_bits(size.words, key_bits), *[_owner_bits(size.tokens, key_bits)] * (order - 1)]
-
-    merged = []
-    for n, width in enumerate(owner_bits, 1):
-        wide = 64 if n == 1 else key_bits
-        sent = chunks.mapInArrow(_send(n, wide, width), _MESSAGE)
-        merged.append(materialize(sent.groupBy("order", "owner").applyInArrow(_merge(wide, width, n == 1, key_bits), _MERGED + ", distinct bigint"), f"order{n}", **_LAYOUT))
-    levels = merged[0].where("chunk is null")
-    for table in merged[1:]:
-        levels = levels.unionByName(table)
-    answers = merged[0].where("chunk is not null").select("chunk", F.lit(0).alias("order"), "owner", "n", "counts")
-    total = levels.where("order = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).head()
-
-    # A number for each owner, of which there are 2**20 an order at most.
-    sizes = {(r.order, r.owner): block_bits(r.inserts, bits) for r in levels.where("inserts > 0").select("order", "owner", "inserts").collect()}
+    layout = Layout(order, key_bits, size.tokens, size.words, size.chunks)
+    asked = order * size.tokens * bits > 8 * most_bytes
+
+    sent = chunks.mapInArrow(_send(layout, asked), _MESSAGE)
+    merged = materialize(sent.groupBy("order", "owner").applyInArrow(_merge(layout, bits, asked), _MERGED), "merged", **_LAYOUT)
+    blocks = merged.where("chunk is null")
+    total = blocks.where("order = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).head()
     held = None
-    if sum(sizes.values()) <= 8 * most_bytes:
-        built = levels.where("inserts > 0").select("order", "owner", "n", "keys", "levels").mapInArrow(_build(key_bits, owner_bits, bits), "order int, owner int, data binary").toArrow()
-        data = {(o, w): i for i, (o, w) in enumerate(zip(built["order"].to_pylist(), built["owner"].to_pylist(), strict=True))}
-        blocks = built["data"]
-        held = spark.sparkContext.broadcast(LevelFilter(sizes, owner_bits, key_bits, b"".join(blocks[data[k]].as_buffer() for k in sorted(data))))
-        del built, blocks
-    else:
-        for n, width in enumerate(owner_bits, 1):
-            asks = chunks.mapInArrow(_send(n, key_bits, width, ask=True), _MESSAGE)
-            blocks = levels.where(F.col("order") == n).select("order", "owner", "chunk", "n", "keys", "levels")
-            replied = asks.drop("counts").withColumn("levels", F.lit(None).cast("binary")).unionByName(blocks).groupBy("order", "owner").applyInArrow(_reply(key_bits, owner_bits, bits), "chunk bigint, order int, owner int, n bigint, counts binary")
-            answers = answers.unionByName(materialize(replied, f"replies{n}", **_LAYOUT))
+    if not asked:
+        built = blocks.where("inserts > 0").select("order", "owner", "inserts", "data").toArrow().sort_by([("order", "ascending"), ("owner", "ascending")])
+        sizes = {(o, w): block_bits(i, bits) for o, w, i in zip(*(built[c].to_pylist() for c in ("order", "owner", "inserts")), strict=True)}
+        held = spark.sparkContext.broadcast(LevelFilter(sizes, layout.owner_bits, key_bits, _flat(built["data"])[0].tobytes()))
+        del built
     # A chunk's answers are as many as its distinct n-grams.
-    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("order", "owner", "n", "counts")).alias("answers"))
-    run = _score(order, strength, total.tokens, total.distinct, key_bits, held, arrow_kind)
+    answers = merged.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct(*_ANSWER)).alias("answers"))
+    run = _score(layout, strength, total.tokens, total.distinct, held, arrow_kind)
     return chunks.join(answers.hint("shuffle_hash"), "chunk").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 

@@ -1,3 +1,4 @@
+import cProfile
 import hashlib
 import math
 import re
@@ -142,6 +143,61 @@ def test_both_ways_score_alike(docs):
     assert near[0] == near[1]
 
 
+def test_ngrams_meet_their_owners_once(docs, monkeypatch):
+    """Without a broadcast filter, too, chunks send once and are answered at once: nothing asks again."""
+    made, write = [], lm_scoring.materialize
+    monkeypatch.setattr(lm_scoring, "materialize", lambda df, name, **options: made.append(name) or write(df, name, **options))
+    assert lm_scoring.score_documents(docs, lm_scoring.every_seventh(), most_bytes=0).count() == docs.count()
+    assert len(made) == 2
+
+
+def chunk_of(n):
+    """A chunk of n tokens in one document, as a batch."""
+    words = np.sort(np.random.default_rng(2).choice(1 << 62, n, replace=False).astype(np.uint64) * np.uint64(4))
+    places = lm_scoring.pack_places(np.arange(n))
+    code = lm_scoring.encode_runs(words, np.array([n]), lm_scoring._shift(n, 64))
+    return pa.RecordBatch.from_pydict({"chunk": [0], "doc_ids": [[1]], "held": [[False]], "sizes": [[n]], "n_tokens": [n], "n_words": [n], "tokens": [places], "ranks": [places], **code})
+
+
+def test_messages_cost_no_calls():
+    """What a chunk's messages cost doesn't grow with the number of owners: no code runs for each of them."""
+    batch, calls = chunk_of(30_000), []
+    for tokens in (1, 1 << 34):
+        layout = lm_scoring.Layout(2, 52, tokens, tokens, tokens // 30_000)
+        profile = cProfile.Profile()
+        sent = profile.runcall(list, lm_scoring._send(layout, True)(iter([batch])))
+        calls.append(sum(c.callcount for c in profile.getstats()))
+        for message, wide in zip(sent, layout.wide, strict=True):
+            order = message["order"][0].as_py()
+            keys = lm_scoring.decode_runs(message, message["n"].to_numpy(), layout.shift[order - 1])
+            keys |= np.repeat(message["owner"].to_numpy().astype(np.uint64) << np.uint64(layout.span[order - 1]), message["n"].to_numpy())
+            chunk = lm_scoring.Chunk(batch.to_pylist()[0])
+            want = chunk.words if order == 1 else np.sort(next(g[r] for _, g, r in chunk.grams(2)) >> np.uint64(64 - wide))
+            assert (keys == want).all() and len(keys) > 29_000
+    assert sent[1].num_rows > 5_000 and calls[1] < 2 * calls[0]
+
+
+def test_codes_round_trip():
+    rng = np.random.default_rng(3)
+    for sizes in ([1], [1, 1], [3, 1, 4000], [1, 700, 2, 1]):
+        for span in (6, 26, 37, 58, 63):
+            keys = [np.sort(rng.integers(0, 1 << span, n, dtype=np.uint64)) for n in sizes]
+            for shift in {0 if span == 6 else span - 12, max(0, span - 10), span, min(span, 56)}:
+                columns = pa.table(lm_scoring.encode_runs(np.concatenate(keys), np.array(sizes), shift))
+                assert (lm_scoring.decode_runs(columns, np.array(sizes), shift) == np.concatenate(keys)).all()
+        counts = rng.choice([0, 1, 254, 255, 256, 10**12], sum(sizes))
+        assert (lm_scoring.decode_counts(pa.table(lm_scoring.encode_counts(counts, np.array(sizes)))) == counts).all()
+
+
+def test_known_levels_need_no_probes():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 40, 20_000, dtype=np.uint64))
+    levels = lm_scoring.quantised((rng.pareto(1.0, len(keys)) + 0.5).astype(np.int64))
+    data = np.frombuffer(lm_scoring.block(keys[levels > 0], levels[levels > 0]), np.uint8)
+    whole, zero = np.full(len(keys), 8 * len(data), np.uint64), np.zeros(len(keys), np.uint64)
+    assert (levels == 0).any() and (lm_scoring.probe_levels(data, whole, zero, keys, levels) == lm_scoring.probe_levels(data, whole, zero, keys)).all()
+
+
 def test_nothing_to_learn_from(docs, empty):
     assert lm_scoring.score_documents(empty, lm_scoring.every_seventh()).collect() == []
     rows = lm_scoring.score_documents(docs, F.lit(True)).collect()
